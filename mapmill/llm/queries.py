@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from mapmill.llm.host_rules import host_rules
 from mapmill.llm.mixing import mix
+from mapmill.llm.near_duplicates import near_duplicates
 from mapmill.llm.neighbours import nearest
 from mapmill.llm.packing import pack
 
@@ -41,9 +42,14 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_neighbours": op1_neighbours,
     "op2_packing": op2_packing,
     "op3_host_rules": op3_host_rules,
     "op5_mixing": op5_mixing,
+    "op7_near_duplicates": op7_near_duplicates,
 }
