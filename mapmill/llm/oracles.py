@@ -112,4 +112,29 @@ SELECT t.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, coalesce(component_id,
 FROM t LEFT JOIN n ON t.doc_id = n.doc_id LEFT JOIN k ON t.doc_id = k.doc_id
 """
 
-ORACLE_SQL: dict[str, str] = {"op1_neighbours": OP1, "op3_host_rules": OP3, "op5_mixing": OP5, "op7_near_duplicates": OP7}
+OP10 = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS row, doc_id, text, string_split(text, chr(10)) AS lines FROM documents
+), l AS (
+  SELECT row, doc_id, text, unnest(range(1, len(lines) + 1)) AS k, unnest(lines) AS line FROM d
+), p AS (
+  SELECT row, doc_id, text, k, trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS line,
+         row_number() OVER (PARTITION BY row ORDER BY k) AS i
+  FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]')
+), w AS (
+  SELECT a.row, a.doc_id, a.text, a.i, a.line || chr(10) || b.line || chr(10) || c.line AS run
+  FROM p a JOIN p b ON a.row = b.row AND b.i = a.i + 1 JOIN p c ON a.row = c.row AND c.i = a.i + 2
+), f AS (
+  SELECT *, row_number() OVER (PARTITION BY run ORDER BY doc_id NULLS FIRST, text, i) AS nth FROM w
+), g AS (
+  SELECT DISTINCT p.row, p.k FROM f JOIN p ON f.row = p.row AND p.i BETWEEN f.i AND f.i + 2 WHERE f.nth > 1
+), k AS (
+  SELECT l.row, string_agg(l.line, chr(10) ORDER BY l.k) AS text FROM l LEFT JOIN g ON l.row = g.row AND l.k = g.k WHERE g.k IS NULL GROUP BY l.row
+), n AS (
+  SELECT row, count(*)::BIGINT AS n FROM g GROUP BY row
+)
+SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(k.text, '') END AS text, coalesce(len(d.lines), 0)::BIGINT AS n_lines, coalesce(n.n, 0)::BIGINT AS n_deleted
+FROM d LEFT JOIN k ON d.row = k.row LEFT JOIN n ON d.row = n.row
+"""
+
+ORACLE_SQL: dict[str, str] = {"op1_neighbours": OP1, "op3_host_rules": OP3, "op5_mixing": OP5, "op7_near_duplicates": OP7, "op10_line_dedup": OP10}

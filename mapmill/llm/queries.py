@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mapmill.llm.host_rules import host_rules
+from mapmill.llm.html_text import extract_text
+from mapmill.llm.line_dedup import dedup_lines
 from mapmill.llm.mixing import mix
 from mapmill.llm.near_duplicates import near_duplicates
 from mapmill.llm.neighbours import nearest
@@ -46,10 +48,20 @@ def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(table(spark, sf_dir, "pages"))
+
+
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_deleted")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_neighbours": op1_neighbours,
     "op2_packing": op2_packing,
     "op3_host_rules": op3_host_rules,
     "op5_mixing": op5_mixing,
+    "op6_html_text": op6_html_text,
     "op7_near_duplicates": op7_near_duplicates,
+    "op10_line_dedup": op10_line_dedup,
 }
