@@ -14,6 +14,7 @@ from mapmill.llm.mixing import mix
 from mapmill.llm.near_duplicates import near_duplicates
 from mapmill.llm.neighbours import nearest
 from mapmill.llm.packing import pack
+from mapmill.llm.quality import classify
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,6 +53,10 @@ def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_text(table(spark, sf_dir, "pages"))
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_deleted")
 
@@ -63,5 +68,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_mixing": op5_mixing,
     "op6_html_text": op6_html_text,
     "op7_near_duplicates": op7_near_duplicates,
+    "op8_quality": op8_quality,
     "op10_line_dedup": op10_line_dedup,
 }
