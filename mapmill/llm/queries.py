@@ -15,6 +15,7 @@ from mapmill.llm.near_duplicates import near_duplicates
 from mapmill.llm.neighbours import nearest
 from mapmill.llm.packing import pack
 from mapmill.llm.quality import classify
+from mapmill.llm.secrets import scan_secrets
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,6 +58,10 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_secrets(table(spark, sf_dir, "documents"))
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_deleted")
 
@@ -69,5 +74,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_html_text": op6_html_text,
     "op7_near_duplicates": op7_near_duplicates,
     "op8_quality": op8_quality,
+    "op9_secrets": op9_secrets,
     "op10_line_dedup": op10_line_dedup,
 }
