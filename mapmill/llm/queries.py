@@ -14,6 +14,7 @@ from mapmill.llm.mixing import mix
 from mapmill.llm.near_duplicates import near_duplicates
 from mapmill.llm.neighbours import nearest
 from mapmill.llm.packing import pack
+from mapmill.llm.passages import repeated_text
 from mapmill.llm.quality import classify
 from mapmill.llm.secrets import scan_secrets
 
@@ -42,6 +43,10 @@ def op3_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return host_rules(table(spark, sf_dir, "documents")).select(*cols)
 
 
+def op4_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_text(table(spark, sf_dir, "documents"))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -70,6 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_neighbours": op1_neighbours,
     "op2_packing": op2_packing,
     "op3_host_rules": op3_host_rules,
+    "op4_passages": op4_passages,
     "op5_mixing": op5_mixing,
     "op6_html_text": op6_html_text,
     "op7_near_duplicates": op7_near_duplicates,
