@@ -72,7 +72,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     cols = docs.columns
     del_ = materialize(repeated_windows(docs, id_col, text_col, window).select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_h"), F.col("starts").alias("_starts")), "deleted")
-    met = docs.join(del_, F.col(id_col).eqNullSafe(F.col("_d")) & (F.xxhash64(F.col(text_col)) == F.col("_h")), "left")
+    # The deletions have no size bound, so the texts are always shuffled to them, at any size of the table.
+    met = docs.join(del_.hint("merge"), F.col(id_col).eqNullSafe(F.col("_d")) & (F.xxhash64(F.col(text_col)) == F.col("_h")), "left")
 
     def cut(lines: Column) -> Column:
         gone = let(places(lines), lambda p: F.array_distinct(F.flatten(F.transform(F.col("_starts"), lambda i: F.slice(p, i + 1, window)))))
