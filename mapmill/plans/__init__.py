@@ -1 +1 @@
-
+"""Jobs built from the operators, and the registered queries."""
