@@ -7,6 +7,7 @@ import difflib
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from mapmill.functions.text import normal_name, simplified
 from mapmill.operators.lookup import small
@@ -18,7 +19,7 @@ COMPATIBLE_BONUS, WAY_BONUS = 0.08, 0.04
 STRUCTURAL = ("城门", "宫城", "寺观", "山体", "水体", "桥梁", "衙署")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)])
 
