@@ -33,7 +33,7 @@ def write_csv(df: DataFrame, path: str, fields: list[str], mode: str = "overwrit
 def read_texts(spark: SparkSession, path: str) -> DataFrame:
     """(path, text): one row a file; bytes that are no text are left out."""
     raw = spark.read.format("binaryFile").load(path)
-    text = F.replace(F.decode("content", "UTF-8"), F.lit("�"), F.lit(""))
+    text = F.replace(F.make_valid_utf8(F.col("content").cast("string")), F.lit("\ufffd"), F.lit(""))
     return raw.select("path", text.alias("text"))
 
 
