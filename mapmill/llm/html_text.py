@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-WINDOW = 3
+WINDOW = 5
 #: Characters in a window that make a surge on a page without a marked article.
 SURGE = 80
 #: Share of characters in links from which a line counts as a menu line.
