@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -44,12 +42,3 @@ def previous_choice(rows: DataFrame, key: str, manual: DataFrame, previous: Data
     p = previous.select(F.col(key).alias("_p"), *[F.col(c).alias(f"_p_{c}") for c in columns])
     out = rows.join(m, F.col(key) == F.col("_m"), "left").join(p, F.col(key) == F.col("_p"), "left")
     return out.select(*[F.col(c) for c in rows.columns if c not in columns], *[F.coalesce(f"_m_{c}", f"_p_{c}", c).alias(c) for c in columns])
-
-
-def upsert_batches(current_of: Callable[[], DataFrame], save: Callable[[DataFrame], None], keys: list[str]) -> Callable[[DataFrame, int], None]:
-    """A ``foreachBatch`` function that upserts each micro-batch into a table."""
-
-    def apply(batch: DataFrame, _: int) -> None:
-        save(upsert(current_of(), batch, keys))
-
-    return apply

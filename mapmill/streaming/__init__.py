@@ -1 +1 @@
-
+"""Incremental use of the operators on Structured Streaming sources."""

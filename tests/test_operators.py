@@ -12,6 +12,7 @@ from mapmill.functions import text as T
 from mapmill.operators import boxes, georef, lookup, match, mentions, ranking, sample, upsert
 from mapmill.plans import jobs
 from mapmill.sources import geojson, ocr, tables
+from mapmill.streaming import incremental
 
 
 def one(spark, column):
@@ -255,10 +256,10 @@ def test_lookup_edges(spark):
     assert sorted((str(r["k"]), r["v"]) for r in lookup.with_fallback(df, F.col("k"), rules, "category", "其他", ["v"]).collect()) == [("None", 9), ("x", 1)]
 
 
-def test_streaming_functions(spark, tmp_path):
-    spark.createDataFrame([(1, "塘家"), (2, "x")], "id int, text string").write.parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema("id int, text string").parquet(str(tmp_path / "in")).withColumn("t", T.reading_order(F.col("text"))["text"])
-    state = {"t": spark.createDataFrame([(2, "old", "old")], "id int, text string, t string")}
-    apply = upsert.upsert_batches(lambda: state["t"], lambda df: state.update(t=spark.createDataFrame(df.collect(), df.schema)), ["id"])
-    stream.writeStream.foreachBatch(apply).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
-    assert sorted((r["id"], r["t"]) for r in state["t"].collect()) == [(1, "家塘"), (2, "x")]
+def test_streaming_upserts(spark, tmp_path):
+    spark.createDataFrame([(1, "塘·家"), (2, "x"), (3, " ")], "id int, text string").write.parquet(str(tmp_path / "in"))
+    stream = incremental.clean_labels(spark.readStream.schema("id int, text string").parquet(str(tmp_path / "in")))
+    state = {"t": spark.createDataFrame([(2, "old"), (9, "stays")], "id int, label string")}
+    apply = incremental.upsert_batches(lambda: state["t"], lambda df: state.update(t=spark.createDataFrame(df.collect(), df.schema)), ["id"])
+    incremental.run_upserts(stream.select("id", "label"), apply, str(tmp_path / "cp")).awaitTermination()
+    assert sorted(map(tuple, state["t"].collect())) == [(1, "家塘"), (2, "x"), (9, "stays")]
