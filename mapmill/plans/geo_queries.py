@@ -101,11 +101,11 @@ def affine_fit(spark, sf_dir):
 
 
 @query(POINTS_SQL + """, e AS (SELECT g, round(sqrt((c + b1 * (px - a) + c1 * (py - b) - mx) * (c + b1 * (px - a) + c1 * (py - b) - mx) + (d + b2 * (px - a) + c2 * (py - b) - my) * (d + b2 * (px - a) + c2 * (py - b) - my)), 3) AS error FROM p JOIN f USING (g))
-SELECT g, count(*)::BIGINT AS control_point_count, round(sqrt(avg(error * error)), 2) AS rmse_m, round(avg(error), 2) AS mean_error_m, round(max(error), 2) AS max_error_m, sqrt(avg(error * error)) <= 60 AND max(error) <= 120 AS accepted FROM e GROUP BY g""")
+SELECT g, count(*)::BIGINT AS control_point_count, round(sqrt(avg(error * error)), 3) AS rmse_m, round(avg(error), 3) AS mean_error_m, round(max(error), 3) AS max_error_m, sqrt(avg(error * error)) <= 60 AND max(error) <= 120 AS accepted FROM e GROUP BY g""")
 def affine_quality(spark, sf_dir):
     """Residual figures and acceptance of the fits."""
     t = georef.fit_transforms(control_points(spark, sf_dir), ["g"], F.col("w"))
-    return t.select("g", "control_point_count", F.round("rmse_m", 2).alias("rmse_m"), F.round("mean_error_m", 2).alias("mean_error_m"), F.round("max_error_m", 2).alias("max_error_m"), "accepted")
+    return t.select("g", "control_point_count", "rmse_m", "mean_error_m", "max_error_m", "accepted")
 
 
 @query("""WITH t AS (SELECT p_partkey AS k, CASE WHEN p_size % 5 = 0 THEN 'missing' WHEN p_size % 5 = 1 THEN 'loaded_without_accuracy' ELSE 'loaded' END AS status, p_size % 7 AS n, p_size * 1.5::DOUBLE AS rmse, p_size * 3.0::DOUBLE AS mx FROM part)
