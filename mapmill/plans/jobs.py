@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from mapmill.functions import geo, years
 from mapmill.functions import text as T
 from mapmill.operators import georef, lookup, match, mentions, ranking, sample, upsert
-from mapmill.operators.boxes import dedupe_boxes, ocr_candidates
+from mapmill.sources import geojson
 from mapmill.storage import materialize
 
 
@@ -214,6 +214,71 @@ def route_layers(places: DataFrame, rules: DataFrame) -> tuple[DataFrame, DataFr
     return out, lookup.unmatched(places, "target_layer", rules, "target_layer")
 
 
+def split_by_coordinates(places: DataFrame, curated_flag: str = "in_curated_checklist") -> dict[str, DataFrame]:
+    """Mapped and missing places, in full and curated; the four filters share one scan if the caller keeps the frame."""
+    there = F.col("lon").isNotNull() & F.col("lat").isNotNull()
+    chosen = F.coalesce(F.col(curated_flag), F.lit(False))
+    return {"mapped": places.where(there), "missing": places.where(~there), "mapped_curated": places.where(there & chosen), "missing_curated": places.where(~there & chosen)}
+
+
+def time_filter(rows: DataFrame, time_type: str, every: str = "全部", column: str = "time_type") -> DataFrame:
+    """Rows of one time window; the label for all means no filter."""
+    return rows if time_type == every else rows.where(F.col(column) == time_type)
+
+
+def layer_subset(rows: DataFrame, statuses: list[str] | None = None, most: int | None = None, time_type: str | None = None) -> DataFrame:
+    """Rows of a map layer: of given match statuses, up to a rank, of a time window."""
+    out = rows if statuses is None else rows.where(F.col("match_status").isin(statuses))
+    out = out if most is None else out.where(F.col("rank") <= most)
+    return out if time_type is None else out.where(F.col("time_type") == time_type)
+
+
+def linked_selection(selected: DataFrame, points: DataFrame, columns: DataFrame, key: str = "name") -> DataFrame:
+    """What a selection of names shows: its point and its column, each null where there is none."""
+    p = points.select(F.col(key).alias("_p"), F.struct("lon", "lat").alias("point"))
+    c = columns.select(F.col(key).alias("_c"), F.struct("height_m", "ring").alias("column"))
+    return selected.join(p, F.col(key) == F.col("_p"), "left").join(c, F.col(key) == F.col("_c"), "left").drop("_p", "_c")
+
+
+def review_payload(candidates: DataFrame, size: int, categories: list[str], forced: list[str], cols: int, rows: int, strategy: str) -> DataFrame:
+    """(map_id, value): the sampled candidates of each map as one payload with the strategy that chose them."""
+    chosen = sample.review_sample(candidates, size, categories, forced, cols, rows)
+    entry = F.struct("sample_no", F.struct("place_id", "name", "category", "confidence", "x", "y").alias("c"))
+    by = chosen.groupBy("map_id").agg(F.transform(F.array_sort(F.collect_list(entry)), lambda e: e["c"]).alias("candidates"))
+    return by.select("map_id", F.to_json(F.struct("map_id", F.lit(strategy).alias("sample_strategy"), F.size("candidates").alias("sample_size"), "candidates")).alias("value"))
+
+
+def control_features(points: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(image, map) feature layers of control points; image features have y upwards, unplaced points are left out."""
+    on = T.flag(F.col("enabled"), georef.ENABLED_WORDS)
+    base = points.withColumn("enabled_bool", on)
+    image = base.withColumn("lon", F.col("pixel_x").try_cast("double")).withColumn("lat", -F.col("pixel_y").try_cast("double")).withColumn("control_space", F.lit("image"))
+    ground = base.withColumn("lon", F.col("map_x").try_cast("double")).withColumn("lat", F.col("map_y").try_cast("double")).withColumn("control_space", F.lit("map"))
+    keep = [*points.columns, "enabled_bool", "control_space"]
+    return geojson.points(image, keep), geojson.points(ground, keep)
+
+
+def control_points_back(points: DataFrame, image: DataFrame, ground: DataFrame) -> DataFrame:
+    """Control points with the coordinates and attributes that edited feature layers give them.
+
+    ``image`` and ``ground`` are feature tables (see ``geojson``). Attributes of the map layer come
+    before those of the image layer and of the table; image y is turned back.
+    """
+    at = F.col("rings")[0][0]
+    own = lambda f, cols: f.select(F.col("properties")["control_id"].alias("control_id"), *[F.col("properties")[c].alias(c) for c in ("name", "enabled", "notes")], *cols)
+    i = own(image, [at[0].cast("string").alias("pixel_x"), (-at[1]).cast("string").alias("pixel_y")])
+    g = own(ground, [at[0].cast("string").alias("map_x"), at[1].cast("string").alias("map_y")])
+    return lookup.overlay(points, "control_id", [i, g], ["name", "enabled", "notes", "pixel_x", "pixel_y", "map_x", "map_y"])
+
+
+def image_space_boxes(candidates: DataFrame) -> DataFrame:
+    """Candidates with ring, centre and size in image space (y upwards), and their quad as JSON."""
+    b = F.col("bbox_pixel")
+    mid = geo.centre(b)
+    ok = candidates.where(F.size("bbox_pixel") == 4)
+    return ok.withColumns({"ring": geo.image_ring(b), "center_x": mid["x"], "center_y": -mid["y"], "width_px": b[2] - b[0], "height_px": b[3] - b[1], "quad_json": F.to_json("quad_pixel")})
+
+
 def register_maps(catalog: DataFrame, maps: DataFrame) -> DataFrame:
     """The catalogue after maps were registered: rows of the same id are replaced."""
     return upsert.upsert(catalog, maps, ["map_id"])

@@ -57,7 +57,7 @@ def test_surface_and_sentence(spark):
     w = one(spark, T.sentence_window(F.lit("甲。乙丙丁戊。己"), F.lit(3), F.lit(1)))
     assert (w["fragment"], w["local"]) == ("乙丙丁戊。", 1)
     assert one(spark, T.squeeze(F.lit("﻿a　b c\n"))) == "abc"
-    assert one(spark, T.strip_to_tail(F.lit("位于苏州的大运河边的宝带桥"), "^位于", ["的", "边"])) == "宝带桥"
+    assert one(spark, T.strip_to_tail(F.lit("位于苏州的大运河边的万年桥"), "^位于", ["的", "边"])) == "万年桥"
 
 
 @pytest.mark.parametrize("many", [False, True])
@@ -229,17 +229,17 @@ def test_standard_places(spark):
 
 
 def test_text_jobs(spark):
-    corpus = spark.createDataFrame([(1, "位于宝带桥。1988年重建宝带桥，澹台湖在旁。小石湖路，2004年建。"), (2, None)], "doc_id int, text string")
-    seeds = spark.createDataFrame([("宝带桥", "bridge", 1), ("澹台湖", "water", 2)], "seed string, seed_type string, ordinal int")
+    corpus = spark.createDataFrame([(1, "位于万年桥。1988年重建万年桥，金鸡湖在旁。小石湖路，2004年建。"), (2, None)], "doc_id int, text string")
+    seeds = spark.createDataFrame([("万年桥", "bridge", 1), ("金鸡湖", "water", 2)], "seed string, seed_type string, ordinal int")
     same = spark.createDataFrame([("bridge", "bridge")], "seed_type string, place_type string")
     clean = {"trims": "，。", "lead": "^[0-9年]+", "prefix": "^(?:位于|重建)", "markers": []}
     valid = {"reserved": ["大桥"], "digits": "[0-9年]", "bad_prefixes": [], "bad_parts": ["在旁"], "caps": {"road": 8}}
     got = {r["name"]: (r["place_type"], r["occurrence_count"]) for r in jobs.extract_places(corpus, [("桥", "bridge"), ("湖", "water"), ("路", "road")], seeds, same, clean, valid).collect()}
-    assert got["宝带桥"] == ("bridge", 3) and got["澹台湖"][0] == "water"
-    places = spark.createDataFrame([("宝带桥", "x"), ("澹台湖", "y")], "name string, note string")
-    t = {r["name"]: r for r in jobs.temporal_places(corpus, places, places.where("name = '宝带桥'").withColumn("note", F.lit("")), ["note"]).collect()}
-    assert t["宝带桥"]["primary_year"] == 1988 and t["宝带桥"]["note"] == "" and t["宝带桥"]["in_curated_checklist"]
-    assert t["澹台湖"]["time_type"] == "改革开放初期"
+    assert got["万年桥"] == ("bridge", 3) and got["金鸡湖"][0] == "water"
+    places = spark.createDataFrame([("万年桥", "x"), ("金鸡湖", "y")], "name string, note string")
+    t = {r["name"]: r for r in jobs.temporal_places(corpus, places, places.where("name = '万年桥'").withColumn("note", F.lit("")), ["note"]).collect()}
+    assert t["万年桥"]["primary_year"] == 1988 and t["万年桥"]["note"] == "" and t["万年桥"]["in_curated_checklist"]
+    assert t["金鸡湖"]["time_type"] == "改革开放初期"
 
 
 def test_geocode_order(spark):
@@ -256,6 +256,54 @@ def test_lookup_edges(spark):
     assert sorted((str(r["k"]), r["v"]) for r in lookup.with_fallback(df, F.col("k"), rules, "category", "其他", ["v"]).collect()) == [("None", 9), ("x", 1)]
 
 
+def test_control_points_round_trip(spark):
+    p = spark.createDataFrame([("c1", "1", "a", "10", "20", "100", "200", None), ("c2", "", "b", "x", None, "5", "6", "n")], "control_id string, enabled string, name string, pixel_x string, pixel_y string, map_x string, map_y string, notes string")
+    image, ground = (f.agg(F.concat(F.lit('{"features":['), F.array_join(F.collect_list("value"), ","), F.lit("]}")).alias("value")) for f in jobs.control_features(p))
+    back = jobs.control_points_back(p, geojson.parse_features(image), geojson.parse_features(ground)).orderBy("control_id").collect()
+    assert [(r["name"], float(r["pixel_y"]) if r["pixel_y"] else None, float(r["map_x"]), r["notes"]) for r in back] == [("a", 20.0, 100.0, None), ("b", None, 5.0, "n")]
+
+
+def test_views(spark):
+    rows = spark.createDataFrame([("a", 1.0, 2.0, True, 1, "x", "matched"), ("b", None, None, False, 2, "y", "review")], "name string, lon double, lat double, in_curated_checklist boolean, rank int, time_type string, match_status string")
+    parts = {k: [r["name"] for r in v.collect()] for k, v in jobs.split_by_coordinates(rows).items()}
+    assert parts == {"mapped": ["a"], "missing": ["b"], "mapped_curated": ["a"], "missing_curated": []}
+    assert jobs.time_filter(rows, "全部").count() == 2 and jobs.time_filter(rows, "y").count() == 1 and jobs.layer_subset(rows, ["matched", "review"], 1).count() == 1
+    columns = jobs.mention_columns(rows.withColumn("occurrence_count", F.lit(4)))
+    shown = {r["name"]: (r["point"] and r["point"]["lon"], r["column"] and r["column"]["height_m"]) for r in jobs.linked_selection(rows.select("name"), rows.where("lon is not null"), columns).collect()}
+    assert shown == {"a": (1.0, 28.8), "b": (None, None)}
+
+
+def test_payload_and_statistics(spark):
+    c = spark.createDataFrame([("m", 0, "", "n", "A", "high", 100.0, 200.0), ("m", 1, "", "o", "B", "low", 400.0, 500.0)], "map_id string, seq int, place_id string, name string, category string, confidence string, x double, y double")
+    value = jobs.review_payload(c, 12, ["A"], [], 2, 2, "stratified").first()["value"]
+    assert '"sample_size":2' in value and value.index('"n"') < value.index('"o"')
+    corpus = spark.createDataFrame([(1, "万年桥文物。万年桥重建。小湖")], "doc_id int, text string")
+    places = spark.createDataFrame([("万年桥", "bridge", 90, 120.0, 31.0, "fallback_coord", "matched", 1988), ("小湖", "water", 5, None, None, "missing", "", None)], "name string, place_type string, occurrence_count int, lon double, lat double, coord_status string, match_status string, primary_year int")
+    keywords = spark.createDataFrame([("遗产", 0, "文物"), ("遗产", 0, "重建"), ("水", 1, "湖")], "theme string, ordinal int, keyword string")
+    labels = spark.createDataFrame([("bridge", "桥梁")], "place_type string, type_label string")
+    custom = spark.createDataFrame([("小湖", "自定义")], "name string, custom_reason string")
+    got = {r["name"]: r for r in jobs.mention_statistics(corpus, places, keywords, labels, custom).collect()}
+    a, b = got["万年桥"], got["小湖"]
+    assert (a["rank"], a["raw_surface_count"], a["mention_level"], a["coordinate_quality"], a["themes"]) == (1, 2, "高频", "已匹配坐标", ["遗产", "水"])
+    assert a["reason"] == "该地名属于桥梁，在志书中约出现90次，主要关联遗产、水；主要时间锚点为1988年。" and b["reason"] == "自定义" and b["coordinate_quality"] == "缺坐标"
+
+
+def test_scene_and_keyframes(spark):
+    points = spark.createDataFrame([("a", "water", 120.0, 31.0), ("b", "road", 120.02, 31.01)], "name string, place_type string, lon double, lat double")
+    styles = spark.createDataFrame([("water", "lake", "circle", 100.0, 100.0, 1.0)], "place_type string, scene_class string, shape string, width_m double, depth_m double, height_m double")
+    m = spark.createDataFrame([("e2", "x", 1990, 1.0, 2.0, 1), ("e1", "culture", None, 3.0, 4.0, 2), ("e0", "x", 1980, 5.0, 6.0, 3)], "event_id string, event_type string, start_year int, lon double, lat double, order_no int")
+    heights = spark.createDataFrame([("culture", 95.0)], "event_type string, base_height double")
+    layers = jobs.scene_layers(points, styles, {"scene_class": "block", "shape": "rect", "width_m": 40.0, "depth_m": 30.0, "height_m": 10.0}, m, heights)
+    assert len(layers["stage"].first()["ring"]) == 5
+    assert {r["name"]: len(r["ring"]) for r in layers["blocks"].collect()} == {"a": 37, "b": 5}
+    assert {r["event_id"]: r["height_m"] for r in layers["columns"].collect()} == {"e2": 80.0, "e1": 99.0, "e0": 84.0}
+    assert layers["path"].first()["path"] == [[5.0, 6.0], [1.0, 2.0], [3.0, 4.0]]
+    shots = spark.createDataFrame([("K0",), ("K1",)], "keyframe string")
+    alternates = spark.createDataFrame([("K0", 1, "none", 0), ("K0", 1, "a", 1), ("K0", 2, "b", 0), ("K1", 1, "none", 0)], "keyframe string, target_no int, name string, ordinal int")
+    frames, missing = jobs.keyframes(shots, alternates, points)
+    assert abs({r["keyframe"]: r["target_lon"] for r in frames.collect()}["K0"] - 120.01) < 1e-9 and [r["keyframe"] for r in missing.collect()] == ["K1"]
+
+
 def test_streaming_upserts(spark, tmp_path):
     spark.createDataFrame([(1, "塘·家"), (2, "x"), (3, " ")], "id int, text string").write.parquet(str(tmp_path / "in"))
     stream = incremental.clean_labels(spark.readStream.schema("id int, text string").parquet(str(tmp_path / "in")))
