@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _LOCAL: dict[str, str] = {}
+#: Rows meant for one part of a table whose size is known.
+PART_ROWS = 50_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -26,11 +28,15 @@ def shared_dir(spark: SparkSession) -> str:
     return _LOCAL["dir"]
 
 
-def materialize(df: DataFrame, name: str = "t") -> DataFrame:
-    """Write ``df`` to the shared folder and return the written table."""
+def materialize(df: DataFrame, name: str = "t", rows: int | None = None) -> DataFrame:
+    """Write ``df`` to the shared folder and return the written table.
+
+    ``rows`` is about how many rows there are, where that is known: the table is then written in as
+    many parts as it needs, so that small steps of an iteration do not pay for many empty tasks.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df if rows is None else df.coalesce(1 + rows // PART_ROWS)).write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._mapmill_path = path
     return out
