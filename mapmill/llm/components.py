@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from mapmill.storage import materialize, release
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
+def _star(edges: DataFrame, large: bool, rows: int) -> DataFrame:
     """Link the neighbours of each node (greater ones, or smaller ones and itself) to the least of them.
 
     The least neighbour of each node is a map-side combined minimum that is written first, so
@@ -16,7 +16,7 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     """
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else edges
     low = both.groupBy(F.col("a").alias("u")).agg(F.least(F.col("u"), F.min("b")).alias("m")) if large else both.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m"))
-    low = materialize(low, "star")
+    low = materialize(low, "star", rows)
     met = both.join(low, F.col("a") == F.col("u"))
     if large:
         out = met.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
@@ -31,11 +31,12 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     Self links and repeated links change nothing; a null end makes a link void. No link gives an empty table.
     """
     x, y = F.col(a), F.col(b)
-    edges = materialize(links.where(x != y).select(F.greatest(x, y).alias("a"), F.least(x, y).alias("b")).distinct(), "links")
+    rows = links.count()
+    edges = materialize(links.where(x != y).select(F.greatest(x, y).alias("a"), F.least(x, y).alias("b")).distinct(), "links", rows)
     seen = None
     while True:
-        big = materialize(_star(edges, True), "large")
-        small = materialize(_star(big, False), "small")
+        big = materialize(_star(edges, True, rows), "large", rows)
+        small = materialize(_star(big, False, rows), "small", rows)
         now = small.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         release(edges)
         release(big)
