@@ -7,12 +7,12 @@ A half-key that no other class has cannot meet in any table, so it is dropped be
 of half-keys are formed.
 
 In the tables of one diagonal every member of a bucket is first compared with a few members drawn
-at random for it; verified links join the dense groups to components. Buckets that hold several
-components after that go on. Members of different components are compared with each other in
-buckets of at most SMALL_BUCKET members. Larger buckets, whose members meet in many tables, draw
-anew in the tables of one diagonal a round, and are split by a third half-key, which unrelated
-texts with one passage in common rarely share but near copies do; rounds over what stays large go
-on until one adds no link.
+at random for it; verified links join the dense groups to components. In a second round members of
+different components are compared with each other in buckets of at most SMALL_BUCKET members, and
+larger buckets draw anew. The members of the larger buckets, of all tables, that still hold several
+components end in one exact comparison: their shingles are ordered rare ones first, and every pair
+of different components whose sets can be similar meets in a shingle of both prefixes, while what
+many texts have in common stands behind the prefixes.
 """
 
 from __future__ import annotations
@@ -34,12 +34,10 @@ PERCENT = 75
 #: Half-keys a side and minima in each: 100 tables from 40 minima; a pair of similarity 0.75 shares
 #: a table but for 2 * (1 - 0.75^2)^10 = 0.05 % of cases.
 SIDE, ROWS = 10, 2
-#: Members of a bucket up to which all of different components are compared; larger ones are split by a third half-key.
-SMALL_BUCKET = 12
-#: Twice so many members of a large bucket are drawn at random each round.
-HEADS = 1
-#: Third half-keys that a member of a large bucket is dealt by.
-SPLITS = 3
+#: Members of a bucket up to which all of different components are compared; those of larger ones meet in rare shingles.
+SMALL_BUCKET = 16
+#: Twice so many members of a large bucket are drawn at random (two in the first round).
+HEADS = 2
 #: Half-keys of twenty that a pair must share to be verified: a pair of similarity 0.75 shares fewer in 0.02 % of cases.
 SHARED = 4
 _RNG = np.random.default_rng(7)
@@ -152,6 +150,34 @@ def small_pairs(keys: DataFrame) -> DataFrame:
     return _pairs(x.join(y, (F.col("x.tkey") == F.col("y.tkey")) & (F.col("x.c") < F.col("y.c"))), "x", "y")
 
 
+def prefix_pairs(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """All pairs of ``members`` (rep, c) of different components that can have the similarity, by prefixes of their sets.
+
+    Shingles are ordered by the members that have them, rare ones first; before all stand those of a
+    single component, which no pair shares. A similar pair has percent * (n + m) / (100 + percent)
+    shingles in common, so at the first of them in this order at least so many are left in both sets.
+    Of the members that meet in a shingle, those of its main component are not compared with each other.
+    """
+    own = members.select(F.col("rep").alias("m_rep"), F.col("c").alias("m_c"))
+    full = sets.join(own, F.col("doc_id") == F.col("m_rep")).select("m_rep", "m_c", F.xxhash64("shingles").alias("u"), F.size("shingles").alias("n"), F.explode("shingles").alias("s"))
+    live = full.groupBy("s").agg(F.count(F.lit(1)).cast("int").alias("f"), F.min("m_c").alias("c0"), F.max("m_c").alias("c1")).where("c0 < c1").select(F.col("s").alias("k"), "f")
+    met = full.select("m_rep", "u", "n", "s").join(materialize(live, "live"), F.col("s") == F.col("k"))
+    lists = met.groupBy("m_rep", "u", "n").agg(F.sort_array(F.collect_list(F.struct("f", "s"))).alias("xs"))
+    least, size = F.ceil(F.col("n") * percent / 100).cast("int"), F.size("xs")
+    lists = lists.where(size >= least).select("m_rep", "n", size.alias("size"), F.posexplode(F.slice("xs", 1, size - least + 1)).alias("i", "x"))
+    pre = members.join(lists, F.col("rep") == F.col("m_rep")).select("rep", "c", F.col("n").cast("long").alias("n"), F.col("x.s").alias("s"), (F.col("size") - F.col("i")).alias("left"))
+    pre = materialize(pre, "prefixes")
+    tops = pre.groupBy("s", "c").agg(F.count(F.lit(1)).alias("k")).groupBy("s").agg(F.max(F.struct("k", "c"))["c"].alias("main"), F.count(F.lit(1)).alias("parts"))
+    tops = materialize(tops.where("parts > 1").select(F.col("s").alias("k"), "main"), "tops")
+    others = materialize(pre.join(tops, (F.col("s") == F.col("k")) & (F.col("c") != F.col("main"))).drop("k"), "others")
+    # Of two members outside the main component, each pair is formed once.
+    once = (F.col("y.c") == F.col("x.main")) | (F.col("x.c") < F.col("y.c"))
+    enough = (100 + percent) * F.least("x.left", "y.left") >= percent * (F.col("x.n") + F.col("y.n"))
+    x, y = F.col("x.rep"), F.col("y.rep")
+    pairs = others.alias("x").join(pre.alias("y"), (F.col("x.s") == F.col("y.s")) & (F.col("x.c") != F.col("y.c")) & once & enough)
+    return pairs.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).distinct()
+
+
 def verified(pairs: DataFrame, sigs: DataFrame, sets: DataFrame, percent: int, least: int, rows: int) -> DataFrame:
     """Pairs whose full sets have the similarity.
 
@@ -181,40 +207,31 @@ def link_classes(reps: DataFrame, sets_of: Callable[[DataFrame], DataFrame], sid
     sets = materialize(sets_of(met), "sets")
     sigs = materialize(reps.join(met, "rep", "left_semi").select("rep", "halves"), "sigs")
     links = comp = None
-    turn = 0
-    while True:
-        # In the first round the tables of one diagonal join the dense groups; large buckets count in one diagonal each round.
+    for turn in range(3):
+        # In the first round the tables of one diagonal join the dense groups; in the second, large buckets draw in another one.
         diagonal = F.pmod(F.floor(F.col("t") / side) - F.col("t"), F.lit(side)) == turn % side
         placed = with_component(keys.where(diagonal) if turn == 0 else keys, comp)
         rows = keys.count()
         if turn == 0:
-            pairs = star_pairs(placed, turn, rows, HEADS)
+            pairs = star_pairs(placed, turn, rows, 1)
         else:  # only buckets that still hold several components
             open_ = placed.groupBy("tkey").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.count(F.lit(1)).alias("m")).where("c0 < c1").select(F.col("tkey").alias("k0"), "m")
             placed = materialize(placed.join(materialize(open_, "open", rows), F.col("tkey") == F.col("k0")).drop("k0"), "placed", rows)
             rows = placed.count()
-            if placed.isEmpty():
-                break
             large = placed.where(F.col("m") > SMALL_BUCKET)
-            pairs = star_pairs(large.where(diagonal), turn, rows, HEADS)
-            if turn <= 2:  # once for the buckets of the tables, once for those that the split below has made
-                pairs = pairs.unionByName(small_pairs(placed.where(F.col("m") <= SMALL_BUCKET))).distinct()
+            if turn == 1:
+                pairs = star_pairs(large.where(diagonal), turn, rows, HEADS).unionByName(small_pairs(placed.where(F.col("m") <= SMALL_BUCKET))).distinct()
+                keys = materialize(large.select("rep", "n", "t", "tkey"), "keys", rows)
+            else:
+                pairs = prefix_pairs(materialize(large.select("rep", "c").distinct(), "members", rows), sets, percent)
+        if turn and not rows:
+            break
         found = verified(pairs, sigs, sets, percent, least, rows)
-        new = not found.isEmpty()
-        if new:
+        if not found.isEmpty():
             links = found if links is None else links.unionByName(found)
             if comp is not None:
                 release(comp)
             comp = materialize(components(links), "comp", links.count())
-        if turn == 1:  # large buckets go on in parts that share a third half-key
-            part = F.array(*[F.col("halves")[(F.col("t") + F.lit(d)) % (2 * side)] for d in range(SPLITS)])
-            split = large.select("rep", "n", "t", "tkey").join(sigs.select(F.col("rep").alias("r"), "halves"), F.col("rep") == F.col("r"))
-            keys = materialize(split.select("rep", "n", "t", "tkey", F.posexplode(part).alias("d", "hk")).select("rep", "n", "t", F.xxhash64("tkey", "d", "hk").alias("tkey")), "keys")
-        elif turn:
-            keys = large.select("rep", "n", "t", "tkey")
-            if not new:
-                break
-        turn += 1
     return comp if comp is not None else reps.select(F.col("rep").alias("node"), F.col("rep").alias("component")).limit(0)
 
 

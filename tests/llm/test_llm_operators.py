@@ -311,6 +311,27 @@ def test_near_duplicates(spark):
     assert near_duplicates.near_duplicates(docs_of(spark, rows).limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(("own", "changed"), [(25, 17), (17, 16)])
+def test_near_duplicates_in_hot_templates(spark, own, changed):
+    """Texts of one template, alike by 0.667 and by 0.746, in which a copy by 0.76 of every tenth one is all to be found."""
+    rng = random.Random(own)
+    fresh = lambda k: [f"u{rng.randrange(10**9)}" for _ in range(k)]
+    hot = fresh(104)
+    texts = [hot + fresh(own) for _ in range(1500)]
+    texts += [t[:-changed] + fresh(changed) for t in texts[::10]]
+    sets = [{tuple(t[j : j + 5]) for j in range(len(t) - 4)} for t in texts]
+    counts = Counter(x for s in sets for x in s)
+    place = {x: i for i, x in enumerate(x for x, c in counts.items() if c > 1)}
+    has = np.zeros((len(sets), len(place)), np.float32)
+    for i, s in enumerate(sets):
+        has[i, [place[x] for x in s if x in place]] = 1
+    common, total = has @ has.T, 2 * (100 + own)
+    links = {(a, b) for a, b in np.argwhere(100 * common >= 75 * (total - common)).tolist() if a < b}
+    assert links == {(10 * k, 1500 + k) for k in range(150)}
+    got = near_duplicates.near_duplicates(docs_of(spark, [(i, " ".join(t), "s") for i, t in enumerate(texts)])).where("not kept").collect()
+    assert {(r.component_id, r.doc_id) for r in got} == links
+
+
 def test_ragged_words_are_the_words():
     texts = ["a  b\tc", "", "\n", "Éa x", "end", "start one"]
     raw = [t.encode() for t in texts]
