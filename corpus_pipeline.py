@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mapmill.llm.line_dedup import dedup_lines
+from mapmill.llm.line_dedup import MIN_WORDS, dedup_lines
 from mapmill.llm.mixing import mixed_documents
 from mapmill.llm.near_duplicates import near_duplicates
 from mapmill.llm.packing import pack
@@ -30,8 +30,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without later repeated runs of lines."""
-    return recounted(dedup_lines(docs).select(*docs.columns))
+    """Documents without later repeated runs of lines, of paragraphs of fifty words, and of whole short texts."""
+    return recounted(dedup_lines(docs, min_words=MIN_WORDS).select(*docs.columns))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -7,6 +7,9 @@ matching windows that follow each other make up the extended run. Lines of runs
 earlier (in the order of id, then place) are deleted. Only hashes and places are shuffled to
 find them; first places are map-side combined minima, written before they are joined, so that
 a run in a third of all documents is a skewed join that Spark can split.
+
+A line is often a whole paragraph, so windows can count in words too: with ``min_words``, one line
+or several, fewer than the window, that hold so many words or are the whole text are a window.
 """
 
 from __future__ import annotations
@@ -14,10 +17,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mapmill.llm.words import SPACE_CHARS, let
+from mapmill.llm.words import SPACE_CHARS, let, words
 from mapmill.storage import materialize
 
 WINDOW = 3
+#: Words of a repeated paragraph or of few lines that the pipeline deletes.
+MIN_WORDS = 50
 
 
 def text_lines(text: Column) -> Column:
@@ -30,53 +35,71 @@ def places(lines: Column) -> Column:
     return F.filter(numbered, lambda i: i.isNotNull())
 
 
+_WINDOWS = "array<struct<i: int, size: int, fp: bigint, at: int, run: bigint>>"
+
+
 def line_hash(line: Column) -> Column:
     return F.xxhash64(F.btrim(line, F.lit(SPACE_CHARS)))
 
 
-def windows(text: Column, window: int) -> Column:
-    """Array of (i, fp, at, run): the window's number, its least line hash and where that stands, and the hash of all its lines."""
+def windows(text: Column, window: int, min_words: int | None) -> Column:
+    """Array of (i, size, fp, at, run): the window's first line and lines, its least line hash and where that stands, and the hash of all its lines."""
+
+    def sized(x: Column, size: int) -> Column:
+        """Windows of ``size`` lines; shorter ones than ``window`` only of ``min_words`` words, or of the whole text."""
+        h = F.transform(x, lambda e: e["h"])
+
+        def one(i: Column) -> Column:
+            return let(
+                F.slice(h, i + 1, size),
+                lambda w: F.struct(i.alias("i"), F.lit(size).alias("size"), F.array_min(w).alias("fp"), (i + F.array_position(w, F.array_min(w)).cast("int")).alias("at"), F.xxhash64(w).alias("run")),
+            )
+
+        at = F.sequence(F.lit(0), F.size(x) - size)
+        if size < window:
+            count = lambda i: F.aggregate(F.slice(x, i + 1, size), F.lit(0), lambda n, e: n + e["n"])
+            at = F.filter(at, lambda i: (F.size(x) == size) | (count(i) >= min_words))
+        return F.when(F.size(x) < size, F.array().cast(_WINDOWS)).otherwise(F.transform(at, one))
 
-    def of(h: Column) -> Column:
-        one = lambda i: let(
-            F.slice(h, i + 1, window), lambda w: F.struct(i.alias("i"), F.array_min(w).alias("fp"), (i + F.array_position(w, F.array_min(w)).cast("int")).alias("at"), F.xxhash64(w).alias("run"))
-        )
-        return F.when(F.size(h) < window, F.lit(None)).otherwise(F.transform(F.sequence(F.lit(0), F.size(h) - window), one))
+    def line(x: Column) -> Column:
+        return F.struct(line_hash(x).alias("h"), (F.lit(0) if min_words is None else F.size(words(x))).alias("n"))
 
-    hashes = let(text_lines(text), lambda x: F.transform(places(x), lambda i: line_hash(x[i])))
-    return let(hashes, of)
+    sizes = [window] if min_words is None else range(1, window + 1)
+    lines = let(text_lines(text), lambda x: F.transform(places(x), lambda i: line(x[i])))
+    return let(lines, lambda x: F.concat(*[sized(x, s) for s in sizes]))
 
 
-def repeated_windows(docs: DataFrame, id_col: str, text_col: str, window: int) -> DataFrame:
+def repeated_windows(docs: DataFrame, id_col: str, text_col: str, window: int, min_words: int | None) -> DataFrame:
     """(doc_id, text_hash, starts): the windows of each document that stand earlier, in a document of a smaller id or higher up."""
-    src = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col)).alias("text_hash"), F.explode(windows(F.col(text_col), window)).alias("w"))
-    win = materialize(src.select("doc_id", "text_hash", "w.i", "w.fp", "w.at", "w.run"), "windows")
+    src = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col)).alias("text_hash"), F.explode(windows(F.col(text_col), window, min_words)).alias("w"))
+    win = materialize(src.select("doc_id", "text_hash", "w.i", "w.size", "w.fp", "w.at", "w.run"), "windows")
     spot = F.struct("doc_id", "text_hash", "at")
     prints = win.groupBy("fp").agg(F.min(spot).alias("lo"), F.max(spot).alias("hi")).where("lo <> hi").select(F.col("fp").alias("f"))
     met = win.join(materialize(prints, "prints"), F.col("fp") == F.col("f"), "left_semi")
-    met = materialize(met.select("doc_id", "text_hash", "i", "run"), "met")
+    met = materialize(met.select("doc_id", "text_hash", "i", "size", "run"), "met")
     here = F.struct("doc_id", "text_hash", "i")
     firsts = met.groupBy("run").agg(F.min(here).alias("lo"), F.max(here).alias("hi")).where("lo <> hi").select(F.col("run").alias("r"), "lo")
     later = met.join(materialize(firsts, "firsts"), (F.col("run") == F.col("r")) & (here != F.col("lo")))
-    return later.groupBy("doc_id", "text_hash").agg(F.collect_set("i").alias("starts"))
+    return later.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("i", "size")).alias("starts"))
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, min_words: int | None = None) -> DataFrame:
     """``docs`` with later repeated runs of at least ``window`` lines deleted from the texts, and n_lines, n_deleted.
 
     Lines are compared without white space at their ends; lines without a word take no part in
     runs and stay. A run may overlap the earlier run that it repeats. A null text stays null and
-    has no lines. Rows of the same id and text are one document, so none of them is deleted for
-    another; a null id counts as the smallest. A document of fewer lines than the window has no
-    run. An empty table stays empty. Other columns of ``docs`` pass through unread.
+    has no lines. With ``min_words``, fewer lines are a run too if they hold so many words, or are all
+    lines of both documents. Rows of the same id and text are one document, so none of them is deleted for
+    another; a null id counts as the smallest. Without ``min_words``, a document of fewer
+    lines than the window has no run. An empty table stays empty. Other columns of ``docs`` pass through unread.
     """
     cols = docs.columns
-    del_ = materialize(repeated_windows(docs, id_col, text_col, window).select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_h"), F.col("starts").alias("_starts")), "deleted")
+    del_ = materialize(repeated_windows(docs, id_col, text_col, window, min_words).select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_h"), F.col("starts").alias("_starts")), "deleted")
     # The deletions have no size bound, so the texts are always shuffled to them, at any size of the table.
     met = docs.join(del_.hint("merge"), F.col(id_col).eqNullSafe(F.col("_d")) & (F.xxhash64(F.col(text_col)) == F.col("_h")), "left")
 
     def cut(lines: Column) -> Column:
-        gone = let(places(lines), lambda p: F.array_distinct(F.flatten(F.transform(F.col("_starts"), lambda i: F.slice(p, i + 1, window)))))
+        gone = let(places(lines), lambda p: F.array_distinct(F.flatten(F.transform(F.col("_starts"), lambda i: F.slice(p, i["i"] + 1, i["size"])))))
         left = let(gone, lambda g: F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), g))
         return let(left, lambda k: F.struct(F.array_join(F.transform(k, lambda i: lines[i]), "\n").alias("text"), (F.size(lines) - F.size(k)).cast("long").alias("n")))
 

@@ -471,3 +471,27 @@ def test_line_dedup(spark):
     same = line_dedup.dedup_lines(docs_of(spark, [(1, "a\nb\nc\nd", "s"), (1, "a\nb\nc\nd", "s"), (2, "x\na\nb\nc\nd", "s"), (None, None, None)])).collect()
     assert sorted((str(r.doc_id), r.text, r.n_deleted) for r in same) == [("1", "a\nb\nc\nd", 0), ("1", "a\nb\nc\nd", 0), ("2", "x", 4), ("None", None, 0)]
     assert line_dedup.dedup_lines(docs_of(spark, []).limit(0)).count() == 0
+
+
+def test_line_dedup_by_words(spark):
+    """Later single lines and pairs of lines of fifty words, and whole copies of texts of one or two lines, go."""
+    rng = random.Random(12)
+    para = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(k)) for k in (49, 50, 51, 80, 20, 30, 29, 5)]
+    rows = [(i, "\n".join(rng.choice([*para, para[1], f"own {i} {k}", ""]) for k in range(rng.randrange(1, 9)))) for i in range(60)]
+    rows += [(100, "a short one"), (101, "a short one"), (102, "a short one\nof two"), (103, "a short one\nof two"), (104, f"x\n{para[0]}\ny"), (105, f"z\n{para[0]}\nv")]
+    seen, gone = set(), {}
+    for i, t in rows:
+        lines = t.split("\n")
+        at = [k for k, x in enumerate(lines) if split(x)]
+        gone[i] = set()
+        for size in (1, 2, 3):
+            for j in range(len(at) - size + 1):
+                run = tuple(lines[k].strip() for k in at[j : j + size])
+                if size == 3 or len(at) == size or sum(len(split(x)) for x in run) >= 50:
+                    if run in seen:
+                        gone[i] |= set(at[j : j + size])
+                    seen.add(run)
+    want = {i: ("\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone[i]), len(gone[i])) for i, t in rows}
+    got = line_dedup.dedup_lines(docs_of(spark, [(i, t, "s") for i, t in rows]), min_words=50).collect()
+    assert {r.doc_id: (r.text, r.n_deleted) for r in got} == want
+    assert want[101] == ("", 1) and want[103] == ("", 2) and want[105][1] == 0
