@@ -8,7 +8,8 @@ A passage inside longer paragraphs is found as one more kind of unit: every text
 overlapping windows, each window's MinHash over ``GRAM``-word shingles is one band with one row,
 and equal minima of neighbouring windows are kept once. Any passage of ``MIN_WORDS`` words that
 two documents share holds a whole window of both, so it cannot be missed for its place; minima
-met in several documents are verified on runs of ``MIN_WORDS`` words around them.
+met in several documents are verified on all runs of ``MIN_WORDS`` words that hold them, which a
+second pass over the texts forms for those minima only.
 """
 
 from __future__ import annotations
@@ -30,8 +31,6 @@ MIN_WORDS = 50
 #: Words of a window's shingles; a passage of MIN_WORDS words holds WINDOW = MIN_WORDS - GRAM + 1 of them.
 GRAM = 34
 WINDOW = MIN_WORDS - GRAM + 1
-#: A met shingle is verified on runs of MIN_WORDS words that begin so many words before it.
-BEFORE = (16, 12, 8, 4, 0)
 #: Half-keys a side and minima in each, for paragraphs.
 SIDE, ROWS = 5, 1
 #: Half-keys of ten that two paragraphs must share to be verified; of similarity 0.75 they share fewer in 0.04 % of cases.
@@ -117,37 +116,60 @@ def _prefix(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([[U(0)], np.cumsum(hashes * powers, dtype=np.uint64)]), inverse
 
 
-def window_minima(docs: DataFrame, gram: int = GRAM, window: int = WINDOW, min_words: int = MIN_WORDS) -> DataFrame:
-    """(doc_id, at, h, runs): each least shingle of a window of shingles, and hashes of the runs around it."""
+def _shingle_hashes(sums: np.ndarray, inverse: np.ndarray, gram: int) -> np.ndarray:
+    n = len(sums) - 1
+    return mix((sums[gram:] - sums[:-gram]) * inverse[: n - gram + 1]) if n >= gram else np.zeros(0, np.uint64)
+
+
+def window_minima(docs: DataFrame, gram: int = GRAM, window: int = WINDOW) -> DataFrame:
+    """(doc_id, u, at, h): each least shingle of a window of shingles; u is the text's hash."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, j, data, offsets in text_slices(batch):
+            for i, j, data, offsets in text_slices(batch.select(["doc_id", "text"])):
                 w = Words(data, offsets)
-                sums, inverse = _prefix(w.hash)
+                h = _shingle_hashes(*_prefix(w.hash), gram)
                 n = len(w.hash)
                 text = np.repeat(np.arange(j - i), np.diff(w.first))
                 at = np.zeros(0, np.int64)
-                h = mix((sums[gram:] - sums[:-gram]) * inverse[: n - gram + 1]) if n >= gram else np.zeros(0, np.uint64)
                 if len(h) >= window:
                     whole = text[: n - gram - window + 2] == text[gram + window - 2 :]  # the window lies in one text
                     views = np.lib.stride_tricks.sliding_window_view(h, window)
                     lo = np.concatenate([views[k : k + 100_000].argmin(1) for k in range(0, len(views), 100_000)]) + np.arange(len(views))
                     at = np.unique(lo[whole])
-                cols = []
-                for back in BEFORE:
-                    s = at - back
-                    ok = (s >= 0) & (s + min_words <= n)
-                    s = np.where(ok, s, 0)
-                    ok &= (text[s] == text[at]) & (text[np.minimum(s + min_words - 1, max(n - 1, 0))] == text[at]) if len(at) else ok
-                    run = mix((sums[np.minimum(s + min_words, n)] - sums[s]) * inverse[s]) >> U(33)
-                    cols.append(pa.array(run.astype(np.int32), mask=~ok))
+                rows = pa.array(text[at] if len(at) else at)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(i, j - i).take(pa.array(text[at] if len(at) else at)), pa.array(at - w.first[text[at]] if len(at) else at), pa.array(signed(h[at])), *cols],
-                    names=["doc_id", "at", "h", *[f"r{b}" for b in BEFORE]],
+                    [batch.column(0).slice(i, j - i).take(rows), batch.column(2).slice(i, j - i).take(rows), pa.array(at - w.first[text[at]] if len(at) else at), pa.array(signed(h[at]))],
+                    names=["doc_id", "u", "at", "h"],
                 )
 
-    return docs.mapInArrow(work, "doc_id long, at long, h long, " + ", ".join(f"r{b} int" for b in BEFORE))
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("u")).mapInArrow(work, "doc_id long, u long, at long, h long")
+
+
+def runs_around(docs: DataFrame, near: DataFrame, gram: int = GRAM, min_words: int = MIN_WORDS) -> DataFrame:
+    """(doc_id, start, g): every run of ``min_words`` words that holds one of the shingles ``near`` (doc_id, u, at), and its hash."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            spots = batch.column(2)
+            for i, j, data, offsets in text_slices(batch.select(["doc_id", "text"])):
+                w = Words(data, offsets)
+                sums, inverse = _prefix(w.hash)
+                own = [np.asarray(spots[r].values.to_numpy(zero_copy_only=False)) for r in range(i, j)]
+                text = np.repeat(np.arange(j - i), [len(x) for x in own])
+                at = np.concatenate(own).astype(np.int64) if own else np.zeros(0, np.int64)
+                s = (at[:, None] - np.arange(min_words - gram + 1)[None, :]).ravel()
+                text = np.repeat(text, min_words - gram + 1)
+                ok = (s >= 0) & (s + min_words <= (w.first[text + 1] - w.first[text] if len(text) else s))
+                text, s = np.unique(np.stack([text[ok], s[ok]]), axis=1) if ok.any() else (text[:0], s[:0])
+                z = s + w.first[text] if len(s) else s
+                g = mix((sums[z + min_words] - sums[z]) * inverse[z]) if len(s) else np.zeros(0, np.uint64)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i).take(pa.array(text)), pa.array(s), pa.array(signed(g))], names=["doc_id", "start", "g"])
+
+    per_text = near.groupBy(F.col("doc_id").alias("w_id"), F.col("u").alias("w_u")).agg(F.collect_set("at").alias("spots"))
+    # What met has no size bound, so this is a shuffled join at any size of the table.
+    met = docs.join(per_text.hint("merge"), (F.col("doc_id") == F.col("w_id")) & (F.xxhash64("text") == F.col("w_u"))).select("doc_id", "text", "spots")
+    return met.mapInArrow(work, "doc_id long, start long, g long")
 
 
 def islands(runs: DataFrame, length: int, keep: list[Column]) -> DataFrame:
@@ -160,11 +182,10 @@ def islands(runs: DataFrame, length: int, keep: list[Column]) -> DataFrame:
 
 def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """(doc_id, start_word, end_word, removed, cluster_doc_id) of passages that stand in several documents."""
-    minima = materialize(window_minima(docs, min_words=min_words), "minima")
+    minima = materialize(window_minima(docs), "minima")
     met = minima.groupBy("h").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select(F.col("h").alias("met"))
     near = minima.join(materialize(met, "met"), F.col("h") == F.col("met"), "left_semi")
-    runs = near.select("doc_id", "at", "h", F.explode(F.array(*[F.struct(F.lit(b).alias("b"), F.col(f"r{b}").alias("r")) for b in BEFORE])).alias("x")).where(F.col("x.r").isNotNull())
-    runs = materialize(runs.select("doc_id", (F.col("at") - F.col("x.b")).alias("start"), F.xxhash64("h", "x.b", "x.r").alias("g")), "runs")
+    runs = materialize(runs_around(docs, near, min_words=min_words), "runs")
     here = F.struct("doc_id", "start")
     firsts = runs.groupBy("g").agg(F.min(here).alias("first"), F.max("doc_id").alias("hi")).where("first.doc_id < hi").select(F.col("g").alias("k"), "first")
     same = materialize(runs.join(materialize(firsts, "firsts"), F.col("g") == F.col("k")).groupBy("doc_id", "start").agg(F.min("first").alias("first")), "same")

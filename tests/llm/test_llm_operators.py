@@ -210,6 +210,21 @@ def test_no_run_of_fifty_words_is_missed(spark, seed):
     assert sure <= got
 
 
+@pytest.mark.parametrize("k", [49, 50, 51, 52])
+def test_every_passage_is_found_whole(spark, k):
+    rng = random.Random(k)
+    fresh = lambda n: [f"n{rng.randrange(10**9)}" for _ in range(n)]
+    rows, want = [], set()
+    for p in range(40):
+        passage = fresh(k)
+        for d in (2 * p, 2 * p + 1):
+            before = rng.randrange(0, 60)
+            rows.append((d, " ".join(fresh(before) + passage + fresh(rng.randrange(0, 60))), "s"))
+            want.add((d, before, before + k, d % 2 == 1, 2 * p))
+    got = passages.repeated_passages(docs_of(spark, rows)).collect()
+    assert {(r.doc_id, r.start_word, r.end_word, r.removed, r.cluster_doc_id) for r in got} == (want if k >= 50 else set())
+
+
 # 5
 def brute_mix(rows):
     size = [(i, s, len(split(t))) for i, t, s in rows]
