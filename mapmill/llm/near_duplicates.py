@@ -2,17 +2,16 @@
 
 Two collections of ``side`` half-keys are made, each half-key from ``rows`` minima; table (i, j)
 is keyed by half-key i of the first and j of the second collection, so side^2 tables need only
-2 * side half-keys. Texts of equal shingle sets are one class, and only its smallest id goes on.
+2 * side half-keys. Texts of equal shingle sets are one class, and only one id of it goes on.
 A half-key that no other class has cannot meet in any table, so it is dropped before the pairs
 of half-keys are formed.
 
-In the tables of one diagonal every member of a bucket is first compared with a few members drawn
-at random for it; verified links join the dense groups to components. In a second round members of
-different components are compared with each other in buckets of at most SMALL_BUCKET members, and
-larger buckets draw anew. The members of the larger buckets, of all tables, that still hold several
-components end in one exact comparison: their shingles are ordered rare ones first, and every pair
-of different components whose sets can be similar meets in a shingle of both prefixes, while what
-many texts have in common stands behind the prefixes.
+The tables (i, i) come first, in growing batches: in each bucket every member of another component is
+compared with one head, and verified links join components before the next batch, so that a dense
+group costs few pairs a member. What the heads leave open ends in one exact comparison over all
+tables: of the classes that still share a table with another component, shingles are ordered rare ones
+first, and every pair of different components whose sets can be similar meets in a shingle of both
+prefixes, while what many texts have in common stands behind the prefixes.
 """
 
 from __future__ import annotations
@@ -22,7 +21,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mapmill.llm.components import components
@@ -31,19 +30,15 @@ from mapmill.storage import materialize, release
 
 SHINGLE = 5
 PERCENT = 75
-#: Half-keys a side and minima in each: 100 tables from 40 minima; a pair of similarity 0.75 shares
-#: a table but for 2 * (1 - 0.75^2)^10 = 0.05 % of cases.
-SIDE, ROWS = 10, 2
-#: Members of a bucket up to which all of different components are compared; those of larger ones meet in rare shingles.
-SMALL_BUCKET = 16
-#: Twice so many members of a large bucket are drawn at random (two in the first round).
-HEADS = 2
-#: Half-keys of twenty that a pair must share to be verified: a pair of similarity 0.75 shares fewer in 0.02 % of cases.
-SHARED = 4
+#: Half-keys a side and minima in each: 256 tables of six minima from 96; a pair of similarity 0.75 shares
+#: a table but for 2 * (1 - 0.75^3)^16 = 0.03 % of cases, one of 0.2 in 1.6 %.
+SIDE, ROWS = 16, 3
+#: The tables (i, i) that are read together; components are formed after each batch.
+BATCHES = ((0, 1), (1, 4), (4, SIDE))
 _RNG = np.random.default_rng(7)
 _MULT = _RNG.integers(0, 2**64, 4096, dtype=np.uint64) | np.uint64(1)
 
-SIGNATURE = "n_shingles long, f1 long, f2 long, halves array<long>"
+SIGNATURE = "doc_id long, text_hash long, n_shingles long, f1 long, f2 long, halves array<long>"
 
 
 def signatures(h: np.ndarray, first: np.ndarray, side: int, rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -73,7 +68,7 @@ def signatures(h: np.ndarray, first: np.ndarray, side: int, rows: int) -> tuple[
 
 
 def sign(docs: DataFrame, id_col: str, text_col: str, k: int = SHINGLE, side: int = SIDE, rows: int = ROWS) -> DataFrame:
-    """(doc_id, n_shingles, f1, f2, halves) of each text; halves is null for an empty set."""
+    """(doc_id, text_hash, n_shingles, f1, f2, halves) of each row; halves is null for an empty set."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -82,15 +77,16 @@ def sign(docs: DataFrame, id_col: str, text_col: str, k: int = SHINGLE, side: in
                 lists = pa.FixedSizeListArray.from_arrays(pa.array(signed(halves.ravel())), 2 * side).cast(pa.list_(pa.int64()))
                 lists = pc.if_else(pa.array(sizes == 0), pa.scalar(None, lists.type), lists)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(i, j - i), pa.array(sizes), pa.array(signed(f1)), pa.array(signed(f2)), lists],
-                    names=["doc_id", "n_shingles", "f1", "f2", "halves"],
+                    [batch.column(0).slice(i, j - i), batch.column(2).slice(i, j - i), pa.array(sizes), pa.array(signed(f1)), pa.array(signed(f2)), lists],
+                    names=["doc_id", "text_hash", "n_shingles", "f1", "f2", "halves"],
                 )
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(work, "doc_id long, " + SIGNATURE)
+    src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_hash"))
+    return src.mapInArrow(work, SIGNATURE)
 
 
-def shingle_sets(docs: DataFrame, id_col: str, text_col: str, k: int = SHINGLE) -> DataFrame:
-    """(doc_id, shingles): the sorted distinct shingle hashes of each whole text."""
+def shingle_sets(texts: DataFrame, k: int = SHINGLE) -> DataFrame:
+    """(doc_id, shingles) of ``texts`` (doc_id, text): the sorted distinct shingle hashes of each whole text."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -101,53 +97,61 @@ def shingle_sets(docs: DataFrame, id_col: str, text_col: str, k: int = SHINGLE)
                 lists = pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.concatenate(sets) if sets else np.zeros(0, np.int64)))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), lists], names=["doc_id", "shingles"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(work, "doc_id long, shingles array<long>")
+    return texts.mapInArrow(work, "doc_id long, shingles array<long>")
 
 
-def table_keys(reps: DataFrame, side: int) -> DataFrame:
-    """(rep, n, t, tkey) for every table in which a class can meet another, and the half-keys it shares."""
-    halves = reps.select("rep", "n", F.posexplode("halves").alias("s", "hk"))
-    shared = materialize(halves.groupBy("hk").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo < hi").select(F.col("hk").alias("shared_hk")), "shared")
-    own = halves.join(shared, F.col("hk") == F.col("shared_hk")).groupBy("rep", "n").agg(F.collect_list(F.struct("s", "hk")).alias("own"))
-    mine = lambda low, high: F.filter("own", lambda x: (x["s"] >= low) & (x["s"] < high))
-    firsts = own.select("rep", "n", F.transform("own", lambda x: x["hk"]).alias("shared"), F.explode(mine(0, side)).alias("x"), mine(side, 2 * side).alias("seconds"))
-    pairs = firsts.select("rep", "n", "shared", "x", F.explode("seconds").alias("y"))
-    t = F.col("x.s") * side + F.col("y.s") - side
-    return pairs.select("rep", "n", t.alias("t"), F.xxhash64("x.hk", "y.hk").alias("tkey"))
+def with_component(frame: DataFrame, comp: DataFrame | None) -> DataFrame:
+    """``frame`` with the component ``c`` of each ``rep``; a class without links is its own."""
+    if comp is None:
+        return frame.withColumn("c", F.col("rep"))
+    return frame.join(comp, F.col("rep") == F.col("node"), "left").withColumn("c", F.coalesce("component", "rep")).drop("node", "component")
 
 
-def with_component(keys: DataFrame, comp: DataFrame | None) -> DataFrame:
-    if comp is None:
-        return keys.withColumn("c", F.col("rep"))
-    return keys.join(comp, F.col("rep") == F.col("node"), "left").withColumn("c", F.coalesce("component", "rep")).drop("node", "component")
+def keys_in_common(frame: DataFrame, side: int | None) -> DataFrame:
+    """``frame`` (rep, n, c, own) with those keys of ``own`` only that classes of other components have too; classes without any are left out."""
+    keys = frame.select("rep", "n", "c", F.explode("own").alias("x")).select("rep", "n", "c", "x.s", "x.hk")
+    ends = keys.groupBy("hk").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select(F.col("hk").alias("common_hk"))
+    own = keys.join(materialize(ends, "common"), F.col("hk") == F.col("common_hk")).groupBy("rep", "n", "c").agg(F.collect_list(F.struct("s", "hk")).alias("own"))
+    if side is not None:
+        own = own.where(F.exists("own", lambda x: x["s"] < side) & F.exists("own", lambda x: x["s"] >= side))
+    return own
 
 
-def _pairs(met: DataFrame, one: str, other: str) -> DataFrame:
-    """Distinct (a, b) of two members whose sizes allow the similarity."""
-    n, m = F.col(f"{one}.n"), F.col(f"{other}.n")
-    x, y = F.col(f"{one}.rep"), F.col(f"{other}.rep")
-    return met.where((100 * F.least(n, m) >= PERCENT * F.greatest(n, m)) & (x != y)).select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).distinct()
+def in_tables(frame: DataFrame, side: int | None, batch: tuple[int, int] | None = None) -> DataFrame:
+    """(rep, n, c, tkey) for the tables (i, i) with i of ``batch``, or for all tables. Without ``side`` each key is a table."""
+    own = F.col("own")
+    if side is None:
+        tkeys = F.transform(own if batch is None else F.filter(own, lambda x: (x["s"] >= batch[0]) & (x["s"] < batch[1])), lambda x: x["hk"])
+    else:
+        low, high = batch or (0, side)
+        firsts = F.filter(own, lambda x: (x["s"] >= low) & (x["s"] < high))
+        second = lambda x: F.filter(own, lambda y: y["s"] == x["s"] + side if batch else y["s"] >= side)
+        tkeys = F.flatten(F.transform(firsts, lambda x: F.transform(second(x), lambda y: F.xxhash64(x["hk"], y["hk"]))))
+    return frame.select("rep", "n", "c", F.explode(tkeys).alias("tkey"))
 
 
-def star_pairs(keys: DataFrame, seed: int, rows: int, draws: int) -> DataFrame:
-    """Pairs of bucket members and the 2 * ``draws`` members drawn for their bucket at random, of different components.
+def head_pairs(keys: DataFrame, percent: int) -> DataFrame:
+    """(a, b, ca, cb): the members of each bucket with its head, if of another component and of a size that allows the similarity.
 
-    The component that most of the drawn members have is the bucket's main one. Its other members
-    are not compared: what is left to find is whether those outside it belong to it or to each other.
+    Heads are drawn by a hash of the class alone, so the buckets of a group have few different ones.
     """
-    drawn = lambda k: F.struct(F.xxhash64("rep", "tkey", F.lit(seed * HEADS + k)).alias("o"), "rep", "n", "c")
-    heads = keys.groupBy("tkey").agg(*[f(drawn(k)).alias(f"h{k}{i}") for k in range(draws) for i, f in enumerate((F.min, F.max))], F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 < c1")
-    heads = heads.select("tkey", F.array_distinct(F.array(*[f"h{k}{i}" for k in range(draws) for i in (0, 1)])).alias("hs"))
-    votes = F.transform("hs", lambda x: F.struct(F.size(F.filter("hs", lambda y: y["c"] == x["c"])).alias("votes"), x["c"].alias("c")))
-    heads = materialize(heads.select(F.col("tkey").alias("k"), F.array_max(votes)["c"].alias("main"), F.explode("hs").alias("h")), "heads", rows)
-    met = keys.alias("m").join(heads, (F.col("m.tkey") == F.col("k")) & (F.col("m.c") != F.col("h.c")) & (F.col("m.c") != F.col("main")))
-    return _pairs(met, "m", "h")
+    head = F.struct(F.xxhash64("rep").alias("o"), "rep", "n", "c")
+    heads = keys.groupBy("tkey").agg(F.min(head).alias("h"), F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 < c1")
+    heads = materialize(heads.select(F.col("tkey").alias("k"), "h"), "heads")
+    near = (F.col("tkey") == F.col("k")) & (F.col("c") != F.col("h.c")) & (100 * F.least("n", "h.n") >= percent * F.greatest("n", "h.n"))
+    return _ordered(keys.join(heads, near), F.col("rep"), F.col("h.rep"), F.col("c"), F.col("h.c"))
+
+
+def _ordered(met: DataFrame, x: Column, y: Column, cx: Column, cy: Column) -> DataFrame:
+    """Distinct (a, b, ca, cb) of the pairs (x, y), smaller one first."""
+    return met.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b"), F.when(x < y, cx).otherwise(cy).alias("ca"), F.when(x < y, cy).otherwise(cx).alias("cb")).distinct()
 
 
-def small_pairs(keys: DataFrame) -> DataFrame:
-    """Pairs of different components in buckets of at most SMALL_BUCKET members."""
-    x, y = keys.alias("x"), keys.alias("y")
-    return _pairs(x.join(y, (F.col("x.tkey") == F.col("y.tkey")) & (F.col("x.c") < F.col("y.c"))), "x", "y")
+def open_members(frame: DataFrame, side: int | None) -> DataFrame:
+    """(rep, c): the classes of ``frame`` (rep, n, c, own) that share a table with another component."""
+    keys = materialize(in_tables(materialize(keys_in_common(frame, side), "open_keys"), side), "open_tables")
+    ends = keys.groupBy("tkey").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select(F.col("tkey").alias("k"))
+    return keys.join(materialize(ends, "open_ends"), F.col("tkey") == F.col("k"), "left_semi").select("rep", "c").distinct()
 
 
 def prefix_pairs(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -162,7 +166,7 @@ def prefix_pairs(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame
     full = sets.join(own, F.col("doc_id") == F.col("m_rep")).select("m_rep", "m_c", F.xxhash64("shingles").alias("u"), F.size("shingles").alias("n"), F.explode("shingles").alias("s"))
     live = full.groupBy("s").agg(F.count(F.lit(1)).cast("int").alias("f"), F.min("m_c").alias("c0"), F.max("m_c").alias("c1")).where("c0 < c1").select(F.col("s").alias("k"), "f")
     met = full.select("m_rep", "u", "n", "s").join(materialize(live, "live"), F.col("s") == F.col("k"))
-    lists = met.groupBy("m_rep", "u", "n").agg(F.sort_array(F.collect_list(F.struct("f", "s"))).alias("xs"))
+    lists = met.groupBy("m_rep", "u", "n").agg(F.sort_array(F.collect_set(F.struct("f", "s"))).alias("xs"))
     least, size = F.ceil(F.col("n") * percent / 100).cast("int"), F.size("xs")
     lists = lists.where(size >= least).select("m_rep", "n", size.alias("size"), F.posexplode(F.slice("xs", 1, size - least + 1)).alias("i", "x"))
     pre = members.join(lists, F.col("rep") == F.col("m_rep")).select("rep", "c", F.col("n").cast("long").alias("n"), F.col("x.s").alias("s"), (F.col("size") - F.col("i")).alias("left"))
@@ -173,92 +177,115 @@ def prefix_pairs(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame
     # Of two members outside the main component, each pair is formed once.
     once = (F.col("y.c") == F.col("x.main")) | (F.col("x.c") < F.col("y.c"))
     enough = (100 + percent) * F.least("x.left", "y.left") >= percent * (F.col("x.n") + F.col("y.n"))
-    x, y = F.col("x.rep"), F.col("y.rep")
     pairs = others.alias("x").join(pre.alias("y"), (F.col("x.s") == F.col("y.s")) & (F.col("x.c") != F.col("y.c")) & once & enough)
-    return pairs.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).distinct()
+    return _ordered(pairs, F.col("x.rep"), F.col("y.rep"), F.col("x.c"), F.col("y.c"))
 
 
-def verified(pairs: DataFrame, sigs: DataFrame, sets: DataFrame, percent: int, least: int, rows: int) -> DataFrame:
-    """Pairs whose full sets have the similarity.
-
-    Pairs that share fewer than ``least`` half-keys, as hardly any similar pair does, are dropped
-    first; only the sets of the pairs left are shuffled.
-    """
-    sig = lambda side: sigs.select(F.col("rep").alias(f"{side}_id"), F.col("halves").alias(f"{side}_halves"))
-    near = pairs.join(sig("a"), F.col("a") == F.col("a_id")).join(sig("b"), F.col("b") == F.col("b_id"))
-    shared = F.size(F.filter(F.zip_with("a_halves", "b_halves", lambda x, y: x == y), lambda e: e))
-    near = materialize(near.where(shared >= least).select("a", "b"), "near", rows)
-    count = near.count()
-    wanted = near.select(F.explode(F.array("a", "b")).alias("wanted_id")).distinct()
+def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame | None:
+    """(ca, cb) of the pairs whose full sets have the similarity, None without any; only the sets of these pairs are shuffled."""
+    pairs = materialize(pairs, "pairs")
+    if pairs.isEmpty():
+        return None
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("wanted_id")).distinct()
     some = materialize(sets.join(wanted, F.col("doc_id") == F.col("wanted_id"), "left_semi"), "some_sets")
     of = lambda side: some.select(F.col("doc_id").alias(f"{side}_id"), F.col("shingles").alias(f"{side}_set"))
-    both = near.join(of("a"), F.col("a") == F.col("a_id")).join(of("b"), F.col("b") == F.col("b_id"))
+    both = pairs.join(of("a"), F.col("a") == F.col("a_id")).join(of("b"), F.col("b") == F.col("b_id"))
     common = F.size(F.array_intersect("a_set", "b_set")).cast("long")
-    both = both.select("a", "b", common.alias("common"), (F.size("a_set") + F.size("b_set")).cast("long").alias("total"))
-    found = materialize(both.where(100 * F.col("common") >= percent * (F.col("total") - F.col("common"))).select("a", "b").distinct(), "found", count)
+    both = both.select("ca", "cb", common.alias("common"), (F.size("a_set") + F.size("b_set")).cast("long").alias("total"))
+    found = materialize(both.where(100 * F.col("common") >= percent * (F.col("total") - F.col("common"))).select("ca", "cb").distinct(), "found")
     release(some)
-    return found
-
-
-def link_classes(reps: DataFrame, sets_of: Callable[[DataFrame], DataFrame], side: int = SIDE, percent: int = PERCENT, least: int = SHARED) -> DataFrame:
-    """(node, component) of linked classes. ``reps``: (rep, n, halves); ``sets_of`` gives the shingle sets of a frame of ids."""
-    keys = materialize(table_keys(reps, side), "keys")
-    met = keys.select("rep").distinct()
-    sets = materialize(sets_of(met), "sets")
-    sigs = materialize(reps.join(met, "rep", "left_semi").select("rep", "halves"), "sigs")
-    links = comp = None
-    for turn in range(3):
-        # In the first round the tables of one diagonal join the dense groups; in the second, large buckets draw in another one.
-        diagonal = F.pmod(F.floor(F.col("t") / side) - F.col("t"), F.lit(side)) == turn % side
-        placed = with_component(keys.where(diagonal) if turn == 0 else keys, comp)
-        rows = keys.count()
-        if turn == 0:
-            pairs = star_pairs(placed, turn, rows, 1)
-        else:  # only buckets that still hold several components
-            open_ = placed.groupBy("tkey").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.count(F.lit(1)).alias("m")).where("c0 < c1").select(F.col("tkey").alias("k0"), "m")
-            placed = materialize(placed.join(materialize(open_, "open", rows), F.col("tkey") == F.col("k0")).drop("k0"), "placed", rows)
-            rows = placed.count()
-            large = placed.where(F.col("m") > SMALL_BUCKET)
-            if turn == 1:
-                pairs = star_pairs(large.where(diagonal), turn, rows, HEADS).unionByName(small_pairs(placed.where(F.col("m") <= SMALL_BUCKET))).distinct()
-                keys = materialize(large.select("rep", "n", "t", "tkey"), "keys", rows)
-            else:
-                pairs = prefix_pairs(materialize(large.select("rep", "c").distinct(), "members", rows), sets, percent)
-        if turn and not rows:
-            break
-        found = verified(pairs, sigs, sets, percent, least, rows)
-        if not found.isEmpty():
-            links = found if links is None else links.unionByName(found)
-            if comp is not None:
-                release(comp)
-            comp = materialize(components(links), "comp", links.count())
+    release(pairs)
+    return None if found.isEmpty() else found
+
+
+def joined(comp: DataFrame | None, links: DataFrame) -> DataFrame:
+    """The components ``comp`` (node, component) after ``links`` (ca, cb) between them."""
+    new = materialize(components(links, "ca", "cb"), "joined")
+    if comp is None:
+        return new
+    to = new.select(F.col("node").alias("old"), F.col("component").alias("now"))
+    moved = comp.join(to, F.col("component") == F.col("old"), "left").select("node", F.coalesce("now", "component").alias("component"))
+    out = materialize(moved.unionByName(new.join(comp.select("node"), "node", "left_anti")), "comp")
+    release(new)
+    release(comp)
+    return out
+
+
+def link_classes(reps: DataFrame, sets_of: Callable[[DataFrame], DataFrame], side: int | None, percent: int = PERCENT, batches: tuple = BATCHES) -> DataFrame:
+    """(node, component) of linked classes.
+
+    ``reps``: (rep, n, halves); ``sets_of`` gives the shingle sets (doc_id, shingles) of a frame of ids.
+    With ``side``, the halves are two collections of so many half-keys; without, each one is a table of its own.
+    """
+    keyed = reps.select("rep", "n", F.col("rep").alias("c"), F.transform("halves", lambda x, i: F.struct(i.alias("s"), x.alias("hk"))).alias("own"))
+    keyed = materialize(keys_in_common(keyed, side).drop("c"), "keyed")
+    sets = materialize(sets_of(keyed.select("rep")), "sets")
+    comp = None
+    for batch in (*batches, None):
+        placed = with_component(keyed, comp)
+        if batch is None:  # all tables, in which members of different components are compared exactly
+            pairs = prefix_pairs(materialize(open_members(placed, side), "members"), sets, percent)
+        else:
+            pairs = head_pairs(in_tables(placed, side, batch), percent)
+        found = verified(pairs, sets, percent)
+        if found is not None:
+            comp = joined(comp, found)
+            release(found)
+    release(keyed)
+    release(sets)
     return comp if comp is not None else reps.select(F.col("rep").alias("node"), F.col("rep").alias("component")).limit(0)
 
 
+def groups(docs: DataFrame, id_col: str, text_col: str, side: int, rows: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """The signatures of all rows, and (set, component_id, one): the group of each set ``f1``.
+
+    ``component_id`` is the smallest id of the group and ``one`` the row (none, doc_id, text_hash) that stays of it, where
+    ``none`` says that it has no id: rows without an id come last.
+    """
+    sig = materialize(sign(docs, id_col, text_col, SHINGLE, side, rows), "signatures")
+    row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
+    classes = sig.where("n_shingles > 0").groupBy("f1", "f2", "n_shingles").agg(F.min(row).alias("one"), F.first("halves").alias("halves"))
+    classes = materialize(classes.groupBy("f1").agg(F.max("n_shingles").alias("n"), F.min("one").alias("one"), F.max("halves").alias("halves")), "classes")
+
+    def sets_of(reps: DataFrame) -> DataFrame:
+        wanted = classes.join(reps.select(F.col("rep").alias("r")), F.col("f1") == F.col("r"), "left_semi").select("f1", F.col("one.doc_id").alias("w_id"), F.col("one.text_hash").alias("w_hash"))
+        # The sets have no size bound, so this is a shuffled join at any size of the table.
+        met = docs.join(wanted.hint("merge"), F.col(id_col).cast("long").eqNullSafe(F.col("w_id")) & (F.xxhash64(text_col) == F.col("w_hash")))
+        return shingle_sets(met.select(F.col("f1").alias("doc_id"), F.col(text_col).alias("text")))
+
+    comp = link_classes(classes.select(F.col("f1").alias("rep"), "n", "halves"), sets_of, side, percent)
+    of = classes.select("f1", "one").join(comp, F.col("f1") == F.col("node"), "left").select(F.col("f1").alias("set"), "one", F.coalesce("component", "f1").alias("label"))
+    of = materialize(of, "labels")
+    whole = materialize(of.groupBy(F.col("label").alias("l")).agg(F.min("one").alias("one")), "groups")
+    return sig, materialize(of.drop("one").join(whole, F.col("label") == F.col("l")).select("set", F.col("one.doc_id").alias("component_id"), "one"), "group_of")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", side: int = SIDE, rows: int = ROWS, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of each row.
 
     A-Z are lower-cased; the set of a text is its distinct five-word shingles, or its whole word
     sequence with fewer words. Texts with 100 * common >= 75 * union are linked. A null or blank
-    text has an empty set and is linked with nothing. Rows that share an id are one node of the
-    link graph and come back row by row; rows with a null id are left out. An empty table gives an
-    empty result. Only the two named columns are read.
+    text has an empty set and is linked with nothing. Each row is a document of its own: rows that
+    repeat an id are kept or not as their groups say. A row without an id takes part; a group without any id has a null
+    component_id, and kept compares null with null as equal. An empty table gives an
+    empty result. A text is handled whole however long, in blocks of ``ragged.SLICE`` bytes. Only the two named columns are read.
     """
-    docs = docs.where(F.col(id_col).isNotNull())
-    sig = materialize(sign(docs, id_col, text_col, SHINGLE, side, rows), "signatures")
-    full = sig.where("n_shingles > 0")
-    classes = materialize(full.groupBy("f1", "f2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.first("halves").alias("halves")), "classes")
-    reps = classes.groupBy("rep").agg(F.max("n_shingles").alias("n"), F.max("halves").alias("halves"))
-
-    def sets_of(ids: DataFrame) -> DataFrame:
-        # The ids have no size bound, so this is a shuffled join at any size of the table.
-        wanted = docs.join(ids.withColumnRenamed("rep", "wanted_id").hint("merge"), F.col(id_col) == F.col("wanted_id"), "left_semi")
-        return shingle_sets(wanted, id_col, text_col)
-
-    comp = link_classes(materialize(reps, "reps"), sets_of, side, percent)
-    of = classes.join(comp, F.col("rep") == F.col("node"), "left")
-    of = materialize(of.select(F.col("f1").alias("g1"), F.col("f2").alias("g2"), F.col("n_shingles").alias("g3"), F.coalesce("component", "rep").alias("component_id")), "class_of")
-    same = (F.col("f1") == F.col("g1")) & (F.col("f2") == F.col("g2")) & (F.col("n_shingles") == F.col("g3"))
-    out = full.join(of, same).select("doc_id", "n_shingles", "component_id")
+    sig, of = groups(docs, id_col, text_col, side, rows, percent)
+    out = sig.where("n_shingles > 0").join(of, F.col("f1") == F.col("set")).select("doc_id", "n_shingles", "component_id")
     out = out.unionByName(sig.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
-    return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", side: int = SIDE, rows: int = ROWS, percent: int = PERCENT) -> DataFrame:
+    """``docs`` with one document of each group of near duplicates: the one of the smallest id, a row without an id only where no other is.
+
+    Rows equal in id (or both without one) and text are one document, of which one row stays, blank texts included; other
+    blank texts all stay. Other columns pass through unread; which of such rows' values stay is open where they differ.
+    """
+    sig, of = groups(docs, id_col, text_col, side, rows, percent)
+    stay = of.select("one.doc_id", "one.text_hash").unionByName(sig.where("n_shingles = 0").select("doc_id", "text_hash")).distinct()
+    key = lambda frame, i, h: frame.withColumns({"_no_id": F.col(i).isNull(), "_id": F.coalesce(F.col(i).cast("long"), F.lit(0)), "_hash": h})
+    stay = key(stay, "doc_id", F.col("text_hash")).select("_no_id", "_id", "_hash")
+    # Repeated rows are combined on the map side; the join finds them dealt by its own keys. What stays has no size bound.
+    once = key(docs, id_col, F.xxhash64(text_col)).dropDuplicates(["_no_id", "_id", "_hash"])
+    return once.join(stay.hint("merge"), ["_no_id", "_id", "_hash"], "left_semi").select(*docs.columns)

@@ -321,11 +321,21 @@ def test_near_duplicates(spark):
     rows += [(i, " ".join(hot[:60]) + " " + " ".join(f"u{rng.randrange(10**9)}" for _ in range(60)), "s") for i in range(300, 340)]  # half in common
     got = near_duplicates.near_duplicates(docs_of(spark, rows).withColumn("rep", F.lit(1)).withColumn("kept", F.lit(1))).collect()
     want = brute_links(rows)
-    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == want
-    assert len(got) == sum(i is not None for i, _, _ in rows) and all(r.kept == (r.doc_id == r.component_id) for r in got)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got if r.doc_id is not None} == want
+    assert [tuple(r) for r in got if r.doc_id is None] == [(None, 1, None, True)]
+    assert len(got) == len(rows) and all(r.kept == (r.doc_id == r.component_id) for r in got)
     assert near_duplicates.near_duplicates(docs_of(spark, rows).limit(0)).count() == 0
 
 
+def test_near_duplicates_without_ids_and_with_repeated_ones(spark):
+    a, b = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+    rows = [(1, a, "s"), (1, a, "t"), (1, b, "s"), (None, a, "s"), (None, b, "s"), (2, b, "s"), (None, "alone here", "s"), (None, "alone here", "s"), (3, "", "s"), (3, "", "s"), (4, None, "s")]
+    got = Counter((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in near_duplicates.near_duplicates(docs_of(spark, rows)).collect())
+    assert got == Counter({(1, 56, 1, True): 3, (None, 56, 1, False): 2, (2, 56, 1, False): 1, (None, 1, None, True): 2, (3, 0, 3, True): 2, (4, 0, 4, True): 1})
+    left = near_duplicates.one_of_each(docs_of(spark, rows).withColumn("one", F.lit(1))).select("doc_id", "text").collect()
+    assert Counter(map(tuple, left)) == Counter([(1, a), (1, b), (None, "alone here"), (3, ""), (4, None)])
+
+
 @pytest.mark.parametrize(("own", "changed"), [(25, 17), (17, 16)])
 def test_near_duplicates_in_hot_templates(spark, own, changed):
     """Texts of one template, alike by 0.667 and by 0.746, in which a copy by 0.76 of every tenth one is all to be found."""
