@@ -19,10 +19,12 @@ PART_ROWS = 50_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared scratch folder; a temporary one only where none is configured (tests)."""
+    """The shared scratch folder; a temporary one only where none is configured and all of Spark runs here (tests)."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if "dir" not in _LOCAL:
         _LOCAL["dir"] = "file://" + tempfile.mkdtemp(prefix="spark-mapmill-")
     return _LOCAL["dir"]
@@ -31,12 +33,12 @@ def shared_dir(spark: SparkSession) -> str:
 def materialize(df: DataFrame, name: str = "t", rows: int | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and return the written table.
 
-    ``rows`` is about how many rows there are, where that is known: the table is then written in as
-    many parts as it needs, so that small steps of an iteration do not pay for many empty tasks.
+    ``rows`` is about how many rows there are, where that is known: they are then dealt to as many parts
+    as they need, so that small steps of an iteration do not pay for many empty tasks.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    (df if rows is None else df.coalesce(1 + rows // PART_ROWS)).write.parquet(path)
+    (df if rows is None else df.repartition(1 + rows // PART_ROWS)).write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._mapmill_path = path
     return out
