@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from mapmill.llm.line_dedup import MIN_WORDS, dedup_lines
 from mapmill.llm.mixing import mixed_documents
-from mapmill.llm.near_duplicates import near_duplicates
+from mapmill.llm.near_duplicates import one_of_each
 from mapmill.llm.packing import pack
 from mapmill.llm.quality import accepted
 from mapmill.llm.queries import table, tokenizer_file
@@ -35,10 +35,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the one of the smallest id, of each group of near duplicates."""
-    gone = near_duplicates(docs).where(~F.col("kept")).select(F.col("doc_id").alias("gone_id")).distinct()
-    # What goes has no size bound, so this is a shuffled join at any size of the table.
-    return docs.join(gone.hint("merge"), F.col("doc_id") == F.col("gone_id"), "left_anti")
+    """One document, the one of the smallest id, of each group of near duplicates; see ``one_of_each``."""
+    return one_of_each(docs)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
