@@ -16,7 +16,7 @@ prefixes, while what many texts have in common stands behind the prefixes.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -34,15 +34,20 @@ PERCENT = 75
 #: a table but for 2 * (1 - 0.75^3)^16 = 0.03 % of cases, one of 0.2 in 1.6 %.
 SIDE, ROWS = 16, 3
 #: The tables (i, i) that are read together; components are formed after each batch.
-BATCHES = ((0, 1), (1, 4), (4, SIDE))
+BATCHES = ((0, 1), (1, SIDE))
 _RNG = np.random.default_rng(7)
 _MULT = _RNG.integers(0, 2**64, 4096, dtype=np.uint64) | np.uint64(1)
 
 SIGNATURE = "doc_id long, text_hash long, n_shingles long, f1 long, f2 long, halves array<long>"
 
 
-def signatures(h: np.ndarray, first: np.ndarray, side: int, rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(set sizes, two set fingerprints, half-keys) of runs of shingle hashes; empty sets have no meaning but size 0."""
+def fingerprint(hashes: np.ndarray, begins: np.ndarray) -> np.ndarray:
+    """A hash of each set of shingle hashes; ``begins`` are the starts of the sets, none of which is empty."""
+    return np.add.reduceat(mix(hashes ^ np.uint64(0x9E3779B97F4A7C15)), begins)
+
+
+def signatures(h: np.ndarray, first: np.ndarray, side: int, rows: int, collections: int = 2) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(set sizes, two set fingerprints, ``collections * side`` keys) of runs of shingle hashes; empty sets have no meaning but size 0."""
     n = len(first) - 1
     sizes, f1, f2 = np.zeros(n, np.int64), np.zeros(n, np.uint64), np.zeros(n, np.uint64)
     text = np.repeat(np.arange(n), np.diff(first))
@@ -56,10 +61,10 @@ def signatures(h: np.ndarray, first: np.ndarray, side: int, rows: int) -> tuple[
     begins = np.concatenate([[0], np.cumsum(sizes)])
     full = np.flatnonzero(sizes)
     if len(full):
-        f1[full] = np.add.reduceat(mix(hs ^ np.uint64(0x9E3779B97F4A7C15)), begins[:-1][full])
+        f1[full] = fingerprint(hs, begins[:-1][full])
         f2[full] = np.add.reduceat(mix(hs + np.uint64(0xD1B54A32D192ED03)), begins[:-1][full])
-    halves = np.zeros((n, 2 * side), np.uint64)
-    for s in range(2 * side):
+    halves = np.zeros((n, collections * side), np.uint64)
+    for s in range(collections * side):
         key = np.full(n, s, np.uint64)
         for r in range(rows):
             key = mix(key * np.uint64(31) + reduce_min(hs * _MULT[s * rows + r], begins))
@@ -131,7 +136,7 @@ def in_tables(frame: DataFrame, side: int | None, batch: tuple[int, int] | None
 
 
 def head_pairs(keys: DataFrame, percent: int) -> DataFrame:
-    """(a, b, ca, cb): the members of each bucket with its head, if of another component and of a size that allows the similarity.
+    """(a, b, ca, cb): the head of each bucket with its members of other components and of a size that allows the similarity.
 
     Heads are drawn by a hash of the class alone, so the buckets of a group have few different ones.
     """
@@ -139,17 +144,12 @@ def head_pairs(keys: DataFrame, percent: int) -> DataFrame:
     heads = keys.groupBy("tkey").agg(F.min(head).alias("h"), F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 < c1")
     heads = materialize(heads.select(F.col("tkey").alias("k"), "h"), "heads")
     near = (F.col("tkey") == F.col("k")) & (F.col("c") != F.col("h.c")) & (100 * F.least("n", "h.n") >= percent * F.greatest("n", "h.n"))
-    return _ordered(keys.join(heads, near), F.col("rep"), F.col("h.rep"), F.col("c"), F.col("h.c"))
-
-
-def _ordered(met: DataFrame, x: Column, y: Column, cx: Column, cy: Column) -> DataFrame:
-    """Distinct (a, b, ca, cb) of the pairs (x, y), smaller one first."""
-    return met.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b"), F.when(x < y, cx).otherwise(cy).alias("ca"), F.when(x < y, cy).otherwise(cx).alias("cb")).distinct()
+    return keys.join(heads, near).select(F.col("h.rep").alias("a"), F.col("rep").alias("b"), F.col("h.c").alias("ca"), F.col("c").alias("cb")).distinct()
 
 
 def open_members(frame: DataFrame, side: int | None) -> DataFrame:
     """(rep, c): the classes of ``frame`` (rep, n, c, own) that share a table with another component."""
-    keys = materialize(in_tables(materialize(keys_in_common(frame, side), "open_keys"), side), "open_tables")
+    keys = materialize(in_tables(keys_in_common(frame, side), side), "open_tables")
     ends = keys.groupBy("tkey").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select(F.col("tkey").alias("k"))
     return keys.join(materialize(ends, "open_ends"), F.col("tkey") == F.col("k"), "left_semi").select("rep", "c").distinct()
 
@@ -173,12 +173,12 @@ def prefix_pairs(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame
     pre = materialize(pre, "prefixes")
     tops = pre.groupBy("s", "c").agg(F.count(F.lit(1)).alias("k")).groupBy("s").agg(F.max(F.struct("k", "c"))["c"].alias("main"), F.count(F.lit(1)).alias("parts"))
     tops = materialize(tops.where("parts > 1").select(F.col("s").alias("k"), "main"), "tops")
-    others = materialize(pre.join(tops, (F.col("s") == F.col("k")) & (F.col("c") != F.col("main"))).drop("k"), "others")
+    others = pre.join(tops, (F.col("s") == F.col("k")) & (F.col("c") != F.col("main"))).drop("k")
     # Of two members outside the main component, each pair is formed once.
     once = (F.col("y.c") == F.col("x.main")) | (F.col("x.c") < F.col("y.c"))
     enough = (100 + percent) * F.least("x.left", "y.left") >= percent * (F.col("x.n") + F.col("y.n"))
     pairs = others.alias("x").join(pre.alias("y"), (F.col("x.s") == F.col("y.s")) & (F.col("x.c") != F.col("y.c")) & once & enough)
-    return _ordered(pairs, F.col("x.rep"), F.col("y.rep"), F.col("x.c"), F.col("y.c"))
+    return pairs.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b"), F.least("x.c", "y.c").alias("ca"), F.greatest("x.c", "y.c").alias("cb")).distinct()
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame | None:
@@ -198,28 +198,35 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame | Non
     return None if found.isEmpty() else found
 
 
+def stars(links: DataFrame) -> DataFrame:
+    """The components that the links (ca, cb) of one table make: each member is linked with its head at most."""
+    heads = links.select(F.col("ca").alias("node"), F.col("ca").alias("component")).distinct()
+    return materialize(links.select(F.col("cb").alias("node"), F.col("ca").alias("component")).unionByName(heads), "stars")
+
+
 def joined(comp: DataFrame | None, links: DataFrame) -> DataFrame:
     """The components ``comp`` (node, component) after ``links`` (ca, cb) between them."""
-    new = materialize(components(links, "ca", "cb"), "joined")
+    new = components(links, "ca", "cb")
     if comp is None:
         return new
     to = new.select(F.col("node").alias("old"), F.col("component").alias("now"))
     moved = comp.join(to, F.col("component") == F.col("old"), "left").select("node", F.coalesce("now", "component").alias("component"))
     out = materialize(moved.unionByName(new.join(comp.select("node"), "node", "left_anti")), "comp")
-    release(new)
     release(comp)
     return out
 
 
-def link_classes(reps: DataFrame, sets_of: Callable[[DataFrame], DataFrame], side: int | None, percent: int = PERCENT, batches: tuple = BATCHES) -> DataFrame:
-    """(node, component) of linked classes.
+def meeting_classes(reps: DataFrame, side: int | None) -> DataFrame:
+    """(rep, n, own) of the classes of ``reps`` (rep, n, halves) that have a key with another class, and these keys.
 
-    ``reps``: (rep, n, halves); ``sets_of`` gives the shingle sets (doc_id, shingles) of a frame of ids.
-    With ``side``, the halves are two collections of so many half-keys; without, each one is a table of its own.
+    With ``side``, the halves are two collections of so many half-keys, and one of each is needed; without, each one is a table of its own.
     """
     keyed = reps.select("rep", "n", F.col("rep").alias("c"), F.transform("halves", lambda x, i: F.struct(i.alias("s"), x.alias("hk"))).alias("own"))
-    keyed = materialize(keys_in_common(keyed, side).drop("c"), "keyed")
-    sets = materialize(sets_of(keyed.select("rep")), "sets")
+    return materialize(keys_in_common(keyed, side).drop("c"), "keyed")
+
+
+def link_classes(keyed: DataFrame, sets: DataFrame, side: int | None, percent: int = PERCENT, batches: tuple = BATCHES) -> DataFrame | None:
+    """(node, component) of linked classes, None without any. ``keyed``: see ``meeting_classes``; ``sets``: (doc_id, shingles) by class."""
     comp = None
     for batch in (*batches, None):
         placed = with_component(keyed, comp)
@@ -229,11 +236,16 @@ def link_classes(reps: DataFrame, sets_of: Callable[[DataFrame], DataFrame], sid
             pairs = head_pairs(in_tables(placed, side, batch), percent)
         found = verified(pairs, sets, percent)
         if found is not None:
-            comp = joined(comp, found)
+            comp = stars(found) if comp is None and batch and batch[1] - batch[0] == 1 else joined(comp, found)
             release(found)
-    release(keyed)
-    release(sets)
-    return comp if comp is not None else reps.select(F.col("rep").alias("node"), F.col("rep").alias("component")).limit(0)
+    return comp
+
+
+def labelled(classes: DataFrame, comp: DataFrame | None, rep: str) -> DataFrame:
+    """``classes`` with the ``label`` of their component; a class without links has its own ``rep``."""
+    if comp is None:
+        return classes.withColumn("label", F.col(rep))
+    return classes.join(comp, F.col(rep) == F.col("node"), "left").withColumn("label", F.coalesce("component", rep)).drop("node", "component")
 
 
 def groups(docs: DataFrame, id_col: str, text_col: str, side: int, rows: int, percent: int) -> tuple[DataFrame, DataFrame]:
@@ -247,17 +259,16 @@ def groups(docs: DataFrame, id_col: str, text_col: str, side: int, rows: int, pe
     classes = sig.where("n_shingles > 0").groupBy("f1", "f2", "n_shingles").agg(F.min(row).alias("one"), F.first("halves").alias("halves"))
     classes = materialize(classes.groupBy("f1").agg(F.max("n_shingles").alias("n"), F.min("one").alias("one"), F.max("halves").alias("halves")), "classes")
 
-    def sets_of(reps: DataFrame) -> DataFrame:
-        wanted = classes.join(reps.select(F.col("rep").alias("r")), F.col("f1") == F.col("r"), "left_semi").select("f1", F.col("one.doc_id").alias("w_id"), F.col("one.text_hash").alias("w_hash"))
-        # The sets have no size bound, so this is a shuffled join at any size of the table.
-        met = docs.join(wanted.hint("merge"), F.col(id_col).cast("long").eqNullSafe(F.col("w_id")) & (F.xxhash64(text_col) == F.col("w_hash")))
-        return shingle_sets(met.select(F.col("f1").alias("doc_id"), F.col(text_col).alias("text")))
-
-    comp = link_classes(classes.select(F.col("f1").alias("rep"), "n", "halves"), sets_of, side, percent)
-    of = classes.select("f1", "one").join(comp, F.col("f1") == F.col("node"), "left").select(F.col("f1").alias("set"), "one", F.coalesce("component", "f1").alias("label"))
-    of = materialize(of, "labels")
+    keyed = meeting_classes(classes.select(F.col("f1").alias("rep"), "n", "halves"), side)
+    wanted = classes.join(keyed, F.col("f1") == F.col("rep"), "left_semi").select("f1", F.col("one.doc_id").alias("w_id"), F.col("one.text_hash").alias("w_hash"))
+    # The sets have no size bound, so this is a shuffled join at any size of the table.
+    met = docs.join(wanted.hint("merge"), F.col(id_col).cast("long").eqNullSafe(F.col("w_id")) & (F.xxhash64(text_col) == F.col("w_hash")))
+    sets = materialize(shingle_sets(met.select(F.col("f1").alias("doc_id"), F.col(text_col).alias("text"))), "sets")
+    comp = link_classes(keyed, sets, side, percent)
+    release(sets)
+    of = materialize(labelled(classes.select(F.col("f1").alias("set"), "one"), comp, "set"), "labels")
     whole = materialize(of.groupBy(F.col("label").alias("l")).agg(F.min("one").alias("one")), "groups")
-    return sig, materialize(of.drop("one").join(whole, F.col("label") == F.col("l")).select("set", F.col("one.doc_id").alias("component_id"), "one"), "group_of")
+    return sig, of.drop("one").join(whole, F.col("label") == F.col("l")).select("set", F.col("one.doc_id").alias("component_id"), "one")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", side: int = SIDE, rows: int = ROWS, percent: int = PERCENT) -> DataFrame:

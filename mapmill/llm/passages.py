@@ -1,15 +1,17 @@
 """Substring dedup: near-duplicate paragraphs, and passages repeated inside different paragraphs.
 
-Paragraphs (lines of ``MIN_WORDS`` words or more) are the units of the near-duplicate operator:
-MinHash bands tuned for recall, colliding paragraphs joined, links verified by exact Jaccard
-similarity on full shingle sets, and removals clustered by connected components.
+Paragraphs are units like the texts of the near-duplicate operator: MinHash bands tuned for recall,
+colliding paragraphs joined, links verified by exact Jaccard similarity on full shingle sets, and
+removals clustered by connected components.
 
 A passage inside longer paragraphs is found as one more kind of unit: every text is taken as its
 overlapping windows, each window's MinHash over ``GRAM``-word shingles is one band with one row,
 and equal minima of neighbouring windows are kept once. Any passage of ``MIN_WORDS`` words that
 two documents share holds a whole window of both, so it cannot be missed for its place; minima
-met in several documents are verified on all runs of ``MIN_WORDS`` words that hold them, which a
-second pass over the texts forms for those minima only.
+met in several documents are verified on all runs of ``MIN_WORDS`` words that hold them.
+
+Texts are read twice: the first pass gives signatures of paragraphs and minima of windows, the second,
+of the documents that have met others, shingle sets of these paragraphs and runs around these minima.
 """
 
 from __future__ import annotations
@@ -22,154 +24,154 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mapmill.llm.components import components
-from mapmill.llm.near_duplicates import PERCENT, SHINGLE, link_classes, signatures
-from mapmill.llm.ragged import U, Words, mix, signed, text_slices
+from mapmill.llm.near_duplicates import PERCENT, SHINGLE, fingerprint, labelled, link_classes, meeting_classes, signatures
+from mapmill.llm.ragged import Words, mix, signed, text_slices
 from mapmill.llm.words import words
 from mapmill.storage import materialize
 
 MIN_WORDS = 50
-#: Words of a window's shingles; a passage of MIN_WORDS words holds WINDOW = MIN_WORDS - GRAM + 1 of them.
-GRAM = 34
-WINDOW = MIN_WORDS - GRAM + 1
-#: Half-keys a side and minima in each, for paragraphs.
-SIDE, ROWS = 5, 1
-#: Half-keys of ten that two paragraphs must share to be verified; of similarity 0.75 they share fewer in 0.04 % of cases.
-SHARED = 3
-
-
-def _line_offsets(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Bounds of the lines of consecutive texts."""
-    return np.unique(np.concatenate([offsets, np.flatnonzero(data == 10) + 1, [0, len(data)]]))
-
-
-def paragraph_signatures(docs: DataFrame, min_words: int) -> DataFrame:
-    """(rep struct(doc_id, start), end, n, f1, f2, halves) of paragraphs; start and end count the document's words."""
+#: Words of a line, or of consecutive shorter lines, that make up a paragraph.
+PARAGRAPH = 20
+#: Words of a window's shingles; a passage of MIN_WORDS words holds MIN_WORDS - GRAM + 1 of them.
+GRAM = 20
+#: Bands and minima in each, for paragraphs: of similarity 0.75 they share no band in (1 - 0.75^3)^10 = 0.4 % of cases, of 0.2 one in 8 %.
+BANDS, ROWS = 10, 3
+#: Bands that are read together; components are formed after each batch.
+BATCHES = ((0, 1), (1, BANDS))
+_RNG = np.random.default_rng(11)
+#: Multipliers of the words of a run, for two hashes of 64 bits.
+_RUN = _RNG.integers(0, 2**64, (2, 1024), dtype=np.uint64) | np.uint64(1)
+
+
+def paragraph_bounds(data: np.ndarray, offsets: np.ndarray, least: int) -> tuple[Words, np.ndarray, np.ndarray]:
+    """Words of consecutive texts by line, the first line of each paragraph and the number of lines, and the lines' bounds.
+
+    A line of ``least`` words or more is a paragraph. Consecutive shorter lines are one, up to a line
+    without a word, a long line or the text's end.
+    """
+    bounds = np.unique(np.concatenate([offsets, np.flatnonzero(data == 10) + 1, [0, len(data)]]))
+    w = Words(data, bounds)
+    count = np.diff(w.first)
+    short = (count > 0) & (count < least)
+    opens = np.ones(len(count), bool)
+    opens[1:] = ~(short[1:] & short[:-1]) | np.isin(bounds[1:-1], offsets)
+    return w, np.append(np.flatnonzero(opens), len(count)), bounds
+
+
+def window_minima(h: np.ndarray, whole: np.ndarray, window: int) -> np.ndarray:
+    """Places in ``h`` of the least value of each run of ``window`` values that ``whole`` marks by its start."""
+    low, size = h, 1
+    while size < window:  # minima of runs twice as long, then of overlapping ones
+        step = min(size, window - size)
+        low = np.minimum(low[: len(low) - step], low[step:])
+        size += step
+    low = np.where(whole, low, np.uint64(0))
+    high = np.concatenate([np.zeros(window - 1, np.uint64), low, np.zeros(window - 1, np.uint64)])
+    size = 1
+    while size < window:
+        step = min(size, window - size)
+        high = np.maximum(high[: len(high) - step], high[step:])
+        size += step
+    return np.flatnonzero((high == h) & (h > 0))
+
+
+FIRST = "doc_id long, start long, end long, n long, f1 long, f2 long, halves array<long>, h long"
+
+
+def first_pass(docs: DataFrame, paragraph: int = PARAGRAPH, gram: int = GRAM, min_words: int = MIN_WORDS) -> DataFrame:
+    """Paragraphs (doc_id, start, end, n, f1, f2, halves) and window minima (doc_id, start, h); places count the document's words."""
+    window = min_words - gram + 1
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, j, data, offsets in text_slices(batch):
-                bounds = _line_offsets(data, offsets)
-                w = Words(data, bounds)
-                long_ = np.flatnonzero(np.diff(w.first) >= min_words)
+                ids = batch.column(0).slice(i, j - i)
+                w, lines, bounds = paragraph_bounds(data, offsets, paragraph)
+                first_word = w.first[np.searchsorted(bounds, offsets)]  # of each text
+                begin, end = w.first[lines[:-1]], w.first[lines[1:]]
+                long_ = np.flatnonzero(end - begin >= paragraph)
+                begin, end = begin[long_], end[long_]
+                w.first = np.append(w.first[lines[:-1]], len(w.hash))
                 h, first = w.shingles(SHINGLE)
                 counts = first[long_ + 1] - first[long_]
                 begins = np.concatenate([[0], np.cumsum(counts)])
                 own = np.arange(begins[-1]) + np.repeat(first[long_] - begins[:-1], counts)
-                sizes, f1, f2, halves = signatures(h[own], begins, SIDE, ROWS)
-                row = np.searchsorted(offsets, bounds[long_], "right") - 1
-                zero = w.first[np.searchsorted(bounds, offsets[row])]
-                lists = pa.FixedSizeListArray.from_arrays(pa.array(signed(halves.ravel())), 2 * SIDE).cast(pa.list_(pa.int64()))
+                sizes, f1, f2, halves = signatures(h[own], begins, BANDS, ROWS, 1)
+                row = np.searchsorted(first_word, begin, "right") - 1
+                zero = first_word[row]
+                lists = pa.FixedSizeListArray.from_arrays(pa.array(signed(halves.ravel())), BANDS).cast(pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(i, j - i).take(pa.array(row)), pa.array(w.first[long_] - zero), pa.array(w.first[long_ + 1] - zero), pa.array(sizes), pa.array(signed(f1)), pa.array(signed(f2)), lists],
-                    names=["doc_id", "start", "end", "n", "f1", "f2", "halves"],
+                    [ids.take(pa.array(row)), pa.array(begin - zero), pa.array(end - zero), pa.array(sizes), pa.array(signed(f1)), pa.array(signed(f2)), lists, pa.nulls(len(row), pa.int64())],
+                    names=["doc_id", "start", "end", "n", "f1", "f2", "halves", "h"],
                 )
-
-    return docs.mapInArrow(work, "doc_id long, start long, end long, n long, f1 long, f2 long, halves array<long>")
-
-
-def paragraph_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(doc_id struct(doc_id, start), shingles) of the paragraphs named by ``wanted`` (rep)."""
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            starts = batch.column(2).to_pylist()
-            for i, j, data, offsets in text_slices(batch):
-                bounds = _line_offsets(data, offsets)
-                w = Words(data, bounds)
-                h, first = w.shingles(SHINGLE)
-                ids, places, sets = [], [], []
-                for r in range(i, j):
-                    zero = w.first[np.searchsorted(bounds, offsets[r - i])]
-                    for s in starts[r]:
-                        line = int(np.searchsorted(w.first, zero + s, "right")) - 1
-                        ids.append(batch.column(0)[r].as_py())
-                        places.append(s)
-                        sets.append(np.unique(signed(h[first[line] : first[line + 1]])))
-                bounds_ = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(bounds_), pa.array(np.concatenate(sets) if sets else np.zeros(0, np.int64)))
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(places, pa.int64()), lists], names=["d", "s", "shingles"])
-
-    per_doc = wanted.groupBy(F.col("rep.doc_id").alias("w_id")).agg(F.collect_set("rep.start").alias("starts"))
-    rows = docs.join(per_doc.hint("merge"), F.col("doc_id") == F.col("w_id")).select("doc_id", "text", "starts")
-    return rows.mapInArrow(work, "d long, s long, shingles array<long>").select(F.struct(F.col("d").alias("doc_id"), F.col("s").alias("start")).alias("doc_id"), "shingles")
-
-
-def near_paragraphs(docs: DataFrame, min_words: int = MIN_WORDS, percent: int = PERCENT) -> DataFrame:
-    """(doc_id, start_word, end_word, removed, cluster_doc_id) of paragraphs that are near duplicates of others."""
-    unit = F.struct("doc_id", "start")
-    sig = materialize(paragraph_signatures(docs, min_words).select(unit.alias("unit"), "end", "n", "f1", "f2", "halves"), "paragraphs")
-    classes = materialize(sig.groupBy("f1", "f2", "n").agg(F.min("unit").alias("rep"), F.max("unit").alias("hi"), F.first("halves").alias("halves")), "paragraph_classes")
-    reps = materialize(classes.groupBy("rep").agg(F.max("n").alias("n"), F.max("halves").alias("halves")), "paragraph_reps")
-    comp = link_classes(reps, lambda ids: paragraph_sets(docs, ids), SIDE, percent, SHARED)
-    of = classes.join(comp, F.col("rep") == F.col("node"), "left").where(F.col("node").isNotNull() | (F.col("rep") != F.col("hi")))
-    of = materialize(of.select(F.col("f1").alias("g1"), F.col("f2").alias("g2"), F.col("n").alias("g3"), F.coalesce("component", "rep").alias("c")), "paragraph_of")
-    met = sig.join(of, (F.col("f1") == F.col("g1")) & (F.col("f2") == F.col("g2")) & (F.col("n") == F.col("g3")))
-    return met.select("unit.doc_id", F.col("unit.start").alias("start_word"), F.col("end").alias("end_word"), (F.col("unit") != F.col("c")).alias("removed"), F.col("c.doc_id").alias("cluster_doc_id"))
-
-
-def _prefix(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Prefix sums of word hashes times powers, and the powers' inverses: hashes of any run in a step."""
-    n = len(hashes)
-    p, inv = 0x9E3779B97F4A7C15 | 1, pow(0x9E3779B97F4A7C15 | 1, -1, 1 << 64)
-    powers = np.cumprod(np.concatenate([[U(1)], np.full(max(n - 1, 0), U(p), np.uint64)]))[:n]
-    inverse = np.cumprod(np.concatenate([[U(1)], np.full(n, U(inv), np.uint64)]))
-    return np.concatenate([[U(0)], np.cumsum(hashes * powers, dtype=np.uint64)]), inverse
-
-
-def _shingle_hashes(sums: np.ndarray, inverse: np.ndarray, gram: int) -> np.ndarray:
-    n = len(sums) - 1
-    return mix((sums[gram:] - sums[:-gram]) * inverse[: n - gram + 1]) if n >= gram else np.zeros(0, np.uint64)
-
-
-def window_minima(docs: DataFrame, gram: int = GRAM, window: int = WINDOW) -> DataFrame:
-    """(doc_id, u, at, h): each least shingle of a window of shingles; u is the text's hash."""
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i, j, data, offsets in text_slices(batch.select(["doc_id", "text"])):
-                w = Words(data, offsets)
-                h = _shingle_hashes(*_prefix(w.hash), gram)
-                n = len(w.hash)
-                text = np.repeat(np.arange(j - i), np.diff(w.first))
+                w.first = first_word
+                h = w.shingles_across(gram)
                 at = np.zeros(0, np.int64)
+                text = np.repeat(np.arange(j - i), np.diff(first_word))
                 if len(h) >= window:
-                    whole = text[: n - gram - window + 2] == text[gram + window - 2 :]  # the window lies in one text
-                    views = np.lib.stride_tricks.sliding_window_view(h, window)
-                    lo = np.concatenate([views[k : k + 100_000].argmin(1) for k in range(0, len(views), 100_000)]) + np.arange(len(views))
-                    at = np.unique(lo[whole])
-                rows = pa.array(text[at] if len(at) else at)
+                    starts = len(h) - window + 1
+                    at = window_minima(h, text[:starts] == text[min_words - 1 : min_words - 1 + starts], window)
+                none = pa.nulls(len(at), pa.int64())
+                row = text[at] if len(at) else at
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(i, j - i).take(rows), batch.column(2).slice(i, j - i).take(rows), pa.array(at - w.first[text[at]] if len(at) else at), pa.array(signed(h[at]))],
-                    names=["doc_id", "u", "at", "h"],
+                    [ids.take(pa.array(row)), pa.array(at - first_word[row]), none, none, none, none, pa.nulls(len(at), pa.list_(pa.int64())), pa.array(signed(h[at]))],
+                    names=["doc_id", "start", "end", "n", "f1", "f2", "halves", "h"],
                 )
 
-    return docs.select("doc_id", "text", F.xxhash64("text").alias("u")).mapInArrow(work, "doc_id long, u long, at long, h long")
+    return docs.select("doc_id", "text").mapInArrow(work, FIRST)
+
 
+SECOND = "set long, shingles array<long>, doc_id long, start long, g1 long, g2 long"
 
-def runs_around(docs: DataFrame, near: DataFrame, gram: int = GRAM, min_words: int = MIN_WORDS) -> DataFrame:
-    """(doc_id, start, g): every run of ``min_words`` words that holds one of the shingles ``near`` (doc_id, u, at), and its hash."""
+
+def second_pass(docs: DataFrame, wanted: DataFrame, paragraph: int = PARAGRAPH, gram: int = GRAM, min_words: int = MIN_WORDS) -> DataFrame:
+    """Shingle sets (set, shingles) of paragraphs, and runs (doc_id, start, g1, g2) of ``min_words`` words that hold a shingle.
+
+    ``wanted``: (w_id, units, spots), of each document the starts and fingerprints of paragraphs, and the places of shingles. Both hashes
+    of a run take all its words, so equal ones are equal runs but for one case in 2^128.
+    """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            spots = batch.column(2)
-            for i, j, data, offsets in text_slices(batch.select(["doc_id", "text"])):
-                w = Words(data, offsets)
-                sums, inverse = _prefix(w.hash)
-                own = [np.asarray(spots[r].values.to_numpy(zero_copy_only=False)) for r in range(i, j)]
-                text = np.repeat(np.arange(j - i), [len(x) for x in own])
-                at = np.concatenate(own).astype(np.int64) if own else np.zeros(0, np.int64)
+            for i, j, data, offsets in text_slices(batch):
+                ids = batch.column(0).slice(i, j - i)
+                w, lines, bounds = paragraph_bounds(data, offsets, paragraph)
+                first_word = w.first[np.searchsorted(bounds, offsets)]
+                w.first = np.append(w.first[lines[:-1]], len(w.hash))
+                h, first = w.shingles(SHINGLE)
+                names, sets = [], []
+                for r, units in enumerate(batch.column(2).slice(i, j - i)):
+                    for unit in units.as_py() or []:
+                        k = int(np.searchsorted(w.first, first_word[r] + unit["start"], "right")) - 1
+                        own = np.unique(signed(h[first[k] : first[k + 1]]))
+                        if int(signed(fingerprint(own.view(np.uint64), np.zeros(1, np.int64)))[0]) == unit["f1"]:  # else of another row of this id
+                            names.append(unit["f1"])
+                            sets.append(own)
+                ends = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets) if sets else np.zeros(0, np.int64)))
+                none = pa.nulls(len(names), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), lists, none, none, none, none], names=["set", "shingles", "doc_id", "start", "g1", "g2"])
+                spots = [x.values.to_numpy(zero_copy_only=False) if x.is_valid else np.zeros(0, np.int64) for x in batch.column(3).slice(i, j - i)]
+                text = np.repeat(np.arange(j - i), [len(x) for x in spots])
+                at = np.concatenate(spots)
                 s = (at[:, None] - np.arange(min_words - gram + 1)[None, :]).ravel()
                 text = np.repeat(text, min_words - gram + 1)
-                ok = (s >= 0) & (s + min_words <= (w.first[text + 1] - w.first[text] if len(text) else s))
-                text, s = np.unique(np.stack([text[ok], s[ok]]), axis=1) if ok.any() else (text[:0], s[:0])
-                z = s + w.first[text] if len(s) else s
-                g = mix((sums[z + min_words] - sums[z]) * inverse[z]) if len(s) else np.zeros(0, np.uint64)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i).take(pa.array(text)), pa.array(s), pa.array(signed(g))], names=["doc_id", "start", "g"])
+                ok = (s >= 0) & (s + min_words <= np.diff(first_word)[text])
+                z = np.unique(s[ok] + first_word[text[ok]])
+                g = np.zeros((2, len(z)), np.uint64)
+                for k in range(min_words):
+                    g += w.hash[z + k] * _RUN[:, k % 1024, None]
+                g = mix(g)
+                row = np.searchsorted(first_word, z, "right") - 1
+                none = pa.nulls(len(z), pa.int64())
+                yield pa.RecordBatch.from_arrays(
+                    [none, pa.nulls(len(z), pa.list_(pa.int64())), ids.take(pa.array(row)), pa.array(z - first_word[row]), pa.array(signed(g[0])), pa.array(signed(g[1]))],
+                    names=["set", "shingles", "doc_id", "start", "g1", "g2"],
+                )
 
-    per_text = near.groupBy(F.col("doc_id").alias("w_id"), F.col("u").alias("w_u")).agg(F.collect_set("at").alias("spots"))
     # What met has no size bound, so this is a shuffled join at any size of the table.
-    met = docs.join(per_text.hint("merge"), (F.col("doc_id") == F.col("w_id")) & (F.xxhash64("text") == F.col("w_u"))).select("doc_id", "text", "spots")
-    return met.mapInArrow(work, "doc_id long, start long, g long")
+    met = docs.join(wanted.hint("merge"), F.col("doc_id") == F.col("w_id")).select("doc_id", "text", "units", "spots")
+    return met.mapInArrow(work, SECOND)
 
 
 def islands(runs: DataFrame, length: int, keep: list[Column]) -> DataFrame:
@@ -180,41 +182,63 @@ def islands(runs: DataFrame, length: int, keep: list[Column]) -> DataFrame:
     return marked.groupBy("doc_id", "island").agg(F.min("start").alias("start_word"), (F.max("start") + length).alias("end_word"), *keep)
 
 
-def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+def linked_paragraphs(units: DataFrame, classes: DataFrame, keyed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(doc_id, start_word, end_word, removed, cluster_doc_id) of paragraphs that are near duplicates of others."""
+    of = materialize(labelled(classes.select("f1", "one", "last"), link_classes(keyed, sets, None, percent, BATCHES), "f1"), "paragraph_labels")
+    whole = of.groupBy(F.col("label").alias("l")).agg(F.min("one").alias("first"), F.max("last").alias("hi")).where("first <> hi")
+    of = materialize(of.join(whole, F.col("label") == F.col("l")).select(F.col("f1").alias("set"), "first"), "paragraph_of")
+    met = units.join(of, F.col("f1") == F.col("set"))
+    removed = F.struct("doc_id", "start") != F.col("first")
+    return met.select("doc_id", F.col("start").alias("start_word"), F.col("end").alias("end_word"), removed.alias("removed"), F.col("first.doc_id").alias("cluster_doc_id"))
+
+
+def shared_passages(runs: DataFrame, min_words: int) -> DataFrame:
     """(doc_id, start_word, end_word, removed, cluster_doc_id) of passages that stand in several documents."""
-    minima = materialize(window_minima(docs), "minima")
-    met = minima.groupBy("h").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select(F.col("h").alias("met"))
-    near = minima.join(materialize(met, "met"), F.col("h") == F.col("met"), "left_semi")
-    runs = materialize(runs_around(docs, near, min_words=min_words), "runs")
     here = F.struct("doc_id", "start")
-    firsts = runs.groupBy("g").agg(F.min(here).alias("first"), F.max("doc_id").alias("hi")).where("first.doc_id < hi").select(F.col("g").alias("k"), "first")
-    same = materialize(runs.join(materialize(firsts, "firsts"), F.col("g") == F.col("k")).groupBy("doc_id", "start").agg(F.min("first").alias("first")), "same")
+    firsts = runs.groupBy("g1", "g2").agg(F.min(here).alias("first"), F.max("doc_id").alias("hi")).where("first.doc_id < hi").select(F.col("g1").alias("k1"), F.col("g2").alias("k2"), "first")
+    same = runs.join(materialize(firsts, "firsts"), (F.col("g1") == F.col("k1")) & (F.col("g2") == F.col("k2")))
+    same = materialize(same.groupBy("doc_id", "start").agg(F.min("first").alias("first")), "same")
     # Documents that share a passage are linked to the one where it stands first, and clustered.
     links = same.where(F.col("doc_id") != F.col("first.doc_id")).select("doc_id", F.col("first.doc_id").alias("other")).distinct()
-    links = materialize(links, "passage_links")
-    cluster = materialize(components(links, "doc_id", "other"), "passage_clusters", links.count())
+    cluster = components(links, "doc_id", "other")
     later = islands(same.where(F.col("doc_id") > F.col("first.doc_id")).select("doc_id", "start"), min_words, []).withColumn("removed", F.lit(True))
     kept = islands(same.where(F.col("doc_id") <= F.col("first.doc_id")).select("doc_id", "start"), min_words, []).withColumn("removed", F.lit(False))
     out = later.unionByName(kept).join(cluster, F.col("doc_id") == F.col("node"))
     return out.select("doc_id", "start_word", "end_word", "removed", F.col("component").alias("cluster_doc_id"))
 
 
-def repeated_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
+def repeated_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, paragraph: int = PARAGRAPH, percent: int = PERCENT) -> DataFrame:
     """(doc_id, kind, start_word, end_word, removed, cluster_doc_id): a row for each repeated paragraph or passage.
 
-    Words are numbered from 0 in the whole document, ends exclusive. Of each group of near-duplicate
-    paragraphs, the one in the smallest document (and first in it) stays and the others are
+    Words are numbered from 0 in the whole document, ends exclusive. A paragraph is a line of ``paragraph`` words or more, or so many
+    words in consecutive shorter lines. Of each group of near-duplicate paragraphs, the one in the smallest document (and
+    first in it) stays and the others are
     removed; of a passage of ``min_words`` words or more in several documents, the copy in the
     smallest document stays. ``cluster_doc_id`` is the smallest document of the cluster.
 
     Null and blank texts have no paragraph. A null id is left out. Rows that repeat an id count as
     copies in one document: their passages are no repeats across documents, their equal
-    paragraphs are one. An empty table gives an empty result. Only the named columns are read.
+    paragraphs are one. Ties cannot arise, as places differ. Texts are handled whole, however long. An empty table gives an
+    empty result. Only the named columns are read.
     """
     src = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    near = near_paragraphs(src, min_words).withColumn("kind", F.lit("paragraph"))
-    same = repeated_passages(src, min_words).withColumn("kind", F.lit("passage"))
-    return near.unionByName(same).select("doc_id", "kind", "start_word", "end_word", "removed", "cluster_doc_id")
+    first = materialize(first_pass(src, paragraph, min_words=min_words), "first_pass")
+    units, minima = first.where("h is null").drop("h"), first.where("h is not null").select("doc_id", "start", "h")
+
+    place = F.struct("doc_id", "start")
+    classes = units.groupBy("f1", "f2", "n").agg(F.min(place).alias("one"), F.max(place).alias("last"), F.first("halves").alias("halves"))
+    classes = materialize(classes.groupBy("f1").agg(F.max("n").alias("n"), F.min("one").alias("one"), F.max("last").alias("last"), F.max("halves").alias("halves")), "paragraph_classes")
+    keyed = meeting_classes(classes.select(F.col("f1").alias("rep"), "n", "halves"), None)
+    of_units = classes.join(keyed, F.col("f1") == F.col("rep"), "left_semi").groupBy(F.col("one.doc_id").alias("w_id")).agg(F.collect_set(F.struct(F.col("one.start").alias("start"), "f1")).alias("units"))
+
+    met = minima.groupBy("h").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select(F.col("h").alias("met"))
+    of_spots = minima.join(materialize(met, "met"), F.col("h") == F.col("met"), "left_semi").groupBy(F.col("doc_id").alias("w_id")).agg(F.collect_set("start").alias("spots"))
+
+    second = materialize(second_pass(src, of_units.join(of_spots, "w_id", "full_outer"), paragraph, min_words=min_words), "second_pass")
+    near = linked_paragraphs(units, classes, keyed, second.where("set is not null").select(F.col("set").alias("doc_id"), "shingles"), percent)
+    same = shared_passages(second.where("set is null").select("doc_id", "start", "g1", "g2"), min_words)
+    out = near.withColumn("kind", F.lit("paragraph")).unionByName(same.withColumn("kind", F.lit("passage")))
+    return out.select("doc_id", "kind", "start_word", "end_word", "removed", "cluster_doc_id")
 
 
 def without_repeats(docs: DataFrame, repeats: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -19,6 +19,8 @@ IS_SPACE = np.zeros(256, bool)
 IS_SPACE[[32, 9, 10, 11, 12, 13]] = True
 #: Bytes of text handled at once; one longer text is handled by itself.
 SLICE = 4_000_000
+#: Bytes whose words are hashed in one step.
+BLOCK = 1_000_000
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -28,31 +30,55 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> U(31))
 
 
+def _blocks(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Bounds of blocks of about BLOCK bytes that end at a text's end or behind white space, so that no word is cut."""
+    lo, n = 0, len(data)
+    while lo < n:
+        hi = min(lo + BLOCK, n)
+        if hi < n:
+            end = int(offsets[np.searchsorted(offsets, hi)])
+            while hi < end:
+                space = np.flatnonzero(IS_SPACE[data[hi : hi + 4096]])
+                if len(space):
+                    hi += int(space[0]) + 1
+                    break
+                hi += 4096
+            hi = min(hi, end)
+        yield lo, hi
+        lo = hi
+
+
 class Words:
-    """Words of consecutive texts: byte bounds, 64-bit hashes, and each text's first word number."""
+    """Words of consecutive texts: byte bounds, 64-bit hashes, and each text's first word number.
+
+    Bytes are handled in blocks, so that a long text takes memory for its words alone.
+    """
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool = True):
-        self.data, self.offsets, n = data, offsets, len(data)
+        parts = [self._block(data[lo:hi], lo, offsets, lower) for lo, hi in _blocks(data, offsets)]
+        join = lambda k, kind: np.concatenate([x[k] for x in parts]) if parts else np.zeros(0, kind)
+        self.start, self.length, self.hash = join(0, np.int64), join(1, np.int64), join(2, np.uint64)
+        self.first = np.searchsorted(self.start, offsets)  # words before each text
+
+    @staticmethod
+    def _block(data: np.ndarray, lo: int, offsets: np.ndarray, lower: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(start, length, hash) of the words of one block that begins at byte ``lo``."""
+        n = len(data)
         inside = ~IS_SPACE[data]
         opens = inside.copy()
-        if n > 1:
-            opens[1:] &= ~inside[:-1]
-        firsts = offsets[:-1][offsets[:-1] < n]
+        opens[1:] &= ~inside[:-1]
+        firsts = offsets[np.searchsorted(offsets, lo) : np.searchsorted(offsets, lo + n)] - lo
         opens[firsts] = inside[firsts]  # texts lie side by side: a word ends with its text
-        self.start = np.flatnonzero(opens)
-        if len(self.start):
-            word_of = np.cumsum(opens) - 1
-            place = np.arange(n) - self.start[np.maximum(word_of, 0)]
-            length = np.add.reduceat(inside.astype(np.int64), self.start)
-            powers = np.cumprod(np.concatenate([[U(1)], np.full(max(int(length.max()) - 1, 0), PLACE, np.uint64)]))
-            part = BYTES[LOWER[data] if lower else data]
-            part[~inside] = 0
-            part *= powers[np.minimum(np.maximum(place, 0), len(powers) - 1)]
-            self.hash = mix(np.add.reduceat(part, self.start))
-            self.length = length
-        else:
-            self.hash, self.length = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        self.first = np.searchsorted(self.start, offsets)  # words before each text
+        start = np.flatnonzero(opens)
+        if not len(start):
+            return start, start, np.zeros(0, np.uint64)
+        place = np.arange(n) - start[np.maximum(np.cumsum(opens) - 1, 0)]
+        length = np.add.reduceat(inside.astype(np.int64), start)
+        powers = np.cumprod(np.concatenate([[U(1)], np.full(max(int(length.max()) - 1, 0), PLACE, np.uint64)]))
+        part = BYTES[LOWER[data] if lower else data]
+        part[~inside] = 0
+        part *= powers[np.minimum(np.maximum(place, 0), len(powers) - 1)]
+        return start + lo, length, mix(np.add.reduceat(part, start))
 
     def shingles(self, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of k-word shingles of all texts and each text's first shingle.
@@ -74,6 +100,20 @@ class Words:
             h = mix(h + part) if j in (k // 2,) else h + part
         return mix(h), first
 
+    def shingles_across(self, k: int) -> np.ndarray:
+        """Hashes of all k-word shingles of the words in a row, those that cross texts included, in a step each however large k."""
+        sums, inverse = _power_sums(self.hash)
+        n = len(self.hash) - k + 1
+        return mix((sums[k:] - sums[:-k]) * inverse[:n]) if n > 0 else np.zeros(0, np.uint64)
+
+
+def _power_sums(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Prefix sums of hashes times powers of PLACE, and the powers' inverses."""
+    n = len(hashes)
+    powers = np.cumprod(np.concatenate([[U(1)], np.full(max(n - 1, 0), PLACE, np.uint64)]))[:n]
+    inverse = np.cumprod(np.concatenate([[U(1)], np.full(n, U(pow(int(PLACE), -1, 1 << 64)), np.uint64)]))
+    return np.concatenate([[U(0)], np.cumsum(hashes * powers, dtype=np.uint64)]), inverse
+
 
 def text_slices(batch: pa.RecordBatch, column: str = "text") -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Slices (from row, to row, bytes, offsets) of a text column, each of SLICE bytes or one text; null is empty."""
