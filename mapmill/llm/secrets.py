@@ -1,16 +1,22 @@
 """Secret scans: base patterns, and a linear-chain conditional random field over tokens.
 
 Texts are cut into tokens of letters, digits and ``+/_.=-`` and of other characters. Tokens of a
-secret's shape (six characters or more with a digit, or long and of mixed case) can be the begin
+secret's shape (six ASCII characters or more with a digit, or 16 or more of mixed case) can be the begin
 or inside of a secret; all others are outside, so a Viterbi path splits at them and only short
 chains are decoded. Features are the token's shape, its neighbouring words and facts of the
-file. The field is fitted on a bounded sample of documents, with the base patterns as labels.
+file.
+
+The field is fitted on a bounded sample of documents. The base patterns label it, and so that the field finds what they do not, each
+sampled document also goes in with a random value of a known format set into it, in half the cases without any
+telling word beside it, and with strings of other uses, which are labelled outside; of a base match, the words around it are
+hidden in half the cases.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -20,11 +26,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mapmill.llm.ragged import BYTES, LOWER, mix, text_slices
+from mapmill.storage import materialize, release
 
 #: Documents with and without base matches that the field is fitted on at most, each.
 SAMPLE = 1500
-#: Characters of a document used in fitting.
+#: Chains of candidates that the field is fitted on at most, in the order of a hash.
+CHAINS = 60_000
 DIMS = 1 << 13
+FEATURES = 17
+#: The features that stand for neighbouring words.
+NEIGHBOURS = (10, 11, 12, 13)
 EPOCHS, RATE, DECAY = 60, 0.5, 1e-4
 
 # The base patterns and their order.
@@ -33,15 +44,27 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 KINDS = ("assign", "access", "hex", "crf")
 
+# Characters, formats of values that are secret (a fixed start, characters of the rest, least and greatest length of it), words that tell
+# of one, and formats of strings that are none.
+DIGITS, LOWER_HEX, UPPER, LETTERS = "0123456789", "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+FORMATS = (
+    ("", LOWER_HEX, 16, 64), ("", DIGITS + LETTERS, 16, 48), ("", DIGITS + LETTERS + "+/", 28, 64), ("", DIGITS + UPPER, 16, 32), ("ghp_", DIGITS + LETTERS, 36, 36), ("sk_live_", DIGITS + LETTERS, 24, 32),
+    ("sk-", DIGITS + LETTERS, 40, 48), ("xoxb-", DIGITS + LETTERS + "-", 40, 50), ("glpat-", DIGITS + LETTERS + "_-", 20, 20), ("AIza", DIGITS + LETTERS + "_-", 35, 35), ("eyJ", DIGITS + LETTERS + "._-", 60, 120), ("AKIA", DIGITS + UPPER, 16, 16),
+)
+TELLING = ("password:", "pwd=", "passphrase", "secret", "token", "key", "api key:", "credential", "credentials:", "auth", "Authorization: Bearer", "Bearer", "signature=", "private key", "access key", "login with", "use", "export KEY=")
+HARMLESS = ("d4-d2-d2", "d1.d2.d2", "vd1.d2.d1-rcd1", "d3.d3.d2.d3", "ISBN d3-d1-d4-d5-d1", "d16", "d9", "d6", "l8d2", "L1l5L1l6L1l5d1", "L1l7L1l7", "l4_l6_d2", "https://www.l9.com/l5/d6/l7", "l7d2@l6d1.l7.com", "d2:d2:d2", "l5-d2-l4", "x86_64", "utf-8", "L2-d5", "l6.l3:d4", "d4/d2/d2", "d1,d3,d3.d2")
+
 OUT, BEGIN, INSIDE = 0, 1, 2
 SPACE, OTHER, BODY = 0, 1, 2
 _KIND = np.full(256, OTHER, np.uint8)
 _KIND[[32, 9, 10, 11, 12, 13]] = SPACE
 _KIND[128:] = BODY
 _KIND[[ord(c) for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-"]] = BODY
-_IS = {name: np.isin(np.arange(256), [ord(c) for c in chars]).astype(np.int64) for name, chars in (
+_IS = {name: np.isin(np.arange(256), [ord(c) for c in chars]).astype(np.uint8) for name, chars in (
     ("digit", "0123456789"), ("upper", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"), ("lower", "abcdefghijklmnopqrstuvwxyz"), ("hex", "0123456789abcdef"), ("dot", "."), ("sign", "+/_=-"))}
-_HIGH = (np.arange(256) >= 128).astype(np.int64)
+_HIGH = (np.arange(256) >= 128).astype(np.uint8)
+_CLASS = np.select([_IS["digit"] > 0, _IS["upper"] > 0, _IS["lower"] > 0], [0, 1, 2], 3).astype(np.uint8)
+_VOWEL = np.isin(np.arange(256), [ord(c) for c in "aeiouyAEIOUY"])
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -77,7 +100,7 @@ class Tokens:
         start = np.flatnonzero(cut)
         ends = np.r_[start[1:], n] if len(start) else start
         word = kind[start] != SPACE if len(start) else np.zeros(0, bool)
-        sums = {k: np.add.reduceat(t[data], start) if len(start) else np.zeros(0, np.int64) for k, t in (*_IS.items(), ("high", _HIGH))}
+        sums = {k: np.add.reduceat(t[data], start, dtype=np.int64) if len(start) else np.zeros(0, np.int64) for k, t in (*_IS.items(), ("high", _HIGH))}
         size = ends - start
         shaped = (size >= 6) & (sums["digit"] > 0) | (size >= 16) & (sums["upper"] > 0) & (sums["lower"] > 0)
         shaped &= (kind[start] == BODY) if len(start) else shaped
@@ -104,12 +127,15 @@ class Tokens:
     def _features(self, at, data, size, s, density) -> np.ndarray:
         """Hashed feature numbers, one column a feature."""
         if not len(at):
-            return np.zeros((0, 14), np.int64)
+            return np.zeros((0, FEATURES), np.int64)
         n = size[at]
         level = lambda v: np.minimum((8 * v[at]) // np.maximum(n, 1), 8)
         log = np.minimum(np.log2(n).astype(np.int64) * 2 + (n & (n - 1) > 0), 20)
         mixed = (s["upper"][at] > 0) * 4 + (s["lower"][at] > 0) * 2 + (s["digit"][at] > 0)
-        distinct = np.array([len(np.unique(data[a:b])) for a, b in zip(self.start[at], self.end[at], strict=True)])
+        tokens = [data[a:b] for a, b in zip(self.start[at], self.end[at], strict=True)]
+        distinct = np.array([len(np.unique(t)) for t in tokens])
+        steps = np.array([np.count_nonzero(np.diff(_CLASS[t])) for t in tokens])
+        vowels = np.array([8 * np.count_nonzero(_VOWEL[t]) // max(np.count_nonzero((_CLASS[t] == 1) | (_CLASS[t] == 2)), 1) for t in tokens])
         head = np.array([int(BYTES[data[a : a + 4]].sum(dtype=np.uint64)) for a in self.start[at]], np.uint64)
         def word(d: int) -> np.ndarray:
             j = at + d
@@ -119,12 +145,17 @@ class Tokens:
         touch = np.zeros(len(at), np.int64)
         before = at > 0
         touch[before] = self.end[at[before] - 1] == self.start[at[before]]
-        columns = [log, level(s["digit"]), level(s["upper"]), level(s["hex"]) * 30 + log, mixed * 30 + log, np.minimum(distinct, 40),
+        columns = [np.minimum(steps, 15) * 30 + log, vowels * 30 + np.minimum(log, 10), np.minimum(8 * steps // np.maximum(n, 1), 8) * 30 + mixed, log, level(s["digit"]), level(s["upper"]), level(s["hex"]) * 30 + log, mixed * 30 + log, np.minimum(distinct, 40),
                    head.view(np.int64), word(-1).view(np.int64), word(-2).view(np.int64), word(-3).view(np.int64), word(1).view(np.int64),
                    np.minimum(s["dot"][at], 4) * 8 + np.minimum(s["sign"][at], 7), touch, np.minimum((density[self.text[at]] * 50).astype(np.int64), 20)]
         f = np.column_stack([mix((c.astype(np.int64).view(np.uint64)) + np.uint64(1000003 * (i + 1))) for i, c in enumerate(columns)])
         return (f % np.uint64(DIMS)).astype(np.int64)
 
+    def hide_words(self, which: np.ndarray) -> None:
+        """Let the neighbouring words of these candidates (places in ``at``) be unknown."""
+        for c in NEIGHBOURS:
+            self.features[which, c] = int(mix(np.array([1000003 * (c + 1)], np.uint64))[0] % np.uint64(DIMS))
+
     def chains(self) -> np.ndarray:
         """Chain number of each candidate: candidates that follow each other in a text are one chain."""
         at = self.at
@@ -224,56 +255,106 @@ def fit_field(features: np.ndarray, chain: np.ndarray, labels: np.ndarray) -> Fi
     return field
 
 
+def random_value(rng: np.random.Generator, kind: int) -> str:
+    head, chars, low, high = FORMATS[kind]
+    return head + "".join(rng.choice(list(chars), rng.integers(low, high + 1)))
+
+
+def harmless_string(rng: np.random.Generator, shape: str) -> str:
+    """A string of the shape: ``d``, ``l`` and ``L`` with a number stand for so many digits, small and capital letters."""
+    chars = {"d": DIGITS, "l": LETTERS[26:], "L": UPPER}
+    return re.sub(r"([dlL])(\d+)", lambda m: "".join(rng.choice(list(chars[m[1]]), int(m[2]))), shape)
+
+
+def planted(text: str, rng: np.random.Generator, kinds: list[int] | None = None) -> tuple[str, list[tuple[int, int]]]:
+    """The text with one value of a secret format (of ``kinds``) and two harmless strings between its words, and the value's bounds."""
+    words = text.split(" ")
+    value = random_value(rng, int(rng.choice(kinds if kinds is not None else range(len(FORMATS)))))
+    before = str(rng.choice(TELLING)) if rng.random() < 0.5 else ""
+    quote = str(rng.choice(["", "", '"', "'"]))
+    join = "" if before.endswith("=") or not before else " "
+    extra = [f"{before}{join}{quote}{value}{quote}", *(harmless_string(rng, str(x)) for x in rng.choice(HARMLESS, 2))]
+    for i, x in sorted(zip(rng.integers(0, len(words) + 1, 3).tolist(), extra, strict=True), reverse=True):
+        words.insert(i, x)
+    out = " ".join(words)
+    at = out.index(value)
+    return out, [(at, at + len(value))]
+
+
+def examples(text: str, extra: list[tuple[int, int]], rng: np.random.Generator, hide: bool) -> tuple[Tokens, np.ndarray, np.ndarray]:
+    """Tokens of a text, the labels of its candidates and their chains; ``extra`` are secrets besides the base matches."""
+    data = np.frombuffer(text.encode(), np.uint8)
+    t = Tokens(data, np.array([0, len(data)]))
+    label = np.zeros(t.n, np.int64)
+    for a, b in [*secret_values(text, base_spans(text)), *extra]:
+        x, y = len(text[:a].encode()), len(text[:b].encode())
+        inside = np.flatnonzero((t.start < y) & (t.end > x))
+        label[inside] = INSIDE
+        label[inside[:1]] = BEGIN
+    label = label[t.at]
+    if hide:
+        t.hide_words(np.flatnonzero((label != OUT) & (rng.random(len(label)) < 0.5)))
+    return t, label, t.chains()
+
+
 def _examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Features, chains and labels of the candidates of sampled documents."""
+    """Features and labels of the chains of candidates of sampled documents, as they are and with values set into them."""
     for batch in batches:
-        for i, j, data, offsets in text_slices(batch):
-            t = Tokens(data, offsets)
-            label = np.zeros(t.n, np.int64)
-            for r in range(j - i):
-                raw = data[offsets[r] : offsets[r + 1]].tobytes()
-                text = raw.decode("utf-8", "replace")
-                spans = base_spans(text)
-                for a, b in secret_values(text, spans):
-                    x, y = offsets[r] + len(text[:a].encode()), offsets[r] + len(text[:b].encode())
-                    inside = np.flatnonzero((t.start < y) & (t.end > x) & (t.text == r))
-                    label[inside] = INSIDE
-                    label[inside[:1]] = BEGIN
-            chain = t.chains()
-            ids = batch.column(0).slice(i, j - i).to_pylist()
-            for c in range(int(chain[-1]) + 1 if len(chain) else 0):
-                own = np.flatnonzero(chain == c)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([ids[t.text[t.at[own[0]]]]], pa.int64()), pa.array([c], pa.int64()), pa.array([t.features[own].ravel().tolist()], pa.list_(pa.int64())), pa.array([label[t.at[own]].tolist()], pa.list_(pa.int64()))],
-                    names=["doc_id", "chain", "features", "labels"],
-                )
-
-
-def train(docs: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> Field:
-    """Fit on at most ``sample`` documents with an assignment, and as many others, in the order of an id hash."""
+        for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            rng = np.random.default_rng(abs(doc_id))
+            made = [examples(text or "", [], rng, True), examples(*planted(text or "", rng), rng, True)]
+            rows: list[tuple] = []
+            for t, label, chain in made:
+                for own in np.split(np.arange(len(chain)), np.flatnonzero(np.diff(chain)) + 1) if len(chain) else []:
+                    rows.append((doc_id, len(rows), t.features[own].ravel().tolist(), label[own].tolist()))
+            cols = list(zip(*rows, strict=True)) or [[], [], [], []]
+            kinds = (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["doc_id", "chain", "features", "labels"])
+
+
+def train(docs: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", chains: int = CHAINS) -> Field:
+    """Fit on at most ``sample`` documents with a base match, and as many others, in the order of an id hash, and on at most ``chains`` chains of them."""
     hit = F.coalesce(F.col(text_col).rlike(r"(?i)(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]|AKIA[A-Z0-9]{16}|[0-9a-f]{24}"), F.lit(False))
     src = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), hit.alias("hit"))
-    order = (F.xxhash64("doc_id", F.lit(9)), F.col("doc_id"))
-    ids = src.where("hit").orderBy(*order).limit(sample).unionByName(src.where("not hit").orderBy(*order).limit(sample)).select(F.col("doc_id").alias("sample_id"))
+    src = materialize(src.withColumn("o", F.xxhash64("doc_id", F.lit(9))), "hits")  # the texts are read once for both samples
+    best = lambda part: src.where(part).orderBy("o", "doc_id").limit(sample)
+    ids = best("hit").unionByName(best("not hit")).select(F.col("doc_id").alias("sample_id"))
     rows = docs.join(F.broadcast(ids), F.col(id_col) == F.col("sample_id"), "left_semi").select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     got = rows.groupBy("doc_id").agg(F.min("text").alias("text")).mapInArrow(_examples, "doc_id long, chain long, features array<long>, labels array<long>")
-    got = got.orderBy("doc_id", F.hash("features"), "chain").limit(40 * sample).collect()
-    features = np.array([x for r in got for x in r.features], np.int64).reshape(-1, 14)
+    got = got.orderBy(F.xxhash64("doc_id", "chain"), "doc_id", "chain").limit(chains).collect()
+    release(src)
+    features = np.array([x for r in got for x in r.features], np.int64).reshape(-1, FEATURES)
     labels = np.array([x for r in got for x in r.labels], np.int64)
-    chain = np.repeat(np.arange(len(got)), [len(r.labels) for r in got])
-    return fit_field(features, chain, labels)
+    return fit_field(features, np.repeat(np.arange(len(got)), [len(r.labels) for r in got]), labels)
+
+
+def found_spans(data: np.ndarray, offsets: np.ndarray, field: Field) -> dict[int, list[tuple[int, int]]]:
+    """Spans of the field in each of the texts, in code points."""
+    t = Tokens(data, offsets)
+    chain = t.chains()
+    label = field.decode(t.features, chain)
+    out: dict[int, list[tuple[int, int]]] = {}
+    later = np.flatnonzero((data & 0xC0) == 0x80)  # bytes that begin no character
+    points = lambda at: at - np.searchsorted(later, at)
+    zero, start, end = points(offsets), points(t.start[t.at]), points(t.end[t.at])
+    for c in np.flatnonzero(label != OUT).tolist():
+        r = int(t.text[t.at[c]])
+        own, a, b = out.setdefault(r, []), int(start[c] - zero[r]), int(end[c] - zero[r])
+        if label[c] == INSIDE and own and c and chain[c - 1] == chain[c] and label[c - 1] != OUT:
+            own[-1] = (own[-1][0], b)
+        else:
+            own.append((a, b))
+    return out
 
 
-def scan_text(raw: bytes, candidates: list[tuple[int, int]]) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
-    """Base spans and all spans of one text; ``candidates`` are byte bounds that the field found."""
-    text = raw.decode("utf-8", "replace")
-    base = base_spans(text)
-    every = list(base)
-    for a, b in candidates:
-        a, b = len(raw[:a].decode("utf-8", "replace")), len(raw[:b].decode("utf-8", "replace"))
-        if not any(s < b and a < e for s, _, e in base):
-            every.append((a, 3, b))
-    return base, sorted(every)
+def all_spans(base: list[tuple[int, int, int]], found: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
+    """Base spans, and those found that overlap none of them."""
+    starts, ends, far = [s for s, _, _ in base], [], 0
+    for _, _, e in base:
+        far = max(far, e)
+        ends.append(far)
+    free = lambda a, b: not (i := bisect_left(starts, b)) or ends[i - 1] <= a
+    return sorted([*base, *((a, 3, b) for a, b in found if free(a, b))])
 
 
 def written(spans: list[tuple[int, int, int]]) -> str:
@@ -283,31 +364,20 @@ def written(spans: list[tuple[int, int, int]]) -> str:
 def scan(docs: DataFrame, field: Field, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_assign, n_access, n_hex, base_sha256, spans) of every row, repeated rows one by one.
 
-    A null text counts as empty. Spans are ``kind:start:end`` in code points, by start and then
-    kind; spans that the field adds have the kind ``crf`` and never overlap a base span. An empty
+    A null text counts as empty, a null id comes back. Spans are ``kind:start:end`` in code points, by start and then
+    kind; spans that the field adds have the kind ``crf`` and never overlap a base span. Texts are scanned whole, in time that grows with their length. An empty
     table gives an empty result. Only the two named columns are read.
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, j, data, offsets in text_slices(batch):
-                t = Tokens(data, offsets)
-                chain = t.chains()
-                label = field.decode(t.features, chain)
-                found: dict[int, list[tuple[int, int]]] = {}
-                for c in np.flatnonzero(label != OUT).tolist():
-                    k = t.at[c]
-                    own = found.setdefault(int(t.text[k]), [])
-                    a, b = int(t.start[k] - offsets[t.text[k]]), int(t.end[k] - offsets[t.text[k]])
-                    if label[c] == INSIDE and own and c and chain[c - 1] == chain[c] and label[c - 1] != OUT:
-                        own[-1] = (own[-1][0], b)
-                    else:
-                        own.append((a, b))
+                found = found_spans(data, offsets, field)
                 cols: list[list] = [[], [], [], [], []]
                 for r in range(j - i):
-                    base, every = scan_text(data[offsets[r] : offsets[r + 1]].tobytes(), found.get(r, []))
+                    base = base_spans(data[offsets[r] : offsets[r + 1]].tobytes().decode("utf-8", "replace"))
                     kinds = [k for _, k, _ in base]
-                    for col, v in zip(cols, (kinds.count(0), kinds.count(1), kinds.count(2), hashlib.sha256(written(base).encode()).hexdigest(), written(every)), strict=True):
+                    for col, v in zip(cols, (kinds.count(0), kinds.count(1), kinds.count(2), hashlib.sha256(written(base).encode()).hexdigest(), written(all_spans(base, found.get(r, [])))), strict=True):
                         col.append(v)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), *[pa.array(c, pa.int64()) for c in cols[:3]], *[pa.array(c, pa.string()) for c in cols[3:]]], names=["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"])
 
