@@ -1,26 +1,36 @@
 """Nearest neighbours by largest inner product: a vantage-point tree per shard.
 
-Rows are dealt to shards by id. In a shard the vectors get one more coordinate that makes all
-norms equal, so that a larger inner product is a smaller distance, and a vantage-point tree is
-built over the distinct vectors. A batch of queries walks down the tree together; a child is
-left out for a query when ``factor`` times the triangle inequality's lower bound is above the
-query's current k-th distance. Factor one is exact; a larger factor prunes more. Queries come in
-blocks, each (shard, block) is one group, and each group returns its k best a query, of which
-the k best over all shards are ranked.
+Shards hold like vectors: rows go to the nearest of a few centers that are fitted on a bounded sample, and
+large clusters are split by a hash. Against the same sample each query learns a score that its k-th neighbour has at least, and is sent
+only to shards whose ball can hold better ones. In a shard the vectors get one more coordinate that makes all
+norms equal, so that a larger inner product is a smaller angle, and a vantage-point tree is
+built over the distinct vectors. Queries walk down the tree in batches; a child is
+left out for a query when ``factor`` times the triangle inequality's lower bounds from the vantage points above it exceeds the
+angle of the query's k-th score so far. Factor one is exact; a larger factor prunes more, here and among shards. Rows and queries of a
+shard reach one task sorted, rows first: the tree is built once and the queries stream through it. Each shard gives its k best a query,
+of which the k best over all shards are ranked.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 LEAF = 64
 #: Rows of a shard at least and at most, and shards meant for a table between.
 SHARD_ROWS, SHARDS = (1024, 65_536), 16
-#: Queries that walk down a tree together.
-BLOCK = 4096
+#: Rows that centers and first bounds are taken from, and centers at most.
+SAMPLE, CENTERS = 4096, 256
+#: Queries of a shard in one task, which its rows are copied for.
+BLOCK = 262_144
+#: Allowance for rounding in angles and scores.
+SLACK = 1e-6
+
+PLACED = "shard int, block int, asked boolean, id long, v array<double>, bound double"
 
 
 def usable(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -31,62 +41,92 @@ def usable(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return df.where(ok & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("vec_id"), v.cast("array<double>").alias("v"))
 
 
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Each row divided by its largest component."""
+    return x / np.abs(x).max(1, initial=0)[:, None] if len(x) else x
+
+
 class Tree:
-    """Vantage-point tree over the rows of ``x`` (all of one norm)."""
+    """Vantage-point tree over unit vectors, by their angles."""
 
-    def __init__(self, x: np.ndarray, leaf: int = LEAF):
-        self.x, self.leaf = x, leaf
-        self.root = self._build(np.arange(len(x)), 0)
+    def __init__(self, unit: np.ndarray, leaf: int = LEAF):
+        self.unit, self.leaf = unit, leaf
+        self.root = self._build(np.arange(len(unit)), 0)
 
     def _build(self, rows: np.ndarray, depth: int):
         if len(rows) <= self.leaf or depth > 40:
             return rows
-        vp = rows[(len(rows) * 7 + depth) % len(rows)]
-        d = np.sqrt(np.maximum(((self.x[rows] - self.x[vp]) ** 2).sum(1), 0))
+        # The farthest row from any one lies at the border, from where angles differ most.
+        start = rows[(len(rows) * 7 + depth) % len(rows)]
+        vp = rows[np.argmin(self.unit[rows] @ self.unit[start])]
+        d = np.arccos(np.clip(self.unit[rows] @ self.unit[vp], -1, 1))
         order = np.argsort(d, kind="stable")
-        half = len(rows) // 2
+        # The widest gap near the middle parts clusters rather than cuts them.
+        low, high = len(rows) * 3 // 10, len(rows) * 7 // 10
+        gaps = np.diff(d[order[low : high + 1]])
+        half = low + 1 + int(gaps.argmax()) if gaps.max() > 0 else len(rows) // 2
         near, far = order[:half], order[half:]
         return (vp, d[near[0]], d[near[-1]], d[far[0]], d[far[-1]], self._build(rows[near], depth + 1), self._build(rows[far], depth + 1))
 
 
+class Shard:
+    """Vectors of a shard, of which a tree holds the distinct ones."""
+
+    def __init__(self, ids: np.ndarray, x: np.ndarray):
+        order = np.argsort(ids, kind="stable")
+        self.ids, self.x = ids[order], x[order]
+        _, first, group = np.unique(self.x, axis=0, return_index=True, return_inverse=True)
+        place = np.argsort(first, kind="stable")  # groups in the order of their smallest ids
+        first, group = first[place], np.argsort(place)[group.ravel()]
+        self.by_group = np.argsort(group, kind="stable")
+        self.starts = np.searchsorted(group[self.by_group], np.arange(len(first)))
+        self.sizes = np.diff(np.append(self.starts, len(ids)))
+        self.top = float(np.abs(self.x).max())
+        self.points = self.x[first] / self.top
+        norms = (self.points * self.points).sum(1)
+        self.norm = float(np.sqrt(norms.max()))
+        unit = np.hstack([self.points, np.sqrt(np.maximum(self.norm**2 - norms, 0))[:, None]]) / self.norm
+        self.tree = Tree(unit)
+
+
 class Search:
-    """k largest inner products of each query against the distinct vectors of one tree."""
-
-    def __init__(self, x: np.ndarray, q: np.ndarray, k: int, factor: float):
-        norms = (x * x).sum(1)
-        m2 = norms.max()
-        self.x, self.q, self.k, self.factor = x, q, k, factor
-        self.tree = Tree(np.hstack([x, np.sqrt(np.maximum(m2 - norms, 0))[:, None]]))
-        self.qq = (q * q).sum(1) + m2
+    """k largest inner products of each query (scaled) against the distinct vectors of a shard (scaled); ``bound``: scores that k rows have anyway."""
+
+    def __init__(self, shard: Shard, q: np.ndarray, k: int, factor: float, bound: np.ndarray | None = None):
+        self.shard, self.q, self.k, self.factor = shard, q, k, factor
+        self.reach = np.sqrt((q * q).sum(1)) * shard.norm
+        self.bound = np.full(len(q), -np.inf) if bound is None else bound
         self.score = np.full((len(q), k), -np.inf)
         self.row = np.full((len(q), k), -1, np.int64)
         self.visited = 0
-        self._walk(self.tree.root, np.arange(len(q)))
+        self._walk(shard.tree.root, np.arange(len(q)), np.zeros(len(q)))
 
-    def _walk(self, node, who: np.ndarray) -> None:
+    def _walk(self, node, who: np.ndarray, low: np.ndarray) -> None:
+        """``low``: the largest lower bound of the angle from the vantage points above."""
+        open_ = self.factor * low <= self._angle(who) + SLACK
+        who, low = who[open_], low[open_]
         if not len(who):
             return
         if isinstance(node, np.ndarray):
             self._leaf(node, who)
             return
         vp, n0, n1, f0, f1, near, far = node
-        d = np.sqrt(np.maximum(self.qq[who] - 2 * (self.q[who] @ self.x[vp]), 0))
-        low_near = np.maximum(np.maximum(n0 - d, d - n1), 0)
-        low_far = np.maximum(np.maximum(f0 - d, d - f1), 0)
+        d = np.arccos(np.clip(self.q[who] @ self.shard.points[vp] / self.reach[who], -1, 1))
+        low_near = np.maximum(low, np.maximum(n0 - d, d - n1))
+        low_far = np.maximum(low, np.maximum(f0 - d, d - f1))
         first = low_near <= low_far
-        for side, child, other, low, low_other in ((first, near, far, low_near, low_far), (~first, far, near, low_far, low_near)):
-            self._walk(child, who[side][self._open(who[side], low[side])])
-            self._walk(other, who[side][self._open(who[side], low_other[side])])
+        for side, child, other, bound, bound_other in ((first, near, far, low_near, low_far), (~first, far, near, low_far, low_near)):
+            self._walk(child, who[side], bound[side])
+            self._walk(other, who[side], bound_other[side])
 
-    def _open(self, who: np.ndarray, low: np.ndarray) -> np.ndarray:
-        """Queries whose k-th distance so far is not below the bound; a hair of slack keeps ties."""
-        kth = np.sqrt(np.maximum(self.qq[who] - 2 * self.score[who, -1], 0))
-        return self.factor * low <= kth * (1 + 1e-9) + 1e-9
+    def _angle(self, who: np.ndarray) -> np.ndarray:
+        """The angle of each query's k-th score so far."""
+        return np.arccos(np.clip(np.maximum(self.score[who, -1], self.bound[who]) / self.reach[who], -1, 1))
 
     def _leaf(self, rows: np.ndarray, who: np.ndarray) -> None:
         self.visited += len(rows) * len(who)
-        s = self.q[who] @ self.x[rows].T
-        hit = s.max(1) >= self.score[who, -1]
+        s = self.q[who] @ self.shard.points[rows].T
+        hit = s.max(1) >= np.maximum(self.score[who, -1], self.bound[who] - SLACK * self.reach[who])
         who, s = who[hit], s[hit]
         both = np.hstack([self.score[who], s])
         at = np.hstack([self.row[who], np.broadcast_to(rows, s.shape)])
@@ -95,30 +135,60 @@ class Search:
         self.row[who] = np.take_along_axis(at, top, 1)
 
 
-def best_in_shard(ids: np.ndarray, x: np.ndarray, qids: np.ndarray, q: np.ndarray, k: int, factor: float) -> pd.DataFrame:
-    """The k best rows of one shard for each query, ties to the smaller id, without the query's own id."""
-    order = np.argsort(ids, kind="stable")
-    ids, x = ids[order], x[order]
-    _, first, group = np.unique(x, axis=0, return_index=True, return_inverse=True)
-    place = np.argsort(first, kind="stable")  # groups in the order of their smallest ids
-    first, group = first[place], np.argsort(place)[group.ravel()]
-    # Rows of equal vectors: one tree entry, and the smallest k + 1 ids are all that can be ranked.
-    by_group = np.argsort(group, kind="stable")
-    starts = np.searchsorted(group[by_group], np.arange(len(first)))
-    sizes = np.minimum(np.diff(np.append(starts, len(ids))), k + 1)
-    found = Search(x[first], q, min(k + 1, len(first)), factor)
+def best_in_shard(shard: Shard, qids: np.ndarray, q: np.ndarray, bound: np.ndarray, k: int, factor: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query number, id, score) of the k best rows of one shard for each query, ties to the smaller id, without the query's own id.
+
+    Scores are inner products in double precision on the original vectors, from the first component to the last.
+    """
+    found = Search(shard, scaled(q), min(k + 1, len(shard.points)), factor, bound)
     qi, slot = np.nonzero(found.row >= 0)
     g = found.row[qi, slot]
-    times = sizes[g]
+    # Of rows of equal vectors the smallest ids are all that can be ranked: k, and the query's own rows.
+    times = np.minimum(shard.sizes[g], k)
+    own = np.searchsorted(shard.ids, qids, "right") - np.searchsorted(shard.ids, qids, "left")
+    times = np.minimum(shard.sizes[g], times + own[qi])
     off = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
     qi, g = np.repeat(qi, times), np.repeat(g, times)
-    rows = by_group[starts[g] + off]
-    score = np.zeros(len(rows))
-    for j in range(x.shape[1]):  # in double precision on the original vectors, from the first component to the last
-        score += q[qi, j] * x[rows, j]
-    out = pd.DataFrame({"query_id": qids[qi], "vec_id": ids[rows], "score": score})
-    out = out[out.query_id != out.vec_id].sort_values(["query_id", "score", "vec_id"], ascending=[True, False, True])
-    return out[out.groupby("query_id").cumcount() < k]
+    rows = shard.by_group[shard.starts[g] + off]
+    with np.errstate(over="ignore", invalid="ignore"):
+        score = np.zeros(len(rows))
+        for j in range(q.shape[1]):
+            score += q[qi, j] * shard.x[rows, j]
+    ids = shard.ids[rows]
+    keep = ids != qids[qi]
+    qi, ids, score = qi[keep], ids[keep], score[keep]
+    order = np.lexsort((ids, -score, qi))
+    qi, ids, score = qi[order], ids[order], score[order]
+    place = np.arange(len(qi)) - np.searchsorted(qi, qi)
+    return qi[place < k], ids[place < k], score[place < k]
+
+
+def centers_of(sample: np.ndarray, count: int, rounds: int = 8) -> np.ndarray:
+    """``count`` centers of the (bounded) sample: rows far from each other, then means of their nearest rows."""
+    count = min(count, len(sample))
+    if not count:
+        return sample
+    picked, far = [0], ((sample - sample[0]) ** 2).sum(1)
+    while len(picked) < count:
+        picked.append(int(far.argmax()))
+        far = np.minimum(far, ((sample - sample[picked[-1]]) ** 2).sum(1))
+    centers = sample[picked]
+    for _ in range(rounds):
+        own = nearest_center(sample, centers)[0]
+        for c in range(count):
+            if (own == c).any():
+                centers[c] = sample[own == c].mean(0)
+    return centers
+
+
+def nearest_center(x: np.ndarray, centers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    d = (x * x).sum(1)[:, None] - 2 * x @ centers.T + (centers * centers).sum(1)
+    own = d.argmin(1)
+    return own, np.sqrt(((x - centers[own]) ** 2).sum(1))
+
+
+def _matrix(column: pa.Array, dim: int) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
 
 
 def nearest(
@@ -132,32 +202,85 @@ def nearest(
     """(query_id, rank, vec_id, score): each query's k rows of largest inner product, ties to smaller ids.
 
     Vectors that are null, empty, zero or hold null or non-finite components take no part, nor do
-    vectors of another length than most have. Rows that repeat an id count as one row
-    (the first in the order of components); a query's own id is never among its answers. With
-    fewer than k candidates all are returned. Empty tables give an empty result. Other columns
+    vectors of another length than most have, nor rows without an id. Rows that repeat an id are rows of their own, but those equal in
+    id and vector count once, as candidates and as queries; no row of a query's own id is among its answers. Components may be as large as doubles are;
+    a score beyond them is infinite. With fewer than k candidates all are returned. Empty tables give an empty result. Other columns
     are not read. ``factor`` relaxes the pruning; 1 searches exactly.
     """
     every = usable(vectors, id_col, vector_col)
     asked = usable(queries, id_col, vector_col)
-    common = every.groupBy(F.size("v").alias("d")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "d").first()
-    dim, n = (common["d"], common["n"]) if common else (0, 0)
+    top = F.max(F.array_max(F.transform("v", F.abs))).alias("top")
+    common = every.groupBy(F.size("v").alias("d")).agg(F.count(F.lit(1)).alias("n"), top).orderBy(F.desc("n"), "d").first()
+    dim, n, top = (common["d"], common["n"], common["top"]) if common else (1, 0, 1.0)
     every, asked = every.where(F.size("v") == dim), asked.where(F.size("v") == dim)
     per = min(max(n // SHARDS, SHARD_ROWS[0]), SHARD_ROWS[1])
-    shards, blocks = max(1, -(-n // per)), max(1, -(-asked.count() // BLOCK))
-    deal = lambda salt, parts: F.pmod(F.xxhash64(F.col("vec_id"), F.lit(salt)), F.lit(parts)).cast("int")
-    # Each shard's rows meet every block of queries, and each block every shard.
-    rows = every.withColumn("shard", deal(1, shards)).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    asks = asked.withColumn("block", deal(2, blocks)).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-
-    def matrix(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-        pdf = pdf.assign(t=pdf.v.map(tuple)).sort_values(["vec_id", "t"]).drop_duplicates("vec_id")
-        return pdf.vec_id.to_numpy(np.int64), np.array(pdf.t.tolist(), np.float64).reshape(len(pdf), -1)
-
-    def search(mine: pd.DataFrame, theirs: pd.DataFrame) -> pd.DataFrame:
-        if not len(mine) or not len(theirs):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
-        return best_in_shard(*matrix(mine), *matrix(theirs), k, factor)
-
-    found = rows.groupBy("shard", "block").cogroup(asks.groupBy("shard", "block")).applyInPandas(search, "query_id long, vec_id long, score double")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    sample = every.orderBy(F.xxhash64("vec_id", F.lit(3)), "vec_id", "v").limit(SAMPLE).collect()
+    some = {(r["vec_id"], tuple(r["v"])) for r in sample}
+    some_ids = np.array([i for i, _ in some], np.int64)
+    some_x = np.array([v for _, v in some], np.float64).reshape(-1, dim) / top
+    order = np.lexsort((*some_x.T, some_ids))
+    some_ids, some_x = some_ids[order], some_x[order]
+    centers = centers_of(some_x, min(CENTERS, -(-n // per)))
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own, far = nearest_center(_matrix(batch.column(1), dim) / top, centers)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(own.astype(np.int32)), pa.array(far)], names=["vec_id", "v", "center", "far"])
+
+    placed = every.mapInArrow(place, "vec_id long, v array<double>, center int, far double")
+    stats = {r["center"]: r for r in placed.groupBy("center").agg(F.count(F.lit(1)).alias("n"), F.max("far").alias("far")).collect()}
+    radius = np.array([stats[c]["far"] if c in stats else -np.inf for c in range(len(centers))])
+    parts = np.array([-(-stats[c]["n"] // per) if c in stats else 0 for c in range(len(centers))], np.int64)
+    begins = np.concatenate([[0], np.cumsum(parts)])
+    blocks = max(1, -(-asked.count() // BLOCK))
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each query to all shards that can hold one of its k best."""
+        for batch in batches:
+            ids, q = batch.column(0).to_numpy(), scaled(_matrix(batch.column(1), dim))
+            s = q @ some_x.T
+            s[ids[:, None] == some_ids[None, :]] = -np.inf
+            bound = np.partition(s, -k, axis=1)[:, -k] if s.shape[1] >= k else np.full(len(q), -np.inf)
+            norm = np.sqrt((q * q).sum(1))
+            best = q @ centers.T + norm[:, None] * np.maximum(radius, 0)[None, :] / factor
+            row, c = np.nonzero((best >= bound[:, None] - SLACK * norm[:, None]) & (parts > 0)[None, :])
+            row, c = np.repeat(row, parts[c]), np.repeat(c, parts[c])
+            sub = np.arange(len(row)) - np.searchsorted(row * len(centers) + c, row * len(centers) + c)
+            block = (ids[row].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)) % np.uint64(blocks)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array((begins[c] + sub).astype(np.int32)), pa.array(block.astype(np.int32)), pa.array(np.ones(len(row), bool)), pa.array(ids[row]), batch.column(1).take(pa.array(row)), pa.array(bound[row])],
+                names=["shard", "block", "asked", "id", "v", "bound"],
+            )
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows of a shard, then its queries."""
+        key, rows, shard = None, [], None
+        for batch in batches:
+            code = batch.column(0).to_numpy().astype(np.int64) * blocks + batch.column(1).to_numpy()
+            is_query = batch.column(2).to_numpy(zero_copy_only=False)
+            ids, x, bound = batch.column(3).to_numpy(), _matrix(batch.column(4), dim), batch.column(5).to_numpy(zero_copy_only=False)
+            cuts = np.flatnonzero((np.diff(code) != 0) | (np.diff(is_query.astype(np.int8)) != 0)) + 1
+            for own in np.split(np.arange(len(code)), cuts):
+                if code[own[0]] != key:
+                    key, rows, shard = code[own[0]], [], None
+                if not is_query[own[0]]:
+                    _, first = np.unique(np.column_stack([ids[own].view(np.float64), x[own]]), axis=0, return_index=True)  # copies of a row stand together
+                    rows.append((ids[own][np.sort(first)], x[own][np.sort(first)]))
+                    continue
+                if shard is None and rows:
+                    shard = Shard(np.concatenate([r[0] for r in rows]), np.concatenate([r[1] for r in rows]))
+                if shard is not None:
+                    with np.errstate(over="ignore", invalid="ignore"):
+                        least = np.nan_to_num(bound[own] * (top / shard.top), nan=-np.inf, posinf=np.inf, neginf=-np.inf)
+                    qi, found, score = best_in_shard(shard, ids[own], x[own], least, k, factor)
+                    at = pa.array(own[qi])
+                    yield pa.RecordBatch.from_arrays([batch.column(3).take(at), batch.column(4).take(at), pa.array(found), pa.array(score)], names=["query_id", "q", "vec_id", "score"])
+
+    shard = F.element_at(F.array(*[F.lit(int(b)) for b in begins[:-1]]), F.col("center") + 1) + F.pmod(F.xxhash64("vec_id", "v"), F.element_at(F.array(*[F.lit(int(max(m, 1))) for m in parts]), F.col("center") + 1))
+    if not len(centers):
+        return every.select(F.col("vec_id").alias("query_id"), F.lit(1).alias("rank"), "vec_id", F.lit(0.0).alias("score")).limit(0)
+    rows = placed.select(shard.cast("int").alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(False).alias("asked"), F.col("vec_id").alias("id"), "v", F.lit(None).cast("double").alias("bound"))
+    every_row = rows.unionByName(asked.dropDuplicates().mapInArrow(ask, PLACED)).repartition(int(max(1, begins[-1] * blocks)), "shard", "block")
+    found = every_row.sortWithinPartitions("shard", "block", "asked", "id", "v").mapInArrow(search, "query_id long, q array<double>, vec_id long, score double")
+    best = Window.partitionBy("query_id", "q").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
