@@ -1,10 +1,11 @@
 """Packing documents into sequences: first-fit decreasing in randomised groups.
 
 Texts become token ids in Arrow batches. A document is cut into pieces of at most ``capacity``
-ids; the pieces go to groups drawn at random from the document id, and each group is packed by
+ids; the documents go to groups drawn at random from their ids and contents, and each group is packed by
 itself: pieces in decreasing length, each into the first bin that has room. A tournament tree
 over the bins' free room finds that bin in log time. The number of groups follows from the
-number of documents, so a group stays small however large the table is. Only piece records
+number of documents, and copies of one row are counted before they are dealt, at most ``group_docs`` to a group,
+so a group stays small however large the table is. Only piece records
 (and the ids, if asked for) are shuffled, never texts.
 """
 
@@ -34,7 +35,7 @@ class Encoder:
 
     Where the file's ids follow the order of its merges, as is usual, the merges are run by
     ``tiktoken``, which gives the same ids in a third of the time. Texts that hold the string of an
-    added token, and files of another kind, are left to ``tokenizers`` itself.
+    added token or are too much for its pattern, and files of another kind, are left to ``tokenizers`` itself.
     """
 
     def __init__(self, path: str):
@@ -63,9 +64,12 @@ class Encoder:
         return tiktoken.Encoding("bpe", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def encode(self, text: str) -> np.ndarray:
-        if self.fast is None or any(t in text for t in self.added):
-            return np.array(self.tok.encode(text, add_special_tokens=False).ids, np.uint32)
-        return self.fast.encode_to_numpy(text, disallowed_special=())
+        if self.fast is not None and not any(t in text for t in self.added):
+            try:
+                return self.fast.encode_to_numpy(text, disallowed_special=())
+            except ValueError:  # its pattern has a limit for long runs of white space
+                pass
+        return np.array(self.tok.encode(text, add_special_tokens=False).ids, np.uint32)
 
 
 def encoder(path: str) -> Encoder:
@@ -76,18 +80,19 @@ def encoder(path: str) -> Encoder:
 
 def piece_records(docs: DataFrame, tokenizer_path: str, capacity: int, with_ids: bool, id_col: str, text_col: str) -> DataFrame:
     """One record for each piece of at most ``capacity`` ids."""
-    schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long" + (", ids array<int>" if with_ids else "")
+    schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, doc_crc32 long" + (", ids array<int>" if with_ids else "")
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer_path)
         for batch in batches:
-            rows: dict[str, list] = {"doc_id": [], "start": [], "length": [], "ids_crc32": [], "doc_tokens": []}
+            rows: dict[str, list] = {"doc_id": [], "start": [], "length": [], "ids_crc32": [], "doc_tokens": [], "doc_crc32": []}
             ids_out = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 ids = np.append(enc.encode(text.as_py() or ""), np.uint32(END_ID)).astype("<u4")
+                whole = zlib.crc32(ids.tobytes())
                 for s in range(0, len(ids), capacity):
                     part = ids[s : s + capacity]
-                    for k, v in zip(rows, (doc_id, s, len(part), zlib.crc32(part.tobytes()), len(ids)), strict=True):
+                    for k, v in zip(rows, (doc_id, s, len(part), zlib.crc32(part.tobytes()), len(ids), whole), strict=True):
                         rows[k].append(v)
                     if with_ids:
                         ids_out.append(part.astype(np.int32))
@@ -141,23 +146,33 @@ def pack(
 
     Each document's ids, with the end id after them, lie in exactly one piece each; a sequence
     holds at most ``capacity`` ids and has no gaps. A null text is an empty one: one piece with
-    the end id. Repeated rows are packed as often as they stand. Pieces of equal length keep the
-    order (id, start). An empty table gives an empty result. Only the two named columns are read.
+    the end id. A null id is an id like others. Repeated rows are packed as often as they stand. Pieces of equal length keep the
+    order (id, start). Texts are encoded whole, however long, runs of white space included. An empty table gives an empty result.
+    Only the two named columns are read.
     ``with_ids`` adds the ids of each piece as an array.
     """
     groups = max(1, -(-docs.count() // group_docs))
     recs = piece_records(docs, tokenizer_path, capacity, with_ids, id_col, text_col)
-    recs = recs.withColumn("grp", F.pmod(F.xxhash64(F.col("doc_id"), F.lit(seed)), F.lit(groups)))
-    fields = recs.schema.fieldNames()
+    fields = [c for c in recs.columns if c != "doc_crc32"]
+    same = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "doc_crc32"]
+    if with_ids:
+        recs = recs.withColumn("_h", F.xxhash64("ids")).groupBy(*same, "_h").agg(F.count(F.lit(1)).alias("times"), F.first("ids").alias("ids"))
+    else:
+        recs = recs.groupBy(*same).agg(F.count(F.lit(1)).alias("times"))
+    # Copies of one row are dealt in lots.
+    recs = recs.withColumn("lot", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("times") - 1) / group_docs))))
+    recs = recs.withColumn("times", F.least(F.lit(group_docs), F.col("times") - F.col("lot") * group_docs).cast("int"))
+    recs = recs.select(*fields, "times", F.pmod(F.xxhash64("doc_id", "doc_crc32", "lot", F.lit(seed)), F.lit(groups)).alias("grp"))
 
     def fit(table: pa.Table) -> pa.Table:
-        length, doc, start = (table.column(c).to_numpy() for c in ("length", "doc_id", "start"))
+        table = table.take(pa.array(np.repeat(np.arange(len(table)), table.column("times").to_numpy())))
+        length, start = (table.column(c).to_numpy() for c in ("length", "start"))
+        doc = table.column("doc_id").fill_null(-(1 << 62)).to_numpy()
         order = np.lexsort((start, doc, -length))
         bins, offsets = first_fit(length[order], capacity)
         out = table.take(pa.array(order))
         seq = out.column("grp").to_numpy() * (1 << 32) + bins
-        return out.append_column("sequence_id", pa.array(seq, pa.int64())).append_column("offset", pa.array(offsets, pa.int64()))
+        return out.select(fields).append_column("sequence_id", pa.array(seq, pa.int64())).append_column("offset", pa.array(offsets, pa.int64()))
 
-    schema = ", ".join([f"{f.name} {f.dataType.simpleString()}" for f in recs.schema.fields] + ["sequence_id long", "offset long"])
-    packed = recs.groupBy("grp").applyInArrow(fit, schema)
-    return packed.select(*[f for f in fields if f != "grp"], "sequence_id", "offset")
+    schema = ", ".join([f"{f.name} {f.dataType.simpleString()}" for f in recs.select(*fields).schema.fields] + ["sequence_id long", "offset long"])
+    return recs.groupBy("grp").applyInArrow(fit, schema)
