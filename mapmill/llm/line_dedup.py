@@ -1,9 +1,10 @@
 """Line deduplication by winnowing over line hashes (native).
 
 Every window of ``window`` consecutive lines selects its least line hash, so two places that
-share a run of at least that many lines select a common fingerprint. Fingerprints that stand at
-one place only are dropped; the windows of the others are matched on all their lines, and
-matching windows that follow each other make up the extended run. Lines of runs that stand
+share a run of at least that many lines select a common fingerprint. Only selected minima leave the texts, each once
+a place and with the hashes of the lines around it. Fingerprints that stand at
+one place only are dropped; the matches of the others are extended both ways, over all windows that hold
+the fingerprint, and matching windows that overlap or follow each other make up the repeated run. Lines of runs that stand
 earlier (in the order of id, then place) are deleted. Only hashes and places are shuffled to
 find them; first places are map-side combined minima, written before they are joined, so that
 a run in a third of all documents is a skewed join that Spark can split.
@@ -18,10 +19,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mapmill.llm.words import SPACE_CHARS, let, words
-from mapmill.storage import materialize
+from mapmill.storage import materialize, release
 
 WINDOW = 3
-#: Words of a repeated paragraph or of few lines that the pipeline deletes.
+#: Words of a repeated paragraph or of few lines that the query and the pipeline delete.
 MIN_WORDS = 50
 
 
@@ -35,48 +36,70 @@ def places(lines: Column) -> Column:
     return F.filter(numbered, lambda i: i.isNotNull())
 
 
-_WINDOWS = "array<struct<i: int, size: int, fp: bigint, at: int, run: bigint>>"
+_PRINTS = "array<struct<fp: bigint, at: int, low: int, near: array<struct<h: bigint, n: int>>, lines: int>>"
 
 
 def line_hash(line: Column) -> Column:
     return F.xxhash64(F.btrim(line, F.lit(SPACE_CHARS)))
 
 
-def windows(text: Column, window: int, min_words: int | None) -> Column:
-    """Array of (i, size, fp, at, run): the window's first line and lines, its least line hash and where that stands, and the hash of all its lines."""
+def sizes(window: int, min_words: int | None) -> list[int]:
+    return [window] if min_words is None else list(range(1, window + 1))
 
-    def sized(x: Column, size: int) -> Column:
-        """Windows of ``size`` lines; shorter ones than ``window`` only of ``min_words`` words, or of the whole text."""
-        h = F.transform(x, lambda e: e["h"])
 
-        def one(i: Column) -> Column:
-            return let(
-                F.slice(h, i + 1, size),
-                lambda w: F.struct(i.alias("i"), F.lit(size).alias("size"), F.array_min(w).alias("fp"), (i + F.array_position(w, F.array_min(w)).cast("int")).alias("at"), F.xxhash64(w).alias("run")),
-            )
+def is_window(lines: Column, count: Column, window: int, min_words: int | None) -> Column:
+    """Whether ``lines`` (h, n) of a text of ``count`` lines are a window: of the full size, of so many words, or the whole text."""
+    enough = F.size(lines) == window
+    if min_words is None:
+        return enough
+    return enough | (F.size(lines) == count) | (F.aggregate(lines, F.lit(0), lambda n, e: n + e["n"]) >= min_words)
 
-        at = F.sequence(F.lit(0), F.size(x) - size)
-        if size < window:
-            count = lambda i: F.aggregate(F.slice(x, i + 1, size), F.lit(0), lambda n, e: n + e["n"])
-            at = F.filter(at, lambda i: (F.size(x) == size) | (count(i) >= min_words))
-        return F.when(F.size(x) < size, F.array().cast(_WINDOWS)).otherwise(F.transform(at, one))
+
+def fingerprints(text: Column, window: int, min_words: int | None) -> Column:
+    """Array of (fp, at, low, near, lines): each selected line hash and its place, the lines around it from ``low`` on, and the text's number of lines."""
+
+    def selected(x: Column, size: int) -> Column:
+        """Places of the least line hashes of the windows of ``size`` lines."""
+        starts = F.filter(F.sequence(F.lit(0), F.size(x) - size), lambda i: is_window(F.slice(x, i + 1, size), F.size(x), window, min_words))
+        least = lambda i: let(F.transform(F.slice(x, i + 1, size), lambda e: e["h"]), lambda h: i + F.array_position(h, F.array_min(h)).cast("int") - 1)
+        return F.when(F.size(x) < size, F.array().cast("array<int>")).otherwise(F.transform(starts, least))
+
+    def one(x: Column, p: Column) -> Column:
+        low = F.greatest(p - (window - 1), F.lit(0))
+        return F.struct(x[p]["h"].alias("fp"), p.alias("at"), low.alias("low"), F.slice(x, low + 1, p + window - low).alias("near"), F.size(x).alias("lines"))
 
     def line(x: Column) -> Column:
         return F.struct(line_hash(x).alias("h"), (F.lit(0) if min_words is None else F.size(words(x))).alias("n"))
 
-    sizes = [window] if min_words is None else range(1, window + 1)
     lines = let(text_lines(text), lambda x: F.transform(places(x), lambda i: line(x[i])))
-    return let(lines, lambda x: F.concat(*[sized(x, s) for s in sizes]))
+    spots = lambda x: F.array_distinct(F.concat(*[selected(x, s) for s in sizes(window, min_words)]))
+    return let(lines, lambda x: let(spots(x), lambda ps: F.transform(ps, lambda p: one(x, p)))).cast(_PRINTS)
+
+
+def windows_around(window: int, min_words: int | None) -> Column:
+    """Array of (i, size, run): the windows that hold the fingerprint of a row (at, low, near, lines), and the hash of all their lines."""
+    near, at, low = F.col("near"), F.col("at"), F.col("low")
+
+    def sized(size: int) -> Column:
+        first, last = F.greatest(at - (size - 1), low), F.least(at, low + F.size(near) - size)
+        held = F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<int>"))
+        cut = lambda i: F.slice(near, i - low + 1, size)
+        held = F.filter(held, lambda i: is_window(cut(i), F.col("lines"), window, min_words))
+        return F.transform(held, lambda i: F.struct(i.alias("i"), F.lit(size).alias("size"), F.xxhash64(F.transform(cut(i), lambda e: e["h"])).alias("run")))
+
+    return F.concat(*[sized(s) for s in sizes(window, min_words)])
 
 
 def repeated_windows(docs: DataFrame, id_col: str, text_col: str, window: int, min_words: int | None) -> DataFrame:
     """(doc_id, text_hash, starts): the windows of each document that stand earlier, in a document of a smaller id or higher up."""
-    src = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col)).alias("text_hash"), F.explode(windows(F.col(text_col), window, min_words)).alias("w"))
-    win = materialize(src.select("doc_id", "text_hash", "w.i", "w.size", "w.fp", "w.at", "w.run"), "windows")
+    src = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col)).alias("text_hash"), F.explode(fingerprints(F.col(text_col), window, min_words)).alias("w"))
+    prints = materialize(src.select("doc_id", "text_hash", "w.*"), "prints")
     spot = F.struct("doc_id", "text_hash", "at")
-    prints = win.groupBy("fp").agg(F.min(spot).alias("lo"), F.max(spot).alias("hi")).where("lo <> hi").select(F.col("fp").alias("f"))
-    met = win.join(materialize(prints, "prints"), F.col("fp") == F.col("f"), "left_semi")
-    met = materialize(met.select("doc_id", "text_hash", "i", "size", "run"), "met")
+    shared = prints.groupBy("fp").agg(F.min(spot).alias("lo"), F.max(spot).alias("hi")).where("lo <> hi").select(F.col("fp").alias("f"))
+    met = prints.join(materialize(shared, "shared"), F.col("fp") == F.col("f"), "left_semi")
+    met = met.select("doc_id", "text_hash", F.explode(windows_around(window, min_words)).alias("w"))
+    met = materialize(met.select("doc_id", "text_hash", "w.i", "w.size", "w.run"), "met")
+    release(prints)
     here = F.struct("doc_id", "text_hash", "i")
     firsts = met.groupBy("run").agg(F.min(here).alias("lo"), F.max(here).alias("hi")).where("lo <> hi").select(F.col("run").alias("r"), "lo")
     later = met.join(materialize(firsts, "firsts"), (F.col("run") == F.col("r")) & (here != F.col("lo")))
@@ -88,7 +111,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Lines are compared without white space at their ends; lines without a word take no part in
     runs and stay. A run may overlap the earlier run that it repeats. A null text stays null and
-    has no lines. With ``min_words``, fewer lines are a run too if they hold so many words, or are all
+    has no lines; a text is handled whole however long. With ``min_words``, fewer lines are a run too if they hold so many words, or are all
     lines of both documents. Rows of the same id and text are one document, so none of them is deleted for
     another; a null id counts as the smallest. Without ``min_words``, a document of fewer
     lines than the window has no run. An empty table stays empty. Other columns of ``docs`` pass through unread.

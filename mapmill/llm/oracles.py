@@ -121,13 +121,19 @@ WITH d AS (
   SELECT row, doc_id, text, k, trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS line,
          row_number() OVER (PARTITION BY row ORDER BY k) AS i
   FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]')
+), q AS (
+  SELECT *, count(*) OVER (PARTITION BY row) AS n, len(list_filter(regexp_split_to_array(line, '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS m FROM p
 ), w AS (
-  SELECT a.row, a.doc_id, a.text, a.i, a.line || chr(10) || b.line || chr(10) || c.line AS run
+  SELECT row, doc_id, text, i, 1 AS size, line AS run FROM q WHERE n = 1 OR m >= 50
+  UNION ALL
+  SELECT a.row, a.doc_id, a.text, a.i, 2, a.line || chr(10) || b.line FROM q a JOIN q b ON a.row = b.row AND b.i = a.i + 1 WHERE a.n = 2 OR a.m + b.m >= 50
+  UNION ALL
+  SELECT a.row, a.doc_id, a.text, a.i, 3, a.line || chr(10) || b.line || chr(10) || c.line
   FROM p a JOIN p b ON a.row = b.row AND b.i = a.i + 1 JOIN p c ON a.row = c.row AND c.i = a.i + 2
 ), f AS (
-  SELECT *, row_number() OVER (PARTITION BY run ORDER BY doc_id NULLS FIRST, text, i) AS nth FROM w
+  SELECT *, row_number() OVER (PARTITION BY size, run ORDER BY doc_id NULLS FIRST, text, i) AS nth FROM w
 ), g AS (
-  SELECT DISTINCT p.row, p.k FROM f JOIN p ON f.row = p.row AND p.i BETWEEN f.i AND f.i + 2 WHERE f.nth > 1
+  SELECT DISTINCT p.row, p.k FROM f JOIN p ON f.row = p.row AND p.i BETWEEN f.i AND f.i + f.size - 1 WHERE f.nth > 1
 ), k AS (
   SELECT l.row, string_agg(l.line, chr(10) ORDER BY l.k) AS text FROM l LEFT JOIN g ON l.row = g.row AND l.k = g.k WHERE g.k IS NULL GROUP BY l.row
 ), n AS (

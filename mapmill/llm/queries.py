@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from mapmill.llm.host_rules import host_rules
 from mapmill.llm.html_text import extract_text
-from mapmill.llm.line_dedup import dedup_lines
+from mapmill.llm.line_dedup import MIN_WORDS, dedup_lines
 from mapmill.llm.mixing import mix
 from mapmill.llm.near_duplicates import near_duplicates
 from mapmill.llm.neighbours import nearest
@@ -68,7 +68,7 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_deleted")
+    return dedup_lines(table(spark, sf_dir, "documents"), min_words=MIN_WORDS).select("doc_id", "text", "n_lines", "n_deleted")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
