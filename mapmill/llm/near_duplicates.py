@@ -113,13 +113,17 @@ def with_component(frame: DataFrame, comp: DataFrame | None) -> DataFrame:
 
 
 def keys_in_common(frame: DataFrame, side: int | None) -> DataFrame:
-    """``frame`` (rep, n, c, own) with those keys of ``own`` only that classes of other components have too; classes without any are left out."""
-    keys = frame.select("rep", "n", "c", F.explode("own").alias("x")).select("rep", "n", "c", "x.s", "x.hk")
-    ends = keys.groupBy("hk").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select(F.col("hk").alias("common_hk"))
-    own = keys.join(materialize(ends, "common"), F.col("hk") == F.col("common_hk")).groupBy("rep", "n", "c").agg(F.collect_list(F.struct("s", "hk")).alias("own"))
+    """``frame`` (rep, n, own, and c if there are components) with those keys of ``own`` only that others have too: classes of other components,
+    or without components any other class. Classes without any such key are left out.
+    """
+    linked = "c" in frame.columns
+    keys = frame.select("rep", *["c"] * linked, F.explode("own").alias("x")).select("rep", *["c"] * linked, "x.s", "x.hk")
+    ends = keys.groupBy("hk").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi") if linked else keys.groupBy("hk").count().where("count > 1")
+    own = keys.drop("c").join(materialize(ends.select(F.col("hk").alias("common_hk")), "common"), F.col("hk") == F.col("common_hk"))
+    own = own.groupBy(F.col("rep").alias("r")).agg(F.collect_list(F.struct("s", "hk")).alias("own"))
     if side is not None:
         own = own.where(F.exists("own", lambda x: x["s"] < side) & F.exists("own", lambda x: x["s"] >= side))
-    return own
+    return frame.drop("own").join(own, F.col("rep") == F.col("r")).drop("r")
 
 
 def in_tables(frame: DataFrame, side: int | None, batch: tuple[int, int] | None = None) -> DataFrame:
@@ -221,8 +225,8 @@ def meeting_classes(reps: DataFrame, side: int | None) -> DataFrame:
 
     With ``side``, the halves are two collections of so many half-keys, and one of each is needed; without, each one is a table of its own.
     """
-    keyed = reps.select("rep", "n", F.col("rep").alias("c"), F.transform("halves", lambda x, i: F.struct(i.alias("s"), x.alias("hk"))).alias("own"))
-    return materialize(keys_in_common(keyed, side).drop("c"), "keyed")
+    keyed = reps.select("rep", "n", F.transform("halves", lambda x, i: F.struct(i.cast("int").alias("s"), x.alias("hk"))).alias("own"))
+    return materialize(keys_in_common(keyed, side), "keyed")
 
 
 def link_classes(keyed: DataFrame, sets: DataFrame, side: int | None, percent: int = PERCENT, batches: tuple = BATCHES) -> DataFrame | None:
