@@ -90,6 +90,11 @@ def reproject(rings: Column, to=mercator) -> Column:
     return F.transform(rings, lambda ring: F.transform(ring, point))
 
 
+def reproject_geometry(kind: Column, rings: Column, to=mercator) -> Column:
+    """Rings of a Point, LineString or Polygon after a point transform; another type is an error."""
+    return F.when(kind.isin("Point", "LineString", "Polygon"), reproject(rings, to)).otherwise(F.raise_error(F.concat(F.lit("no such geometry type: "), F.coalesce(kind, F.lit("null")))))
+
+
 def box_of(points: Column) -> Column:
     """[x1, y1, x2, y2] of an array of points."""
     xs, ys = F.transform(points, lambda p: p[0]), F.transform(points, lambda p: p[1])

@@ -141,6 +141,22 @@ def clean_candidate(raw: Column, trims: str, lead: str, prefix: str, markers: li
     return F.btrim(strip_to_tail(inner, prefix, markers), F.lit(trims))
 
 
+def simple_name(raw: Column, lead: str, particles: str, trims: str) -> Column:
+    """A short clean-up: leading date characters go, then leading particles and marks, then outer punctuation."""
+    return F.btrim(F.regexp_replace(F.regexp_replace(raw, f"^(?:{lead})+", ""), f"^(?:{particles})+", ""), F.lit(trims))
+
+
+def short_name(name: Column, bad_parts: list[str], low: int = 2, high: int = 18) -> Column:
+    """Whether a name is neither too short nor too long and has none of the bad parts."""
+    ok = F.length(name).between(low, high)
+    return ok & ~name.rlike("|".join("\\Q" + w + "\\E" for w in bad_parts)) if bad_parts else ok
+
+
+def popup(title: Column, parts: list[tuple[str, Column]], mark: str = "：") -> Column:
+    """A title and one line for each label and value; a missing value is blank."""
+    return F.concat_ws("\n", F.coalesce(title, F.lit("")), *[F.concat(F.lit(label + mark), F.coalesce(value.cast("string"), F.lit(""))) for label, value in parts])
+
+
 def type_by_suffix(name: Column, rules: list[tuple[str, str]], default: str = "place") -> Column:
     """The type of the first rule whose suffix ends the name."""
     out = F.lit(default)

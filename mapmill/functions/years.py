@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mapmill.functions.text import let
@@ -62,6 +62,16 @@ def time_window(year: Column, windows=TIME_WINDOWS, default: str = NO_TIME) -> C
     return out
 
 
+def window_join(df: DataFrame, year: str, windows: DataFrame, default: str = NO_TIME, name: str = "time_type") -> DataFrame:
+    """``df`` with the label of the first closed window that holds its year.
+
+    ``windows``: (low, high, label, ordinal), a configuration table; it becomes one broadcast row, so no row of ``df`` is repeated.
+    """
+    one = windows.agg(F.array_sort(F.collect_list(F.struct("ordinal", "low", "high", "label"))).alias("_w")).withColumn("_one", F.lit(1))
+    held = F.get(F.filter("_w", lambda w: F.col(year).between(w["low"], w["high"])), F.lit(0))["label"]
+    return df.withColumn("_one", F.lit(1)).join(F.broadcast(one), "_one").withColumn(name, F.coalesce(held, F.lit(default))).drop("_w", "_one")
+
+
 def has_year(line: Column) -> Column:
     """Whether a line holds a year from 1800 to 2099 as a number of its own."""
     return line.rlike(r"(?<!\d)(?:1[89]\d{2}|20\d{2})(?!\d)")

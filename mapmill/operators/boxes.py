@@ -6,11 +6,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mapmill.functions import geo, text
-from mapmill.operators.ranking import first_n
+from mapmill.operators.ranking import first_n, global_rank, top
 from mapmill.storage import materialize, release
 
 IOU = 0.48
 MIN_CONFIDENCE = 0.48
+#: Alternative texts of a kept box that are listed.
+SHOWN = 8
 
 
 def ocr_candidates(detections: DataFrame, least: float = MIN_CONFIDENCE) -> DataFrame:
@@ -51,17 +53,19 @@ def box_edges(boxes: DataFrame, cell: float = 64.0, threshold: float = IOU) -> D
     """
     b = F.col("bbox")
     grow = F.greatest(F.lit(8.0), F.sqrt(geo.area(b)) * 0.18)
-    cells = lambda lo, hi: F.sequence(F.floor((lo - grow) / cell).cast("int"), F.floor((hi + grow) / cell).cast("int"))
-    spread = boxes.select("map_id", "seq", "quality", "text", text.has_term(F.col("text")).alias("term"), "bbox", F.explode(cells(b[0], b[2])).alias("cx"), cells(b[1], b[3]).alias("ys"))
+    first = lambda lo: F.floor((lo - grow) / cell).cast("int")
+    cells = lambda lo, hi: F.sequence(first(lo), F.floor((hi + grow) / cell).cast("int"))
+    spread = boxes.select("map_id", "seq", "quality", "text", text.has_term(F.col("text")).alias("term"), "bbox", first(b[0]).alias("x0"), first(b[1]).alias("y0"), F.explode(cells(b[0], b[2])).alias("cx"), cells(b[1], b[3]).alias("ys"))
     spread = spread.select("*", F.explode("ys").alias("cy")).drop("ys")
     l, r = spread.alias("l"), spread.alias("r")
     better = (F.col("l.quality") > F.col("r.quality")) | ((F.col("l.quality") == F.col("r.quality")) & (F.col("l.seq") < F.col("r.seq")))
     alike = (F.col("l.text") == F.col("r.text")) | (F.col("l.term") == F.col("r.term"))
-    on = [F.col(f"l.{c}") == F.col(f"r.{c}") for c in ("map_id", "cx", "cy")] + [better, same_place(F.col("l.bbox"), F.col("r.bbox"), alike, threshold)]
-    return l.join(r, on).select(F.col("l.map_id").alias("map_id"), F.col("l.seq").alias("a"), F.col("r.seq").alias("b"), F.col("l.quality").alias("qa")).distinct()
+    in_first = (F.col("l.cx") == F.greatest("l.x0", "r.x0")) & (F.col("l.cy") == F.greatest("l.y0", "r.y0"))
+    on = [F.col(f"l.{c}") == F.col(f"r.{c}") for c in ("map_id", "cx", "cy")] + [in_first, better, same_place(F.col("l.bbox"), F.col("r.bbox"), alike, threshold)]
+    return l.join(r, on).select(F.col("l.map_id").alias("map_id"), F.col("l.seq").alias("a"), F.col("r.seq").alias("b"), F.col("l.quality").alias("qa"))
 
 
-def independent_set(nodes: DataFrame, edges: DataFrame, most_rounds: int = 200) -> tuple[DataFrame, DataFrame]:
+def independent_set(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(kept, attached) of the greedy set: a node is kept unless a better kept neighbour was found before it.
 
     ``nodes``: (map_id, seq); ``edges``: (map_id, a, b, qa) from better to worse. In each round
@@ -71,7 +75,7 @@ def independent_set(nodes: DataFrame, edges: DataFrame, most_rounds: int = 200)
     edges = materialize(edges, "edges")
     key = ["map_id", "seq"]
     kept, open_edges, open_nodes = None, edges, materialize(nodes.select(*key), "open")
-    for _ in range(most_rounds):
+    while True:  # each round decides the best open node at least
         beaten = open_edges.select("map_id", F.col("b").alias("seq")).distinct()
         now = materialize(open_nodes.join(beaten, key, "left_anti"), "now")
         if now.isEmpty():
@@ -82,8 +86,6 @@ def independent_set(nodes: DataFrame, edges: DataFrame, most_rounds: int = 200)
         open_edges = materialize(open_edges.join(rest.withColumnRenamed("seq", "a"), ["map_id", "a"], "left_semi").join(rest.withColumnRenamed("seq", "b"), ["map_id", "b"], "left_semi").select("map_id", "a", "b", "qa"), "open_edges")
         release(open_nodes)
         open_nodes = rest
-    else:
-        raise RuntimeError(f"undecided boxes are left after {most_rounds} rounds")
     kept = nodes.select(*key).limit(0) if kept is None else kept
     to = edges.join(kept.withColumnRenamed("seq", "a"), ["map_id", "a"]).groupBy("map_id", F.col("b").alias("seq")).agg(F.max_by("a", F.struct("qa", -F.col("a"))).alias("kept_seq"))
     return kept, to
@@ -96,16 +98,28 @@ def dedupe_boxes(boxes: DataFrame, threshold: float = IOU, cell: float = 64.0) -
     texts by quality) and alternative_count.
     """
     kept, to = independent_set(boxes, box_edges(boxes, cell, threshold))
-    alt = to.join(boxes.select("map_id", "seq", "text", "quality"), ["map_id", "seq"]).groupBy("map_id", F.col("kept_seq").alias("seq")).agg(
-        F.count(F.lit(1)).alias("alternative_count"), F.array_sort(F.collect_list(F.struct((-F.col("quality")).alias("q"), F.col("seq").alias("s"), F.col("text").alias("t")))).alias("alts")
-    )
-    out = boxes.join(kept, ["map_id", "seq"]).join(alt, ["map_id", "seq"], "left")
-    texts = F.array_distinct(F.filter(F.transform("alts", lambda x: x["t"]), lambda t: t != F.col("text")))
+    lost = to.join(boxes.select("map_id", "seq", "text", "quality"), ["map_id", "seq"])
+    count = lost.groupBy("map_id", F.col("kept_seq").alias("seq")).agg(F.count(F.lit(1)).alias("alternative_count"))
+    # Of each text the best box, and of those as many as are shown (and one that may be the kept box's own text).
+    some = lost.groupBy("map_id", F.col("kept_seq").alias("seq"), F.col("text").alias("t")).agg(F.min(F.struct((-F.col("quality")).alias("q"), F.col("seq").alias("s"))).alias("o"))
+    some = first_n(some, ["map_id", "seq"], [F.col("o")], SHOWN + 1).groupBy("map_id", "seq").agg(F.array_sort(F.collect_list(F.struct("o", "t"))).alias("alts"))
+    out = boxes.join(kept, ["map_id", "seq"]).join(count, ["map_id", "seq"], "left").join(some, ["map_id", "seq"], "left")
+    texts = F.filter(F.transform("alts", lambda x: x["t"]), lambda t: t != F.col("text"))
     number = F.row_number().over(Window.partitionBy("map_id").orderBy(F.desc("quality"), "seq"))
-    out = out.withColumn("ocr_no", number).withColumn("alternative_texts", F.coalesce(F.array_join(F.slice(texts, 1, 8), " | "), F.lit("")))
+    out = out.withColumn("ocr_no", number).withColumn("alternative_texts", F.coalesce(F.array_join(F.slice(texts, 1, SHOWN), " | "), F.lit("")))
     return out.withColumn("alternative_count", F.coalesce("alternative_count", F.lit(0)).cast("long")).drop("alts").orderBy("map_id", F.col("bbox")[1], F.col("bbox")[0], "seq")
 
 
+def reading_rank(boxes: DataFrame, name: str = "reading_no") -> DataFrame:
+    """Boxes numbered in reading order: by map, upper edge, left edge and sequence number."""
+    return global_rank(boxes, [F.col("map_id"), F.col("bbox")[1], F.col("bbox")[0], F.col("seq")], name)
+
+
+def to_label(boxes: DataFrame, n: int = 180) -> DataFrame:
+    """The ``n`` boxes of the largest quality, or confidence where that is missing or 0."""
+    return top(boxes, [F.coalesce(F.nullif(F.col("quality"), F.lit(0.0)), F.col("confidence"), F.lit(0.0)).desc(), F.col("map_id"), F.col("seq")], n)
+
+
 def snap_dedupe(boxes: DataFrame, x: Column, y: Column, step: int = 12, label: str = "text", order: str = "seq") -> DataFrame:
     """The first box of each (text, centre on a grid of ``step`` pixels, rounded half to even)."""
     snap = lambda v: (F.bround(v / step) * step).cast("long")

@@ -11,6 +11,8 @@ from mapmill.functions.text import blank
 
 #: Rows up to which a counted side is broadcast.
 BROADCAST_ROWS = 100_000
+#: Parts up to which each name is tested for each of them.
+CONTAINED_ROWS = 1_000
 
 
 def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
@@ -62,10 +64,25 @@ def trigger_alternates(df: DataFrame, key: str, name: Column, triggers: DataFram
     ``triggers``: (contains_token, alt_name, priority), a small table.
     """
     own = df.select(F.col(key), name.alias("name"), F.lit(0).alias("ordinal"))
-    more = df.select(F.col(key), name.alias("_n")).join(small(triggers), F.contains(F.col("_n"), F.col("contains_token")))
+    more = containing(df.select(F.col(key), name.alias("_n")), "_n", triggers, "contains_token")
     return own.unionByName(more.select(key, F.col("alt_name").alias("name"), F.col("priority").alias("ordinal")))
 
 
+def containing(names: DataFrame, name: str, parts: DataFrame, part: str) -> DataFrame:
+    """Rows of ``names`` with each row of ``parts`` whose (non-empty) text they contain.
+
+    A few parts are broadcast and tested in turn; more of them are joined on the substrings of the distinct names.
+    """
+    parts = parts.where(F.length(part) > 0)
+    if parts.limit(CONTAINED_ROWS + 1).count() <= CONTAINED_ROWS:
+        return names.join(F.broadcast(parts), F.contains(F.col(name), F.col(part)))
+    from mapmill.operators.mentions import joined_positions  # which looks names up itself
+
+    texts = names.select(F.col(name).alias("doc_id"), F.col(name).alias("text")).where(F.col("text").isNotNull()).distinct()
+    hits = joined_positions(texts, parts.select(F.col(part).alias("name")).distinct()).select(F.col("doc_id").alias("_text"), F.col("name").alias("_part")).distinct()
+    return names.join(hits, F.col(name) == F.col("_text")).join(parts, F.col("_part") == F.col(part)).drop("_text", "_part")
+
+
 def copy_coordinates(df: DataFrame, key: str, aliases: DataFrame, columns: list[str], overwrite: bool, status: str, status_col: str = "coord_status") -> DataFrame:
     """Targets of ``aliases`` (target, source) take the source row's coordinates: always, or only if they have none."""
     src = keep_one(df.where(F.col(columns[0]).isNotNull()), [key], [F.col(c) for c in columns]).select(F.col(key).alias("_s"), *[F.col(c).alias(f"_s_{c}") for c in columns])
@@ -113,11 +130,10 @@ def seed_reduce(names: DataFrame, name: str, kind: str, seeds: DataFrame, compat
     """Replace each name by the longest compatible seed that it contains (of equals, the first seed).
 
     ``seeds``: (seed, seed_type, ordinal); ``compatible``: (seed_type, place_type), besides equal
-    types. The containment join runs once on the distinct names, with the seeds broadcast while
-    they are few.
+    types. The containment join runs once on the distinct names.
     """
     distinct = names.select(F.col(name).alias("_n"), F.col(kind).alias("_t")).distinct()
-    pairs = distinct.join(small(seeds), F.contains(F.col("_n"), F.col("seed")) & (F.col("seed") != F.col("_n")))
+    pairs = containing(distinct, "_n", seeds, "seed").where(F.col("seed") != F.col("_n"))
     ok = compatible.select(F.col("seed_type").alias("_st"), F.col("place_type").alias("_pt"))
     pairs = pairs.join(small(ok), (F.col("seed_type") == F.col("_st")) & (F.col("_t") == F.col("_pt")), "left").where((F.col("seed_type") == F.col("_t")) | F.col("_st").isNotNull())
     best = pairs.groupBy("_n", "_t").agg(F.max_by("seed", F.struct(F.length("seed"), -F.col("ordinal"))).alias("_best"))

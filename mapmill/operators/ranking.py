@@ -20,14 +20,15 @@ def lookup_rank(c: Column, ranks: dict[str, int], default: int) -> Column:
     return out
 
 
-def global_rank(df: DataFrame, order: list[Column], name: str = "rank", partitions: int = 32) -> DataFrame:
+def global_rank(df: DataFrame, order: list[Column], name: str = "rank") -> DataFrame:
     """Number all rows from 1 in ``order``.
 
-    Rows are range-partitioned by the order, numbered inside each range, and shifted by the sizes of
+    Rows are range-partitioned by the order into the session's number of shuffle partitions (which adaptive execution
+    merges where they are small), numbered inside each range, and shifted by the sizes of
     the ranges before; only one count a range meets in one task. The order must be total for a
     reproducible result.
     """
-    parts = materialize(df.repartitionByRange(partitions, *order).withColumn("_part", F.spark_partition_id()), "rank")
+    parts = materialize(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "rank")
     before = Window.orderBy("_q").rowsBetween(Window.unboundedPreceding, -1)
     counts = parts.groupBy(F.col("_part").alias("_q")).agg(F.count(F.lit(1)).alias("_n"))
     shift = counts.select("_q", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_o"))
@@ -61,6 +62,34 @@ def quota_top(df: DataFrame, priority: Column, score: Column, least: float, quot
     return able.withColumn("_rn", F.row_number().over(w)).where(F.col("_p") | (F.col("_rn") <= quota)).drop("_p", "_s", "_rn")
 
 
+def filter_ranked(df: DataFrame, level: str | None = None, keyword: str | None = None, level_col: str = "level", text_cols: tuple[str, ...] = ("name", "reason")) -> DataFrame:
+    """Rows of a level whose texts hold a keyword; either test may be left out."""
+    out = df if level is None else df.where(F.col(level_col) == level)
+    if keyword is None:
+        return out
+    hit = F.lit(False)
+    for c in text_cols:
+        hit |= F.coalesce(F.contains(F.col(c), F.lit(keyword)), F.lit(False))
+    return out.where(hit)
+
+
+def second_rank(df: DataFrame, subset: Column, order: list[Column], key: str, label: Column, name: str = "curated_rank", label_col: str = "rank_label") -> DataFrame:
+    """``df`` with the rank inside a subset (0 outside), whose rows take the label ``label`` made from it."""
+    sub = global_rank(df.where(subset), order, "_sub").select(F.col(key).alias("_k"), "_sub")
+    out = df.join(sub, F.col(key) == F.col("_k"), "left").withColumn(name, F.coalesce("_sub", F.lit(0)))
+    return out.withColumn(label_col, F.when(F.col("_sub").isNotNull(), label).otherwise(F.col(label_col))).drop("_k", "_sub")
+
+
+def checklist_order(priority: str, status: str, kind: str, name: str) -> list[Column]:
+    """Order by priority, status, type and name."""
+    return [lookup_rank(F.col(priority), PRIORITY_RANK, 3), lookup_rank(F.col(status), STATUS_RANK, 5), F.col(kind), F.col(name)]
+
+
+def numeric_order(column: str) -> Column:
+    """Order by the number that a text holds; others count as 0."""
+    return F.coalesce(F.col(column).try_cast("double"), F.lit(0.0))
+
+
 def time_order(year: str, priority: str, status: str, name: str) -> list[Column]:
     """Order by year (missing last), priority, status and name."""
     return [F.coalesce(F.col(year), F.lit(NO_YEAR)), lookup_rank(F.col(priority), PRIORITY_RANK, 3), lookup_rank(F.col(status), STATUS_RANK, 5), F.col(name)]

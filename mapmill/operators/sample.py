@@ -15,7 +15,7 @@ CONFIDENCE_RANK = {"high": 3, "medium": 2, "low": 1}
 def review_sample(candidates: DataFrame, size: int, categories: list[str], forced: list[str], cols: int, rows: int, map_col: str = "map_id") -> DataFrame:
     """At most ``size`` candidates of each map, with the phase that took them and their order.
 
-    ``candidates``: (map_id, seq, place_id, name, category, confidence, x, y). All named ones are
+    ``candidates``: (map_id, seq (a number of its own in its map), place_id, name, category, confidence, x, y). All named ones are
     ranked by category priority, confidence, having a centre, and name, all falling, ties by seq.
     Forced names come first, then the best left of each priority category, then the best left of
     each grid cell over the extent, then the best left over. A (place_id, name) is taken once.
@@ -35,25 +35,27 @@ def review_sample(candidates: DataFrame, size: int, categories: list[str], force
     key = [map_col, "place_id", "name"]
     fresh = lambda df, taken: df if taken is None else df.join(taken.select(*key), key, "left_anti")
 
-    def best_of(df: DataFrame, stratum: Column, phase: int, taken: DataFrame | None) -> DataFrame:
-        """The best free row of each stratum in stratum order; a key that two strata want stays with the lower one, and the other picks again."""
-        pool = materialize(df.withColumn("_st", stratum).where(F.col("_st").isNotNull()), "pool")
-        mine = None
-        while True:
-            left = fresh(pool, taken)
-            if mine is not None:
-                done = mine.select(map_col, "_st")
-                left = fresh(left, mine).join(done, [map_col, "_st"], "left_anti")
-            head = left.withColumn("_rn", F.row_number().over(Window.partitionBy(map_col, "_st").orderBy(*order))).where("_rn = 1").drop("_rn")
-            # Strata choose in order, so a pick stands only if no lower stratum that is still open wants the same key or picks again.
-            clash = head.withColumn("_k", F.row_number().over(Window.partitionBy(*key).orderBy("_st")))
-            first_bad = clash.where("_k > 1").groupBy(F.col(map_col).alias("_m")).agg(F.min("_st").alias("_bad"))
-            got = materialize(clash.join(first_bad, F.col(map_col) == F.col("_m"), "left").where(F.col("_bad").isNull() | (F.col("_st") < F.col("_bad"))).drop("_k", "_m", "_bad"), "picked")
-            if got.isEmpty():
-                break
-            mine = got if mine is None else materialize(mine.unionByName(got), "mine")
-        empty = pool.limit(0)
-        return (mine if mine is not None else empty).withColumn("phase", F.lit(phase)).withColumn("_o", F.struct(F.lit(phase).alias("p"), F.col("_st").cast("long").alias("s")))
+    def best_of(df: DataFrame, stratum: Column, strata: int, phase: int, taken: DataFrame | None) -> DataFrame:
+        """The best free row of each stratum in stratum order; a key that a lower stratum took is not free.
+
+        Other strata take fewer than ``strata`` keys of a map, so the best so many keys of each stratum are all that can be
+        chosen; they are chosen from in one pass over a bounded array a map.
+        """
+        pool = fresh(df.withColumn("_st", stratum).where(F.col("_st").isNotNull()), taken)
+        pool = pool.withColumn("_rn", F.row_number().over(Window.partitionBy(*key, "_st").orderBy(*order))).where("_rn = 1")
+        pool = pool.withColumn("_rn", F.row_number().over(Window.partitionBy(map_col, "_st").orderBy(*order))).where(F.col("_rn") <= strata)
+        name = F.concat_ws("\u0001", "place_id", "name")
+        by = pool.groupBy(F.col(map_col).alias("_m")).agg(F.array_sort(F.collect_list(F.struct(F.col("_st").cast("int").alias("st"), F.col("_rn").cast("int").alias("rn"), name.alias("key"), F.col("seq").cast("long").alias("seq")))).alias("rows"))
+        start = F.struct(F.lit(-1).alias("st"), F.array().cast("array<string>").alias("keys"), F.array().cast("array<struct<st:int,seq:bigint>>").alias("picks"))
+
+        def step(acc: Column, x: Column) -> Column:
+            takes = (x["st"] > acc["st"]) & ~F.array_contains(acc["keys"], x["key"])
+            more = F.struct(x["st"].alias("st"), F.array_append(acc["keys"], x["key"]).alias("keys"), F.array_append(acc["picks"], F.struct(x["st"].alias("st"), x["seq"].alias("seq"))).alias("picks"))
+            return F.when(takes, more).otherwise(acc)
+
+        picks = by.select("_m", F.explode(F.aggregate("rows", start, step)["picks"]).alias("p")).select("_m", "p.st", "p.seq")
+        got = df.join(picks.withColumnRenamed("seq", "_s"), (F.col(map_col) == F.col("_m")) & (F.col("seq") == F.col("_s"))).drop("_m", "_s")
+        return got.withColumn("phase", F.lit(phase)).withColumn("_o", F.struct(F.lit(phase).alias("p"), F.col("st").cast("long").alias("s"))).drop("st")
 
     first = c.where(F.col("name").isin(forced) if forced else F.lit(False))
     first = first.withColumn("_rn", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).where("_rn = 1").drop("_rn")
@@ -62,9 +64,9 @@ def review_sample(candidates: DataFrame, size: int, categories: list[str], force
     by_category = F.lit(None).cast("int")
     for i, name in enumerate(categories):
         by_category = F.when(F.col("category") == name, i).otherwise(by_category)
-    two = best_of(c, by_category, 2, one).drop("_st")
+    two = best_of(c, by_category, len(categories), 2, one)
     taken = materialize(one.select(*key).unionByName(two.select(*key)), "taken")
-    three = best_of(c, F.col("_cell"), 3, taken).drop("_st")
+    three = best_of(c, F.col("_cell"), cols * rows, 3, taken)
     taken = materialize(taken.unionByName(three.select(*key)), "taken")
     last = fresh(c, taken)
     last = last.withColumn("_rn", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).where("_rn = 1").drop("_rn")

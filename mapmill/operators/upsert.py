@@ -36,6 +36,15 @@ def append_in_order(parts: list[DataFrame], order: str = "part_no") -> DataFrame
     return out
 
 
+def union_passes(passes: dict[str, DataFrame], name: str = "pass_name") -> DataFrame:
+    """The rows of several passes of one kind with the name of their pass; columns that a pass lacks are null."""
+    out = None
+    for label, rows in passes.items():
+        rows = rows.withColumn(name, F.lit(label))
+        out = rows if out is None else out.unionByName(rows, allowMissingColumns=True)
+    return out
+
+
 def previous_choice(rows: DataFrame, key: str, manual: DataFrame, previous: DataFrame, columns: list[str]) -> DataFrame:
     """Columns by precedence: a manual row, else the previous row, else the row's own value."""
     m = manual.select(F.col(key).alias("_m"), *[F.col(c).alias(f"_m_{c}") for c in columns])

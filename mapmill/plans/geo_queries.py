@@ -47,10 +47,10 @@ def gcj02(spark, sf_dir):
     return lonlat(spark, sf_dir).select("k", F.round(g["lon"], 6).alias("lon"), F.round(g["lat"], 6).alias("lat"))
 
 
-@query(f"SELECT k, round(radians(lon) * 6378137, 3) AS x, round(ln(tan(pi() / 4 + radians(lat) / 2)) * 6378137, 3) AS y FROM {LONLAT_SQL}")
+@query(f"SELECT k, round(radians(lon) * 6378137, 3) AS x, round(ln(tan(pi() / 4 + radians(least(lat * 1.48::DOUBLE, 89.5::DOUBLE)) / 2)) * 6378137, 3) AS y FROM {LONLAT_SQL}")
 def mercator(spark, sf_dir):
-    """Coordinates in EPSG:3857."""
-    m = geo.mercator(F.col("lon"), F.col("lat"))
+    """Coordinates in EPSG:3857, the latitude clamped."""
+    m = geo.mercator(F.col("lon"), F.col("lat") * 1.48)  # some lie beyond the clamp
     return lonlat(spark, sf_dir).select("k", F.round(m["x"], 3).alias("x"), F.round(m["y"], 3).alias("y"))
 
 
@@ -81,7 +81,7 @@ def columns(spark, sf_dir):
     return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), h.alias("height"), geo.column_radius(F.col("p_size")).alias("radius"), *[F.round(l[i], 4).alias(n) for i, n in enumerate(("lx", "ly", "lz"))])
 
 
-POINTS_SQL = """WITH p AS (SELECT l_returnflag AS g, l_quantity AS px, l_discount * 1000 AS py, 13375000 + 5 * l_quantity + (l_linenumber % 3) AS mx, 3539000 - 5 * l_discount * 1000 + (l_linenumber % 2) AS my, l_linenumber::DOUBLE AS w FROM lineitem WHERE l_linestatus = 'F'),
+POINTS_SQL = """WITH p AS (SELECT l_returnflag || l_linestatus AS g, l_quantity AS px, l_discount * 1000 AS py, 13375000 + 5 * l_quantity + (l_linenumber % 3) AS mx, 3539000 - 5 * l_discount * 1000 + (l_linenumber % 2) AS my, l_linenumber::DOUBLE AS w FROM lineitem),
  m AS (SELECT g, count(*) AS n, sum(w * px) / sum(w) AS a, sum(w * py) / sum(w) AS b, sum(w * mx) / sum(w) AS c, sum(w * my) / sum(w) AS d FROM p GROUP BY g),
  s AS (SELECT g, any_value(n) AS n, any_value(a) AS a, any_value(b) AS b, any_value(c) AS c, any_value(d) AS d, sum(w * (px - a) * (px - a)) AS xx, sum(w * (px - a) * (py - b)) AS xy, sum(w * (py - b) * (py - b)) AS yy, sum(w * (px - a) * (mx - c)) AS xu, sum(w * (py - b) * (mx - c)) AS yu, sum(w * (px - a) * (my - d)) AS xv, sum(w * (py - b) * (my - d)) AS yv FROM p JOIN m USING (g) GROUP BY g),
  f AS (SELECT g, n, a, b, c, d, (xu * yy - yu * xy) / (xx * yy - xy * xy) AS b1, (yu * xx - xu * xy) / (xx * yy - xy * xy) AS c1, (xv * yy - yv * xy) / (xx * yy - xy * xy) AS b2, (yv * xx - xv * xy) / (xx * yy - xy * xy) AS c2 FROM s) """
@@ -89,8 +89,8 @@ POINTS_SQL = """WITH p AS (SELECT l_returnflag AS g, l_quantity AS px, l_discoun
 
 def control_points(spark, sf_dir):
     n = F.col("l_linenumber")
-    l = table(spark, sf_dir, "lineitem").where("l_linestatus = 'F'")
-    return l.select(F.col("l_returnflag").alias("g"), F.col("l_quantity").alias("pixel_x"), (F.col("l_discount") * 1000).alias("pixel_y"), (13375000 + 5 * F.col("l_quantity") + n % 3).alias("map_x"), (3539000 - 5 * F.col("l_discount") * 1000 + n % 2).alias("map_y"), n.cast("double").alias("w"))
+    l = table(spark, sf_dir, "lineitem")
+    return l.select(F.concat("l_returnflag", "l_linestatus").alias("g"), F.col("l_quantity").alias("pixel_x"), (F.col("l_discount") * 1000).alias("pixel_y"), (13375000 + 5 * F.col("l_quantity") + n % 3).alias("map_x"), (3539000 - 5 * F.col("l_discount") * 1000 + n % 2).alias("map_y"), n.cast("double").alias("w"))
 
 
 @query(POINTS_SQL + "SELECT g, n, round(c - b1 * a - c1 * b, 3) AS x_origin, round(b1, 6) AS pixel_width, round(c1, 6) AS x_rotation, round(d - b2 * a - c2 * b, 3) AS y_origin, round(b2, 6) AS y_rotation, round(c2, 6) AS pixel_height FROM f")
@@ -142,9 +142,33 @@ def box_table(spark, sf_dir):
     return rows.select(F.col("vec_id").alias("seq"), F.concat(F.lit("m"), F.col("vec_id") % 3).alias("map_id"), F.concat(F.lit("路"), F.col("label")).alias("text"), e(4).alias("quality"), F.array(x, y, x + w, y + h).alias("bbox"))
 
 
-@query()
+DEDUPE_SQL = f"""WITH RECURSIVE b AS {BOX_SQL}, p AS (
+  SELECT a.map_id, a.seq AS a, b.seq AS b, a.q AS qa, greatest(0, least(a.x1 + a.w, b.x1 + b.w) - greatest(a.x1, b.x1)) * greatest(0, least(a.y1 + a.h, b.y1 + b.h) - greatest(a.y1, b.y1)) AS i, a.w * a.h AS sa, b.w * b.h AS sb,
+    sqrt(pow((2 * a.x1 + a.w - 2 * b.x1 - b.w) / 2, 2) + pow((2 * a.y1 + a.h - 2 * b.y1 - b.h) / 2, 2)) AS dist, a.w AS aw, a.h AS ah, b.w AS bw, b.h AS bh
+  FROM b a JOIN b b ON a.map_id = b.map_id AND (a.q > b.q OR (a.q = b.q AND a.seq < b.seq))
+), e AS (
+  SELECT * FROM p WHERE i / (sa + sb - i) > 0.25 OR (dist < greatest(8, sqrt(greatest(sa, sb)) * 0.18::DOUBLE) AND abs(aw - bw) <= greatest(12, greatest(aw, bw) * 0.45::DOUBLE) AND abs(ah - bh) <= greatest(12, greatest(ah, bh) * 0.45::DOUBLE))
+), n AS (
+  SELECT b.map_id, b.seq, row_number() OVER (PARTITION BY b.map_id ORDER BY b.q DESC, b.seq) AS i, coalesce(w.better, []) AS better FROM b LEFT JOIN (SELECT b, list(a) AS better FROM e GROUP BY b) w ON w.b = b.seq
+), r AS (
+  SELECT map_id, 0::BIGINT AS i, []::BIGINT[] AS kept FROM (SELECT DISTINCT map_id FROM b)
+  UNION ALL SELECT r.map_id, r.i + 1, CASE WHEN list_has_any(r.kept, n.better) THEN r.kept ELSE list_append(r.kept, n.seq) END FROM r JOIN n ON n.map_id = r.map_id AND n.i = r.i + 1
+), k AS (
+  SELECT unnest(kept) AS seq FROM (SELECT *, row_number() OVER (PARTITION BY map_id ORDER BY i DESC) AS rn FROM r) WHERE rn = 1
+), d AS (
+  SELECT host, seq, text, q FROM (SELECT e.a AS host, e.b AS seq, '路' || b.label AS text, b.q AS q, row_number() OVER (PARTITION BY e.b ORDER BY e.qa DESC, e.a) AS rn FROM e JOIN k ON e.a = k.seq JOIN b ON b.seq = e.b) WHERE rn = 1
+), c AS (
+  SELECT host, count(*)::BIGINT AS alternative_count FROM d GROUP BY host
+), t AS (
+  SELECT d.host, d.text, d.q, d.seq, row_number() OVER (PARTITION BY d.host, d.text ORDER BY d.q DESC, d.seq) AS rn FROM d JOIN b ON b.seq = d.host WHERE d.text <> '路' || b.label
+), u AS (
+  SELECT host, string_agg(text, ' | ' ORDER BY nth) AS alternative_texts FROM (SELECT *, row_number() OVER (PARTITION BY host ORDER BY q DESC, seq) AS nth FROM t WHERE rn = 1) WHERE nth <= 8 GROUP BY host
+) SELECT b.map_id, b.seq, row_number() OVER (PARTITION BY b.map_id ORDER BY b.q DESC, b.seq)::INTEGER AS ocr_no, coalesce(alternative_texts, '') AS alternative_texts, coalesce(alternative_count, 0)::BIGINT AS alternative_count FROM b JOIN k ON b.seq = k.seq LEFT JOIN c ON c.host = b.seq LEFT JOIN u ON u.host = b.seq"""
+
+
+@query(DEDUPE_SQL)
 def dedupe_boxes(spark, sf_dir):
-    """Greedy de-duplication of overlapping boxes; tests hold it against the one-by-one loop."""
+    """Greedy de-duplication of overlapping boxes."""
     return boxes.dedupe_boxes(box_table(spark, sf_dir)).select("map_id", "seq", "ocr_no", "alternative_texts", "alternative_count")
 
 
@@ -199,7 +223,7 @@ def ocr_normalize(spark, sf_dir):
 
 
 @query(f"""WITH b AS {BOX_SQL}, t AS (SELECT seq, map_id, '·路' || CASE WHEN label % 2 = 0 THEN '宝' ELSE '' END || ' ' || label AS raw, CASE WHEN label % 2 = 0 THEN label || '宝路' ELSE label || '路' END AS txt, (seq % 100) / 100.0::DOUBLE AS conf, w, h FROM b)
-SELECT map_id, seq, txt AS text, round(conf + 0.08::DOUBLE + (CASE WHEN txt LIKE '%宝%' THEN 2 ELSE 1 END) * 0.01::DOUBLE + CASE WHEN seq % 2 = 0 THEN 0.03::DOUBLE ELSE 0 END, 6) AS quality, 'ocr_街巷道路' AS category FROM t WHERE conf >= 0.48 AND round(w, 2) * round(h, 2) BETWEEN 20 AND 4000 * 3000 * 0.08::DOUBLE""")
+SELECT map_id, seq, txt AS text, round(conf + 0.08::DOUBLE + (CASE WHEN txt LIKE '%宝%' THEN 2 ELSE 1 END) * 0.01::DOUBLE + CASE WHEN seq % 2 = 0 THEN 0.03::DOUBLE ELSE 0 END, 6) AS quality, 'ocr_街巷道路' AS category FROM t WHERE conf >= 0.48 AND round((40 + round(w, 2)) / 2 - 20, 2) >= 3 AND round((40 + round(h, 2)) / 2 - 20, 2) >= 3 AND round((40 + round(w, 2)) / 2 - 20, 2) * round((40 + round(h, 2)) / 2 - 20, 2) BETWEEN 20 AND 4000 * 3000 * 0.08::DOUBLE""")
 def ocr_keep(spark, sf_dir):
     """Detections that are kept, with text in reading order, quality and category."""
     b = box_table(spark, sf_dir)
@@ -207,7 +231,7 @@ def ocr_keep(spark, sf_dir):
     label = F.substring("text", 2, 9)
     raw = F.concat(F.lit("·路"), F.when(label.cast("int") % 2 == 0, "宝").otherwise(""), F.lit(" "), label)
     points = F.array(F.array(F.lit(0.0), F.lit(0.0)), F.array(w, F.lit(0.0)), F.array(w, h), F.array(F.lit(0.0), h))
-    d = b.select("map_id", "seq", raw.alias("raw_text"), (F.col("seq") % 100 / 100).cast("string").alias("raw_confidence"), points.alias("points"), F.lit(0.0).alias("tile_x"), F.lit(0.0).alias("tile_y"), F.lit(1.0).alias("scale"), F.lit(4000).alias("width"), F.lit(3000).alias("height"), F.when(F.col("seq") % 2 == 0, "tile").otherwise("full").alias("pass_name"))
+    d = b.select("map_id", "seq", raw.alias("raw_text"), (F.col("seq") % 100 / 100).cast("string").alias("raw_confidence"), points.alias("points"), F.lit(40.0).alias("tile_x"), F.lit(40.0).alias("tile_y"), F.lit(2.0).alias("scale"), F.lit(4000).alias("width"), F.lit(3000).alias("height"), F.when(F.col("seq") % 2 == 0, "tile").otherwise("full").alias("pass_name"))
     return boxes.ocr_candidates(d).select("map_id", "seq", "text", "quality", "category")
 
 
@@ -221,13 +245,40 @@ def tile_plan(spark, sf_dir):
     return boxes.tile_plan(i).select("k", "x0", "y0", "x1", "y1")
 
 
-@query()
-def review_sample(spark, sf_dir):
-    """A stratified sample of customers; tests hold it against a one-by-one loop."""
+SAMPLE_SQL = f"""WITH RECURSIVE c AS (
+  SELECT (k % 4)::VARCHAR AS map_id, k AS seq, 'n' || (k % 300) AS name, seg, CASE WHEN k % 3 = 0 THEN 3 ELSE 1 END AS sure, CASE seg WHEN 'BUILDING' THEN 2 WHEN 'MACHINERY' THEN 1 ELSE 0 END AS p, CASE WHEN k % 11 <> 0 THEN lon END AS x, CASE WHEN k % 11 <> 0 THEN lat END AS y FROM {LONLAT_SQL}
+), o AS (
+  SELECT *, row_number() OVER (PARTITION BY map_id ORDER BY p DESC, sure DESC, x IS NOT NULL DESC, name DESC, seq) AS o, min(x) OVER m AS x0, max(x) OVER m AS x1, min(y) OVER m AS y0, max(y) OVER m AS y1 FROM c WINDOW m AS (PARTITION BY map_id)
+), forced AS (
+  SELECT map_id, name, seq, row_number() OVER (PARTITION BY map_id ORDER BY o) AS s FROM (SELECT *, row_number() OVER (PARTITION BY map_id, name ORDER BY o) AS rn FROM o WHERE name IN ('n7', 'n8')) WHERE rn = 1
+), st AS (
+  SELECT map_id, name, seq, o, p AS st FROM (SELECT *, CASE seg WHEN 'BUILDING' THEN 0 ELSE 1 END AS p FROM (SELECT * EXCLUDE p FROM o)) WHERE seg IN ('BUILDING', 'MACHINERY')
+  UNION ALL SELECT map_id, name, seq, o, 2 + greatest(0, least(2, floor((y - y0) / (y1 - y0) * 3)))::INTEGER * 4 + greatest(0, least(3, floor((x - x0) / (x1 - x0) * 4)))::INTEGER FROM o WHERE x IS NOT NULL
+), r AS (
+  SELECT m.map_id, -1 AS st, coalesce(list(f.name) FILTER (WHERE f.name IS NOT NULL), []::VARCHAR[]) AS taken, NULL::BIGINT AS seq FROM (SELECT DISTINCT map_id FROM c) m LEFT JOIN forced f ON m.map_id = f.map_id GROUP BY m.map_id
+  UNION ALL SELECT r.map_id, r.st + 1, CASE WHEN count(st.seq) = 0 THEN r.taken ELSE list_append(r.taken, arg_min(st.name, st.o)) END, arg_min(st.seq, st.o) FROM r LEFT JOIN st ON st.map_id = r.map_id AND st.st = r.st + 1 AND NOT list_contains(r.taken, st.name) WHERE r.st < 13 GROUP BY r.map_id, r.st, r.taken
+), rest AS (
+  SELECT o.map_id, o.name, o.seq, row_number() OVER (PARTITION BY o.map_id ORDER BY o.o) AS s FROM (SELECT *, row_number() OVER (PARTITION BY map_id, name ORDER BY o) AS rn FROM o) o JOIN r ON r.map_id = o.map_id AND r.st = 13 AND NOT list_contains(r.taken, o.name) WHERE o.rn = (
+    SELECT min(q.rn) FROM (SELECT map_id, name, row_number() OVER (PARTITION BY map_id, name ORDER BY o) AS rn FROM o) q WHERE q.map_id = o.map_id AND q.name = o.name)
+), every AS (
+  SELECT map_id, seq, name, 1 AS phase, s FROM forced UNION ALL SELECT r.map_id, r.seq, c.name, CASE WHEN r.st < 2 THEN 2 ELSE 3 END, r.st FROM r JOIN c ON c.seq = r.seq WHERE r.seq IS NOT NULL UNION ALL SELECT map_id, seq, name, 4, s FROM rest
+), sampled AS (
+  SELECT map_id, seq, name, phase::INTEGER AS phase, sample_no::INTEGER AS sample_no FROM (SELECT *, row_number() OVER (PARTITION BY map_id ORDER BY phase, s) AS sample_no FROM every) WHERE sample_no <= 40
+) """
+
+
+def sample_rows(spark, sf_dir):
+    """Candidates, and the size, categories, names and grid of the review sample."""
     c = lonlat(spark, sf_dir)
     rows = c.select((F.col("k") % 4).cast("string").alias("map_id"), F.col("k").alias("seq"), F.lit("").alias("place_id"), F.concat(F.lit("n"), F.col("k") % 300).alias("name"), F.col("seg").alias("category"), F.when(F.col("k") % 3 == 0, "high").otherwise("low").alias("confidence"), "lon", "lat")
     rows = rows.select("map_id", "seq", "place_id", "name", "category", "confidence", F.when(F.col("seq") % 11 != 0, F.col("lon")).alias("x"), F.when(F.col("seq") % 11 != 0, F.col("lat")).alias("y"))
-    return sample.review_sample(rows, 40, ["BUILDING", "MACHINERY"], ["n7", "n8"], 4, 3).select("map_id", "seq", "name", "phase", "sample_no")
+    return rows, 40, ["BUILDING", "MACHINERY"], ["n7", "n8"], 4, 3
+
+
+@query(SAMPLE_SQL + "SELECT * FROM sampled")
+def review_sample(spark, sf_dir):
+    """A stratified sample of customers."""
+    return sample.review_sample(*sample_rows(spark, sf_dir)).select("map_id", "seq", "name", "phase", "sample_no")
 
 
 @query(f"""WITH c AS {LONLAT_SQL}, e AS (SELECT min(lon) AS x0, max(lon) AS x1, min(lat) AS y0, max(lat) AS y1 FROM c)
@@ -273,13 +324,13 @@ def route_layers(spark, sf_dir):
     return out.select("p_partkey", "target_layer", F.col("geom_type"), F.size(F.col("rings")[0]).alias("vertices"), F.round(F.col("rings")[0][0][0], 4).alias("first_x"))
 
 
-@query("""SELECT n_nationkey::VARCHAR AS key, n_name AS name, 'Point' AS geom_type, 100 + n_nationkey * 0.5::DOUBLE AS lon, 30 + n_nationkey * 0.25::DOUBLE AS lat FROM nation WHERE n_nationkey % 4 <> 0""")
+@query("""SELECT c_custkey::VARCHAR AS key, c_name AS name, 'Point' AS geom_type, 100 + c_nationkey * 0.5::DOUBLE AS lon, 30 + c_nationkey * 0.25::DOUBLE AS lat FROM customer WHERE c_custkey % 4 <> 0""")
 def geojson_roundtrip(spark, sf_dir):
-    """Points written as one FeatureCollection and read again; rows without coordinates are left out."""
-    k = F.col("n_nationkey")
-    n = table(spark, sf_dir, "nation").select(k.alias("key"), F.col("n_name").alias("name"), F.when(k % 4 != 0, 100 + k * 0.5).alias("lon"), (30 + k * 0.25).alias("lat"))
-    whole = geojson.collection(geojson.points(n, ["key", "name", "lon", "lat"]), "nations", "urn:ogc:def:crs:OGC:1.3:CRS84")
-    f = geojson.parse_features(whole)
+    """Points written as Features, one a row, and read again; rows without coordinates are left out."""
+    k, n = F.col("c_custkey"), F.col("c_nationkey")
+    c = table(spark, sf_dir, "customer").select(k.alias("key"), F.col("c_name").alias("name"), F.when(k % 4 != 0, 100 + n * 0.5).alias("lon"), (30 + n * 0.25).alias("lat"))
+    one = geojson.points(c, ["key", "name", "lon", "lat"])
+    f = geojson.parse_features(one.select(F.concat(F.lit('{"type":"FeatureCollection","features":['), "value", F.lit("]}")).alias("value")))
     p = F.col("rings")[0][0]
     return f.select(F.col("properties")["key"].alias("key"), F.col("properties")["name"].alias("name"), "geom_type", p[0].alias("lon"), p[1].alias("lat"))
 

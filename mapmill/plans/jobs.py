@@ -113,8 +113,57 @@ def mention_columns(ranked: DataFrame, segments: int = 28) -> DataFrame:
     return out.withColumn("ring", ring).withColumn("label_point", geo.label_point(F.col("x_3857"), F.col("y_3857"), F.col("rank"), F.col("height_m"))).withColumn("label", T.ellipsis(F.concat_ws(" ", "name", F.concat("occurrence_count", F.lit("次"))), 30))
 
 
+def mention_labels(columns: DataFrame) -> DataFrame:
+    """Label points beside the columns of ``mention_columns``, with offset, height and popup."""
+    ordinal = F.coalesce(F.nullif(F.col("curated_rank"), F.lit(0)), F.col("rank"), F.lit(999)) if "curated_rank" in columns.columns else F.coalesce("rank", F.lit(999))
+    detail = T.popup(F.col("rank_label"), [("提及次数", F.concat("occurrence_count", F.lit(" 次"))), ("柱高", F.concat("height_m", F.lit(" m"))), ("原因", T.ellipsis(F.col("reason"), 48))])
+    out = columns.withColumn("label_offset_m", F.round(42 + F.least(ordinal, F.lit(20)) * 1.8, 2)).withColumn("label_z_m", F.round(F.col("height_m") + 12, 2))
+    return out.withColumn("label_point", geo.label_point(F.col("x_3857"), F.col("y_3857"), ordinal, F.col("height_m"))).withColumn("label_detail", detail)
+
+
+def camera_path(frames: DataFrame, duration_s: int = 20) -> DataFrame:
+    """One line through the targets of the key frames in order, with their number; ``frames`` come from ``keyframes``."""
+    path = ranking.ordered_path(frames, [], [F.col("keyframe")], "target_x_3857", "target_y_3857")
+    return path.withColumn("keyframe_count", F.size("path")).withColumn("duration_s", F.lit(duration_s))
+
+
+def web_statistics(ranked: DataFrame, top: int = 50, missing: int = 30) -> dict[str, DataFrame]:
+    """The statistics behind the map page: leading places, leading ones without coordinates, and totals in one row."""
+    mapped = F.col("lon").isNotNull() & F.col("lat").isNotNull()
+    first = F.min(F.when(mapped, F.struct("rank", "name", "occurrence_count")))
+    total = ranked.agg(F.count_if(mapped).alias("mapped_columns"), F.count(F.lit(1)).alias("curated_places"), F.count_if(~mapped).alias("missing_count"), first.alias("_f"))
+    total = total.select("mapped_columns", "curated_places", "missing_count", F.coalesce("_f.name", F.lit("")).alias("top_name"), F.coalesce("_f.occurrence_count", F.lit(0)).alias("top_count"))
+    return {"top_stats": ranking.top(ranked, [F.col("rank")], top), "missing_top": ranking.top(ranked.where(~mapped), [F.col("rank")], missing), "summary": total}
+
+
+def standardize(raw: DataFrame, rules: DataFrame, order: list[Column], prefix: str, constants: dict[str, str], name: str = "Name", category: str = "Category", fallback: str = "其他") -> DataFrame:
+    """Raw places in the standard form: trimmed, numbered in source order, with constants and the columns of their category's rule.
+
+    The rule is looked up by the category as it stands; a blank category is shown as the fallback's.
+    """
+    numbered = ranking.global_rank(raw, order, "_no")
+    columns = [c for c in rules.columns if c != "category"]
+    out = lookup.with_fallback(numbered, F.col(category), rules, "category", fallback, columns)
+    kind = F.coalesce(T.present(F.trim(category)), F.lit(fallback))
+    others = [c for c in raw.columns if c not in (name, category, *columns, *constants)]
+    return out.select(F.format_string(f"{prefix}%03d", F.col("_no")).alias("place_id"), F.trim(F.coalesce(F.col(name), F.lit(""))).alias("name"), kind.alias("category"), *columns, *others, *[F.lit(v).alias(k) for k, v in constants.items()])
+
+
+def checklist(places: DataFrame, manual: DataFrame, previous: DataFrame, rules: DataFrame, other: str = "*") -> DataFrame:
+    """Places with match_status, visual_priority and check_action, ranked by priority, status, type and name.
+
+    A manual row (name, the three) counts before the row of an earlier checklist, and that before the rule of the place's type; the rule
+    ``other`` stands for types without one. Blank values of the earlier checklist are taken as review and medium.
+    """
+    three = ["match_status", "visual_priority", "check_action"]
+    rows = lookup.with_fallback(places, F.col("place_type"), rules, "place_type", other, three)
+    earlier = previous.select("name", F.coalesce("match_status", F.lit("review")).alias("match_status"), F.coalesce("visual_priority", F.lit("medium")).alias("visual_priority"), F.coalesce("check_action", F.lit("")).alias("check_action"))
+    chosen = upsert.previous_choice(rows, "name", manual, earlier, three)
+    return ranking.global_rank(chosen, ranking.checklist_order("visual_priority", "match_status", "place_type", "name"))
+
+
 def scene_layers(points: DataFrame, styles: DataFrame, default_style: dict, milestones: DataFrame, heights: DataFrame, default_height: float = 78.0) -> dict[str, DataFrame]:
-    """Layers of a scene: stage, place blocks, milestone columns and the path through them.
+    """Layers of a scene: stage, place blocks, milestone columns and the path through them, in degrees and in EPSG:3857.
 
     ``points``: (name, place_type, lon, lat); ``styles``: (place_type, scene_class, shape, width_m,
     depth_m, height_m); ``milestones``: (event_id, event_type, start_year, lon, lat, order_no);
@@ -130,8 +179,10 @@ def scene_layers(points: DataFrame, styles: DataFrame, default_style: dict, mile
     blocks = s.withColumn("ring", F.when(F.col("shape") == "circle", geo.circle_lonlat(F.col("lon"), F.col("lat"), F.col("width_m") / 2, F.lit(36))).otherwise(rect))
     columns = milestones.join(lookup.small(heights), "event_type", "left").withColumn("height_m", F.coalesce("base_height", F.lit(default_height)) + 2 * F.col("order_no")).drop("base_height")
     columns = columns.withColumn("ring", geo.circle_lonlat(F.col("lon"), F.col("lat"), F.lit(24.0), F.lit(28)))
+    flat = lambda df: df.withColumn("ring", geo.reproject_geometry(F.lit("Polygon"), F.array("ring"))[0])
     path = ranking.ordered_path(milestones, [], [F.coalesce(F.col("start_year"), F.lit(ranking.NO_YEAR)), F.col("event_id")], "lon", "lat")
-    return {"stage": stage, "blocks": blocks, "columns": columns, "path": path}
+    path_3857 = path.withColumn("path", geo.reproject_geometry(F.lit("LineString"), F.array("path"))[0])
+    return {"stage": stage, "blocks": blocks, "columns": columns, "path": path, "stage_3857": flat(stage), "blocks_3857": flat(blocks), "columns_3857": flat(columns), "path_3857": path_3857}
 
 
 def keyframes(shots: DataFrame, alternates: DataFrame, places: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -163,12 +214,12 @@ def fit_maps(points: DataFrame, weight: str | None = "weight") -> DataFrame:
     return georef.fit_transforms(georef.enabled_points(points), ["map_id"], F.col(weight).try_cast("double") if weight else None)
 
 
-def control_point_table(labels: DataFrame, master: DataFrame, specials=(), manual: DataFrame | None = None) -> DataFrame:
+def control_point_table(labels: DataFrame, master: DataFrame, specials=(), manual: DataFrame | None = None, metric: str = "ratio") -> DataFrame:
     """Control-point rows of matched labels, one a (label, master name), by falling score, with manual rows after them.
 
     ``labels``: (seq, ocr_id, texts, pixel_x, pixel_y); the flag is off until someone has checked a row.
     """
-    best = match.match_labels(labels.select("seq", "texts"), master, specials)
+    best = match.match_labels(labels.select("seq", "texts"), master, specials, metric)
     rows = labels.join(best, "seq").withColumn("weight", F.when(F.col("match_score") >= 0.94, 1.0).otherwise(0.7)).withColumn("enabled", F.lit("false"))
     rows = ranking.first_n(rows, ["ocr_id", "matched_name"], [F.desc("match_score"), F.col("seq")], 1)
     ranked = ranking.global_rank(rows, [F.desc("match_score"), F.asc("matched_name"), F.asc("ocr_id")], "no")
@@ -176,6 +227,23 @@ def control_point_table(labels: DataFrame, master: DataFrame, specials=(), manua
     return out if manual is None else upsert.append_in_order([out, manual.select(*out.columns)])
 
 
+def priority_control_points(candidates: DataFrame, names: list[str], master: DataFrame, least: float = 0.76, quota: int = 35, manual: DataFrame | None = None) -> DataFrame:
+    """Control-point rows of a quota selection: named candidates always, others of enough quality up to a quota, with the master's coordinates.
+
+    ``candidates``: (seq, text, quality, bbox_pixel, ocr_id); ``master``: (name, x, y), of which the last row of a name (by x, y) counts.
+    """
+    chosen = ranking.quota_top(candidates.withColumn("_all", F.lit(1)), F.col("text").isin(names), F.coalesce("quality", F.lit(0.0)), least, quota, [F.col("seq")], ["_all"]).drop("_all")
+    m = lookup.keep_one(master.select(F.col("name").alias("_n"), F.col("x").alias("map_x"), F.col("y").alias("map_y")), ["_n"], [F.desc("map_x"), F.desc("map_y")])
+    mid = geo.centre(F.col("bbox_pixel"))
+    rows = chosen.join(m, F.col("text") == F.col("_n"), "left")
+    ranked = ranking.global_rank(rows, [F.coalesce("quality", F.lit(0.0)).desc(), F.asc("seq")], "no")
+    out = ranked.select(
+        F.format_string("cp_%03d", F.col("no")).alias("control_id"), F.lit("false").alias("enabled"), F.col("text").alias("name"), F.format_string("%.3f", mid["x"]).alias("pixel_x"), F.format_string("%.3f", mid["y"]).alias("pixel_y"),
+        "map_x", "map_y", F.when(F.col("_n").isNotNull(), "standard_place_exact_match").otherwise("").alias("osm_reference"),
+    )
+    return out if manual is None else upsert.append_in_order([out, manual.select(*out.columns)])
+
+
 def standard_places(candidates: DataFrame, rules: DataFrame, transforms: DataFrame, version: str, limits: tuple[float, float] = (georef.RMSE_LIMIT, georef.POINT_LIMIT)) -> tuple[DataFrame, DataFrame]:
     """(places, problems): OCR candidates in the standard form.
 
@@ -191,7 +259,7 @@ def standard_places(candidates: DataFrame, rules: DataFrame, transforms: DataFra
     kind = F.coalesce(T.present(F.col("category")), F.lit("其他"))
     columns = ["target_layer", "display_layer", "qgis_geometry", "semantic_geometry", "geometry_level"]
     r = lookup.with_fallback(c, kind, rules.withColumnRenamed("display_name", "display_layer"), "category", "其他", columns)
-    own_id = F.coalesce(T.present(F.col("place_id")), F.concat(T.slug(F.col("map_id")), F.lit("_"), F.lpad(F.col("_no").cast("string"), 3, "0")))
+    own_id = F.coalesce(T.present(F.col("place_id")), F.concat(T.slug(F.col("map_id")), F.format_string("_%03d", F.col("_no"))))
     notes = T.compact_json(["bbox_pixel", "orientation", "notes"])
     out = r.select(
         own_id.alias("place_id"), "name", kind.alias("category"), *columns, F.col("out_x").alias("x"), F.col("out_y").alias("y"), F.coalesce(T.present(F.col("confidence")), F.lit("medium")).alias("confidence"), F.lit(version).alias("version"),

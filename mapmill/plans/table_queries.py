@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from mapmill.functions import text as T
 from mapmill.functions import years
 from mapmill.operators import lookup, match, ranking, upsert
+from mapmill.plans import jobs
 from mapmill.plans.text_queries import dictionary, table
 from mapmill.sources import ocr, tables
 
@@ -44,12 +45,12 @@ def rule_fallback(spark, sf_dir):
     return out.select("p_partkey", "target_layer", "width")
 
 
-@query(RULES_SQL + """SELECT 'part_' || lpad((row_number() OVER (ORDER BY p_partkey))::VARCHAR, 6, '0') AS place_id, trim(p_name) AS name, p_type AS category, coalesce(r.target_layer, 'layer_other') AS target_layer, 'v4' AS version FROM part LEFT JOIN r ON p_type = r.category""")
+@query(RULES_SQL + """SELECT 'part_' || printf('%03d', row_number() OVER (ORDER BY p_partkey)) AS place_id, trim(p_name) AS name, p_type AS category, coalesce(r.target_layer, 'layer_other') AS target_layer, 'v4' AS version FROM part LEFT JOIN r ON p_type = r.category""")
 def standardize(spark, sf_dir):
     """Raw rows in the standard form: trimmed, numbered in source order, with constants and rules."""
-    raw = ranking.global_rank(table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type"), [F.asc("p_partkey")], "_no", 8)
-    out = lookup.with_fallback(raw, F.col("p_type"), part_rules(spark, sf_dir), "category", "其他", ["target_layer"])
-    return out.select(F.format_string("part_%06d", F.col("_no")).alias("place_id"), F.trim("p_name").alias("name"), F.col("p_type").alias("category"), "target_layer", F.lit("v4").alias("version"))
+    raw = table(spark, sf_dir, "part").select("p_partkey", F.concat(F.lit(" "), "p_name").alias("Name"), F.col("p_type").alias("Category"))
+    out = jobs.standardize(raw, part_rules(spark, sf_dir).select("category", "target_layer"), [F.asc("p_partkey")], "part_", {"version": "v4"})
+    return out.select("place_id", "name", "category", "target_layer", "version")
 
 
 @query(RULES_SQL + "SELECT p_partkey, p_type FROM part WHERE p_type NOT IN (SELECT category FROM r)")
@@ -86,25 +87,26 @@ def fallback_chain(spark, sf_dir):
     return lookup.first_present(p, alternates, "p_partkey", values, "name", ["k"]).select("p_partkey", "matched_name", "k")
 
 
-def nation_points(spark, sf_dir):
-    k = F.col("n_nationkey")
+def supplier_points(spark, sf_dir):
+    k = F.col("s_suppkey")
     lon = F.when(k % 4 != 0, 100 + k * 0.5)
-    return table(spark, sf_dir, "nation").select("n_nationkey", "n_name", lon.alias("lon"), F.when(k % 4 != 0, 30 + k * 0.25).alias("lat"), F.when(k % 4 != 0, "own").otherwise("missing").alias("coord_status"))
+    return table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", lon.alias("lon"), F.when(k % 4 != 0, 30 + k * 0.25).alias("lat"), F.when(k % 4 != 0, "own").otherwise("missing").alias("coord_status"))
 
 
-@query("""WITH n AS (SELECT n_nationkey AS k, n_name, CASE WHEN n_nationkey % 4 <> 0 THEN 100 + n_nationkey * 0.5::DOUBLE END AS lon, CASE WHEN n_nationkey % 4 <> 0 THEN 30 + n_nationkey * 0.25::DOUBLE END AS lat FROM nation), a AS (
-  SELECT k, n_name, CASE WHEN k % 8 = 4 THEN 100 + (k + 1) * 0.5::DOUBLE WHEN k = 7 THEN 101.5::DOUBLE ELSE lon END AS lon, CASE WHEN k % 8 = 4 THEN 30 + (k + 1) * 0.25::DOUBLE WHEN k = 7 THEN 30.75::DOUBLE ELSE lat END AS lat,
-         CASE WHEN k % 8 = 4 THEN 'alias' WHEN k = 7 THEN 'anchor' WHEN lon IS NULL THEN 'missing' ELSE 'own' END AS coord_status FROM n
+@query("""WITH n AS (SELECT s_suppkey AS k, s_name, CASE WHEN s_suppkey % 4 <> 0 THEN 100 + s_suppkey * 0.5::DOUBLE END AS lon, CASE WHEN s_suppkey % 4 <> 0 THEN 30 + s_suppkey * 0.25::DOUBLE END AS lat FROM supplier), a AS (
+  SELECT k, s_name, CASE WHEN k % 8 = 4 AND k + 1 <= (SELECT max(s_suppkey) FROM supplier) THEN 100 + (k + 1) * 0.5::DOUBLE WHEN k = 7 THEN 101.5::DOUBLE ELSE lon END AS lon, CASE WHEN k % 8 = 4 AND k + 1 <= (SELECT max(s_suppkey) FROM supplier) THEN 30 + (k + 1) * 0.25::DOUBLE WHEN k = 7 THEN 30.75::DOUBLE ELSE lat END AS lat,
+         CASE WHEN k % 8 = 4 AND k + 1 <= (SELECT max(s_suppkey) FROM supplier) THEN 'alias' WHEN k = 7 THEN 'anchor' WHEN lon IS NULL THEN 'missing' ELSE 'own' END AS coord_status FROM n
 ), m AS (SELECT round(avg(lon), 7) AS lon, round(avg(lat), 7) AS lat FROM a WHERE k IN (1, 2, 3))
-SELECT k AS n_nationkey, n_name, CASE WHEN k = 8 THEN m.lon ELSE a.lon END AS lon, CASE WHEN k = 8 THEN m.lat ELSE a.lat END AS lat, CASE WHEN k = 8 THEN 'derived' ELSE coord_status END AS coord_status FROM a, m""")
+SELECT k AS s_suppkey, s_name, CASE WHEN k = 8 THEN m.lon ELSE a.lon END AS lon, CASE WHEN k = 8 THEN m.lat ELSE a.lat END AS lat, CASE WHEN k = 8 THEN 'derived' ELSE coord_status END AS coord_status FROM a, m""")
 def alias_anchor_fill(spark, sf_dir):
     """Coordinates copied from aliases (if missing) and an anchor (always), and filled with a centroid."""
-    n = nation_points(spark, sf_dir)
-    names = n.select(F.col("n_nationkey").alias("k"), F.col("n_name").alias("target"))
-    alias = names.where("k % 8 = 4").withColumn("source", F.concat(F.lit("NATION_"), F.col("k") + 1))
-    n = lookup.copy_coordinates(n, "n_name", alias, ["lon", "lat"], False, "alias")
-    n = lookup.copy_coordinates(n, "n_name", names.where("k = 7").withColumn("source", F.lit("NATION_3")), ["lon", "lat"], True, "anchor")
-    return lookup.fill_centroid(n, "n_name", ["NATION_8"], ["NATION_1", "NATION_2", "NATION_3"], ["lon", "lat"], "derived")
+    n = supplier_points(spark, sf_dir)
+    name = lambda i: f"Supplier#{i:09d}"
+    names = n.select(F.col("s_suppkey").alias("k"), F.col("s_name").alias("target"))
+    alias = names.where("k % 8 = 4").withColumn("source", F.format_string("Supplier#%09d", F.col("k") + 1))
+    n = lookup.copy_coordinates(n, "s_name", alias, ["lon", "lat"], False, "alias")
+    n = lookup.copy_coordinates(n, "s_name", names.where("k = 7").withColumn("source", F.lit(name(3))), ["lon", "lat"], True, "anchor")
+    return lookup.fill_centroid(n, "s_name", [name(8)], [name(1), name(2), name(3)], ["lon", "lat"], "derived")
 
 
 @query("""WITH q AS (SELECT * FROM (SELECT s_nationkey, s_acctbal, s_suppkey, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS rn FROM supplier WHERE contains(s_name, '7')) WHERE rn = 1)
@@ -119,13 +121,13 @@ def poi_fallback(spark, sf_dir):
     return lookup.poi_fallback(c, "name", pois, ["7"], ["lon"], "poi").select("c_custkey", "lon", "coord_status")
 
 
-@query("""WITH a AS (SELECT c_custkey AS id, c_name AS name, NULL AS pixel_x, NULL AS map_x FROM customer WHERE c_custkey % 2 = 0), b AS (SELECT c_custkey AS id, CASE WHEN c_custkey % 3 = 0 THEN '' ELSE 'img' || c_custkey END AS name, c_custkey::VARCHAR AS pixel_x FROM customer), c AS (
+@query("""WITH a AS (SELECT c_custkey AS id, c_name AS name, NULL AS pixel_x, NULL AS map_x FROM customer), b AS (SELECT c_custkey AS id, CASE WHEN c_custkey % 3 = 0 THEN '' ELSE 'img' || c_custkey END AS name, c_custkey::VARCHAR AS pixel_x FROM customer), c AS (
   SELECT c_custkey AS id, CASE WHEN c_custkey % 5 = 0 THEN 'osm' || c_custkey END AS name, (c_custkey * 2)::VARCHAR AS map_x FROM customer WHERE c_custkey % 4 = 0)
 SELECT a.id, coalesce(nullif(c.name, ''), nullif(b.name, ''), a.name) AS name, b.pixel_x, c.map_x FROM a LEFT JOIN b ON a.id = b.id LEFT JOIN c ON a.id = c.id""")
 def control_overlay(spark, sf_dir):
     """Control points with the attributes of image and map features, the later layer first where it is not blank."""
     c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), "c_name")
-    base = c.where("id % 2 = 0").select("id", F.col("c_name").alias("name"))
+    base = c.select("id", F.col("c_name").alias("name"))
     image = c.select("id", F.when(F.col("id") % 3 == 0, "").otherwise(F.concat(F.lit("img"), "id")).alias("name"), F.col("id").cast("string").alias("pixel_x"))
     osm = c.where("id % 4 = 0").select("id", F.when(F.col("id") % 5 == 0, F.concat(F.lit("osm"), "id")).alias("name"), (F.col("id") * 2).cast("string").alias("map_x"))
     return lookup.overlay(base, "id", [image, osm], ["name", "pixel_x", "map_x"])
@@ -147,13 +149,13 @@ def previous_choice(spark, sf_dir):
     return upsert.previous_choice(p, "p_partkey", p.where("p_partkey % 5 = 0").withColumn("choice", F.lit("manual")), p.where("p_partkey % 3 = 0").withColumn("choice", F.lit("previous")), ["choice"])
 
 
-@query("""WITH m AS (SELECT 'map' || (p_size % 10) || '_' || p_partkey AS place_id, p_name AS name FROM part WHERE p_partkey % 2 = 0), i AS (SELECT 'map3_' || p_partkey AS place_id, upper(p_name) AS name FROM part WHERE p_partkey % 10 < 3)
+@query("""WITH m AS (SELECT 'map' || (p_size % 10) || '_' || p_partkey AS place_id, p_name AS name FROM part), i AS (SELECT 'map3_' || p_partkey AS place_id, upper(p_name) AS name FROM part WHERE p_size % 10 = 3)
 SELECT * FROM m WHERE place_id NOT IN (SELECT place_id FROM i) AND NOT starts_with(place_id, 'map3_') UNION ALL SELECT * FROM i""")
 def merge_master(spark, sf_dir):
     """A master table after the import of one map."""
     p = table(spark, sf_dir, "part")
-    m = p.where("p_partkey % 2 = 0").select(F.concat(F.lit("map"), F.col("p_size") % 10, F.lit("_"), "p_partkey").alias("place_id"), F.col("p_name").alias("name"))
-    i = p.where("p_partkey % 10 < 3").select(F.concat(F.lit("map3_"), "p_partkey").alias("place_id"), F.upper("p_name").alias("name"))
+    m = p.select(F.concat(F.lit("map"), F.col("p_size") % 10, F.lit("_"), "p_partkey").alias("place_id"), F.col("p_name").alias("name"))
+    i = p.where("p_size % 10 = 3").select(F.concat(F.lit("map3_"), "p_partkey").alias("place_id"), F.upper("p_name").alias("name"))
     return upsert.merge_master(m, i, "place_id", "map3")
 
 
@@ -172,7 +174,7 @@ def sort_keys(spark, sf_dir):
         "o_orderkey", F.when(F.col("o_orderkey") % 9 != 0, F.year("o_orderdate")).alias("year"), F.when(p.isin("1", "2"), "high").when(p == "3", "medium").when(p == "4", "low").otherwise("").alias("priority"),
         F.when(F.col("o_orderstatus") == "F", "matched").when(F.col("o_orderstatus") == "O", "unmatched").otherwise("review").alias("status"), F.lpad(F.col("o_orderkey").cast("string"), 12, "0").alias("name"),
     )
-    return ranking.global_rank(o, ranking.time_order("year", "priority", "status", "name"), "rank", 16).select("o_orderkey", "rank")
+    return ranking.global_rank(o, ranking.time_order("year", "priority", "status", "name"), "rank").select("o_orderkey", "rank")
 
 
 @query("""WITH e AS (SELECT *, row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_acctbal DESC, c_custkey) AS rn FROM customer WHERE c_nationkey = 7 OR c_acctbal >= 5000)
@@ -208,7 +210,7 @@ def grouped_index(spark, sf_dir):
 SELECT line_no, line FROM (SELECT -4 AS line_no, '# Customers' AS line UNION ALL SELECT -3, '' UNION ALL SELECT -2, '| rank | c_name | c_mktsegment |' UNION ALL SELECT -1, '| --- | --- | --- |' UNION ALL SELECT rank, '| ' || rank || ' | ' || c_name || ' | ' || c_mktsegment || ' |' FROM r WHERE rank <= 30)""")
 def ranked_report(spark, sf_dir):
     """A Markdown report of the 30 leading rows."""
-    c = ranking.global_rank(table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal", "c_name", "c_mktsegment"), [F.desc("c_acctbal"), F.asc("c_custkey")], "rank", 8)
+    c = ranking.global_rank(table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal", "c_name", "c_mktsegment"), [F.desc("c_acctbal"), F.asc("c_custkey")], "rank")
     return tables.ranked_report(c, "Customers", ["rank", "c_name", "c_mktsegment"], "rank", 30)
 
 
@@ -233,10 +235,10 @@ def misspelt(spark, sf_dir):
     p = table(spark, sf_dir, "part")
     pos = F.col("p_size") % F.length("p_name")
     names = p.select(F.col("p_name").alias("base"), pos.alias("pos"), F.concat(F.substring(F.col("p_name"), F.lit(1), pos), F.lit("x"), F.substring(F.col("p_name"), pos + 2, F.length("p_name"))).alias("name")).distinct()
-    places = ranking.global_rank(names, [F.asc("name"), F.asc("pos")], "seq", 8).withColumn("place_type", F.when(F.col("pos") % 2 == 0, "road").otherwise("park")).select("seq", "name", "place_type")
+    places = ranking.global_rank(names, [F.asc("name"), F.asc("pos")], "seq").withColumn("place_type", F.when(F.col("pos") % 2 == 0, "road").otherwise("park")).select("seq", "name", "place_type")
     by = p.groupBy(F.col("p_name").alias("osm_name")).agg(F.count(F.lit(1)).alias("n"))
     n = F.col("n")
-    features = ranking.global_rank(by, [F.asc("osm_name")], "feature_seq", 8).select(
+    features = ranking.global_rank(by, [F.asc("osm_name")], "feature_seq").select(
         "feature_seq", "osm_name", F.when(n % 2 == 0, "way").otherwise("node").alias("osm_type"), F.when(n % 3 == 0, "highway:residential").when(n % 3 == 1, "leisure:park").otherwise("named").alias("osm_class"),
         n.cast("double").alias("lon"), (-n).cast("double").alias("lat"),
     )
@@ -262,14 +264,14 @@ def fuzzy_match(spark, sf_dir):
 
 @query()
 def fuzzy_match_ratio(spark, sf_dir):
-    """The same by common blocks, which SQL lacks; tests hold it against all pairs."""
+    """The same by common blocks, which SQL lacks; a test holds the matcher against all pairs."""
     places, features, compat = misspelt(spark, sf_dir)
     return match.match_places(places, features, compat, "ratio").select("seq", "match_status", "match_method", "match_score", "osm_name")
 
 
 @query()
 def label_match(spark, sf_dir):
-    """Misspelt labels with alternatives and their best master name; tests hold it against all pairs."""
+    """Misspelt labels with alternatives and their best master name by common blocks; by edit distance see q_label_match_edit."""
     places, features, _ = misspelt(spark, sf_dir)
     labels = places.select("seq", F.array("name", F.reverse("name")).alias("texts"))
     master = features.select(F.col("feature_seq").alias("master_seq"), F.col("osm_name").alias("name"), F.when(F.col("osm_class") == "named", "桥梁").otherwise("其他").alias("category"))
@@ -315,6 +317,6 @@ def notes_json(spark, sf_dir):
 def benchmark_rank(spark, sf_dir):
     """Global rank without a one-task sort."""
     b = table(spark, sf_dir, "benchmark").select("item_id", F.length("text").alias("n"))
-    return ranking.global_rank(b, [F.desc("n"), F.asc("item_id")], "part_rank", 8)
+    return ranking.global_rank(b, [F.desc("n"), F.asc("item_id")], "part_rank")
 
 

@@ -9,6 +9,7 @@ from mapmill.functions import text as T
 from mapmill.functions import years
 from mapmill.operators import lookup, mentions, ranking
 from mapmill.sources import tables
+from mapmill.storage import materialize
 
 Q: dict = {}
 SQL: dict[str, str] = {}
@@ -52,7 +53,7 @@ LEVEL_SQL = "CASE WHEN {0} >= 200 THEN '极高频' WHEN {0} >= 80 THEN '高频'
 def ranked_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", T.squeeze_lines(F.col("text")).alias("text"))
     counts = mentions.mention_counts(docs, dictionary(spark, sf_dir))
-    ranked = ranking.global_rank(counts, [F.desc("mentions"), F.asc("name")], "rank", 8)
+    ranked = ranking.global_rank(counts, [F.desc("mentions"), F.asc("name")], "rank")
     return ranked.withColumn("level", T.mention_level(F.col("mentions"))).withColumn("label", mentions.rank_label(F.col("rank"), F.col("name"), F.col("mentions")))
 
 
@@ -74,19 +75,17 @@ def mention_rank(spark, sf_dir):
 @query(RANKED_SQL + "SELECT name, mentions, rank, level FROM m WHERE level = '极高频' AND (contains(name, 'th') OR contains(label, '10'))")
 def rank_filter(spark, sf_dir):
     """Names of one level whose name or label holds a keyword."""
-    r = ranked_mentions(spark, sf_dir)
-    return r.where((F.col("level") == "极高频") & (F.contains("name", F.lit("th")) | F.contains("label", F.lit("10")))).select("name", "mentions", "rank", "level")
+    hit = ranking.filter_ranked(ranked_mentions(spark, sf_dir), "极高频", "th", text_cols=("name",)).unionByName(ranking.filter_ranked(ranked_mentions(spark, sf_dir), "极高频", "10", text_cols=("label",)))
+    return hit.select("name", "mentions", "rank", "level").distinct()
 
 
 @query(RANKED_SQL + """SELECT name, rank, coalesce(sub, 0) AS curated_rank, CASE WHEN sub IS NULL THEN label ELSE sub || '. ' || name || '（' || mentions || '次）' END AS rank_label
 FROM m LEFT JOIN (SELECT name AS k, row_number() OVER (ORDER BY rank) AS sub FROM m WHERE length(name) % 2 = 0) ON name = k""")
 def curated_rank(spark, sf_dir):
     """A second rank inside a curated subset, which also renames those rows in the full table."""
-    full = ranked_mentions(spark, sf_dir)
-    sub = ranking.global_rank(full.where(F.length("name") % 2 == 0).select(F.col("name").alias("k"), F.col("rank").alias("r")), [F.asc("r")], "sub", 8)
-    out = full.join(sub.select("k", "sub"), F.col("name") == F.col("k"), "left")
-    label = F.when(F.col("sub").isNotNull(), mentions.rank_label(F.col("sub"), F.col("name"), F.col("mentions"))).otherwise(F.col("label"))
-    return out.select("name", "rank", F.coalesce("sub", F.lit(0)).alias("curated_rank"), label.alias("rank_label"))
+    full = ranked_mentions(spark, sf_dir).withColumnRenamed("label", "rank_label")
+    out = ranking.second_rank(full, F.length("name") % 2 == 0, [F.asc("rank")], "name", mentions.rank_label(F.col("curated_rank"), F.col("name"), F.col("mentions")))
+    return out.select("name", "rank", "curated_rank", "rank_label")
 
 
 @query(f"WITH {D_SQL} SELECT * FROM (SELECT doc_id, name, ((length(text) - length(replace(text, name, ''))) // length(name))::BIGINT AS n FROM documents, dict) WHERE n > 0")
@@ -189,8 +188,9 @@ def suffix_candidates(spark, sf_dir):
 def seed_reduce(spark, sf_dir):
     """Names reduced to the longest seed that they contain."""
     seeds = dictionary(spark, sf_dir, 40).select(F.col("name").alias("seed"), F.lit("seed").alias("seed_type"), F.col("ord").alias("ordinal"))
-    fits = candidates(spark, sf_dir).select(F.lit("seed").alias("seed_type"), "place_type").distinct()
-    out = lookup.seed_reduce(candidates(spark, sf_dir), "name", "place_type", seeds, fits)
+    found = materialize(candidates(spark, sf_dir), "candidates")
+    fits = found.select(F.lit("seed").alias("seed_type"), "place_type").distinct()
+    out = lookup.seed_reduce(found, "name", "place_type", seeds, fits)
     return out.groupBy("name").agg(F.sum("n").alias("n"))
 
 
@@ -242,11 +242,14 @@ def time_window(spark, sf_dir):
     return table(spark, sf_dir, "orders").groupBy(y.alias("time_type")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("""WITH l AS (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no, regexp_replace(unnest(string_split(text, chr(10))), '\\s+', '', 'g') AS line FROM documents)
+@query("""WITH t AS (SELECT o_orderkey AS doc_id, 'order ' || o_orderkey || chr(10) || ' placed  in ' || year(o_orderdate) || ' ok' || chr(10) || 'no ' || (100000 + o_orderkey) || chr(10) || year(o_orderdate) || '1' AS text FROM orders),
+l AS (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no, regexp_replace(unnest(string_split(text, chr(10))), '\\s+', '', 'g') AS line FROM t)
 SELECT doc_id, line_no::INTEGER AS line_no, length(line)::INTEGER AS n FROM l WHERE regexp_matches(line, '(^|[^0-9])(1[89][0-9]{2}|20[0-9]{2})([^0-9]|$)')""")
 def year_lines(spark, sf_dir):
     """Lines that hold a year."""
-    return tables.year_lines(table(spark, sf_dir, "documents")).select("doc_id", "line_no", F.length("line").alias("n"))
+    y = F.year("o_orderdate")
+    text = F.concat(F.lit("order "), "o_orderkey", F.lit("\n placed  in "), y, F.lit(" ok\nno "), 100000 + F.col("o_orderkey"), F.lit("\n"), y, F.lit("1"))
+    return tables.year_lines(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), text.alias("text"))).select("doc_id", "line_no", F.length("line").alias("n"))
 
 
 @query("""SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN '井百坊' || c_custkey || '巷' WHEN c_custkey % 3 = 1 THEN c_custkey || '井街' ELSE '街井' || c_custkey END AS label,

@@ -30,11 +30,15 @@ def write_csv(df: DataFrame, path: str, fields: list[str], mode: str = "overwrit
     with_fields(df, fields).write.mode(mode).option("header", True).option("escape", '"').csv(path)
 
 
+def decoded(content: Column) -> Column:
+    """The text of bytes; those that are no UTF-8 are left out, a replacement character that stands there stays."""
+    aside = F.replace(content.cast("string"), F.lit("\ufffd"), F.lit("\ufdd0"))
+    return F.replace(F.replace(F.make_valid_utf8(aside), F.lit("\ufffd"), F.lit("")), F.lit("\ufdd0"), F.lit("\ufffd"))
+
+
 def read_texts(spark: SparkSession, path: str) -> DataFrame:
     """(path, text): one row a file; bytes that are no text are left out."""
-    raw = spark.read.format("binaryFile").load(path)
-    text = F.replace(F.make_valid_utf8(F.col("content").cast("string")), F.lit("\ufffd"), F.lit(""))
-    return raw.select("path", text.alias("text"))
+    return spark.read.format("binaryFile").load(path).select("path", decoded(F.col("content")).alias("text"))
 
 
 def year_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -72,7 +72,7 @@ def test_mention_positions(spark, many, monkeypatch):
 
 def test_global_rank_and_quota(spark):
     df = spark.range(1000).withColumn("v", F.pmod(F.hash("id"), F.lit(50)))
-    got = ranking.global_rank(df, [F.desc("v"), F.asc("id")], "r", 7).orderBy("r").collect()
+    got = ranking.global_rank(df, [F.desc("v"), F.asc("id")], "r").orderBy("r").collect()
     assert [r["r"] for r in got] == list(range(1, 1001)) and [(-r["v"], r["id"]) for r in got] == sorted((-r["v"], r["id"]) for r in got)
     rng, rows = random.Random(3), []
     for i in range(200):
