@@ -22,7 +22,8 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
         out = met.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
     else:
         out = met.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select(F.col("u").alias("a"), F.col("m").alias("b")))
-    out = materialize(out.where("a > b").distinct(), "links")
+    out = out.where("a > b")
+    out = materialize(out if large else out.distinct(), "links")
     release(low)
     release(edges)
     return out

@@ -6,9 +6,9 @@ is keyed by half-key i of the first and j of the second collection, so side^2 ta
 A half-key that no other class has cannot meet in any table, so it is dropped before the pairs
 of half-keys are formed.
 
-The tables (i, i) come first, in growing batches: in each bucket every member of another component is
-compared with one head, and verified links join components before the next batch, so that a dense
-group costs few pairs a member. What the heads leave open ends in one exact comparison over all
+The tables (i, i) come first: in each bucket every member is compared with one head. Heads are drawn by a hash of the class
+alone, so the buckets of a dense group have few different ones and it costs few pairs a member; verified links join components.
+What the heads leave open ends in one exact comparison over all
 tables: of the classes that still share a table with another component, shingles are ordered rare ones
 first, and every pair of different components whose sets can be similar meets in a shingle of both
 prefixes, while what many texts have in common stands behind the prefixes.
@@ -33,8 +33,8 @@ PERCENT = 75
 #: Half-keys a side and minima in each: 256 tables of six minima from 96; a pair of similarity 0.75 shares
 #: a table but for 2 * (1 - 0.75^3)^16 = 0.03 % of cases, one of 0.2 in 1.6 %.
 SIDE, ROWS = 16, 3
-#: The tables (i, i) that are read together; components are formed after each batch.
-BATCHES = ((0, 1), (1, SIDE))
+#: Bits of a set that bound from below how much two sets differ, before they are compared.
+BITS = 1024
 _RNG = np.random.default_rng(7)
 _MULT = _RNG.integers(0, 2**64, 4096, dtype=np.uint64) | np.uint64(1)
 
@@ -90,8 +90,19 @@ def sign(docs: DataFrame, id_col: str, text_col: str, k: int = SHINGLE, side: in
     return src.mapInArrow(work, SIGNATURE)
 
 
+def set_bits(hashes: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """Lists of BITS bits, as longs, of sets of hashes that end at ``ends[1:]``: whether an odd number of hashes falls on each.
+
+    Two sets differ in as many elements at least as their bits do in places.
+    """
+    n = len(ends) - 1
+    place = np.repeat(np.arange(n) * BITS, np.diff(ends)) + (mix(hashes.view(np.uint64)) % np.uint64(BITS)).astype(np.int64)
+    odd = (np.bincount(place, minlength=n * BITS) & 1).astype(np.uint8)
+    return pa.FixedSizeListArray.from_arrays(pa.array(np.packbits(odd).view(np.int64)), BITS // 64).cast(pa.list_(pa.int64()))
+
+
 def shingle_sets(texts: DataFrame, k: int = SHINGLE) -> DataFrame:
-    """(doc_id, shingles) of ``texts`` (doc_id, text): the sorted distinct shingle hashes of each whole text."""
+    """(doc_id, shingles, bits) of ``texts`` (doc_id, text): the sorted distinct shingle hashes of each whole text, and their ``set_bits``."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -99,10 +110,11 @@ def shingle_sets(texts: DataFrame, k: int = SHINGLE) -> DataFrame:
                 h, first = Words(data, offsets).shingles(k)
                 sets = [np.unique(signed(h[first[r] : first[r + 1]])) for r in range(j - i)]
                 bounds = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.concatenate(sets) if sets else np.zeros(0, np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), lists], names=["doc_id", "shingles"])
+                flat = np.concatenate(sets) if sets else np.zeros(0, np.int64)
+                lists = pa.ListArray.from_arrays(pa.array(bounds), pa.array(flat))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), lists, set_bits(flat, bounds)], names=["doc_id", "shingles", "bits"])
 
-    return texts.mapInArrow(work, "doc_id long, shingles array<long>")
+    return texts.mapInArrow(work, "doc_id long, shingles array<long>, bits array<long>")
 
 
 def with_component(frame: DataFrame, comp: DataFrame | None) -> DataFrame:
@@ -126,24 +138,20 @@ def keys_in_common(frame: DataFrame, side: int | None) -> DataFrame:
     return frame.drop("own").join(own, F.col("rep") == F.col("r")).drop("r")
 
 
-def in_tables(frame: DataFrame, side: int | None, batch: tuple[int, int] | None = None) -> DataFrame:
-    """(rep, n, c, tkey) for the tables (i, i) with i of ``batch``, or for all tables. Without ``side`` each key is a table."""
+def in_tables(frame: DataFrame, side: int | None, diagonal: bool) -> DataFrame:
+    """(rep, n, c, tkey) for the tables (i, i), or for all tables. Without ``side`` each key is a table."""
     own = F.col("own")
     if side is None:
-        tkeys = F.transform(own if batch is None else F.filter(own, lambda x: (x["s"] >= batch[0]) & (x["s"] < batch[1])), lambda x: x["hk"])
+        tkeys = F.transform(own, lambda x: x["hk"])
     else:
-        low, high = batch or (0, side)
-        firsts = F.filter(own, lambda x: (x["s"] >= low) & (x["s"] < high))
-        second = lambda x: F.filter(own, lambda y: y["s"] == x["s"] + side if batch else y["s"] >= side)
+        firsts = F.filter(own, lambda x: x["s"] < side)
+        second = lambda x: F.filter(own, lambda y: y["s"] == x["s"] + side if diagonal else y["s"] >= side)
         tkeys = F.flatten(F.transform(firsts, lambda x: F.transform(second(x), lambda y: F.xxhash64(x["hk"], y["hk"]))))
     return frame.select("rep", "n", "c", F.explode(tkeys).alias("tkey"))
 
 
 def head_pairs(keys: DataFrame, percent: int) -> DataFrame:
-    """(a, b, ca, cb): the head of each bucket with its members of other components and of a size that allows the similarity.
-
-    Heads are drawn by a hash of the class alone, so the buckets of a group have few different ones.
-    """
+    """(a, b, ca, cb): the head of each bucket with its members of other components and of a size that allows the similarity."""
     head = F.struct(F.xxhash64("rep").alias("o"), "rep", "n", "c")
     heads = keys.groupBy("tkey").agg(F.min(head).alias("h"), F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 < c1")
     heads = materialize(heads.select(F.col("tkey").alias("k"), "h"), "heads")
@@ -153,7 +161,7 @@ def head_pairs(keys: DataFrame, percent: int) -> DataFrame:
 
 def open_members(frame: DataFrame, side: int | None) -> DataFrame:
     """(rep, c): the classes of ``frame`` (rep, n, c, own) that share a table with another component."""
-    keys = materialize(in_tables(keys_in_common(frame, side), side), "open_tables")
+    keys = materialize(in_tables(keys_in_common(frame, side), side, False), "open_tables")
     ends = keys.groupBy("tkey").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select(F.col("tkey").alias("k"))
     return keys.join(materialize(ends, "open_ends"), F.col("tkey") == F.col("k"), "left_semi").select("rep", "c").distinct()
 
@@ -163,17 +171,18 @@ def prefix_pairs(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame
 
     Shingles are ordered by the members that have them, rare ones first; before all stand those of a
     single component, which no pair shares. A similar pair has percent * (n + m) / (100 + percent)
-    shingles in common, so at the first of them in this order at least so many are left in both sets.
+    shingles in common, so at the first of them in this order at least so many are left in both sets; and its sets differ in no
+    more elements than the similarity allows, which their bits tell from below.
     Of the members that meet in a shingle, those of its main component are not compared with each other.
     """
     own = members.select(F.col("rep").alias("m_rep"), F.col("c").alias("m_c"))
-    full = sets.join(own, F.col("doc_id") == F.col("m_rep")).select("m_rep", "m_c", F.xxhash64("shingles").alias("u"), F.size("shingles").alias("n"), F.explode("shingles").alias("s"))
+    full = sets.join(own, F.col("doc_id") == F.col("m_rep")).select("m_rep", "m_c", F.xxhash64("shingles").alias("u"), F.size("shingles").alias("n"), "bits", F.explode("shingles").alias("s"))
     live = full.groupBy("s").agg(F.count(F.lit(1)).cast("int").alias("f"), F.min("m_c").alias("c0"), F.max("m_c").alias("c1")).where("c0 < c1").select(F.col("s").alias("k"), "f")
-    met = full.select("m_rep", "u", "n", "s").join(materialize(live, "live"), F.col("s") == F.col("k"))
-    lists = met.groupBy("m_rep", "u", "n").agg(F.sort_array(F.collect_set(F.struct("f", "s"))).alias("xs"))
+    met = full.select("m_rep", "u", "n", "bits", "s").join(materialize(live, "live"), F.col("s") == F.col("k"))
+    lists = met.groupBy("m_rep", "u", "n", "bits").agg(F.sort_array(F.collect_set(F.struct("f", "s"))).alias("xs"))
     least, size = F.ceil(F.col("n") * percent / 100).cast("int"), F.size("xs")
-    lists = lists.where(size >= least).select("m_rep", "n", size.alias("size"), F.posexplode(F.slice("xs", 1, size - least + 1)).alias("i", "x"))
-    pre = members.join(lists, F.col("rep") == F.col("m_rep")).select("rep", "c", F.col("n").cast("long").alias("n"), F.col("x.s").alias("s"), (F.col("size") - F.col("i")).alias("left"))
+    lists = lists.where(size >= least).select("m_rep", "n", "bits", size.alias("size"), F.posexplode(F.slice("xs", 1, size - least + 1)).alias("i", "x"))
+    pre = members.join(lists, F.col("rep") == F.col("m_rep")).select("rep", "c", F.col("n").cast("long").alias("n"), "bits", F.col("x.s").alias("s"), (F.col("size") - F.col("i")).alias("left"))
     pre = materialize(pre, "prefixes")
     tops = pre.groupBy("s", "c").agg(F.count(F.lit(1)).alias("k")).groupBy("s").agg(F.max(F.struct("k", "c"))["c"].alias("main"), F.count(F.lit(1)).alias("parts"))
     tops = materialize(tops.where("parts > 1").select(F.col("s").alias("k"), "main"), "tops")
@@ -181,7 +190,9 @@ def prefix_pairs(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame
     # Of two members outside the main component, each pair is formed once.
     once = (F.col("y.c") == F.col("x.main")) | (F.col("x.c") < F.col("y.c"))
     enough = (100 + percent) * F.least("x.left", "y.left") >= percent * (F.col("x.n") + F.col("y.n"))
-    pairs = others.alias("x").join(pre.alias("y"), (F.col("x.s") == F.col("y.s")) & (F.col("x.c") != F.col("y.c")) & once & enough)
+    apart = sum((F.bit_count(F.get("x.bits", F.lit(i)).bitwiseXOR(F.get("y.bits", F.lit(i)))) for i in range(BITS // 64)), F.lit(0))
+    close = (100 + percent) * apart <= (100 - percent) * (F.col("x.n") + F.col("y.n"))
+    pairs = others.alias("x").join(pre.alias("y"), (F.col("x.s") == F.col("y.s")) & (F.col("x.c") != F.col("y.c")) & once & enough & close)
     return pairs.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b"), F.least("x.c", "y.c").alias("ca"), F.greatest("x.c", "y.c").alias("cb")).distinct()
 
 
@@ -202,12 +213,6 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame | Non
     return None if found.isEmpty() else found
 
 
-def stars(links: DataFrame) -> DataFrame:
-    """The components that the links (ca, cb) of one table make: each member is linked with its head at most."""
-    heads = links.select(F.col("ca").alias("node"), F.col("ca").alias("component")).distinct()
-    return materialize(links.select(F.col("cb").alias("node"), F.col("ca").alias("component")).unionByName(heads), "stars")
-
-
 def joined(comp: DataFrame | None, links: DataFrame) -> DataFrame:
     """The components ``comp`` (node, component) after ``links`` (ca, cb) between them."""
     new = components(links, "ca", "cb")
@@ -229,20 +234,14 @@ def meeting_classes(reps: DataFrame, side: int | None) -> DataFrame:
     return materialize(keys_in_common(keyed, side), "keyed")
 
 
-def link_classes(keyed: DataFrame, sets: DataFrame, side: int | None, percent: int = PERCENT, batches: tuple = BATCHES) -> DataFrame | None:
+def link_classes(keyed: DataFrame, sets: DataFrame, side: int | None, percent: int = PERCENT) -> DataFrame | None:
     """(node, component) of linked classes, None without any. ``keyed``: see ``meeting_classes``; ``sets``: (doc_id, shingles) by class."""
-    comp = None
-    for batch in (*batches, None):
-        placed = with_component(keyed, comp)
-        if batch is None:  # all tables, in which members of different components are compared exactly
-            pairs = prefix_pairs(materialize(open_members(placed, side), "members"), sets, percent)
-        else:
-            pairs = head_pairs(in_tables(placed, side, batch), percent)
-        found = verified(pairs, sets, percent)
-        if found is not None:
-            comp = stars(found) if comp is None and batch and batch[1] - batch[0] == 1 else joined(comp, found)
-            release(found)
-    return comp
+    found = verified(head_pairs(in_tables(with_component(keyed, None), side, True), percent), sets, percent)
+    comp = None if found is None else joined(None, found)
+    members = materialize(open_members(with_component(keyed, comp), side), "members")
+    # Of all tables, members of different components are compared exactly.
+    found = None if members.isEmpty() else verified(prefix_pairs(members, sets, percent), sets, percent)
+    return comp if found is None else joined(comp, found)
 
 
 def labelled(classes: DataFrame, comp: DataFrame | None, rep: str) -> DataFrame:

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mapmill.llm.components import components
-from mapmill.llm.near_duplicates import PERCENT, SHINGLE, fingerprint, labelled, link_classes, meeting_classes, signatures
+from mapmill.llm.near_duplicates import PERCENT, SHINGLE, fingerprint, labelled, link_classes, meeting_classes, set_bits, signatures
 from mapmill.llm.ragged import Words, mix, signed, text_slices
 from mapmill.llm.words import words
 from mapmill.storage import materialize, release
@@ -38,8 +38,6 @@ PARAGRAPH = 20
 GRAM = 20
 #: Bands and minima in each, for paragraphs: of similarity 0.75 they share no band in (1 - 0.75^3)^10 = 0.4 % of cases, of 0.2 one in 8 %.
 BANDS, ROWS = 10, 3
-#: Bands that are read together; components are formed after each batch.
-BATCHES = ((0, 1), (1, BANDS))
 _RNG = np.random.default_rng(11)
 #: Multipliers of the words of a run, for two hashes of 64 bits.
 _RUN = _RNG.integers(0, 2**64, (2, 1024), dtype=np.uint64) | np.uint64(1)
@@ -137,7 +135,7 @@ def first_pass(docs: DataFrame, paragraph: int = PARAGRAPH, gram: int = GRAM, mi
     return docs.select("doc_id", "text").mapInArrow(work, FIRST)
 
 
-SECOND = "set long, shingles array<long>, doc_id long, start long, g1 long, g2 long, hi long"
+SECOND = "set long, shingles array<long>, bits array<long>, doc_id long, start long, g1 long, g2 long, hi long"
 
 
 def second_pass(docs: DataFrame, wanted: DataFrame, paragraph: int = PARAGRAPH, gram: int = GRAM, min_words: int = MIN_WORDS) -> DataFrame:
@@ -165,9 +163,10 @@ def second_pass(docs: DataFrame, wanted: DataFrame, paragraph: int = PARAGRAPH,
                             names.append(unit["f1"])
                             sets.append(own)
                 ends = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets) if sets else np.zeros(0, np.int64)))
+                flat = np.concatenate(sets) if sets else np.zeros(0, np.int64)
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
                 none = pa.nulls(len(names), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), lists, none, none, none, none, none], names=["set", "shingles", "doc_id", "start", "g1", "g2", "hi"])
+                yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), lists, set_bits(flat, ends), none, none, none, none, none], names=["set", "shingles", "bits", "doc_id", "start", "g1", "g2", "hi"])
                 column = batch.column(3).slice(i, j - i)
                 text = np.repeat(np.arange(j - i), pc.fill_null(pc.list_value_length(column), 0).to_numpy())
                 spots = column.flatten()
@@ -187,8 +186,8 @@ def second_pass(docs: DataFrame, wanted: DataFrame, paragraph: int = PARAGRAPH,
                 row = np.searchsorted(first_word, z, "right") - 1
                 none = pa.nulls(len(z), pa.int64())
                 yield pa.RecordBatch.from_arrays(
-                    [none, pa.nulls(len(z), pa.list_(pa.int64())), ids.take(pa.array(row)), pa.array(z - first_word[row]), pa.array(signed(g[0])), pa.array(signed(g[1])), pa.array(last)],
-                    names=["set", "shingles", "doc_id", "start", "g1", "g2", "hi"],
+                    [none, pa.nulls(len(z), pa.list_(pa.int64())), pa.nulls(len(z), pa.list_(pa.int64())), ids.take(pa.array(row)), pa.array(z - first_word[row]), pa.array(signed(g[0])), pa.array(signed(g[1])), pa.array(last)],
+                    names=["set", "shingles", "bits", "doc_id", "start", "g1", "g2", "hi"],
                 )
 
     # What met has no size bound, so this is a shuffled join at any size of the table.
@@ -207,7 +206,7 @@ def islands(spans: DataFrame) -> DataFrame:
 
 def linked_paragraphs(units: DataFrame, classes: DataFrame, keyed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """(doc_id, start_word, end_word, removed, cluster_doc_id) of paragraphs that are near duplicates of others."""
-    of = materialize(labelled(classes.select("f1", "one", "last"), link_classes(keyed, sets, None, percent, BATCHES), "f1"), "paragraph_labels")
+    of = materialize(labelled(classes.select("f1", "one", "last"), link_classes(keyed, sets, None, percent), "f1"), "paragraph_labels")
     whole = of.groupBy(F.col("label").alias("l")).agg(F.min("one").alias("first"), F.max("last").alias("hi")).where("first <> hi")
     of = materialize(of.join(whole, F.col("label") == F.col("l")).select(F.col("f1").alias("set"), "first"), "paragraph_of")
     met = units.join(of, F.col("f1") == F.col("set"))
@@ -268,7 +267,7 @@ def repeated_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     decided = spots.where("doc_id > lo").select("doc_id", F.greatest(F.col("start") - (min_words - GRAM), F.lit(0)).alias("start"), "end", F.col("lo").alias("first_id"))
 
     second = materialize(second_pass(src, of_units.join(of_spots, "w_id", "full_outer"), paragraph, min_words=min_words), "second_pass")
-    near = linked_paragraphs(units, classes, keyed, second.where("set is not null").select(F.col("set").alias("doc_id"), "shingles"), percent)
+    near = linked_paragraphs(units, classes, keyed, second.where("set is not null").select(F.col("set").alias("doc_id"), "shingles", "bits"), percent)
     same = shared_passages(second.where("set is null").select("doc_id", "start", "g1", "g2", "hi"), decided, min_words)
     out = near.withColumn("kind", F.lit("paragraph")).unionByName(same.withColumn("kind", F.lit("passage")))
     return out.select("doc_id", "kind", "start_word", "end_word", "removed", "cluster_doc_id")
