@@ -73,7 +73,7 @@ def host_rules(
 
     A null text counts as empty and fails. Rows with a null host form one host of their own.
     Repeated rows are judged one by one and all count for their host. An empty table gives an
-    empty result. Other columns of ``docs``, whatever their names, are not read.
+    empty result. A text is counted whole however long. Other columns of ``docs``, whatever their names, are not read.
     With one host, or hosts that all have the same rate, the prior takes its greatest strength.
     """
     src = docs.select(
@@ -81,7 +81,8 @@ def host_rules(
     ).select("doc_id", "host", "c.w.n_words", "c.word_chars", "c.n_symbols", "c.n_dup_lines", "c.w.n_repeat_words")
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
     base = materialize(src.withColumn("base_failed", failed), "host_rules")
-    hosts = base.groupBy("host").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("base_failed").cast("long")).alias("f"))
+    # Written before the join, so that beyond the bound of a broadcast Spark can split the rows of a large host.
+    hosts = materialize(base.groupBy("host").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("base_failed").cast("long")).alias("f")), "hosts")
     # One row whatever the number of hosts: the moments of the host rates, weighted by documents.
     m = hosts.agg(F.count(F.lit(1)), F.sum("n"), F.sum("f"), F.sum(F.col("f") * F.col("f") / F.col("n"))).first()
     n_hosts, n, f, q = m[0], m[1] or 0, m[2] or 0, m[3] or 0.0

@@ -76,7 +76,7 @@ def mix(
 
     Null texts have size 0 and are taken 0 times; a null source is one source, ordered last. Rows
     are taken one by one, so repeated rows are mixed as often as they stand; ties of the key are
-    broken by id, size and a hash of the text. An empty table gives an empty result. Only the
+    broken by id, size and a hash of the text. Sizes are those of whole texts, however long. An empty table gives an empty result. Only the
     named columns are read; ``extra`` columns (aliased by the caller) are carried along.
     """
     text = F.col(text_col)

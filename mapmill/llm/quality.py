@@ -237,7 +237,7 @@ def classify(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: s
     """(doc_id, held_out, score, predicted) of every row, repeated rows one by one.
 
     An empty table gives an empty result; without labels every score is one half. A null id is not
-    held out. Only the named columns are read.
+    held out; a null text is scored as an empty one, a long one as a whole. Equal texts have equal scores. Only the named columns are read.
     """
     model = train(docs, labels, sample, id_col, text_col)
     out = score(docs, model, id_col, text_col, threshold)

@@ -535,6 +535,15 @@ def test_near_duplicates_in_hot_templates(spark, own, changed):
     assert {(r.component_id, r.doc_id) for r in got} == links
 
 
+def test_bits_bound_the_difference():
+    rng = np.random.default_rng(4)
+    sets = [np.unique(rng.integers(0, 400, rng.integers(1, 300))) for _ in range(40)]
+    ends = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
+    bits = near_duplicates.set_bits(np.concatenate(sets), ends).to_pylist()
+    for (a, x), (b, y) in itertools.combinations(zip(sets, bits, strict=True), 2):
+        assert sum(bin((i ^ j) & (2**64 - 1)).count("1") for i, j in zip(x, y, strict=True)) <= len(np.setxor1d(a, b))
+
+
 def test_blocks_cut_no_word(monkeypatch):
     texts = ["".join(random.Random(i).choice("ab \n") for _ in range(200)) for i in range(20)] + ["x" * 500, "", "y" * 300 + " z"]
     data, offsets = np.frombuffer("".join(texts).encode(), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in texts])])
