@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from mapmill.functions import geo
 from mapmill.functions.text import blank
 
+# Words that enable a control point.
 ENABLED_WORDS = ("1", "true", "yes", "y", "enabled", "是", "启用")
 RMSE_LIMIT, POINT_LIMIT = 60.0, 120.0
 #: Share of the product of the variances below which points count as lying on a line.

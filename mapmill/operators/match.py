@@ -16,6 +16,7 @@ from mapmill.storage import materialize
 REVIEW = 0.72
 #: Bonuses of a compatible type and of a way, added before the best pair is chosen.
 COMPATIBLE_BONUS, WAY_BONUS = 0.08, 0.04
+# Categories of structural names; the labels of the ladder below are fixed too.
 STRUCTURAL = ("城门", "宫城", "寺观", "山体", "水体", "桥梁", "衙署")
 
 

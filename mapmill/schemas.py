@@ -1,42 +1,8 @@
-"""Schemas of the tables that are read and written, as DDL."""
+"""Schemas of the tables that are read, as DDL."""
 
 from __future__ import annotations
 
-PLACES_RAW = "Name string, Category string, X double, Y double, Confidence string, Reference_Logic string"
-PLACES_STANDARD = (
-    "place_id string, name string, category string, target_layer string, display_layer string, qgis_geometry string, semantic_geometry string, geometry_level string,"
-    " x double, y double, confidence string, version string, source_map string, source_stage string, reference_logic string, notes string"
-)
-LAYER_RULES = (
-    "category string, target_layer string, display_name string, qgis_geometry string, semantic_geometry string, geometry_level string, shape string, width_m double, height_m double,"
-    " radius_m double, segments int, color_rgba string, default_visible string, notes string"
-)
-MAPS = "map_id string, title string, file_path string, map_type string, crs string, status string, notes string"
-TIMELINE_EVENTS = (
-    "event_id string, title string, start_year int, end_year int, period_label string, event_type string, gazetteer_place string, spatial_layer string, visual_action string,"
-    " source_text string, source_ref string, confidence string, duration_s double, narration string"
-)
-CONTROL_POINTS = (
-    "control_id string, enabled string, map_id string, name string, matched_standard_name string, match_type string, match_score double, role string, pixel_x string, pixel_y string,"
-    " map_x string, map_y string, source_ocr_id string, source_text string, candidate_texts string, ocr_confidence string, quality string, osm_reference string, weight double, notes string"
-)
-GAZETTEER_PLACES = "gazetteer_name string, gaode_map_item string, place_type string, match_status string, visual_priority string, occurrence_count int, gaode_check_action string, first_context string, notes string"
-OSM_MATCHES = "gazetteer_name string, place_type string, source string, match_status string, match_method string, match_score double, osm_name string, osm_type string, osm_id bigint, osm_class string, lon double, lat double"
 TESSERACT = "level int, page_num int, block_num int, par_num int, line_num int, word_num int, left int, top int, width int, height int, conf double, text string"
-KEYFRAMES = (
-    "keyframe string, time_s int, shot_name string, target_lon double, target_lat double, target_x_3857 double, target_y_3857 double, camera_distance_m int, pitch_deg int, heading_deg int,"
-    " duration_hint_s int, visible_focus string, narration string, label string"
-)
-TEMPORAL_SEQUENCE = (
-    "gazetteer_name string, gaode_map_item string, place_type string, match_status string, visual_priority string, occurrence_count int, in_curated_checklist boolean, primary_year int,"
-    " earliest_year int, latest_year int, year_list string, year_count int, time_type string, year_source string, time_anchor_note string, lon double, lat double, coord_source string,"
-    " coord_status string, coord_crs string, coord_note string, gaode_check_action string, first_context string, time_context string, notes string"
-)
-MENTION_STATISTICS = (
-    "rank int, curated_rank int, gazetteer_name string, gaode_map_item string, place_type string, mention_level string, canonical_mention_count int, raw_surface_count int, top_themes string,"
-    " reason string, has_coord boolean, coordinate_quality string, lon double, lat double, coord_source string, coord_status string, coord_crs string, match_status string, visual_priority string,"
-    " primary_year int, time_type string, year_list string, year_count int, rank_label string, context_examples string, first_context string, notes string"
-)
 OCR_CANDIDATE = (
     "struct<text string, name string, category string, bbox_pixel array<double>, quad_pixel array<array<double>>, orientation string, confidence string, quality double, ocr_id string, raw_text string,"
     " ocr_text_raw_order string, alternative_texts string, source_map string, source_stage string, reference_logic string, notes string, x double, y double, map_x double, map_y double, place_id string>"

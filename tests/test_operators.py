@@ -187,6 +187,65 @@ def test_label_ladder(spark):
     assert got == {1: ("保安门", 0.94), 2: ("净慈寺", 0.9), 3: ("大井巷", 1.0), 4: ("清波门", 0.88)}
 
 
+def test_match_labels_is_the_full_comparison(spark):
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("甲乙丙丁") for _ in range(rng.randrange(1, 6)))
+    labels = [(i, [word() for _ in range(rng.randrange(1, 3))]) for i in range(50)]
+    master = [(i, word(), rng.choice(["城门", "街巷"])) for i in range(25)]
+    want = {}
+    for i, texts in labels:
+        best = None
+        for t, text in enumerate(texts):
+            for m, name, kind in master:
+                sim = round(difflib.SequenceMatcher(None, text, name).ratio(), 3)
+                if text == name:
+                    s = 1.0
+                elif len(name) >= 3 and name in text:
+                    s = 0.88
+                elif kind == "城门" and len(text) >= 2 and text in name:
+                    s = 0.84
+                elif kind == "城门" and sim >= 0.72 or len(name) >= 3 and sim >= 0.84:
+                    s = sim
+                else:
+                    continue
+                if s >= 0.86 and (best is None or (-s, -len(name), t, m) < best[:4]):
+                    best = (-s, -len(name), t, m, name)
+        if best:
+            want[i] = (best[4], -best[0])
+    got = match.match_labels(spark.createDataFrame(labels, "seq int, texts array<string>"), spark.createDataFrame(master, "master_seq int, name string, category string")).collect()
+    assert {r["seq"]: (r["matched_name"], r["match_score"]) for r in got} == want and len(want) > 10
+
+
+@pytest.mark.parametrize("most", [0, 1000])
+def test_containing(spark, most, monkeypatch):
+    monkeypatch.setattr(lookup, "CONTAINED_ROWS", most)
+    names = spark.createDataFrame([("abcab", 1), ("xbc", 2), (None, 3), ("", 4)], "name string, k int")
+    parts = spark.createDataFrame([("ab", "p"), ("bc", "q"), ("bc", "r"), ("", "s"), ("zz", "t")], "part string, v string")
+    got = sorted((r["k"], r["v"]) for r in lookup.containing(names, "name", parts, "part").collect())
+    assert got == [(1, "p"), (1, "q"), (1, "r"), (2, "q"), (2, "r")]
+
+
+def test_other_geometry_is_an_error(spark):
+    ring = F.array(F.array(F.array(F.lit(1.0), F.lit(2.0))))
+    assert len(one(spark, geo.reproject_geometry(F.lit("Point"), ring))) == 1
+    with pytest.raises(Exception, match="no such geometry type"):
+        one(spark, geo.reproject_geometry(F.lit("MultiPoint"), ring))
+
+
+def test_small_sinks_and_shapes(spark, tmp_path):
+    tables.write_lines(spark.createDataFrame([(2, "b"), (1, "a")], "line_no int, line string"), str(tmp_path / "l"))
+    assert [r["value"] for r in spark.read.text(str(tmp_path / "l")).collect()] == ["a", "b"]
+    tables.write_json(spark.createDataFrame([(1, "x")], "k int, v string"), str(tmp_path / "j"))
+    assert [tuple(r) for r in spark.read.schema("k int, v string").json(str(tmp_path / "j")).collect()] == [(1, "x")]
+    (tmp_path / "w.tsv").write_text('level\tpage_num\tblock_num\tpar_num\tline_num\tword_num\tleft\ttop\twidth\theight\tconf\ttext\n5\t1\t1\t1\t1\t1\t10\t20\t3\t4\t91.5\t"甲\n4\t1\t1\t1\t1\t0\t1\t2\t3\t4\t-1\t\n')
+    assert [(r["bbox_pixel"], r["text"]) for r in tables.read_words(spark, str(tmp_path / "w.tsv"), 50).collect()] == [([10.0, 20.0, 13.0, 24.0], '"甲')]
+    rings = F.array(F.array(F.array(F.lit(1.0), F.lit(2.0)), F.array(F.lit(3.0), F.lit(4.0))))
+    text = spark.range(1).select(geojson.shape_feature(F.lit("LineString"), rings, ["id"]).alias("v")).first()["v"]
+    back = geojson.parse_features(spark.createDataFrame([('{"features":[' + text + "]}",)], "value string")).first()
+    assert (back["geom_type"], back["rings"], back["properties"]) == ("LineString", [[[1.0, 2.0], [3.0, 4.0]]], {"id": "0"})
+    assert one(spark, tables.decoded(F.concat(F.encode(F.lit("a\ufffdb"), "utf-8"), F.unhex(F.lit("FF"))))) == "a\ufffdb"
+
+
 def test_merge_is_idempotent(spark):
     m = spark.createDataFrame([("a_1", 1), ("b_1", 2), ("b_2", 3)], "place_id string, v int")
     i = spark.createDataFrame([("b_1", 9)], "place_id string, v int")
