@@ -488,7 +488,7 @@ def brute_links(rows):
 
 
 def test_near_duplicates(spark):
-    rows = corpus(7, 60) + odd_rows()
+    rows = corpus(7, 60) + [(i and 900 + i, t, s) for i, t, s in odd_rows()]  # each row is a document of its own, so ids differ
     rng = random.Random(3)
     hot = [f"h{rng.randrange(10**6)}" for _ in range(120)]
     for i in range(200, 280):  # one large group of near copies
