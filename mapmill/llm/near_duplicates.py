@@ -160,14 +160,14 @@ def head_pairs(keys: DataFrame, percent: int) -> DataFrame:
 
 
 def open_members(frame: DataFrame, side: int | None) -> DataFrame:
-    """(rep, c): the classes of ``frame`` (rep, n, c, own) that share a table with another component."""
+    """(rep, n, c): the classes of ``frame`` (rep, n, c, own) that share a table with another component."""
     keys = materialize(in_tables(keys_in_common(frame, side), side, False), "open_tables")
     ends = keys.groupBy("tkey").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select(F.col("tkey").alias("k"))
-    return keys.join(materialize(ends, "open_ends"), F.col("tkey") == F.col("k"), "left_semi").select("rep", "c").distinct()
+    return keys.join(materialize(ends, "open_ends"), F.col("tkey") == F.col("k"), "left_semi").select("rep", "n", "c").distinct()
 
 
 def prefix_pairs(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """All pairs of ``members`` (rep, c) of different components that can have the similarity, by prefixes of their sets.
+    """All pairs of ``members`` (rep, n, c) of different components that can have the similarity, by prefixes of their sets.
 
     Shingles are ordered by the members that have them, rare ones first; before all stand those of a
     single component, which no pair shares. A similar pair has percent * (n + m) / (100 + percent)
@@ -175,14 +175,15 @@ def prefix_pairs(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame
     more elements than the similarity allows, which their bits tell from below.
     Of the members that meet in a shingle, those of its main component are not compared with each other.
     """
-    own = members.select(F.col("rep").alias("m_rep"), F.col("c").alias("m_c"))
-    full = sets.join(own, F.col("doc_id") == F.col("m_rep")).select("m_rep", "m_c", F.xxhash64("shingles").alias("u"), F.size("shingles").alias("n"), "bits", F.explode("shingles").alias("s"))
+    own = members.select(F.col("rep").alias("m_rep"), F.col("n").alias("m_n"), F.col("c").alias("m_c"))
+    full = sets.join(own, F.col("doc_id") == F.col("m_rep")).select("m_rep", "m_n", "m_c", F.explode("shingles").alias("s"))
     live = full.groupBy("s").agg(F.count(F.lit(1)).cast("int").alias("f"), F.min("m_c").alias("c0"), F.max("m_c").alias("c1")).where("c0 < c1").select(F.col("s").alias("k"), "f")
-    met = full.select("m_rep", "u", "n", "bits", "s").join(materialize(live, "live"), F.col("s") == F.col("k"))
-    lists = met.groupBy("m_rep", "u", "n", "bits").agg(F.sort_array(F.collect_set(F.struct("f", "s"))).alias("xs"))
-    least, size = F.ceil(F.col("n") * percent / 100).cast("int"), F.size("xs")
-    lists = lists.where(size >= least).select("m_rep", "n", "bits", size.alias("size"), F.posexplode(F.slice("xs", 1, size - least + 1)).alias("i", "x"))
-    pre = members.join(lists, F.col("rep") == F.col("m_rep")).select("rep", "c", F.col("n").cast("long").alias("n"), "bits", F.col("x.s").alias("s"), (F.col("size") - F.col("i")).alias("left"))
+    met = full.select("m_rep", "m_n", "s").join(materialize(live, "live"), F.col("s") == F.col("k"))
+    lists = met.groupBy("m_rep", "m_n").agg(F.sort_array(F.collect_set(F.struct("f", "s"))).alias("xs"))
+    least, size = F.ceil(F.col("m_n") * percent / 100).cast("int"), F.size("xs")
+    lists = lists.where(size >= least).select("m_rep", size.alias("size"), F.posexplode(F.slice("xs", 1, size - least + 1)).alias("i", "x"))
+    bits = sets.select("doc_id", "bits").join(members, F.col("doc_id") == F.col("rep"))
+    pre = bits.join(lists, F.col("rep") == F.col("m_rep")).select("rep", "c", F.col("n").cast("long").alias("n"), "bits", F.col("x.s").alias("s"), (F.col("size") - F.col("i")).alias("left"))
     pre = materialize(pre, "prefixes")
     tops = pre.groupBy("s", "c").agg(F.count(F.lit(1)).alias("k")).groupBy("s").agg(F.max(F.struct("k", "c"))["c"].alias("main"), F.count(F.lit(1)).alias("parts"))
     tops = materialize(tops.where("parts > 1").select(F.col("s").alias("k"), "main"), "tops")
