@@ -225,16 +225,16 @@ def control_points(spark, sf_dir):
     return jobs.control_point_table(labels, master, SPECIALS, manual, "levenshtein").select("control_id", "matched_name", "match_type", "match_score", "ocr_id", "pixel_x", "weight", "part_no")
 
 
-@query(f"""WITH b AS (SELECT seq, '路' || label AS text, q, (x1 + x1 + w) / 2 AS cx FROM {BOX_SQL}), m AS (SELECT '路' || (s_suppkey % 10) AS name, max(s_acctbal) AS x FROM supplier GROUP BY 1), e AS (
+@query(f"""WITH b AS (SELECT seq, '路' || label AS text, q, (round(x1, 2) + round(x1 + w, 2)) / 2 AS cx FROM {BOX_SQL}), m AS (SELECT '路' || (s_suppkey % 10) AS name, max(s_acctbal) AS x FROM supplier GROUP BY 1), e AS (
   SELECT *, row_number() OVER (ORDER BY q DESC, seq) AS rn FROM b WHERE text IN ('路1', '路2') OR q >= 0.01
 ), c AS (SELECT *, row_number() OVER (ORDER BY q DESC, seq) AS no FROM e WHERE text IN ('路1', '路2') OR rn <= 35)
-SELECT 'cp_' || printf('%03d', no) AS control_id, c.text AS name, round(cx, 1) AS pixel_x, x AS map_x, CASE WHEN name IS NULL THEN '' ELSE 'standard_place_exact_match' END AS osm_reference FROM c LEFT JOIN m ON c.text = m.name""")
+SELECT 'cp_' || printf('%03d', no) AS control_id, c.text AS name, round(cx, 3) AS pixel_x, x AS map_x, CASE WHEN name IS NULL THEN '' ELSE 'standard_place_exact_match' END AS osm_reference FROM c LEFT JOIN m ON c.text = m.name""")
 def priority_control_points(spark, sf_dir):
     """Control points of named labels always and of other good ones up to a quota, with the coordinates of the same name."""
-    b = box_table(spark, sf_dir).select("seq", "text", "quality", F.col("bbox").alias("bbox_pixel"), F.lit("").alias("ocr_id"))
+    b = box_table(spark, sf_dir).select("seq", "text", "quality", F.transform("bbox", lambda v: F.round(v, 2)).alias("bbox_pixel"), F.lit("").alias("ocr_id"))
     master = table(spark, sf_dir, "supplier").select(F.concat(F.lit("路"), F.col("s_suppkey") % 10).alias("name"), F.col("s_acctbal").alias("x"), F.col("s_acctbal").alias("y"))
     out = jobs.priority_control_points(b, ["路1", "路2"], master, 0.01, 35)
-    return out.select("control_id", "name", F.round(F.col("pixel_x").cast("double"), 1).alias("pixel_x"), "map_x", "osm_reference")
+    return out.select("control_id", "name", F.col("pixel_x").cast("double").alias("pixel_x"), "map_x", "osm_reference")
 
 
 @query("""WITH c AS (SELECT 'p' || p_partkey AS name, p_partkey AS k, p_type AS t FROM part), d AS (
