@@ -37,37 +37,43 @@ def global_rank(df: DataFrame, order: list[Column], name: str = "rank") -> DataF
 
 
 def _pieces(df: DataFrame, keys: list[str], order: list[Column], last: list[Column]) -> tuple[DataFrame, DataFrame]:
-    """``df`` dealt to ranges of (keys, order), written with its range as ``_part``, and the ranges that go on with a key of the range before.
+    """``df`` dealt to ranges of (keys, order), written with its range ``_part`` and its place ``_m`` there, and the ranges that share a key.
 
-    The second frame has (_q, keys as _k0, _k1, ..., _o, _last): how many rows of the key stand in earlier ranges, and
-    ``last`` of the row right before. Only the first key of a range can go on, so there are fewer of these rows than ranges.
+    The second frame has (_q, keys as _k0, _k1, ..., _o, _all, _last) for each range of a key that stands in more than one: how many rows of the
+    key stand in earlier ranges and in all, and ``last`` of the row right before. Only the first and the last key of a range can be such a key,
+    so there are at most two of these rows a range.
     """
-    parts = materialize(df.repartitionByRange(*keys, *order).withColumn("_part", F.spark_partition_id()), "rank")
-    place, value = F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)]), F.struct(*[c.alias(f"v{i}") for i, c in enumerate(last)])
-    ends = parts.groupBy("_part", *keys).agg(F.count(F.lit(1)).alias("_n"), (F.max_by(value, place) if last else F.lit(None)).alias("_v"))
-    w = Window.partitionBy(*keys).orderBy("_part")
-    on = ends.withColumn("_o", F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, -1))).withColumn("_last", F.lag("_v").over(w)).where(F.col("_o") > 0)
-    return parts, on.select(F.col("_part").alias("_q"), *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], "_o", "_last")
+    parts = materialize(df.repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order).select("*", F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().alias("_m")), "rank")
+    value = F.max_by(F.struct(*[c.alias(f"v{i}") for i, c in enumerate(last)]), "_m") if last else F.lit(None)
+    ends = parts.groupBy("_part", *keys).agg(F.count(F.lit(1)).alias("_n"), value.alias("_v"))
+    w = Window.partitionBy(*keys)
+    shared = ends.withColumn("_all", F.sum("_n").over(w)).where(F.col("_all") > F.col("_n"))
+    before = F.coalesce(F.sum("_n").over(w.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return parts, shared.select(F.col("_part").alias("_q"), *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], before.alias("_o"), "_all", F.lag("_v").over(w.orderBy("_part")).alias("_last"))
 
 
-def _continued(parts: DataFrame, on: DataFrame, keys: list[str]) -> DataFrame:
-    """Each row with the ``_o`` and ``_last`` of its range and key, null where the key begins in the range. ``on`` has less than one row a range."""
+def _continued(parts: DataFrame, shared: DataFrame, keys: list[str]) -> DataFrame:
+    """Each row with ``_o``, ``_all`` and ``_last`` of its range and key, null where the key stands in this range only. ``shared`` has two rows a range at most."""
     same = F.col("_part") == F.col("_q")
     for i, k in enumerate(keys):
         same &= F.col(k).eqNullSafe(F.col(f"_k{i}"))
-    return parts.join(F.broadcast(on), same, "left").drop("_q", *[f"_k{i}" for i in range(len(keys))])
+    return parts.join(F.broadcast(shared), same, "left").drop("_q", *[f"_k{i}" for i in range(len(keys))])
 
 
-def rank_by_key(df: DataFrame, keys: list[str], order: list[Column], name: str = "rank") -> DataFrame:
-    """Number the rows of each key from 1 in ``order``, however many rows a key has.
+def rank_by_key(df: DataFrame, keys: list[str], order: list[Column], name: str = "rank", count: str | None = None) -> DataFrame:
+    """Number the rows of each key from 1 in ``order``, however many rows a key has; ``count`` names a column for the rows of the key.
 
     Rows are range-partitioned by key and order, so that the rows of a hot key fill many ranges; they are numbered inside each range
     and shifted by the rows of their key in the ranges before. A null key is a key of its own. The order must be total inside a key for
     a reproducible result.
     """
-    parts, on = _pieces(df, keys, order, [])
-    local = parts.withColumn("_r", F.row_number().over(Window.partitionBy("_part", *keys).orderBy(*order)))
-    return _continued(local, on, keys).withColumn(name, (F.col("_r") + F.coalesce("_o", F.lit(0))).cast("long")).drop("_part", "_r", "_o", "_last")
+    parts, shared = _pieces(df, keys, order, [])
+    w = Window.partitionBy("_part", *keys)
+    local = parts.withColumn("_r", F.row_number().over(w.orderBy("_m")))
+    local = local if count is None else local.withColumn("_c", F.count(F.lit(1)).over(w))
+    out = _continued(local, shared, keys).withColumn(name, (F.col("_r") + F.coalesce("_o", F.lit(0))).cast("long"))
+    out = out if count is None else out.withColumn(count, F.coalesce("_all", "_c").cast("long"))
+    return out.drop("_part", "_m", "_r", "_o", "_all", "_last", "_c")
 
 
 def path_rows(df: DataFrame, keys: list[str], order: list[Column], x: str, y: str, no: str = "no") -> DataFrame:
@@ -76,13 +82,13 @@ def path_rows(df: DataFrame, keys: list[str], order: list[Column], x: str, y: st
     A path is these rows: its length, its parts inside a window or its text are aggregates over them, and no path is one value. The last
     vertex of each range is carried into the next one, so a key with a large share of the rows is split like any other.
     """
-    parts, on = _pieces(df, keys, order, [F.col(x), F.col(y)])
-    w = Window.partitionBy("_part", *keys).orderBy(*order)
+    parts, shared = _pieces(df, keys, order, [F.col(x), F.col(y)])
+    w = Window.partitionBy("_part", *keys).orderBy("_m")
     before = F.struct(F.col(x).alias("v0"), F.col(y).alias("v1"))
     local = parts.withColumn("_r", F.row_number().over(w)).withColumn("_b", F.lag(before).over(w))
-    out = _continued(local, on, keys).withColumn("_b", F.coalesce("_b", F.when(F.col("_r") == 1, F.col("_last"))))
+    out = _continued(local, shared, keys).withColumn("_b", F.coalesce("_b", F.when(F.col("_r") == 1, F.col("_last"))))
     out = out.withColumn(no, (F.col("_r") + F.coalesce("_o", F.lit(0))).cast("long"))
-    return out.withColumn("prev_x", F.col("_b.v0")).withColumn("prev_y", F.col("_b.v1")).drop("_part", "_r", "_o", "_last", "_b")
+    return out.withColumn("prev_x", F.col("_b.v0")).withColumn("prev_y", F.col("_b.v1")).drop("_part", "_m", "_r", "_o", "_all", "_last", "_b")
 
 
 def best_per_key(df: DataFrame, keys: list[str], score: Column, order: list[Column]) -> DataFrame:

@@ -9,6 +9,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,6 +19,8 @@ from pyspark.sql import functions as F
 _LOCAL: dict[str, str] = {}
 #: Rows meant for one part of a table whose size is known.
 PART_ROWS = 50_000
+#: Tables made inside the open scratch blocks, innermost last.
+_OPEN: ContextVar[tuple[list[DataFrame], ...]] = ContextVar("open", default=())
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -41,10 +46,34 @@ def materialize(df: DataFrame, name: str = "t", rows: int | None = None) -> Data
     (df if rows is None else df.repartition(1 + rows // PART_ROWS)).write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._mapmill_path = path
+    for made in _OPEN.get()[-1:]:
+        made.append(out)
     return out
 
 
-def release(df: DataFrame) -> None:
+@contextmanager
+def scratch() -> Iterator[None]:
+    """Delete, at its end, every table that is written inside the block, but for those that ``kept`` names."""
+    outer, made = _OPEN.get(), []
+    token = _OPEN.set((*outer, made))
+    try:
+        yield
+    finally:
+        _OPEN.reset(token)
+        for t in made:
+            release(t)
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """A written table that outlives the scratch block around it (and belongs to the next one outside, if any)."""
+    *outer, made = _OPEN.get() or ([],)
+    made[:] = [t for t in made if t is not df]
+    for m in outer[-1:]:
+        m.append(df)
+    return df
+
+
+def release(df: DataFrame | None) -> None:
     """Delete a table made by ``materialize`` that no later step reads."""
     path = getattr(df, "_mapmill_path", None)
     if path:
