@@ -143,4 +143,58 @@ SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(k.text, '') EN
 FROM d LEFT JOIN k ON d.row = k.row LEFT JOIN n ON d.row = n.row
 """
 
-ORACLE_SQL: dict[str, str] = {"op1_neighbours": OP1, "op3_host_rules": OP3, "op5_mixing": OP5, "op7_near_duplicates": OP7, "op10_line_dedup": OP10}
+OP11 = r"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS row, doc_id, source, lang, n_chars, text FROM documents
+), c AS (
+  SELECT *, coalesce(doc_id IS NOT NULL AND list_reduce(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: ascii(x)::UBIGINT), lambda crc, x:
+      list_reduce(list_transform(range(8), lambda i: i::UBIGINT), lambda a, i: xor(a >> 1, CASE WHEN a & 1 = 1 THEN 3988292384::UBIGINT ELSE 0::UBIGINT END), xor(crc, x)), 4294967295::UBIGINT) & 1 = 1, false) AS even FROM d
+), f AS (
+  SELECT row, doc_id, source,
+         coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-')
+           || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') AS head,
+         text, CASE WHEN even THEN replace(text, chr(10), '') ELSE text END AS other FROM c
+), l AS (
+  SELECT row, doc_id, source, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf, sha256(head || coalesce(strlen(other) || ':' || other, '-')) AS changed FROM f
+), p AS (
+  SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf, row) - 1 AS pos, count(*) OVER (PARTITION BY source) AS n FROM l
+), node AS (
+  SELECT source, 0 AS level, pos, leaf AS h, n FROM p
+  UNION ALL
+  SELECT source, level + 1, pos // 3, sha256(string_agg(h, '' ORDER BY pos)), (n + 2) // 3 FROM node WHERE n > 1 GROUP BY source, level, pos // 3, n
+), sub AS (
+  SELECT source, level AS height, h AS subroot, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS pos, count(*) OVER () AS n FROM node WHERE n = 1
+), top AS (
+  SELECT 0 AS level, pos, subroot AS h, n FROM sub
+  UNION ALL
+  SELECT level + 1, pos // 3, sha256(string_agg(h, '' ORDER BY pos)), (n + 2) // 3 FROM top WHERE n > 1 GROUP BY level, pos // 3, n
+), step AS (
+  SELECT p.row, g.level, coalesce(string_agg(b.h, '' ORDER BY b.pos) FILTER (WHERE b.pos < a.pos), '') AS before, coalesce(string_agg(b.h, '' ORDER BY b.pos) FILTER (WHERE b.pos > a.pos), '') AS after
+  FROM p JOIN sub ON p.source IS NOT DISTINCT FROM sub.source, unnest(range(sub.height)) AS g(level)
+  JOIN node a ON a.source IS NOT DISTINCT FROM p.source AND a.level = g.level AND a.pos = p.pos // (3 ** g.level)::BIGINT
+  JOIN node b ON b.source IS NOT DISTINCT FROM p.source AND b.level = g.level AND b.pos // 3 = a.pos // 3
+  GROUP BY p.row, g.level
+), peak AS (
+  SELECT max(level) AS height FROM top
+), over AS (
+  SELECT sub.source, sub.height + a.level AS level, coalesce(string_agg(b.h, '' ORDER BY b.pos) FILTER (WHERE b.pos < a.pos), '') AS before, coalesce(string_agg(b.h, '' ORDER BY b.pos) FILTER (WHERE b.pos > a.pos), '') AS after
+  FROM sub, peak, unnest(range(peak.height)) AS g(level) JOIN top a ON a.level = g.level AND a.pos = sub.pos // (3 ** g.level)::BIGINT JOIN top b ON b.level = g.level AND b.pos // 3 = a.pos // 3
+  GROUP BY sub.source, sub.height, a.level
+), steps AS (
+  SELECT * FROM step UNION ALL SELECT p.row, over.level, before, after FROM p JOIN over ON p.source IS NOT DISTINCT FROM over.source
+), proof AS (
+  SELECT row, string_agg(before || after, '' ORDER BY level) AS siblings FROM steps GROUP BY row
+), fold AS (
+  SELECT row, 0 AS level, changed AS h FROM p
+  UNION ALL
+  SELECT fold.row, fold.level + 1, sha256(before || h || after) FROM fold JOIN steps ON steps.row = fold.row AND steps.level = fold.level
+), folded AS (
+  SELECT row, arg_max(h, level) AS folded_root FROM fold GROUP BY row
+), root AS (
+  SELECT h AS root FROM top WHERE n = 1
+)
+SELECT doc_id, leaf, subroot, root, sha256(coalesce(siblings, '')) AS proof_sha256, folded_root, folded_root = root AS verified
+FROM p JOIN sub ON p.source IS NOT DISTINCT FROM sub.source JOIN folded USING (row) LEFT JOIN proof USING (row), root
+"""
+
+ORACLE_SQL: dict[str, str] = {"op1_neighbours": OP1, "op3_host_rules": OP3, "op5_mixing": OP5, "op7_near_duplicates": OP7, "op10_line_dedup": OP10, "op11_merkle_manifest": OP11}

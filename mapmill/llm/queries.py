@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from mapmill.llm.host_rules import host_rules
 from mapmill.llm.html_text import extract_text
 from mapmill.llm.line_dedup import MIN_WORDS, dedup_lines
+from mapmill.llm.merkle import manifest
 from mapmill.llm.mixing import mix
 from mapmill.llm.near_duplicates import near_duplicates
 from mapmill.llm.neighbours import nearest
@@ -71,6 +72,10 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(table(spark, sf_dir, "documents"), min_words=MIN_WORDS).select("doc_id", "text", "n_lines", "n_deleted")
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_neighbours": op1_neighbours,
     "op2_packing": op2_packing,
@@ -82,4 +87,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality": op8_quality,
     "op9_secrets": op9_secrets,
     "op10_line_dedup": op10_line_dedup,
+    "op11_merkle_manifest": op11_merkle_manifest,
 }
