@@ -197,4 +197,43 @@ SELECT doc_id, leaf, subroot, root, sha256(coalesce(siblings, '')) AS proof_sha2
 FROM p JOIN sub ON p.source IS NOT DISTINCT FROM sub.source JOIN folded USING (row) LEFT JOIN proof USING (row), root
 """
 
-ORACLE_SQL: dict[str, str] = {"op1_neighbours": OP1, "op3_host_rules": OP3, "op5_mixing": OP5, "op7_near_duplicates": OP7, "op10_line_dedup": OP10, "op11_merkle_manifest": OP11}
+OP13_ROUND = """, near{n} AS (
+  SELECT p.row, p.part, min({{'d': list_sum(list_transform(list_zip(p.v, b.v), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), 'e': b.entry}}) AS m FROM part p JOIN book{n} b ON p.part = b.part GROUP BY p.row, p.part
+), sums{n} AS (
+  SELECT part, entry, place, sum(x)::BIGINT AS s, count(*) AS n FROM (SELECT p.part, m.e AS entry, unnest(range(len(p.v))) AS place, unnest(p.v) AS x FROM part p JOIN near{n} USING (row, part)) GROUP BY 1, 2, 3
+), mean{n} AS (
+  SELECT part, entry, list((s - ((s % n) + n) % n) // n ORDER BY place) AS v FROM sums{n} GROUP BY part, entry
+), book{m} AS (
+  SELECT part, entry, coalesce(mean{n}.v, b.v) AS v FROM book{n} b LEFT JOIN mean{n} USING (part, entry)
+)"""
+
+OP13 = (
+    """
+WITH kept AS (
+  SELECT row_number() OVER () AS row, vec_id, label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), size AS (
+  SELECT ((max(len(v)) + 15) // 16)::BIGINT AS w FROM kept
+), padded AS (
+  SELECT row, vec_id, label, list_resize(v, 16 * w, 0) AS v, w FROM kept, size
+), part AS (
+  SELECT row, vec_id, g.part, v[g.part * w + 1:g.part * w + w] AS v FROM padded, unnest(range(16)) AS g(part)
+), first AS (
+  SELECT row, row_number() OVER (ORDER BY vec_id NULLS LAST, v) - 1 AS entry FROM padded
+), book0 AS (
+  SELECT part, entry, v FROM part JOIN first USING (row) WHERE entry < 64
+)"""
+    + OP13_ROUND.format(n=0, m=1)
+    + OP13_ROUND.format(n=1, m=2)
+    + """, last AS (
+  SELECT p.row, p.part, min({'d': list_sum(list_transform(list_zip(p.v, b.v), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), 'e': b.entry}) AS m FROM part p JOIN book2 b ON p.part = b.part GROUP BY p.row, p.part
+), coded AS (
+  SELECT row, string_agg(printf('%02x', m.e), '' ORDER BY part) AS code, sum(m.d)::BIGINT AS error FROM last GROUP BY row
+), hash AS (
+  SELECT sha256(string_agg(array_to_string(v, ','), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM book2
+)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256 FROM padded JOIN coded USING (row), hash
+"""
+)
+
+ORACLE_SQL: dict[str, str] = {"op1_neighbours": OP1, "op3_host_rules": OP3, "op5_mixing": OP5, "op7_near_duplicates": OP7, "op10_line_dedup": OP10, "op11_merkle_manifest": OP11, "op13_vector_codes": OP13}
