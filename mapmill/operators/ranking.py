@@ -110,11 +110,10 @@ def quota_top(df: DataFrame, priority: Column, score: Column, least: float, quot
     """Priority rows always, and others of at least ``least`` while fewer than ``quota`` rows are kept, by falling score.
 
     Until the quota every eligible row is kept and afterwards only priority rows, so the rank
-    among eligible rows decides.
+    among eligible rows decides. ``keys`` may be empty: one quota for all rows.
     """
     able = df.withColumn("_p", F.coalesce(priority, F.lit(False))).withColumn("_s", score).where(F.col("_p") | (F.col("_s") >= least))
-    w = Window.partitionBy(*keys).orderBy(F.col("_s").desc(), *order)
-    return able.withColumn("_rn", F.row_number().over(w)).where(F.col("_p") | (F.col("_rn") <= quota)).drop("_p", "_s", "_rn")
+    return rank_by_key(able, keys, [F.col("_s").desc(), *order], "_rn").where(F.col("_p") | (F.col("_rn") <= quota)).drop("_p", "_s", "_rn")
 
 
 def filter_ranked(df: DataFrame, level: str | None = None, keyword: str | None = None, level_col: str = "level", text_cols: tuple[str, ...] = ("name", "reason")) -> DataFrame:
@@ -158,15 +157,14 @@ def top_themes(counts: DataFrame, key: str, theme: str, count: str, ordinal: str
 
 
 def playback(df: DataFrame, keys: list[str], order: list[Column], least_ms: int = 900, total_ms: int = 20_000) -> DataFrame:
-    """Timeline steps of each key: step_ms, at_ms and progress in percent."""
-    w = Window.partitionBy(*keys)
-    out = df.withColumn("_n", F.count(F.lit(1)).over(w)).withColumn("_i", F.row_number().over(w.orderBy(*order)) - 1)
+    """Timeline steps of each key, of any number of rows: step_ms, at_ms and progress in percent."""
+    out = rank_by_key(df, keys, order, "_i", "_n").withColumn("_i", F.col("_i") - 1)
     step = F.greatest(F.lit(least_ms), F.floor(F.lit(total_ms) / F.col("_n") + 0.5)).cast("long")
     progress = F.when(F.col("_n") > 1, F.floor(F.col("_i") / (F.col("_n") - 1) * 100 + 0.5)).otherwise(F.lit(100)).cast("long")
     return out.withColumn("step_ms", step).withColumn("at_ms", (F.col("_i") * step).cast("long")).withColumn("progress", progress).drop("_n", "_i")
 
 
-def ordered_path(df: DataFrame, keys: list[str], order: list[Column], x: str, y: str) -> DataFrame:
-    """(keys, path): coordinates in order."""
-    entry = F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)], F.array(x, y).alias("xy"))
-    return df.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(entry)), lambda e: e["xy"]).alias("path"))
+def path_totals(path: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
+    """(keys, vertices, length): of each path of ``path_rows`` the number of its vertices and the length of its line."""
+    step = F.coalesce(F.hypot(F.col(x) - F.col("prev_x"), F.col(y) - F.col("prev_y")), F.lit(0.0))
+    return path.groupBy(*keys).agg(F.count(F.lit(1)).alias("vertices"), F.sum(step).alias("length"))

@@ -435,13 +435,16 @@ def scene_blocks(spark, sf_dir):
     return layers["blocks_3857"].select(F.col("name").alias("k"), F.posexplode("ring").alias("i", "v")).select("k", "i", F.round(F.col("v")[0], 2).alias("x"), F.round(F.col("v")[1], 2).alias("y"))
 
 
+def scene_milestones(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", "event_type", F.when(F.col("event_id") % 3 != 0, 1900 + F.col("event_id") % 100).cast("int").alias("start_year"), (F.col("user_id") % 100).cast("double").alias("lon"), (F.col("user_id") % 50).cast("double").alias("lat"), (F.col("event_id") % 7).alias("order_no"))
+
+
 def scene(spark, sf_dir):
     points = lonlat(spark, sf_dir).select(F.col("k").alias("name"), F.col("seg").alias("place_type"), "lon", "lat")
     styles = points.select("place_type").distinct().where("place_type = 'BUILDING'").select("place_type", F.lit("hall").alias("scene_class"), F.lit("circle").alias("shape"), F.lit(100.0).alias("width_m"), F.lit(100.0).alias("depth_m"), F.lit(9.0).alias("height_m"))
     e = table(spark, sf_dir, "events")
-    milestones = e.select("event_id", "event_type", F.when(F.col("event_id") % 3 != 0, 1900 + F.col("event_id") % 100).cast("int").alias("start_year"), (F.col("user_id") % 100).cast("double").alias("lon"), (F.col("user_id") % 50).cast("double").alias("lat"), (F.col("event_id") % 7).alias("order_no"))
     heights = e.select("event_type").distinct().where("event_type = 'click'").select("event_type", F.lit(95.0).alias("base_height"))
-    return jobs.scene_layers(points, styles, {"scene_class": "block", "shape": "rect", "width_m": 40.0, "depth_m": 30.0, "height_m": 10.0}, milestones, heights)
+    return jobs.scene_layers(points, styles, {"scene_class": "block", "shape": "rect", "width_m": 40.0, "depth_m": 30.0, "height_m": 10.0}, scene_milestones(spark, sf_dir), heights)
 
 
 @query("""SELECT event_id, CASE WHEN event_type = 'click' THEN 95.0 ELSE 78.0 END::DOUBLE + 2 * (event_id % 7) AS height_m, round(radians((user_id % 100) + 24 / (111320 * greatest(0.2::DOUBLE, cos(radians(user_id % 50))))) * 6378137, 2) AS x FROM events""")
@@ -450,12 +453,11 @@ def scene_columns(spark, sf_dir):
     return scene(spark, sf_dir)["columns_3857"].select("event_id", "height_m", F.round(F.col("ring")[0][0], 2).alias("x"))
 
 
-@query("""WITH o AS (SELECT user_id % 100 AS lon, row_number() OVER (ORDER BY CASE WHEN event_id % 3 <> 0 THEN 1900 + event_id % 100 ELSE 999999 END, event_id) AS i FROM events)
-SELECT count(*)::INTEGER AS n, max(CASE WHEN i = 1 THEN round(radians(lon) * 6378137, 2) END) AS first_x, max(CASE WHEN i = 100 THEN round(radians(lon) * 6378137, 2) END) AS later_x FROM o""")
+@query("""WITH o AS (SELECT event_id, round(radians(user_id % 100) * 6378137, 2) AS x, CASE WHEN event_id % 3 <> 0 THEN 1900 + event_id % 100 ELSE 999999 END AS y FROM events)
+SELECT event_id, row_number() OVER w AS no, x, lag(x) OVER w AS prev_x FROM o WINDOW w AS (ORDER BY y, event_id)""")
 def scene_path(spark, sf_dir):
-    """The path through the milestones of a scene in EPSG:3857."""
-    p = F.col("path")
-    return scene(spark, sf_dir)["path_3857"].select(F.size(p).alias("n"), F.round(p[0][0], 2).alias("first_x"), F.round(p[99][0], 2).alias("later_x"))
+    """The path through the milestones of a scene in EPSG:3857, a row a vertex."""
+    return jobs.scene_path(scene_milestones(spark, sf_dir)).select("event_id", "no", F.round("x", 2).alias("x"), F.round("prev_x", 2).alias("prev_x"))
 
 
 KEYFRAME_SQL = f"""WITH c AS (SELECT k, lon, lat FROM {LONLAT_SQL}), t AS (
@@ -486,11 +488,12 @@ def keyframe_gaps(spark, sf_dir):
     return keyframes(spark, sf_dir)[1]
 
 
-@query(KEYFRAME_SQL + """, o AS (SELECT *, row_number() OVER (ORDER BY k) AS i FROM f) SELECT count(*)::INTEGER AS keyframe_count, 20 AS duration_s, max(CASE WHEN i = 1 THEN round(radians(lon) * 6378137, 2) END) AS first_x, max(CASE WHEN i = 50 THEN round(radians(lon) * 6378137, 2) END) AS later_x FROM o""")
+@query(KEYFRAME_SQL + """, o AS (SELECT k, round(radians(lon) * 6378137, 2) AS x, row_number() OVER (ORDER BY k) AS no, count(*) OVER () AS n FROM f)
+SELECT k, no, x, lag(x) OVER (ORDER BY no) AS prev_x, round((no - 1) * 20.0 / greatest(n - 1, 1), 6)::DOUBLE AS at_s FROM o""")
 def camera_path(spark, sf_dir):
-    """The camera's line through the targets of the key frames."""
-    p = F.col("path")
-    return jobs.camera_path(keyframes(spark, sf_dir)[0]).select("keyframe_count", "duration_s", F.round(p[0][0], 2).alias("first_x"), F.round(p[49][0], 2).alias("later_x"))
+    """The camera's line through the targets of the key frames, a row a vertex, with its time in the flight."""
+    path = jobs.camera_path(keyframes(spark, sf_dir)[0])
+    return path.select("k", "no", F.round("target_x_3857", 2).alias("x"), F.round("prev_x", 2).alias("prev_x"), F.round("at_s", 6).alias("at_s"))
 
 
 WEB_SQL = RANKED_CUSTOMERS_SQL + f", w AS (SELECT *, {LEVEL_SQL.format('c')} AS level, CASE WHEN c >= 10 THEN '#f00' ELSE '#888888' END AS colour FROM r) "

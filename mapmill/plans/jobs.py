@@ -122,9 +122,13 @@ def mention_labels(columns: DataFrame) -> DataFrame:
 
 
 def camera_path(frames: DataFrame, duration_s: int = 20) -> DataFrame:
-    """One line through the targets of the key frames in order, with their number; ``frames`` come from ``keyframes``."""
-    path = ranking.ordered_path(frames, [], [F.col("keyframe")], "target_x_3857", "target_y_3857")
-    return path.withColumn("keyframe_count", F.size("path")).withColumn("duration_s", F.lit(duration_s))
+    """The line through the targets of the key frames in order, a row a vertex: no, the vertex before as prev_x and prev_y, and at_s, its time in the flight.
+
+    ``frames`` come from ``keyframes``.
+    """
+    path = ranking.path_rows(frames, [], [F.col("keyframe")], "target_x_3857", "target_y_3857")
+    last = F.greatest(F.lit(frames.count() - 1), F.lit(1))
+    return path.withColumn("at_s", (F.col("no") - 1) * F.lit(float(duration_s)) / last)
 
 
 def web_statistics(ranked: DataFrame, top: int = 50, missing: int = 30) -> dict[str, DataFrame]:
@@ -163,7 +167,7 @@ def checklist(places: DataFrame, manual: DataFrame, previous: DataFrame, rules:
 
 
 def scene_layers(points: DataFrame, styles: DataFrame, default_style: dict, milestones: DataFrame, heights: DataFrame, default_height: float = 78.0) -> dict[str, DataFrame]:
-    """Layers of a scene: stage, place blocks, milestone columns and the path through them, in degrees and in EPSG:3857.
+    """Layers of a scene: stage, place blocks and milestone columns, in degrees and in EPSG:3857 (the path through them is ``scene_path``).
 
     ``points``: (name, place_type, lon, lat); ``styles``: (place_type, scene_class, shape, width_m,
     depth_m, height_m); ``milestones``: (event_id, event_type, start_year, lon, lat, order_no);
@@ -180,9 +184,14 @@ def scene_layers(points: DataFrame, styles: DataFrame, default_style: dict, mile
     columns = milestones.join(lookup.small(heights), "event_type", "left").withColumn("height_m", F.coalesce("base_height", F.lit(default_height)) + 2 * F.col("order_no")).drop("base_height")
     columns = columns.withColumn("ring", geo.circle_lonlat(F.col("lon"), F.col("lat"), F.lit(24.0), F.lit(28)))
     flat = lambda df: df.withColumn("ring", geo.reproject_geometry(F.lit("Polygon"), F.array("ring"))[0])
-    path = ranking.ordered_path(milestones, [], [F.coalesce(F.col("start_year"), F.lit(ranking.NO_YEAR)), F.col("event_id")], "lon", "lat")
-    path_3857 = path.withColumn("path", geo.reproject_geometry(F.lit("LineString"), F.array("path"))[0])
-    return {"stage": stage, "blocks": blocks, "columns": columns, "path": path, "stage_3857": flat(stage), "blocks_3857": flat(blocks), "columns_3857": flat(columns), "path_3857": path_3857}
+    return {"stage": stage, "blocks": blocks, "columns": columns, "stage_3857": flat(stage), "blocks_3857": flat(blocks), "columns_3857": flat(columns)}
+
+
+def scene_path(milestones: DataFrame) -> DataFrame:
+    """The path through the milestones by year (missing last) and event, a row a vertex, in degrees and as x and y in EPSG:3857 with the vertex before."""
+    m = geo.mercator(F.col("lon"), F.col("lat"))
+    flat = milestones.withColumn("x", m["x"]).withColumn("y", m["y"])
+    return ranking.path_rows(flat, [], [F.coalesce(F.col("start_year"), F.lit(ranking.NO_YEAR)), F.col("event_id")], "x", "y")
 
 
 def keyframes(shots: DataFrame, alternates: DataFrame, places: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -232,7 +241,7 @@ def priority_control_points(candidates: DataFrame, names: list[str], master: Dat
 
     ``candidates``: (seq, text, quality, bbox_pixel, ocr_id); ``master``: (name, x, y), of which the last row of a name (by x, y) counts.
     """
-    chosen = ranking.quota_top(candidates.withColumn("_all", F.lit(1)), F.col("text").isin(names), F.coalesce("quality", F.lit(0.0)), least, quota, [F.col("seq")], ["_all"]).drop("_all")
+    chosen = ranking.quota_top(candidates, F.col("text").isin(names), F.coalesce("quality", F.lit(0.0)), least, quota, [F.col("seq")], [])
     m = lookup.keep_one(master.select(F.col("name").alias("_n"), F.col("x").alias("map_x"), F.col("y").alias("map_y")), ["_n"], [F.desc("map_x"), F.desc("map_y")])
     mid = geo.centre(F.col("bbox_pixel"))
     rows = chosen.join(m, F.col("text") == F.col("_n"), "left")
@@ -252,8 +261,7 @@ def standard_places(candidates: DataFrame, rules: DataFrame, transforms: DataFra
     """
     gate = georef.import_gate(transforms, *limits).select(F.col("map_id").alias("_m"), F.col("coefficients").alias("_t"), "gate")
     c = candidates.join(gate, F.col("map_id") == F.col("_m"), "left").drop("_m")
-    no = F.row_number().over(ranking.Window.partitionBy("map_id").orderBy("seq"))
-    c = georef.candidate_xy(c.withColumn("_no", no), F.col("_t"))
+    c = georef.candidate_xy(ranking.rank_by_key(c, ["map_id"], [F.col("seq")], "_no"), F.col("_t"))
     name = F.trim(F.coalesce(T.present(F.col("text")), T.present(F.col("name")), F.lit("")))
     c = c.withColumn("name", name).where("name <> ''").withColumn("problem", F.coalesce("gate", "problem"))
     kind = F.coalesce(T.present(F.col("category")), F.lit("其他"))

@@ -193,11 +193,29 @@ def playback(spark, sf_dir):
     return ranking.playback(e, ["user_id"], [F.col("ts"), F.col("event_id")]).drop("ts")
 
 
-@query("""SELECT user_id, list([event_id::DOUBLE, value] ORDER BY ts, event_id) AS path FROM events GROUP BY user_id""")
+@query("""SELECT user_id, event_id, row_number() OVER w AS no, lag(event_id::DOUBLE) OVER w AS prev_x, lag(value) OVER w AS prev_y FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)""")
 def path(spark, sf_dir):
-    """The ordered path of each user's events."""
-    e = table(spark, sf_dir, "events").withColumn("x", F.col("event_id").cast("double"))
-    return ranking.ordered_path(e, ["user_id"], [F.col("ts"), F.col("event_id")], "x", "value")
+    """The ordered path of each user's events, a row a vertex with the vertex before it."""
+    return event_path(spark, sf_dir).select("user_id", "event_id", "no", "prev_x", "prev_y")
+
+
+def event_path(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select("event_id", "user_id", "ts", "value", F.col("event_id").cast("double").alias("x"))
+    return ranking.path_rows(e, ["user_id"], [F.col("ts"), F.col("event_id")], "x", "value")
+
+
+@query("""WITH s AS (SELECT user_id, sqrt((event_id::DOUBLE - lag(event_id::DOUBLE) OVER w) ** 2 + (value - lag(value) OVER w) ** 2) AS step FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))
+SELECT user_id, count(*) AS vertices, round(coalesce(sum(step), 0), 3) AS length FROM s GROUP BY user_id""")
+def path_totals(spark, sf_dir):
+    """Vertices and length of each user's path."""
+    return ranking.path_totals(event_path(spark, sf_dir), ["user_id"], "x", "value").withColumn("length", F.round("length", 3))
+
+
+@query("""SELECT event_id, event_type, row_number() OVER (PARTITION BY event_type ORDER BY value DESC, event_id) AS rank, count(*) OVER (PARTITION BY event_type) AS n FROM events""")
+def rank_in_type(spark, sf_dir):
+    """The rank of each event among those of its type, of which there are few with very many rows."""
+    e = table(spark, sf_dir, "events").select("event_id", "event_type", "value")
+    return ranking.rank_by_key(e, ["event_type"], [F.col("value").desc(), F.col("event_id")], "rank", "n").drop("value")
 
 
 @query("""SELECT p_type, count(*)::BIGINT AS total, array_to_string(list(p_name ORDER BY p_partkey)[1:80], '、') AS line FROM part GROUP BY p_type""")

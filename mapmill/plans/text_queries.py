@@ -75,8 +75,8 @@ def mention_rank(spark, sf_dir):
 @query(RANKED_SQL + "SELECT name, mentions, rank, level FROM m WHERE level = '极高频' AND (contains(name, 'th') OR contains(label, '10'))")
 def rank_filter(spark, sf_dir):
     """Names of one level whose name or label holds a keyword."""
-    hit = ranking.filter_ranked(ranked_mentions(spark, sf_dir), "极高频", "th", text_cols=("name",)).unionByName(ranking.filter_ranked(ranked_mentions(spark, sf_dir), "极高频", "10", text_cols=("label",)))
-    return hit.select("name", "mentions", "rank", "level").distinct()
+    held = F.contains(F.col("name"), F.lit("th")) | F.contains(F.col("label"), F.lit("10"))
+    return ranking.filter_ranked(ranked_mentions(spark, sf_dir), "极高频").where(held).select("name", "mentions", "rank", "level")
 
 
 @query(RANKED_SQL + """SELECT name, rank, coalesce(sub, 0) AS curated_rank, CASE WHEN sub IS NULL THEN label ELSE sub || '. ' || name || '（' || mentions || '次）' END AS rank_label

@@ -85,6 +85,41 @@ def test_global_rank_and_quota(spark):
     assert sorted(r["i"] for r in q.collect()) == sorted(kept)
 
 
+def test_ranks_and_paths_of_a_hot_key(spark):
+    """One key holds half of the rows; its ranges are many, and every row has its rank, its key's count and the vertex before."""
+    rng = random.Random(4)
+    rows = [(rng.choice(["hot"] * 8 + [None, "", "a", "b", "c", "d", "e", "f"]), rng.randrange(50), i, float(i), -float(i)) for i in range(3000)]
+    df = spark.createDataFrame(rows, "k string, o int, i int, x double, y double")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        order = [F.col("o").desc(), F.col("i")]
+        ranked = {r["i"]: (r["rank"], r["n"]) for r in ranking.rank_by_key(df, ["k"], order, count="n").collect()}
+        path = ranking.path_rows(df, ["k"], order, "x", "y")
+        got = {r["i"]: (r["no"], r["prev_x"], r["prev_y"]) for r in path.collect()}
+        totals = {r["k"]: (r["vertices"], round(r["length"], 6)) for r in ranking.path_totals(path, ["k"], "x", "y").collect()}
+        parts, shared = ranking._pieces(df, ["k"], order, [])
+        assert parts.where("k = 'hot'").select("_part").distinct().count() >= 6 and shared.count() <= 32
+        largest = parts.groupBy("_part").count().agg(F.max("count")).first()[0]
+        assert largest < 600
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    for key in {r[0] for r in rows}:
+        own = sorted((r for r in rows if r[0] == key), key=lambda r: (-r[1], r[2]))
+        length = 0.0
+        for n, r in enumerate(own, 1):
+            prev = own[n - 2][3:] if n > 1 else (None, None)
+            assert ranked[r[2]] == (n, len(own)) and got[r[2]] == (n, *prev)
+            length += math.hypot(r[3] - prev[0], r[4] - prev[1]) if n > 1 else 0.0
+        assert totals[key] == (len(own), round(length, 6))
+    empty = ranking.path_rows(df.limit(0), [], order, "x", "y")
+    assert empty.collect() == [] and ranking.rank_by_key(df.limit(0), ["k"], order).collect() == []
+    one = ranking.rank_by_key(df.limit(5), [], [F.col("i")], "r").orderBy("i").collect()
+    assert [r["r"] for r in one] == [1, 2, 3, 4, 5]
+
+
 def iou(a, b):
     w, h = max(0, min(a[2], b[2]) - max(a[0], b[0])), max(0, min(a[3], b[3]) - max(a[1], b[1]))
     return w * h / ((a[2] - a[0]) * (a[3] - a[1]) + (b[2] - b[0]) * (b[3] - b[1]) - w * h)
@@ -356,7 +391,8 @@ def test_scene_and_keyframes(spark):
     assert len(layers["stage"].first()["ring"]) == 5
     assert {r["name"]: len(r["ring"]) for r in layers["blocks"].collect()} == {"a": 37, "b": 5}
     assert {r["event_id"]: r["height_m"] for r in layers["columns"].collect()} == {"e2": 80.0, "e1": 99.0, "e0": 84.0}
-    assert layers["path"].first()["path"] == [[5.0, 6.0], [1.0, 2.0], [3.0, 4.0]]
+    path = jobs.scene_path(m).orderBy("no").collect()
+    assert [(r["lon"], r["lat"]) for r in path] == [(5.0, 6.0), (1.0, 2.0), (3.0, 4.0)] and [r["prev_x"] for r in path] == [None, path[0]["x"], path[1]["x"]]
     shots = spark.createDataFrame([("K0",), ("K1",)], "keyframe string")
     alternates = spark.createDataFrame([("K0", 1, "none", 0), ("K0", 1, "a", 1), ("K0", 2, "b", 0), ("K1", 1, "none", 0)], "keyframe string, target_no int, name string, ordinal int")
     frames, missing = jobs.keyframes(shots, alternates, points)
