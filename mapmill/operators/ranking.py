@@ -60,6 +60,15 @@ def _continued(parts: DataFrame, shared: DataFrame, keys: list[str]) -> DataFram
     return parts.join(F.broadcast(shared), same, "left").drop("_q", *[f"_k{i}" for i in range(len(keys))])
 
 
+def running_sum(df: DataFrame, order: list[Column], value: Column, name: str) -> DataFrame:
+    """``df`` with the sum of ``value`` over all rows up to each one in ``order``: summed inside key ranges, and shifted by one sum a range."""
+    parts, _ = _pieces(df.withColumn("_x", value), [], order, [])
+    before = Window.orderBy("_q").rowsBetween(Window.unboundedPreceding, -1)
+    shift = parts.groupBy(F.col("_part").alias("_q")).agg(F.sum("_x").alias("_n")).select("_q", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_o"))
+    local = parts.withColumn("_r", F.sum("_x").over(Window.partitionBy("_part").orderBy("_m").rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    return local.join(F.broadcast(shift), F.col("_part") == F.col("_q")).withColumn(name, F.col("_r") + F.col("_o")).drop("_part", "_m", "_x", "_q", "_o", "_r")
+
+
 def rank_by_key(df: DataFrame, keys: list[str], order: list[Column], name: str = "rank", count: str | None = None) -> DataFrame:
     """Number the rows of each key from 1 in ``order``, however many rows a key has; ``count`` names a column for the rows of the key.
 

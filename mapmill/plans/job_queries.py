@@ -6,9 +6,9 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from mapmill.functions import geo, years
+from mapmill.functions import geo
 from mapmill.functions import text as T
-from mapmill.operators import boxes, georef, lookup, match, mentions, ranking, upsert
+from mapmill.operators import boxes, georef, intervals, lookup, match, mentions, ranking, upsert
 from mapmill.plans import jobs
 from mapmill.plans.geo_queries import BOX_SQL, LONLAT_SQL, SAMPLE_SQL, box_table, lonlat, sample_rows
 from mapmill.plans.table_queries import PLACES_SQL, RULES_SQL, misspelt
@@ -561,7 +561,19 @@ def window_join(spark, sf_dir):
     y = table(spark, sf_dir, "orders").select("o_orderkey", F.year("o_orderdate").alias("y"))
     w = y.select("y").distinct().where("y <= 1996").select(F.col("y").alias("low"), (F.col("y") + 1).alias("high"), F.concat(F.lit("y"), "y").alias("label"), (-F.col("y")).alias("ordinal"))
     w = w.withColumn("high", F.least("high", F.lit(1996)))
-    return years.window_join(y, "y", w, "none").select("o_orderkey", "time_type")
+    return intervals.window_join(y, "y", w, "none").select("o_orderkey", "time_type")
+
+
+@query("""WITH w AS (SELECT o_custkey * 7 % 60000 AS low, o_custkey * 7 % 60000 + o_orderkey % 50 AS high, 'w' || o_orderkey AS label, -o_orderkey AS ordinal FROM orders WHERE o_orderkey % 9 <> 0
+  UNION ALL SELECT o_orderkey, o_orderkey + 20000, 'long' || o_orderkey, o_orderkey FROM orders WHERE o_orderkey % 1000 = 0)
+SELECT o_orderkey, coalesce(arg_min(label, ordinal), 'none') AS time_type FROM orders LEFT JOIN w ON o_orderkey BETWEEN low AND high GROUP BY o_orderkey""")
+def window_join_large(spark, sf_dir):
+    """Orders with the first window that holds their number, from as many windows as there are orders, some of them very wide."""
+    o = table(spark, sf_dir, "orders")
+    key, low = F.col("o_orderkey"), F.col("o_custkey") * 7 % 60000
+    each = o.where(key % 9 != 0).select(low.alias("low"), (low + key % 50).alias("high"), F.concat(F.lit("w"), key).alias("label"), (-key).alias("ordinal"))
+    wide = o.where(key % 1000 == 0).select(key.alias("low"), (key + 20000).alias("high"), F.concat(F.lit("long"), key).alias("label"), key.alias("ordinal"))
+    return intervals.window_join(o.select("o_orderkey"), "o_orderkey", each.unionByName(wide), "none")
 
 
 @query(f"SELECT k, CASE k % 3 WHEN 0 THEN 'Point' WHEN 1 THEN 'LineString' ELSE 'Polygon' END AS geom_type, (CASE k % 3 WHEN 0 THEN 1 WHEN 1 THEN 2 ELSE 4 END)::INTEGER AS n, round(radians(lon + CASE WHEN k % 3 = 0 THEN 0 ELSE 0.1::DOUBLE END) * 6378137, 2) AS x, round(ln(tan(pi() / 4 + radians(lat) / 2)) * 6378137, 2) AS y FROM {LONLAT_SQL}")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from mapmill.functions import geo, years
 from mapmill.functions import text as T
-from mapmill.operators import boxes, georef, lookup, match, mentions, ranking, sample, upsert
+from mapmill.operators import boxes, georef, intervals, lookup, match, mentions, ranking, sample, upsert
 from mapmill.plans import jobs
 from mapmill.sources import geojson, ocr, tables
 from mapmill.streaming import incremental
@@ -120,6 +120,31 @@ def test_ranks_and_paths_of_a_hot_key(spark):
     assert [r["r"] for r in one] == [1, 2, 3, 4, 5]
 
 
+@pytest.mark.parametrize("size", [2, 3, 512])
+def test_windows_of_any_number(spark, size, monkeypatch):
+    """Nested, equal, touching, one-point and wide windows, tied ordinals, windows without ends; rows on one hot value, nulls and rows outside."""
+    rng = random.Random(size)
+    win = []
+    for i in range(150):
+        low = rng.randrange(300)
+        win.append((low, low + rng.choice([0, 0, 1, 5, 40, 250]), f"w{i}", rng.randrange(60)))
+    win += [(None, 5, "x", -1), (5, None, "y", -1), (9, 3, "z", -1), (7, 7, "first", -5), (7, 7, "later", -4), (100, 100, "a", 1), (100, 100, "b", 1)]
+    rows = [(i, rng.choice([7, 7, 7, None, *range(-5, 320, 3)])) for i in range(600)]
+    monkeypatch.setattr(intervals, "FEW", 10)
+    monkeypatch.setattr(intervals, "BLOCK", size)
+    w = spark.createDataFrame(win, "low int, high int, label string, ordinal int")
+    df = spark.createDataFrame(rows, "id int, y int")
+    held = intervals.first_windows(df.where("y is not null").select(F.col("y").alias("p")).distinct(), w, size)
+    got = {r["p"]: r["label"] for r in held.collect()}
+    first = lambda y: min(((o, lo, hi, t) for lo, hi, t, o in win if None not in (lo, hi, y) and lo <= y <= hi), default=(0, 0, 0, None))[3]
+    assert got == {y: first(y) for _, y in rows if first(y)}
+    full = {r["id"]: r["t"] for r in intervals.window_join(df, "y", w, "none", "t").collect()}
+    assert full == {i: first(y) or "none" for i, y in rows}
+    monkeypatch.setattr(intervals, "FEW", 10_000)
+    assert full == {r["id"]: r["t"] for r in intervals.window_join(df, "y", w, "none", "t").collect()}
+    assert {r["t"] for r in intervals.window_join(df, "y", w.limit(0), "none", "t").collect()} == {"none"}
+
+
 def iou(a, b):
     w, h = max(0, min(a[2], b[2]) - max(a[0], b[0])), max(0, min(a[3], b[3]) - max(a[1], b[1]))
     return w * h / ((a[2] - a[0]) * (a[3] - a[1]) + (b[2] - b[0]) * (b[3] - b[1]) - w * h)
