@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from mapmill.functions import geo, years
 from mapmill.functions import text as T
-from mapmill.operators import boxes, georef, intervals, lookup, match, mentions, ranking, sample, upsert
+from mapmill.operators import boxes, georef, intervals, lookup, match, mentions, ranking, sample, similar, upsert
 from mapmill.plans import jobs
 from mapmill.sources import geojson, ocr, tables
 from mapmill.streaming import incremental
@@ -247,6 +247,58 @@ def test_label_ladder(spark):
     assert got == {1: ("保安门", 0.94), 2: ("净慈寺", 0.9), 3: ("大井巷", 1.0), 4: ("清波门", 0.88)}
 
 
+def edit_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+SIMILARITY = {"levenshtein": lambda a, b: 1 - edit_distance(a, b) / max(len(a), len(b)), "ratio": lambda a, b: difflib.SequenceMatcher(None, a, b).ratio()}
+
+
+@pytest.mark.parametrize("metric", ["levenshtein", "ratio"])
+@pytest.mark.parametrize("least", [0.86, 0.6, 0.3])
+def test_similar_pairs_lose_none(spark, metric, least):
+    """Short and long names, repeated characters, characters outside the base plane; one bound for all, and one a name."""
+    rng = random.Random(int(least * 100))
+    letters = ["abcd", "abcdefghijklmnopqrstuvwxyz ", "湖山路桥塘\U00020000\U00020001"]
+    word = lambda: "".join(rng.choice(rng.choice(letters)) for _ in range(rng.choice([1, 2, 3, 5, 8, 14, 25])))
+    left = [word() for _ in range(70)]
+    right = [word() for _ in range(50)]
+    for w in left[:40]:
+        c = list(w)
+        for _ in range(rng.randrange(0, 3)):
+            c[rng.randrange(len(c))] = rng.choice("ab湖")
+        right.append("".join(c))
+    own = {w: least + rng.choice([0.0, 0.1, 0.25]) for w in left}
+    a = spark.createDataFrame([(w, t) for w, t in own.items()], "x string, t double")
+    b = spark.createDataFrame([(w,) for w in {*right, ""}], "y string")
+    score = SIMILARITY[metric]
+    for column, bound in ((None, dict.fromkeys(left, least)), ("t", own)):
+        got = [tuple(r) for r in similar.similar_pairs(a, "x", b, "y", metric, least, column).collect()]
+        assert len(got) == len(set(got))
+        lost = {(x, y) for x in set(left) for y in set(right) if score(x, y) >= bound[x]} - set(got)
+        assert not lost, lost
+    within = {tuple(r) for r in similar.contained_pairs(a, "x", b, "y").collect()}
+    assert within == {(x, y) for x in set(left) for y in set(right) if y in x}
+
+
+def test_similar_pairs_are_few(spark):
+    """Of names with one slip each, nearly only true pairs are scored, and ten times the names make about ten times the pairs."""
+    rng = random.Random(8)
+    counts = []
+    for n in (60, 600):
+        names = ["".join(rng.choice("abcdefghijklmnopqrst ") for _ in range(22)) for _ in range(n)]
+        slips = [w[:7] + "#" + w[8:] for w in names]
+        a, b = (spark.createDataFrame([(w,) for w in side], f"{c} string") for c, side in (("x", slips), ("y", names)))
+        counts.append(similar.similar_pairs(a, "x", b, "y", "levenshtein", 0.8).count())
+        assert counts[-1] <= 1.1 * n
+    assert counts[1] <= 12 * counts[0]
+
+
 def test_match_labels_is_the_full_comparison(spark):
     rng = random.Random(4)
     word = lambda: "".join(rng.choice("甲乙丙丁") for _ in range(rng.randrange(1, 6)))
