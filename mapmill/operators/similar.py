@@ -30,15 +30,13 @@ def contained_pairs(whole: DataFrame, x: str, part: DataFrame, y: str) -> DataFr
     A part is looked up by one of its runs of two characters only, the one that the fewest names of ``whole`` have; a part with a run that none has is
     dropped. Parts of one character are looked up by it.
     """
-    out = None
-    for q, own in ((2, F.length(y) >= 2), (1, F.length(y) == 1)):
-        at = whole.select(x, F.explode(F.array_distinct(gram_list(F.col(x), q))).alias("_g"))
-        seen = at.groupBy("_g").agg(F.count(F.lit(1)).alias("_n"))
-        asked = part.where(own).select(y, F.explode(F.array_distinct(gram_list(F.col(y), q))).alias("_g")).join(seen, "_g", "left")
-        anchor = asked.groupBy(y).agg(F.min_by("_g", F.struct("_n", "_g")).alias("_g"), F.count_if(F.col("_n").isNull()).alias("_gone")).where("_gone = 0").drop("_gone")
-        found = at.join(anchor, "_g").where(F.contains(F.col(x), F.col(y))).select(x, y)
-        out = found if out is None else out.unionByName(found)
-    return out
+    runs = lambda c: F.concat(gram_list(c, 2), gram_list(c, 1))
+    at = whole.select(x, F.explode(F.array_distinct(runs(F.col(x)))).alias("_g"))
+    seen = at.groupBy("_g").agg(F.count(F.lit(1)).alias("_n"))
+    own = F.when(F.length(y) > 1, gram_list(F.col(y), 2)).otherwise(gram_list(F.col(y), 1))
+    asked = part.select(y, F.explode(F.array_distinct(own)).alias("_g")).join(seen, "_g", "left")
+    anchor = asked.groupBy(y).agg(F.min_by("_g", F.struct("_n", "_g")).alias("_g"), F.count_if(F.col("_n").isNull()).alias("_gone")).where("_gone = 0").drop("_gone")
+    return at.join(anchor, "_g").where(F.contains(F.col(x), F.col(y))).select(x, y)
 
 
 class Bound:
@@ -78,50 +76,52 @@ class Bound:
 def _prefix(name: Column, q: int, keep: Column, common: list[str]) -> Column:
     """The ``keep`` rarest tokens of a name, in an order that is the same for all names."""
     known = F.array(*[F.lit(g) for g in common]) if common else F.array().cast("array<string>")
-    ordered = F.array_sort(F.transform(tokens(name, q), lambda g: F.struct(F.array_position(known, F.element_at(F.split(g, "\x00"), 1)).alias("r"), g.alias("g"))))
-    return F.transform(F.slice(ordered, 1, keep), lambda e: e["g"])
+    ordered = F.array_sort(F.transform(tokens(name, q), lambda g: F.struct(F.array_position(known, F.substring(g, 1, q)).alias("r"), g.alias("g"))))
+    return F.transform(F.slice(ordered, 1, F.greatest(keep, F.lit(0)).cast("int")), lambda e: e["g"])
 
 
-def _common(names: DataFrame, q: int) -> list[str]:
-    """The commonest runs, the rarest of them first; at most COMMON."""
-    rows = names.select(F.explode(gram_list(F.col("n"), q)).alias("g")).groupBy("g").count().orderBy(F.desc("count"), "g").limit(COMMON).collect()
-    return [r.g for r in reversed(rows)]
+def _common(names: DataFrame) -> list[str]:
+    """The commonest runs of one and two characters, the rarest of them first; at most COMMON."""
+    runs = F.concat(gram_list(F.col("n"), 1), gram_list(F.col("n"), 2))
+    return [r.g for r in reversed(names.select(F.explode(runs).alias("g")).groupBy("g").count().orderBy(F.desc("count"), "g").limit(COMMON).collect())]
 
 
 def similar_pairs(left: DataFrame, x: str, right: DataFrame, y: str, metric: str, least: float, own: str | None = None) -> DataFrame:
     """Distinct (x, y) among which are all pairs of a similarity of at least ``least``, or of the column ``own`` of ``left``, which is never smaller.
 
     Two names that share k of their tokens share one among the rarest of each (all but k - 1), so only these meet: runs of two characters where so
-    similar names must share one, single characters where a name is short. Pairs that meet are held against bounds of length and of
-    common tokens before they are returned.
+    similar names must share one, single characters where a name is short. Pairs that meet are held against a bound of length, and then against
+    the edit distance itself or a bound by their common characters, before they are returned.
     """
     low = Bound(metric, least)
     mine = Bound(metric, F.col("_t")) if own else low
     a = left.where(F.length(x) > 0).select(x, *([F.col(own).alias("_t")] if own else []), F.length(x).alias("_la")).distinct()
     b = right.where(F.length(y) > 0).select(y, F.length(y).alias("_lb")).distinct()
-    both = a.select(F.col(x).alias("n")).union(b.select(y))
-    met = None
-    for q in (2, 1):
-        common = _common(both, q)
-
-        def part(df: DataFrame, c: str, length: str, bound: Bound, q: int = q, common: list[str] = common) -> DataFrame:
-            n = F.col(length)
-            # Where a name, or any that it may be similar to, is too short for runs of two, characters must do.
-            use = bound.by_two(n) if q == 2 else ~low.by_two(F.ceil(low.shortest(n)))
-            keep = n - (q - 1) - F.greatest(F.ceil(bound.least(q, n)), F.lit(1)) + 1
-            return df.where(use).select("*", F.explode(_prefix(F.col(c), q, F.greatest(keep, F.lit(0)).cast("int"), common)).alias("_g"))
-
-        la, lb = F.col("_la"), F.col("_lb")
-        near = (lb >= mine.shortest(la)) & (lb <= mine.longest(la))
-        found = part(a, x, "_la", mine).join(part(b, y, "_lb", low), "_g").where(near).drop("_g")
-        met = found if met is None else met.unionByName(found)
-    met = met.distinct()
-    for q in (1, 2):
-        shared = F.size(F.array_intersect(tokens(F.col(x), q), tokens(F.col(y), q)))
-        met = met.where(shared >= mine.common(q, F.col("_la"), F.col("_lb")))
+    common = _common(a.select(F.col(x).alias("n")).union(b.select(y)))
+
+    def rarest(df: DataFrame, c: str, length: str, bound: Bound) -> DataFrame:
+        n, none = F.col(length), F.array().cast("array<string>")
+        keep = lambda q: n - (q - 1) - F.greatest(F.ceil(bound.least(q, n)), F.lit(1)) + 1
+        pick = lambda q: _prefix(F.col(c), q, keep(q), [g for g in common if len(g) == q])
+        # Where a name, or any that it may be similar to, is too short for runs of two, characters must do.
+        one = F.when(~low.by_two(F.ceil(low.shortest(n))), pick(1)).otherwise(none)
+        return df.select("*", F.explode(F.concat(F.when(bound.by_two(n), pick(2)).otherwise(none), one)).alias("_g"))
+
+    la, lb = F.col("_la"), F.col("_lb")
+    near = (lb >= mine.shortest(la)) & (lb <= mine.longest(la))
+    met = rarest(a, x, "_la", mine).join(rarest(b, y, "_lb", low), "_g").where(near).drop("_g").distinct()
+    if metric == "levenshtein":
+        return met.where(F.levenshtein(x, y) <= (1 - mine.t) * F.greatest(la, lb) + EPS).select(x, y)
+    for shared in (F.least(_held(x, y), _held(y, x)), F.size(F.array_intersect(tokens(F.col(x), 1), tokens(F.col(y), 1)))):
+        met = met.where(shared >= mine.common(1, la, lb))
     return met.select(x, y)
 
 
+def _held(x: str, y: str) -> Column:
+    """Characters of ``x`` that stand anywhere in ``y``."""
+    return F.length(x) - F.length(F.call_function("translate", F.col(x), F.col(y), F.lit("")))
+
+
 def scored_pairs(pairs: DataFrame, x: str, y: str, similarity, name: str = "pairs") -> DataFrame:
     """``pairs`` with sim, written, so that each is scored once."""
     return materialize(pairs.withColumn("sim", similarity(F.col(x), F.col(y))), name)
