@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mapmill.functions.text import blank
+from mapmill.operators.similar import contained_pairs
 
 #: Rows up to which a counted side is broadcast.
 BROADCAST_ROWS = 100_000
@@ -71,15 +72,13 @@ def trigger_alternates(df: DataFrame, key: str, name: Column, triggers: DataFram
 def containing(names: DataFrame, name: str, parts: DataFrame, part: str) -> DataFrame:
     """Rows of ``names`` with each row of ``parts`` whose (non-empty) text they contain.
 
-    A few parts are broadcast and tested in turn; more of them are joined on the substrings of the distinct names.
+    A few parts are broadcast and tested in turn; more of them are looked up by their rarest run among the distinct names.
     """
     parts = parts.where(F.length(part) > 0)
     if parts.limit(CONTAINED_ROWS + 1).count() <= CONTAINED_ROWS:
         return names.join(F.broadcast(parts), F.contains(F.col(name), F.col(part)))
-    from mapmill.operators.mentions import joined_positions  # which looks names up itself
-
-    texts = names.select(F.col(name).alias("doc_id"), F.col(name).alias("text")).where(F.col("text").isNotNull()).distinct()
-    hits = joined_positions(texts, parts.select(F.col(part).alias("name")).distinct()).select(F.col("doc_id").alias("_text"), F.col("name").alias("_part")).distinct()
+    texts = names.select(F.col(name).alias("_text")).where(F.col("_text").isNotNull()).distinct()
+    hits = contained_pairs(texts, "_text", parts.select(F.col(part).alias("_part")).distinct(), "_part")
     return names.join(hits, F.col(name) == F.col("_text")).join(parts, F.col("_part") == F.col(part)).drop("_text", "_part")
 
 

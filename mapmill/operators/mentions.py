@@ -4,17 +4,23 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mapmill.functions import years
-from mapmill.functions.text import context, let, sentence_window, surface_count
+from mapmill.functions.text import context, sentence_window, surface_count
 from mapmill.operators.lookup import small
 from mapmill.operators.ranking import first_n
+from mapmill.storage import kept, materialize, scratch
 
 #: Names that one automaton holds; a larger dictionary is joined instead.
 AUTOMATON_NAMES = 200_000
+#: Places that a task keeps in mind at most to tell the first mentions of each name; beyond that all are passed on.
+LOCAL_FIRSTS = 2_000_000
+#: Characters of an anchor, and the largest bitmap of anchors (16 MB).
+ANCHOR, ANCHOR_BITS = 4, 1 << 27
 #: Names up to which counting by replacement is cheaper than finding places.
 REPLACE_NAMES = 8
 
@@ -23,14 +29,30 @@ def mention_positions(docs: DataFrame, names: DataFrame, id_col: str = "doc_id",
     """(doc_id, name, pos): leftmost non-overlapping occurrences of each name, from 0, in code points.
 
     A dictionary of a checked size is compiled to an automaton that reads each text once in Arrow
-    batches, with no shuffle at all; a larger one takes the join of ``joined_positions``.
+    batches, with no shuffle at all; a larger one takes the join of ``anchored_mentions``.
     """
+    return _mentions(docs, names, None, None, (), False, id_col, text_col, name_col)
+
+
+def mention_excerpts(docs: DataFrame, names: DataFrame, radius: int, first: int | None = None, keys: tuple[str, ...] = ("name",), rest: bool = False, id_col: str = "doc_id", text_col: str = "text", name_col: str = "name") -> DataFrame:
+    """(doc_id, name, pos, excerpt, at): mentions with the text up to ``radius`` characters before and behind them, and their place in it.
+
+    ``first`` limits the result to the first mentions of each of ``keys``, (name) or (doc_id, name), by document and place. Texts are read once and
+    go nowhere: the pass that finds a mention cuts its excerpt, and each task drops what is not among the first it has seen, so
+    only a few excerpts a name and task are shuffled. With ``rest`` all mentions are returned, and those that cannot be among the first have no excerpt.
+    """
+    found = _mentions(docs, names, radius, first, keys, rest, id_col, text_col, name_col)
+    return found if first is None or rest else first_n(found, list(keys), [F.col("doc_id"), F.col("pos")], first)
+
+
+def _mentions(docs: DataFrame, names: DataFrame, radius: int | None, first: int | None, keys: tuple[str, ...], rest: bool, id_col: str, text_col: str, name_col: str) -> DataFrame:
     dictionary = names.select(F.col(name_col).alias("name")).where(F.length("name") > 0).distinct()
     some = [r.name for r in dictionary.limit(AUTOMATON_NAMES + 1).collect()]
     src = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where(F.col("text").isNotNull())
     if len(some) > AUTOMATON_NAMES:
-        return joined_positions(src, dictionary)
-    id_type = src.schema["doc_id"].dataType.simpleString()
+        return anchored_mentions(src, dictionary, radius)
+    schema = f"doc_id {src.schema['doc_id'].dataType.simpleString()}, name string, pos int" + (", excerpt string, at int" if radius is not None else "")
+    by_name = first is not None and keys == ("name",) and first * len(some) <= LOCAL_FIRSTS
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import ahocorasick
@@ -40,32 +62,128 @@ def mention_positions(docs: DataFrame, names: DataFrame, id_col: str = "doc_id",
             automaton.add_word(n, n)
         if some:
             automaton.make_automaton()
+        leading: dict[str, list] = {}  # the first places of each name that this task has seen, last one first
+
+        def leads(name: str, key: tuple) -> bool:
+            best = leading.setdefault(name, [])
+            if len(best) == first and best[0] <= key:
+                return False
+            best.append(key)
+            best.sort(reverse=True)
+            del best[: len(best) - first]
+            return True
+
         for batch in batches:
-            rows, found, places = [], [], []
-            for r, text in enumerate(batch.column(1)):
+            rows, found, places, cuts, ats = [], [], [], [], []
+            ids = batch.column(0).to_pylist() if by_name else None
+            for r, scalar in enumerate(batch.column(1)):
+                text = scalar.as_py()
                 free: dict[str, int] = {}
-                for end, name in automaton.iter(text.as_py()) if some else ():
+                seen: dict[str, int] = {}
+                for end, name in automaton.iter(text) if some else ():
                     begin = end - len(name) + 1
-                    if begin >= free.get(name, 0):
-                        free[name] = end + 1
-                        rows.append(r)
-                        found.append(name)
-                        places.append(begin)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(found, pa.string()), pa.array(places, pa.int32())], names=["doc_id", "name", "pos"])
+                    if begin < free.get(name, 0):
+                        continue
+                    free[name] = end + 1
+                    lead = True
+                    if by_name:
+                        lead = leads(name, (ids[r] is not None, ids[r], begin))
+                    elif first is not None and keys != ("name",):
+                        seen[name] = seen.get(name, 0) + 1
+                        lead = seen[name] <= first
+                    if not lead and not rest:
+                        continue
+                    rows.append(r)
+                    found.append(name)
+                    places.append(begin)
+                    if radius is not None and not lead:
+                        cuts.append(None)
+                        ats.append(None)
+                    elif radius is not None:
+                        left = max(begin - radius, 0)
+                        cuts.append(text[left : end + 1 + radius])
+                        ats.append(begin - left)
+            arrays = [batch.column(0).take(pa.array(rows, pa.int64())), pa.array(found, pa.string()), pa.array(places, pa.int32())]
+            arrays += [pa.array(cuts, pa.string()), pa.array(ats, pa.int32())] if radius is not None else []
+            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "name", "pos", "excerpt", "at"][: len(arrays)])
+
+    return src.mapInArrow(find, schema)
+
+
+def _gram_hashes(text: str, q: int) -> np.ndarray:
+    """Hashes of all runs of ``q`` characters of a text."""
+    points = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.uint64)
+    n = len(points) - q + 1
+    if n < 1:
+        return np.zeros(0, np.uint64)
+    h = np.full(n, q * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF, np.uint64)
+    for k in range(q):
+        h = (h ^ points[k : n + k]) * np.uint64(0xBF58476D1CE4E5B9)
+        h ^= h >> np.uint64(29)
+    return h
+
+
+def anchored_mentions(src: DataFrame, dictionary: DataFrame, radius: int | None = None, most_bits: int = ANCHOR_BITS) -> DataFrame:
+    """The mentions of a dictionary of any size: each name is looked for where its anchor stands.
+
+    The anchor of a name is the one of its runs of ANCHOR characters (the whole name, if it is shorter) that the fewest names have. A bitmap of a
+    checked size, made by Spark from the hashes of all anchors, lets a scan of the texts drop nearly all other places; what is left meets
+    the names on the anchor, and is compared with them. Texts are not shuffled: a place takes along as many characters as the longest name has
+    on both sides, and ``radius`` more.
+    """
+    with scratch():
+        q = F.least(F.length("name"), F.lit(ANCHOR))
+        runs = F.transform(F.sequence(F.lit(1), F.length("name") - q + 1), lambda i: F.substring(F.col("name"), i, q))
+        each = dictionary.select("name", F.posexplode(runs).alias("off", "g"))
+        often = each.groupBy("g").agg(F.count(F.lit(1)).alias("n"))
+        anchors = each.join(often, "g").groupBy("name").agg(F.min_by(F.struct("g", "off"), F.struct("n", "off")).alias("a"))
+        # Only a name that ends as it begins can overlap itself.
+        again = F.exists(F.sequence(F.lit(1), F.greatest(F.length("name") - 1, F.lit(1))), lambda k: (k < F.length("name")) & (F.substring(F.col("name"), F.lit(1), k) == F.right(F.col("name"), k)))
+        anchors = kept(materialize(anchors.select("name", "a.g", "a.off", again.alias("again")), "anchors"))
+    size = anchors.agg(F.count(F.lit(1)).alias("n"), F.max(F.length("name")).alias("m"), F.collect_set(F.length("g")).alias("q")).first()
+    reach, lengths = (size.m or 0) + (radius or 0), sorted(size.q)
+    bits = 64
+    while bits < most_bits and bits < 16 * size.n:
+        bits *= 2
+
+    def marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = np.array([_gram_hashes(g, len(g))[0] % np.uint64(bits) for g in batch.column(0).to_pylist()], np.uint64)
+            yield pa.RecordBatch.from_arrays([pa.array((at >> np.uint64(6)).astype(np.int64)), pa.array((np.uint64(1) << (at & np.uint64(63))).view(np.int64))], names=["word", "bit"])
 
-    return src.mapInArrow(find, f"doc_id {id_type}, name string, pos int")
+    words = anchors.select("g").distinct().mapInArrow(marks, "word long, bit long").groupBy("word").agg(F.bit_or("bit").alias("b")).toArrow()  # at most bits / 64 rows
+    bitmap = np.zeros(bits // 64, np.uint64)
+    bitmap[words.column("word").to_numpy()] = words.column("b").to_numpy().view(np.uint64)
+    shared = src.sparkSession.sparkContext.broadcast(bitmap)
 
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        one = np.uint64(1)
+        for batch in batches:
+            rows, grams, places, cuts, ats = [], [], [], [], []
+            for r, text in enumerate(batch.column(1).to_pylist()):
+                for q in lengths:
+                    h = _gram_hashes(text, q) % np.uint64(bits)
+                    for i in np.flatnonzero(shared.value[(h >> np.uint64(6)).astype(np.int64)] >> (h & np.uint64(63)) & one).tolist():
+                        left = max(i - reach, 0)
+                        rows.append(r)
+                        grams.append(text[i : i + q])
+                        places.append(i)
+                        cuts.append(text[left : i + reach])
+                        ats.append(i - left)
+            at = pa.array(rows, pa.int64())
+            arrays = [batch.column(0).take(at), batch.column(2).take(at), pa.array(grams, pa.string()), pa.array(places, pa.int32()), pa.array(cuts, pa.string()), pa.array(ats, pa.int32())]
+            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "_row", "g", "i", "around", "c"])
 
-def joined_positions(src: DataFrame, dictionary: DataFrame) -> DataFrame:
-    """The same for any dictionary: substrings of the dictionary's lengths, joined on the text itself."""
-    lengths = dictionary.select(F.length("name").alias("n")).distinct().agg(F.sort_array(F.collect_set("n")).alias("lengths")).withColumn("_one", F.lit(1))
-    rows = src.withColumn("_one", F.lit(1)).join(F.broadcast(lengths), "_one")
-    grams = lambda chars, n: F.transform(F.sequence(F.lit(0), F.size(chars) - n), lambda i: F.struct(F.array_join(F.slice(chars, i + 1, n), "").alias("g"), i.alias("pos")))
-    chars = F.filter(F.split("text", ""), lambda c: c != "")
-    every = let(chars, lambda c: F.flatten(F.transform(F.filter("lengths", lambda n: n <= F.size(c)), lambda n: grams(c, n))))
-    hits = rows.select("doc_id", F.explode(every).alias("x")).join(dictionary, F.col("x.g") == F.col("name")).groupBy("doc_id", "name").agg(F.sort_array(F.collect_list("x.pos")).alias("all"))
-    keep = F.aggregate("all", F.array().cast("array<int>"), lambda a, p: F.when((F.size(a) == 0) | (p >= F.element_at(a, -1) + F.length("name")), F.concat(a, F.array(p))).otherwise(a))
-    return hits.select("doc_id", "name", F.explode(keep).alias("pos"))
+    id_type = src.schema["doc_id"].dataType.simpleString()
+    spots = src.select("doc_id", "text", F.monotonically_increasing_id().alias("_row")).mapInArrow(scan, f"doc_id {id_type}, _row long, g string, i int, around string, c int")
+    begin = F.col("c") - F.col("off")
+    hits = spots.join(small(anchors), "g").where((begin >= 0) & (F.substring(F.col("around"), begin + 1, F.length("name")) == F.col("name")))
+    hits = hits.select("_row", "doc_id", "name", "again", (F.col("i") - F.col("off")).cast("int").alias("pos"), *([] if radius is None else [context(F.col("around"), begin, F.length("name"), radius).alias("excerpt"), F.least(begin, F.lit(radius)).cast("int").alias("at")]))
+    free = hits.where("NOT again").drop("_row", "again")
+    own = hits.where("again").groupBy("_row", "doc_id", "name").agg(F.array_sort(F.collect_list(F.struct(*[c for c in free.columns if c not in ("doc_id", "name")]))).alias("all"))
+    start = F.slice("all", 1, 0)
+    keep = F.aggregate("all", start, lambda a, p: F.when((F.size(a) == 0) | (p["pos"] >= F.get(a, F.size(a) - 1)["pos"] + F.length("name")), F.concat(a, F.array(p))).otherwise(a))
+    return free.unionByName(own.select("doc_id", "name", F.inline(keep)))
 
 
 def mention_counts(docs: DataFrame, names: DataFrame, text_col: str = "text", name_col: str = "name", id_col: str = "doc_id") -> DataFrame:
@@ -85,18 +203,15 @@ def first_mentions(positions: DataFrame, n: int, keys: tuple[str, ...] = ("name"
     return first_n(positions, list(keys), [F.col("doc_id"), F.col("pos")], n)
 
 
-def contexts(docs: DataFrame, positions: DataFrame, radius: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``positions`` with the text around each mention."""
-    src = docs.select(F.col(id_col).alias("_d"), F.col(text_col).alias("_t"))
-    out = positions.join(src, F.col("doc_id") == F.col("_d"))
-    return out.select(*positions.columns, context(F.col("_t"), F.col("pos"), F.length("name"), radius).alias("context"))
+def contexts(excerpts: DataFrame, radius: int) -> DataFrame:
+    """``excerpts`` (of ``mention_excerpts``, of this radius or more) with the text around each mention in place of the excerpt."""
+    return excerpts.withColumn("context", context(F.col("excerpt"), F.col("at"), F.length("name"), radius)).drop("excerpt", "at")
 
 
-def sentences(docs: DataFrame, positions: DataFrame, radius: int = 260, marks: str = "。；！？", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``positions`` with the sentence (fragment) around each mention, and the mention's place in it (local)."""
-    src = docs.select(F.col(id_col).alias("_d"), F.col(text_col).alias("_t"))
-    out = positions.join(src, F.col("doc_id") == F.col("_d")).withColumn("_s", sentence_window(F.col("_t"), F.col("pos"), F.length("name"), radius, marks))
-    return out.select(*positions.columns, "_s.fragment", "_s.local")
+def sentences(excerpts: DataFrame, radius: int = 260, marks: str = "。；！？") -> DataFrame:
+    """``excerpts`` (of this radius or more) with the sentence (fragment) around each mention, and the mention's place in it (local), in place of the excerpt."""
+    cut = sentence_window(F.col("excerpt"), F.col("at"), F.length("name"), radius, marks)
+    return excerpts.withColumn("_s", cut).select(*[c for c in excerpts.columns if c not in ("excerpt", "at")], "_s.fragment", "_s.local")
 
 
 def temporal_context(mentions: DataFrame, anchors: DataFrame | None = None, most: int = 80, patterns: dict[str, str] | None = None, windows=years.TIME_WINDOWS, no_time: str = years.NO_TIME) -> DataFrame:

@@ -28,11 +28,14 @@ def extract_places(corpus: DataFrame, suffix_types: list[tuple[str, str]], seeds
 
     reduced = typed(lookup.seed_reduce(typed(distinct), "name", "place_type", seeds, compatible))
     good = reduced.where(T.valid_name(F.col("name"), F.col("place_type"), seed=F.col("is_seed"), **valid))
-    present = mentions.seed_presence(corpus, seeds.select(F.col("seed").alias("name")))
-    counts = good.select("name", "n").unionByName(present.withColumn("n", F.lit(1).cast("long"))).groupBy("name").agg(F.sum("n").alias("occurrence_count"))
-    found = materialize(typed(counts).drop("is_seed"), "places")
-    first = mentions.contexts(corpus, mentions.first_mentions(mentions.mention_positions(corpus, found), 1), radius)
-    return found.join(first.select(F.col("name").alias("_n"), F.col("context").alias("first_context")), F.col("name") == F.col("_n"), "left").drop("_n")
+    # One more pass over the texts finds the seeds that occur and the first context of every name.
+    own = seeds.select(F.col("seed").alias("name"))
+    names = materialize(good.select("name", "n", F.lit(False).alias("seed")).unionByName(own.select("name", F.lit(1).cast("long").alias("n"), F.lit(True).alias("seed"))), "names")
+    first = mentions.contexts(mentions.mention_excerpts(corpus, names.select("name"), radius, 1), radius)
+    first = materialize(first.select(F.col("name").alias("_n"), F.col("context").alias("first_context")), "first")
+    held = names.join(first, F.col("name") == F.col("_n"), "left").where(~F.col("seed") | F.col("_n").isNotNull())
+    counts = held.groupBy("name").agg(F.sum("n").alias("occurrence_count"), F.first("first_context").alias("first_context"))
+    return typed(counts).drop("is_seed")
 
 
 def curated(places: DataFrame, seed: Column, noise: list[str], local: list[str], caps: dict[str, int], least: int, name: str = "name", kind: str = "place_type", count: str = "occurrence_count") -> DataFrame:
@@ -47,8 +50,7 @@ def curated(places: DataFrame, seed: Column, noise: list[str], local: list[str],
 def temporal_places(corpus: DataFrame, places: DataFrame, checklist: DataFrame, checklist_columns: list[str], anchors: DataFrame | None = None, windows=years.TIME_WINDOWS) -> DataFrame:
     """Places with curated columns and the years of their sentences, from one pass over the corpus."""
     full = lookup.curated_first(places, checklist, "name", checklist_columns, "in_curated_checklist")
-    positions = materialize(mentions.first_mentions(mentions.mention_positions(corpus, places), 80), "positions")
-    time = mentions.temporal_context(mentions.sentences(corpus, positions), anchors, windows=windows)
+    time = mentions.temporal_context(mentions.sentences(mentions.mention_excerpts(corpus, places, 260, 80)), anchors, windows=windows)
     out = full.join(time.withColumnRenamed("name", "_n"), F.col("name") == F.col("_n"), "left").drop("_n")
     return out.withColumn("time_type", F.coalesce("time_type", F.lit(years.NO_TIME))).withColumn("year_count", F.coalesce("year_count", F.lit(0)))
 
@@ -90,9 +92,9 @@ def mention_statistics(corpus: DataFrame, places: DataFrame, keywords: DataFrame
     ``places``: (name, place_type, occurrence_count, lon, lat, coord_status, match_status,
     primary_year); ``type_labels``: (place_type, type_label); ``custom``: (name, custom_reason).
     """
-    positions = materialize(mentions.mention_positions(corpus, places), "positions")
+    positions = materialize(mentions.mention_excerpts(corpus, places, 64, 12, rest=True), "positions")
     raw = positions.groupBy(F.col("name").alias("_r")).agg(F.count(F.lit(1)).alias("raw_surface_count"))
-    some = mentions.contexts(corpus, mentions.first_mentions(positions, 12), 64)
+    some = mentions.contexts(mentions.first_mentions(positions.where(F.col("excerpt").isNotNull()), 12), 64)
     themes = ranking.top_themes(mentions.theme_counts(some, keywords, "name"), "name", "theme", "n", "ordinal", 3).select(F.col("name").alias("_t"), "themes")
     out = places.join(raw, F.col("name") == F.col("_r"), "left").join(themes, F.col("name") == F.col("_t"), "left").join(lookup.small(type_labels), "place_type", "left").join(lookup.small(custom), "name", "left")
     ranked = ranking.global_rank(out.drop("_r", "_t"), [F.desc("occurrence_count"), F.asc("name")])

@@ -101,7 +101,7 @@ FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY doc_id, pos) AS rn
 def first_context(spark, sf_dir):
     """The first mention of each name in the corpus, with its context."""
     docs = table(spark, sf_dir, "documents")
-    return mentions.contexts(docs, mentions.first_mentions(mentions.mention_positions(docs, dictionary(spark, sf_dir)), 1), 48)
+    return mentions.contexts(mentions.mention_excerpts(docs, dictionary(spark, sf_dir), 48, 1), 48)
 
 
 @query(f"""WITH {D_SQL}, p AS (
@@ -116,8 +116,7 @@ def first_context(spark, sf_dir):
 def sentence_window(spark, sf_dir):
     """The sentence around the first mention of each name in each document."""
     docs = table(spark, sf_dir, "documents")
-    first = mentions.first_mentions(mentions.mention_positions(docs, dictionary(spark, sf_dir)), 1, ("doc_id", "name"))
-    return mentions.sentences(docs, first, 260, ".;!?")
+    return mentions.sentences(mentions.mention_excerpts(docs, dictionary(spark, sf_dir), 260, 1, ("doc_id", "name")), 260, ".;!?")
 
 
 @query(f"""WITH {D_SQL}, p AS (

@@ -70,6 +70,40 @@ def test_mention_positions(spark, many, monkeypatch):
     assert got == [(1, "aa", 0), (1, "aa", 2), (1, "ab", 6), (1, "bab", 5), (4, "ab", 0), (4, "ab", 3)]
 
 
+@pytest.mark.parametrize("way", ["automaton", "anchors", "crowded bitmap"])
+def test_excerpts_are_the_slices(spark, way, monkeypatch):
+    """All mentions with their slice, the first ones of each name and of each name and document, for both ways; ids repeat or are null."""
+    rng = random.Random(6)
+    letters = "ab湖山\U00020000 "
+    word = lambda k: "".join(rng.choice(letters) for _ in range(k))
+    docs = [(rng.choice([None, *range(30)]), rng.choice([None, "", word(rng.randrange(1, 90))])) for _ in range(80)]
+    names = sorted({word(rng.choice([1, 2, 3, 4, 5, 6, 9])) for _ in range(40)} | {"aaaa", "abab", "missing"})
+    if way != "automaton":
+        monkeypatch.setattr(mentions, "AUTOMATON_NAMES", 1)
+    if way == "crowded bitmap":
+        monkeypatch.setattr(mentions.anchored_mentions, "__defaults__", (None, 64))
+    every = []
+    for i, t in docs:
+        for n in names:
+            at = -1
+            while t is not None and (at := t.find(n, at + len(n) if at >= 0 else 0)) >= 0:
+                every.append((i, n, at, t[max(at - 7, 0) : at + len(n) + 7], min(at, 7)))
+    key = lambda r: (r[0] is not None, r[0] or 0, r[2])
+    df, d = spark.createDataFrame(docs, "doc_id int, text string").repartition(3), spark.createDataFrame([(n,) for n in names], "name string")
+    got = [tuple(r) for r in mentions.mention_excerpts(df, d, 7).collect()]
+    assert sorted(got, key=str) == sorted(every, key=str)
+    assert sorted(map(str, mentions.mention_positions(df, d).collect())) == sorted(str(r) for r in spark.createDataFrame([e[:3] for e in every], "doc_id int, name string, pos int").collect())
+    for keys, of in ((("name",), lambda r: r[1]), (("doc_id", "name"), lambda r: r[:2])):
+        want = [k for g in {of(r) for r in every} for k in sorted(key(r) + (r[1],) for r in every if of(r) == g)[:3]]
+        first = mentions.mention_excerpts(df, d, 7, 3, keys).collect()
+        assert sorted(key(tuple(r)) + (r["name"],) for r in first) == sorted(want)
+        assert {(r["name"], r["excerpt"], r["at"]) for r in first} <= {(e[1], e[3], e[4]) for e in every}
+    rest = mentions.mention_excerpts(df, d, 7, 3, rest=True)
+    assert rest.count() == len(every)
+    lead = mentions.first_mentions(rest.where("excerpt is not null"), 3).collect()
+    assert sorted(key(tuple(r)) + (r["name"],) for r in lead) == sorted(k for g in names for k in sorted(key(r) + (r[1],) for r in every if r[1] == g)[:3])
+
+
 def test_global_rank_and_quota(spark):
     df = spark.range(1000).withColumn("v", F.pmod(F.hash("id"), F.lit(50)))
     got = ranking.global_rank(df, [F.desc("v"), F.asc("id")], "r").orderBy("r").collect()
