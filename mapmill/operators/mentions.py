@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import insort
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,7 +40,8 @@ def mention_excerpts(docs: DataFrame, names: DataFrame, radius: int, first: int
 
     ``first`` limits the result to the first mentions of each of ``keys``, (name) or (doc_id, name), by document and place. Texts are read once and
     go nowhere: the pass that finds a mention cuts its excerpt, and each task drops what is not among the first it has seen, so
-    only a few excerpts a name and task are shuffled. With ``rest`` all mentions are returned, and those that cannot be among the first have no excerpt.
+    only a few excerpts a name and task are shuffled. With ``rest`` (for the first of each name)
+    there is a column ``n`` more, the mentions that a row stands for: those that cannot be among the first are counted in rows without a place.
     """
     found = _mentions(docs, names, radius, first, keys, rest, id_col, text_col, name_col)
     return found if first is None or rest else first_n(found, list(keys), [F.col("doc_id"), F.col("pos")], first)
@@ -50,8 +52,10 @@ def _mentions(docs: DataFrame, names: DataFrame, radius: int | None, first: int
     some = [r.name for r in dictionary.limit(AUTOMATON_NAMES + 1).collect()]
     src = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where(F.col("text").isNotNull())
     if len(some) > AUTOMATON_NAMES:
-        return anchored_mentions(src, dictionary, radius)
-    schema = f"doc_id {src.schema['doc_id'].dataType.simpleString()}, name string, pos int" + (", excerpt string, at int" if radius is not None else "")
+        found = anchored_mentions(src, dictionary, radius)
+        return found.withColumn("n", F.lit(1).cast("long")) if rest else found
+    schema = f"doc_id {src.schema['doc_id'].dataType.simpleString()}, name string, pos int" + (", excerpt string, at int" if radius is not None else "") + (", n long" if rest else "")
+    columns, by_text = [c.split(" ")[0] for c in schema.split(", ")], first is not None and keys != ("name",)
     by_name = first is not None and keys == ("name",) and first * len(some) <= LOCAL_FIRSTS
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -62,22 +66,14 @@ def _mentions(docs: DataFrame, names: DataFrame, radius: int | None, first: int
             automaton.add_word(n, n)
         if some:
             automaton.make_automaton()
-        leading: dict[str, list] = {}  # the first places of each name that this task has seen, last one first
-
-        def leads(name: str, key: tuple) -> bool:
-            best = leading.setdefault(name, [])
-            if len(best) == first and best[0] <= key:
-                return False
-            best.append(key)
-            best.sort(reverse=True)
-            del best[: len(best) - first]
-            return True
+        leading: dict[str, list] = {}  # the first places of each name that this task has seen
+        bar: dict[str, tuple] = {}  # the last of them, where there are enough
 
         for batch in batches:
             rows, found, places, cuts, ats = [], [], [], [], []
+            others: dict[str, int] = {}
             ids = batch.column(0).to_pylist() if by_name else None
-            for r, scalar in enumerate(batch.column(1)):
-                text = scalar.as_py()
+            for r, text in enumerate(batch.column(1).to_pylist()):
                 free: dict[str, int] = {}
                 seen: dict[str, int] = {}
                 for end, name in automaton.iter(text) if some else ():
@@ -85,27 +81,34 @@ def _mentions(docs: DataFrame, names: DataFrame, radius: int | None, first: int
                     if begin < free.get(name, 0):
                         continue
                     free[name] = end + 1
-                    lead = True
                     if by_name:
-                        lead = leads(name, (ids[r] is not None, ids[r], begin))
-                    elif first is not None and keys != ("name",):
+                        key = (ids[r] is not None, ids[r], begin)
+                        if name in bar and bar[name] <= key:
+                            if rest:
+                                others[name] = others.get(name, 0) + 1
+                            continue
+                        best = leading.setdefault(name, [])
+                        insort(best, key)
+                        if len(best) >= first:
+                            del best[first:]
+                            bar[name] = best[-1]
+                    elif by_text:
                         seen[name] = seen.get(name, 0) + 1
-                        lead = seen[name] <= first
-                    if not lead and not rest:
-                        continue
+                        if seen[name] > first:
+                            continue
                     rows.append(r)
                     found.append(name)
                     places.append(begin)
-                    if radius is not None and not lead:
-                        cuts.append(None)
-                        ats.append(None)
-                    elif radius is not None:
+                    if radius is not None:
                         left = max(begin - radius, 0)
                         cuts.append(text[left : end + 1 + radius])
                         ats.append(begin - left)
-            arrays = [batch.column(0).take(pa.array(rows, pa.int64())), pa.array(found, pa.string()), pa.array(places, pa.int32())]
-            arrays += [pa.array(cuts, pa.string()), pa.array(ats, pa.int32())] if radius is not None else []
-            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "name", "pos", "excerpt", "at"][: len(arrays)])
+            none = [None] * len(others)
+            ids_out = pa.concat_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.nulls(len(others), batch.column(0).type)])
+            arrays = [ids_out, pa.array(found + list(others), pa.string()), pa.array(places + none, pa.int32())]
+            arrays += [pa.array(cuts + none, pa.string()), pa.array(ats + none, pa.int32())] if radius is not None else []
+            arrays += [pa.array([1] * len(rows) + list(others.values()), pa.int64())] if rest else []
+            yield pa.RecordBatch.from_arrays(arrays, names=columns)
 
     return src.mapInArrow(find, schema)
 

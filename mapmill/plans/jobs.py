@@ -93,7 +93,7 @@ def mention_statistics(corpus: DataFrame, places: DataFrame, keywords: DataFrame
     primary_year); ``type_labels``: (place_type, type_label); ``custom``: (name, custom_reason).
     """
     positions = materialize(mentions.mention_excerpts(corpus, places, 64, 12, rest=True), "positions")
-    raw = positions.groupBy(F.col("name").alias("_r")).agg(F.count(F.lit(1)).alias("raw_surface_count"))
+    raw = positions.groupBy(F.col("name").alias("_r")).agg(F.sum("n").alias("raw_surface_count"))
     some = mentions.contexts(mentions.first_mentions(positions.where(F.col("excerpt").isNotNull()), 12), 64)
     themes = ranking.top_themes(mentions.theme_counts(some, keywords, "name"), "name", "theme", "n", "ordinal", 3).select(F.col("name").alias("_t"), "themes")
     out = places.join(raw, F.col("name") == F.col("_r"), "left").join(themes, F.col("name") == F.col("_t"), "left").join(lookup.small(type_labels), "place_type", "left").join(lookup.small(custom), "name", "left")
