@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mapmill.functions import geo, text
-from mapmill.operators.ranking import first_n, global_rank, top
+from mapmill.operators.components import components
+from mapmill.operators.ranking import first_n, global_rank, rank_by_key, top
 from mapmill.storage import materialize, release
 
 IOU = 0.48
 MIN_CONFIDENCE = 0.48
 #: Alternative texts of a kept box that are listed.
 SHOWN = 8
+#: Rounds of the greedy set before components are looked at, and edges of a component that one task decides at most.
+ROUNDS, ONE_TASK = 3, 50_000
 
 
 def ocr_candidates(detections: DataFrame, least: float = MIN_CONFIDENCE) -> DataFrame:
@@ -65,39 +69,84 @@ def box_edges(boxes: DataFrame, cell: float = 64.0, threshold: float = IOU) -> D
     return l.join(r, on).select(F.col("l.map_id").alias("map_id"), F.col("l.seq").alias("a"), F.col("r.seq").alias("b"), F.col("l.quality").alias("qa"))
 
 
-def independent_set(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _greedy(links: pd.DataFrame) -> pd.DataFrame:
+    """The kept nodes of whole components of ``links`` (map_id, a, b), each from a better node to a worse one."""
+    worse: dict = {}
+    waits: dict = {}
+    for m, x, y in zip(links["map_id"], links["a"], links["b"], strict=True):
+        worse.setdefault((m, x), []).append((m, y))
+        waits[m, y] = waits.get((m, y), 0) + 1
+    ready, lost, kept = [n for n in worse if n not in waits], set(), []
+    while ready:
+        node = ready.pop()
+        if node not in lost:
+            kept.append(node)
+        for other in worse.get(node, ()):
+            if node not in lost:
+                lost.add(other)
+            waits[other] -= 1
+            if not waits[other]:
+                ready.append(other)
+    return pd.DataFrame(kept, columns=["map_id", "seq"])
+
+
+def independent_set(nodes: DataFrame, edges: DataFrame, report: dict | None = None) -> tuple[DataFrame, DataFrame]:
     """(kept, attached) of the greedy set: a node is kept unless a better kept neighbour was found before it.
 
     ``nodes``: (map_id, seq); ``edges``: (map_id, a, b, qa) from better to worse. In each round
     every open node without an open better neighbour is kept, and its open neighbours are dropped;
-    that gives the sequential result. A dropped node attaches to its best kept better neighbour.
+    that gives the sequential result. After a few rounds the edges that are left fall into connected components: each one of at most
+    ONE_TASK edges is decided by itself in a task, however long its chains are, and only larger ones go on in
+    rounds. A dropped node attaches to its best kept better neighbour. ``report`` takes the number of rounds and of components decided in tasks.
     """
     edges = materialize(edges, "edges")
     key = ["map_id", "seq"]
     kept, open_edges, open_nodes = None, edges, materialize(nodes.select(*key), "open")
+    rounds, alone = 0, 0
     while True:  # each round decides the best open node at least
         beaten = open_edges.select("map_id", F.col("b").alias("seq")).distinct()
         now = materialize(open_nodes.join(beaten, key, "left_anti"), "now")
         if now.isEmpty():
             break
+        rounds += 1
         kept = now if kept is None else kept.unionByName(now)
         lost = open_edges.join(now.withColumnRenamed("seq", "a"), ["map_id", "a"]).select("map_id", F.col("b").alias("seq")).distinct()
         rest = materialize(open_nodes.join(now, key, "left_anti").join(lost, key, "left_anti"), "open")
         open_edges = materialize(open_edges.join(rest.withColumnRenamed("seq", "a"), ["map_id", "a"], "left_semi").join(rest.withColumnRenamed("seq", "b"), ["map_id", "b"], "left_semi").select("map_id", "a", "b", "qa"), "open_edges")
         release(open_nodes)
         open_nodes = rest
+        if rounds == ROUNDS and not open_edges.isEmpty():
+            whole, large, alone = _component_edges(open_edges)
+            types = dict(nodes.select(*key).dtypes)
+            done = materialize(whole.groupBy("component").applyInPandas(lambda g: _greedy(g), f"map_id {types['map_id']}, seq {types['seq']}"), "greedy")
+            kept = kept.unionByName(done)
+            decided = whole.select("map_id", F.col("a").alias("seq")).union(whole.select("map_id", "b")).distinct()
+            open_nodes, open_edges = materialize(open_nodes.join(decided, key, "left_anti"), "open"), materialize(large, "open_edges")
+    if report is not None:
+        report |= {"rounds": rounds, "components": alone}
     kept = nodes.select(*key).limit(0) if kept is None else kept
     to = edges.join(kept.withColumnRenamed("seq", "a"), ["map_id", "a"]).groupBy("map_id", F.col("b").alias("seq")).agg(F.max_by("a", F.struct("qa", -F.col("a"))).alias("kept_seq"))
     return kept, to
 
 
-def dedupe_boxes(boxes: DataFrame, threshold: float = IOU, cell: float = 64.0) -> DataFrame:
+def _component_edges(edges: DataFrame) -> tuple[DataFrame, DataFrame, int]:
+    """The edges of small components with their ``component``, those of large ones, and how many small components there are."""
+    node = lambda c: F.struct("map_id", F.col(c).alias("seq"))
+    of = components(edges.select(node("a").alias("a"), node("b").alias("b"))).select(F.col("node").alias("_n"), "component")
+    placed = materialize(edges.join(of, node("a") == F.col("_n")).drop("_n"), "component_edges")
+    sizes = materialize(placed.groupBy(F.col("component").alias("_c")).agg(F.count(F.lit(1)).alias("_size")), "component_sizes")
+    met = placed.join(sizes, F.col("component") == F.col("_c"))
+    small = met.where(F.col("_size") <= ONE_TASK).drop("_c", "_size")
+    return small, met.where(F.col("_size") > ONE_TASK).select(*edges.columns), sizes.where(F.col("_size") <= ONE_TASK).count()
+
+
+def dedupe_boxes(boxes: DataFrame, threshold: float = IOU, cell: float = 64.0, report: dict | None = None) -> DataFrame:
     """Kept boxes of each map in reading order, numbered by quality, with their alternatives.
 
     ``boxes``: (map_id, seq, text, quality, bbox). Adds ocr_no, alternative_texts (up to eight other
-    texts by quality) and alternative_count.
+    texts by quality) and alternative_count. ``report``: see ``independent_set``.
     """
-    kept, to = independent_set(boxes, box_edges(boxes, cell, threshold))
+    kept, to = independent_set(boxes, box_edges(boxes, cell, threshold), report)
     lost = to.join(boxes.select("map_id", "seq", "text", "quality"), ["map_id", "seq"])
     count = lost.groupBy("map_id", F.col("kept_seq").alias("seq")).agg(F.count(F.lit(1)).alias("alternative_count"))
     # Of each text the best box, and of those as many as are shown (and one that may be the kept box's own text).
@@ -105,8 +154,8 @@ def dedupe_boxes(boxes: DataFrame, threshold: float = IOU, cell: float = 64.0) -
     some = first_n(some, ["map_id", "seq"], [F.col("o")], SHOWN + 1).groupBy("map_id", "seq").agg(F.array_sort(F.collect_list(F.struct("o", "t"))).alias("alts"))
     out = boxes.join(kept, ["map_id", "seq"]).join(count, ["map_id", "seq"], "left").join(some, ["map_id", "seq"], "left")
     texts = F.filter(F.transform("alts", lambda x: x["t"]), lambda t: t != F.col("text"))
-    number = F.row_number().over(Window.partitionBy("map_id").orderBy(F.desc("quality"), "seq"))
-    out = out.withColumn("ocr_no", number).withColumn("alternative_texts", F.coalesce(F.array_join(F.slice(texts, 1, SHOWN), " | "), F.lit("")))
+    out = rank_by_key(out, ["map_id"], [F.desc("quality"), F.col("seq")], "ocr_no").withColumn("ocr_no", F.col("ocr_no").cast("int"))
+    out = out.withColumn("alternative_texts", F.coalesce(F.array_join(F.slice(texts, 1, SHOWN), " | "), F.lit("")))
     return out.withColumn("alternative_count", F.coalesce("alternative_count", F.lit(0)).cast("long")).drop("alts").orderBy("map_id", F.col("bbox")[1], F.col("bbox")[0], "seq")
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from mapmill.functions import geo
@@ -10,6 +12,7 @@ from mapmill.operators import boxes, georef, ranking, sample
 from mapmill.plans import jobs
 from mapmill.plans.text_queries import table
 from mapmill.sources import geojson, ocr
+from mapmill.storage import shared_dir
 
 Q: dict = {}
 SQL: dict[str, str] = {}
@@ -326,11 +329,13 @@ def route_layers(spark, sf_dir):
 
 @query("""SELECT c_custkey::VARCHAR AS key, c_name AS name, 'Point' AS geom_type, 100 + c_nationkey * 0.5::DOUBLE AS lon, 30 + c_nationkey * 0.25::DOUBLE AS lat FROM customer WHERE c_custkey % 4 <> 0""")
 def geojson_roundtrip(spark, sf_dir):
-    """Points written as Features, one a row, and read again; rows without coordinates are left out."""
+    """Points written as the Features of one collection and read again by splits; rows without coordinates are left out."""
     k, n = F.col("c_custkey"), F.col("c_nationkey")
     c = table(spark, sf_dir, "customer").select(k.alias("key"), F.col("c_name").alias("name"), F.when(k % 4 != 0, 100 + n * 0.5).alias("lon"), (30 + n * 0.25).alias("lat"))
     one = geojson.points(c, ["key", "name", "lon", "lat"])
-    f = geojson.parse_features(one.select(F.concat(F.lit('{"type":"FeatureCollection","features":['), "value", F.lit("]}")).alias("value")))
+    path = f"{shared_dir(spark)}/geojson-{uuid.uuid4().hex}"
+    geojson.write_collection(one, path, [F.col("value")])
+    f = geojson.read_features(spark, path)
     p = F.col("rings")[0][0]
     return f.select(F.col("properties")["key"].alias("key"), F.col("properties")["name"].alias("name"), "geom_type", p[0].alias("lon"), p[1].alias("lat"))
 

@@ -14,6 +14,7 @@ from mapmill.plans.geo_queries import BOX_SQL, LONLAT_SQL, SAMPLE_SQL, box_table
 from mapmill.plans.table_queries import PLACES_SQL, RULES_SQL, misspelt
 from mapmill.plans.text_queries import CANDIDATE_SQL, D_SQL, LEVEL_SQL, SUFFIXES, dictionary, table
 from mapmill.sources import geojson, ocr, tables
+from mapmill.sources.versions import VersionedTable
 from mapmill.storage import shared_dir
 
 Q: dict = {}
@@ -80,6 +81,21 @@ def layers_rerun(spark, sf_dir):
     return spark.read.parquet(path).groupBy("target_layer", "version").agg(F.count(F.lit(1)).alias("n"), F.sum("p_partkey").alias("total"))
 
 
+@query("""WITH m AS (SELECT 'map' || (p_size % 10) || '_' || p_partkey AS place_id, p_name AS name FROM part), i AS (SELECT 'map3_' || p_partkey AS place_id, upper(p_name) AS name FROM part WHERE p_size % 10 = 3)
+SELECT 1 AS version, place_id, name FROM m UNION ALL SELECT 3, place_id, name FROM m WHERE NOT starts_with(place_id, 'map3_') UNION ALL SELECT 3, * FROM i""")
+def master_versions(spark, sf_dir):
+    """A master table, the import of a map, and its rerun as three versions: the first, pinned before the others, and the one in force."""
+    p = table(spark, sf_dir, "part")
+    m = p.select(F.concat(F.lit("map"), F.col("p_size") % 10, F.lit("_"), "p_partkey").alias("place_id"), F.col("p_name").alias("name"))
+    i = p.where("p_size % 10 = 3").select(F.concat(F.lit("map3_"), "p_partkey").alias("place_id"), F.upper("p_name").alias("name"))
+    master = VersionedTable(spark, scratch(spark, "master"))
+    master.commit(m, 0)
+    pinned = master.read()
+    for _ in range(2):
+        jobs.import_into(master, i, "map3")
+    return pinned.select(F.lit(1).alias("version"), "*").unionByName(master.read().select(F.lit(master.current()).alias("version"), "*"))
+
+
 STANDARD_SQL = RULES_SQL + """, c AS (
   SELECT p_partkey AS k, p_partkey % 3 AS m, row_number() OVER (PARTITION BY p_partkey % 3 ORDER BY p_partkey) AS no, CASE WHEN p_partkey % 7 = 0 THEN 'n' || p_partkey WHEN p_partkey % 7 = 1 THEN '' ELSE p_name END AS name,
          CASE WHEN p_partkey % 11 = 0 THEN '其他' ELSE p_type END AS category, p_retailprice AS r, p_size::DOUBLE AS s FROM part

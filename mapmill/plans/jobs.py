@@ -9,6 +9,7 @@ from mapmill.functions import geo, years
 from mapmill.functions import text as T
 from mapmill.operators import georef, lookup, match, mentions, ranking, sample, upsert
 from mapmill.sources import geojson
+from mapmill.sources.versions import VersionedTable
 from mapmill.storage import materialize
 
 
@@ -278,6 +279,12 @@ def standard_places(candidates: DataFrame, rules: DataFrame, transforms: DataFra
     return out.where(F.col("problem").isNull()).drop("problem"), out.where(F.col("problem").isNotNull()).select("place_id", "name", "problem")
 
 
+def import_into(master: VersionedTable, places: DataFrame, map_id: str) -> int:
+    """Put the master after an import in force as a new version, and return its number; StaleBase if someone else did so meanwhile."""
+    base = master.current()
+    return master.commit(import_map(master.read(base), places, map_id), base)
+
+
 def import_map(master: DataFrame, places: DataFrame, map_id: str) -> DataFrame:
     """The master after an import: earlier rows of the map are replaced."""
     return upsert.merge_master(master, places, "place_id", map_id)

@@ -232,12 +232,21 @@ def ranked_report(spark, sf_dir):
     return tables.ranked_report(c, "Customers", ["rank", "c_name", "c_mktsegment"], "rank", 30)
 
 
-@query("""SELECT count(*)::BIGINT AS total, count(*) FILTER (WHERE c_acctbal < 0)::BIGINT AS negative, count(*) FILTER (WHERE c_nationkey = 3)::BIGINT AS third, (SELECT string_agg(k || '=' || n, ';' ORDER BY k) FROM (SELECT c_mktsegment AS k, count(*)::BIGINT AS n FROM customer GROUP BY 1)) AS by_c_mktsegment FROM customer""")
+@query("""SELECT 'total' AS section, '' AS key, count(*)::BIGINT AS n FROM customer UNION ALL SELECT 'negative', '', count(*) FILTER (WHERE c_acctbal < 0) FROM customer UNION ALL SELECT 'third', '', count(*) FILTER (WHERE c_nationkey = 3) FROM customer
+UNION ALL SELECT 'by_c_mktsegment', c_mktsegment, count(*) FROM customer GROUP BY 2 UNION ALL SELECT 'by_c_nationkey', c_nationkey::VARCHAR, count(*) FROM customer GROUP BY 2 UNION ALL SELECT 'by_digit', (c_custkey % 10)::VARCHAR, count(*) FROM customer GROUP BY 2""")
 def summary(spark, sf_dir):
-    """Totals and value counts in one row."""
-    return tables.summary(table(spark, sf_dir, "customer"), {"negative": F.col("c_acctbal") < 0, "third": F.col("c_nationkey") == 3}, ["c_mktsegment"]).withColumn(
-        "by_c_mktsegment", F.array_join(F.transform(F.map_entries("by_c_mktsegment"), lambda x: F.concat(x["key"], F.lit("="), x["value"])), ";")
-    )
+    """Totals and the value counts of three columns, as rows, from one scan."""
+    c = table(spark, sf_dir, "customer").withColumn("digit", F.col("c_custkey") % 10)
+    return tables.summary(c, {"negative": F.col("c_acctbal") < 0, "third": F.col("c_nationkey") == 3}, ["c_mktsegment", "c_nationkey", "digit"])
+
+
+@query("""WITH s AS (SELECT *, row_number() OVER (ORDER BY s_nationkey, s_suppkey) AS no FROM supplier WHERE s_suppkey % 3 = 0), g AS (SELECT s_nationkey::VARCHAR AS k, count(*) AS n FROM s GROUP BY 1)
+SELECT -4 AS line_no, '# Sample' AS line UNION ALL SELECT -3, '' UNION ALL SELECT -2, '| s_suppkey | s_name | s_nationkey |' UNION ALL SELECT -1, '| --- | --- | --- |'
+UNION ALL SELECT no, '| ' || s_suppkey || ' | ' || s_name || ' | ' || s_nationkey || ' |' FROM s UNION ALL SELECT row_number() OVER (ORDER BY k) - 1000000000, '- ' || k || ': ' || n FROM g""")
+def sample_report(spark, sf_dir):
+    """The report of a sample: how many rows of each group it has, and its rows."""
+    s = table(spark, sf_dir, "supplier").where("s_suppkey % 3 = 0")
+    return tables.sample_report(s, "Sample", ["s_suppkey", "s_name", "s_nationkey"], [F.col("s_nationkey"), F.col("s_suppkey")], "s_nationkey")
 
 
 PLACES_SQL = """WITH p AS (

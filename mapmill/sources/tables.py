@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from mapmill.functions.text import squeeze
 from mapmill.functions.years import has_year
+from mapmill.operators.ranking import first_n, rank_by_key
 
 
 def read_csv(spark: SparkSession, path: str, schema: str, missing_ok: bool = False) -> DataFrame:
@@ -61,13 +62,40 @@ def words_of(t: DataFrame, least: float = 0.0) -> DataFrame:
 
 
 def summary(df: DataFrame, counts: dict[str, Column], groups: list[str] = ()) -> DataFrame:
-    """One row of conditional totals in one pass, with a map of value counts for each grouping column."""
-    out = df.agg(F.count(F.lit(1)).alias("total"), *[F.count_if(c).alias(n) for n, c in counts.items()]).withColumn("_one", F.lit(1))
-    for g in groups:
-        by = df.groupBy(F.coalesce(F.col(g).cast("string"), F.lit("")).alias("k")).count()
-        one = by.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("k", "count")))).alias(f"by_{g}")).withColumn("_one", F.lit(1))
-        out = out.join(F.broadcast(one), "_one")
-    return out.drop("_one")
+    """(section, key, n): all rows (``total``), conditional totals by their names, and the count of each value of each grouping column (``by_`` and its name).
+
+    All of it comes from one scan, grouped by sets, and stays rows however many values a column has. Missing values count as the empty text.
+    An empty table gives no row.
+    """
+    marks = [F.coalesce(c, F.lit(False)).cast("long").alias(f"_c{i}") for i, c in enumerate(counts.values())]
+    keys = [F.coalesce(F.col(g).cast("string"), F.lit("")).alias(f"_g{i}") for i, g in enumerate(groups)]
+    flat = df.select(F.lit(1).cast("long").alias("_all"), *marks, *keys)
+    names = [f"_g{i}" for i in range(len(groups))]
+    sums = [F.sum("_all").alias("_n"), *[F.sum(f"_c{i}").alias(f"_s{i}") for i in range(len(counts))]]
+    if groups:
+        sets = flat.groupingSets([[], *[[F.col(n)] for n in names]], *[F.col(n) for n in names]).agg(*sums, *[F.grouping(n).alias(f"_no{n}") for n in names])
+    else:
+        sets = flat.agg(*sums)
+    entry = lambda section, key, n: F.struct(section.alias("section"), key.alias("key"), F.coalesce(n, F.lit(0)).cast("long").alias("n"))
+    totals = F.array(*[entry(F.lit(name), F.lit(""), F.col(f"_s{i}")) for i, name in enumerate(counts)], entry(F.lit("total"), F.lit(""), F.col("_n")))
+    rows = totals
+    for n, g in zip(names, groups, strict=True):
+        rows = F.when(F.col(f"_no{n}") == 0, F.array(entry(F.lit(f"by_{g}"), F.col(n), F.col("_n")))).otherwise(rows)
+    return sets.select(F.inline(rows))
+
+
+def sample_report(sample: DataFrame, title: str, columns: list[str], order: list[Column], group: str | None = None) -> DataFrame:
+    """(line_no, line) of a Markdown report of a sample: how many rows of each ``group`` it has, and all its rows in ``order``."""
+    spark = sample.sparkSession
+    cell = lambda c: F.replace(F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit("|"), F.lit("/"))
+    head = [f"# {title}", "", "| " + " | ".join(columns) + " |", "|" + " --- |" * len(columns)]
+    top = spark.createDataFrame([(i - len(head), line) for i, line in enumerate(head)], "line_no long, line string")
+    rows = rank_by_key(sample, [], order, "_no").select(F.col("_no").alias("line_no"), F.concat(F.lit("| "), F.concat_ws(" | ", *[cell(c) for c in columns]), F.lit(" |")).alias("line"))
+    out = top.unionByName(rows)
+    if group is None:
+        return out
+    counts = rank_by_key(sample.groupBy(F.coalesce(F.col(group).cast("string"), F.lit("")).alias("_g")).count(), [], [F.col("_g")], "_no")
+    return out.unionByName(counts.select((F.col("_no") - 1_000_000_000).alias("line_no"), F.concat(F.lit("- "), "_g", F.lit(": "), "count").alias("line")))
 
 
 def write_json(df: DataFrame, path: str) -> None:
@@ -87,8 +115,6 @@ def ranked_report(df: DataFrame, title: str, columns: list[str], order: str, n:
 
 def grouped_index(df: DataFrame, group: str, name: str, order: list[Column], n: int = 80) -> DataFrame:
     """(group, total, line): the first ``n`` names of each group in one line."""
-    from mapmill.operators.ranking import first_n
-
     total = df.groupBy(group).agg(F.count(F.lit(1)).alias("total"))
     some = first_n(df.withColumn("_o", F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)])), [group], [F.col("_o")], n)
     line = some.groupBy(group).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_o", name))), lambda x: x[name]), "、").alias("line"))

@@ -1,6 +1,7 @@
 """Operators against golden rows and one-by-one loops."""
 
 import difflib
+import json
 import math
 import random
 
@@ -11,7 +12,7 @@ from mapmill.functions import geo, years
 from mapmill.functions import text as T
 from mapmill.operators import boxes, georef, intervals, lookup, match, mentions, ranking, sample, similar, upsert
 from mapmill.plans import jobs
-from mapmill.sources import geojson, ocr, tables
+from mapmill.sources import geojson, ocr, tables, versions
 from mapmill.streaming import incremental
 
 
@@ -213,6 +214,30 @@ def test_dedupe_boxes_is_the_greedy_loop(spark):
     assert got == {k[0]: count.get(k[0], 0) for k in kept}
 
 
+@pytest.mark.parametrize("one_task", [50_000, 100])
+def test_long_chains_take_few_rounds(spark, one_task, monkeypatch):
+    """A chain of a thousand nodes and random graphs in two maps, decided in tasks, and in rounds where a component is too large."""
+    monkeypatch.setattr(boxes, "ONE_TASK", one_task)
+    rng = random.Random(11)
+    size = 1000 if one_task > 100 else 120
+    edges = [("chain", i, i + 1, 1.0 - i / 2000) for i in range(size - 1)]
+    for m in ("p", "q"):
+        edges += [(m, a, b, 1.0 - a / 500) for a, b in {tuple(sorted((rng.randrange(150), rng.randrange(150)))) for _ in range(130)} if a < b]
+    nodes = [("chain", i) for i in range(size)] + [(m, i) for m in ("p", "q") for i in range(150)]
+    better = {}
+    for m, a, b, _ in edges:
+        better.setdefault((m, b), []).append(a)
+    want = set()
+    for m, i in sorted(nodes):
+        if not any((m, a) in want for a in better.get((m, i), ())):
+            want.add((m, i))
+    report = {}
+    kept, to = boxes.independent_set(spark.createDataFrame(nodes, "map_id string, seq int"), spark.createDataFrame(edges, "map_id string, a int, b int, qa double"), report)
+    assert sorted(map(tuple, kept.collect())) == sorted(want)
+    assert {(r["map_id"], r["seq"]): r["kept_seq"] for r in to.collect() if (r["map_id"], r["seq"]) not in want} == {k: min(a for a in v if (k[0], a) in want) for k, v in better.items() if k not in want}
+    assert (report["components"] >= 1 and report["rounds"] <= 4) if one_task > 100 else report["rounds"] > 4
+
+
 def test_review_sample_is_the_loop(spark):
     rng = random.Random(9)
     cats, forced, size, cols, rows_ = ["A", "B"], {"n3"}, 15, 3, 2
@@ -400,6 +425,70 @@ def test_merge_is_idempotent(spark):
     assert sorted(map(tuple, once.collect())) == sorted(map(tuple, upsert.merge_master(once, i, "place_id", "b").collect())) == [("a_1", 1), ("b_1", 9)]
 
 
+def test_versions_swap_or_fail(spark, tmp_path):
+    """A reader keeps its version, a killed write is not seen, and of two writers on one base the second fails."""
+    t = versions.VersionedTable(spark, f"file://{tmp_path}/master")
+    rows = lambda df: sorted(tuple(r) for r in df.collect())
+    frame = lambda *r: spark.createDataFrame(list(r), "place_id string, v int")
+    assert t.current() == 0 and t.commit(frame(("a_1", 1)), 0) == 1
+    pinned = t.read()
+    assert t.commit(frame(("a_1", 2)), 1) == 2
+    with pytest.raises(versions.StaleBase):
+        t.commit(frame(("a_1", 3)), 1)
+    staged = t.stage(frame(("a_1", 4)))  # killed before its swap
+    assert rows(pinned) == [("a_1", 1)] and rows(t.read()) == [("a_1", 2)] and t.versions() == [1, 2] and staged in t.orphans()
+    again = versions.VersionedTable(spark, f"file://{tmp_path}/master")
+    again.current = lambda: 1  # a writer that looked before the other one renamed its pointer
+    with pytest.raises(versions.StaleBase):
+        again.swap(staged, 1)
+    assert jobs.import_into(t, frame(("b_1", 9)), "b") == 3 and jobs.import_into(t, frame(("b_1", 9)), "b") == 4
+    assert rows(t.read()) == [("a_1", 2), ("b_1", 9)] and rows(t.read(1)) == [("a_1", 1)]
+
+
+@pytest.mark.parametrize("style", ["compact", "spaced", "pretty", "type last", "mixed", "nested"])
+def test_collections_by_splits(spark, tmp_path, style):
+    """One file in many splits gives the rows of one task, in order, however it is written."""
+    fs = [{"type": "Feature", "properties": {"name": f'n{i} "Feature" {{"type": "Feature"', "k": i}, "geometry": {"type": "Point", "coordinates": [i, 1.5]}} for i in range(300)]
+    if style == "type last":
+        fs = [{"properties": f["properties"], "geometry": f["geometry"], "type": "Feature"} for f in fs]
+    if style == "nested":
+        fs[7]["properties"]["more"] = {"type": "Feature", "x": 1}
+    doc = {"type": "FeatureCollection", "name": "x", "features": fs, "note": [1, {"a": 2}]}
+    text = json.dumps(doc, separators=(",", ":")) if style == "compact" else json.dumps(doc, indent=2) if style == "pretty" else json.dumps(doc)
+    if style == "mixed":
+        text = text.replace('{"type": "Feature", "properties": {"name": "n5 ', '{"type" : "Feature", "properties": {"name": "n5 ')
+    (tmp_path / "f.geojson").write_text(text)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        got = geojson.read_features(spark, str(tmp_path / "f.geojson"))
+        rows = [(r["seq"], r["properties"]["name"], int(r["properties"]["k"]), r["rings"]) for r in got.orderBy("seq").collect()]
+        splits = spark.read.option("lineSep", '"Feature"').text(str(tmp_path / "f.geojson")).rdd.getNumPartitions()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert splits >= 4
+    assert rows == [(i, f'n{i} "Feature" {{"type": "Feature"', i, [[[float(i), 1.5]]]) for i in range(300)]
+
+
+def test_written_collection_is_one_document(spark, tmp_path):
+    df = spark.range(50).select(F.col("id").alias("k"), (F.col("id") * 1.0).alias("lon"), F.lit(2.0).alias("lat"))
+    features = geojson.points(df, ["k", "lon", "lat"])
+    geojson.write_collection(features, str(tmp_path / "c"), [F.col("value")], "n")
+    parts = sorted((tmp_path / "c").glob("part-*"))
+    doc = json.loads("".join(p.read_text() for p in parts))
+    assert len(doc["features"]) == 50 and sorted(f["properties"]["k"] for f in doc["features"]) == list(range(50))
+
+
+def test_summary_and_sample_report(spark):
+    df = spark.createDataFrame([("a", 1, None), ("a", 2, "x"), (None, 3, "x"), ("", 4, "y|z")], "g string, v int, h string")
+    got = {(r["section"], r["key"]): r["n"] for r in tables.summary(df, {"big": F.col("v") > 2, "odd": F.col("h") == "x"}, ["g", "h"]).collect()}
+    assert got == {("total", ""): 4, ("big", ""): 2, ("odd", ""): 2, ("by_g", "a"): 2, ("by_g", ""): 2, ("by_h", ""): 1, ("by_h", "x"): 2, ("by_h", "y|z"): 1}
+    plan = tables.summary(df, {}, ["g", "h"])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Scan") == 1
+    lines = [r["line"] for r in tables.sample_report(df, "S", ["g", "h"], [F.col("v")], "g").orderBy("line_no").collect()]
+    assert lines == ["- : 2", "- a: 2", "# S", "", "| g | h |", "| --- | --- |", "| a |  |", "| a | x |", "|  | x |", "|  | y/z |"]
+
+
 def test_sources_round_trip(spark, tmp_path):
     df = spark.createDataFrame([("a", 'x "q", {"k":1}', None), ("b", "", 2.5)], "name string, notes string, x double")
     tables.write_csv(df, str(tmp_path / "c"), ["name", "notes", "x", "extra"])
