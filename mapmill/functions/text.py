@@ -124,15 +124,18 @@ def alternatives(first: list[Column], joined: Column) -> Column:
     return F.array_distinct(F.filter(F.transform(parts, lambda x: F.trim(F.coalesce(x, F.lit("")))), lambda x: x != ""))
 
 
-def strip_to_tail(name: Column, prefix: str, markers: list[str], rounds: int = 25) -> Column:
+def strip_to_tail(name: Column, prefix: str, markers: list[str]) -> Column:
     """Drop a leading ``prefix`` pattern and keep what follows each marker (if two characters or more), until nothing changes.
 
-    Each round shortens the name or changes nothing, so names of up to ``rounds`` + 1 characters reach the fixpoint.
+    Each round shortens the name or changes nothing, so a name has as many rounds at most as it has characters; after the first one that changes
+    nothing the rest pass at once.
     """
     cuts = F.array(*[F.lit(m) for m in markers]) if markers else F.array().cast("array<string>")
     tail = lambda a, m: let(F.call_function("substring_index", a, m, F.lit(-1)), lambda t: F.when((F.call_function("instr", a, m) > 0) & (F.length(t) >= 2), t).otherwise(a))
-    step = lambda n, _: F.aggregate(cuts, F.regexp_replace(n, prefix, ""), tail)
-    return F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), name, step)
+    once = lambda n: F.aggregate(cuts, F.regexp_replace(n, prefix, ""), tail)
+    start = F.struct(name.alias("n"), F.lit(False).alias("done"))
+    step = lambda acc, _: F.when(acc["done"], acc).otherwise(let(once(acc["n"]), lambda t: F.struct(t.alias("n"), (t == acc["n"]).alias("done"))))
+    return F.when(name.isNotNull(), F.aggregate(F.sequence(F.lit(1), F.length(name) + 1), start, step)["n"])
 
 
 def clean_candidate(raw: Column, trims: str, lead: str, prefix: str, markers: list[str]) -> Column:

@@ -25,13 +25,18 @@ def matches(text: Column, pattern: str, groups: int = 1) -> Column:
     """Array of (pos, g array): where each match begins (from 0), and its groups. The pattern must not match nothing."""
     found = lambda g: F.regexp_extract_all(text, F.lit(pattern), F.lit(g))
     parts = F.struct(F.split(text, pattern).alias("between"), found(0).alias("whole"), *[found(g).alias(f"g{g}") for g in range(1, groups + 1)])
-    lengths = lambda a, k: F.aggregate(F.slice(a, 1, k), F.lit(0), lambda s, x: s + F.length(x))
 
     def placed(p: Column) -> Column:
-        one = lambda x, k: F.struct(
-            (lengths(p["between"], k + 1) + lengths(p["whole"], k)).alias("pos"), F.array(*[F.get(p[f"g{g}"], k) for g in range(1, groups + 1)]).alias("g")
-        )
-        return F.transform(p["whole"], one)
+        # One running sum over what stands between the matches and the matches themselves.
+        pairs = F.arrays_zip(F.slice(p["between"], 1, F.size(p["whole"])).alias("between"), p["whole"].alias("whole"))
+        start = F.struct(F.lit(0).alias("end"), F.array().cast("array<int>").alias("all"))
+
+        def step(acc: Column, x: Column) -> Column:
+            pos = acc["end"] + F.length(x["between"])
+            return F.struct((pos + F.length(x["whole"])).alias("end"), F.concat(acc["all"], F.array(pos)).alias("all"))
+
+        one = lambda pos, k: F.struct(pos.alias("pos"), F.array(*[F.get(p[f"g{g}"], k) for g in range(1, groups + 1)]).alias("g"))
+        return F.transform(F.aggregate(pairs, start, step)["all"], one)
 
     return let(parts, placed)
 

@@ -528,6 +528,20 @@ def web_points(spark, sf_dir):
     return web_rows(spark, sf_dir)[1]["points"].select("name", "rank", "colour")
 
 
+@query(WEB_SQL + """SELECT name, rank, round(18 + sqrt(c) * 5.4, 2) AS height_m, 49 AS vertices, round(lon + (round(20 + sqrt(c) * 1.55, 2)) / (111320 * greatest(0.2::DOUBLE, cos(radians(lat)))), 6) AS first_lon FROM w WHERE lon IS NOT NULL ORDER BY rank LIMIT 50""")
+def web_columns(spark, sf_dir):
+    """The columns of the leading places of the map page: height, and ring in degrees."""
+    ring = F.col("ring")
+    return web_rows(spark, sf_dir)[1]["columns"].select("name", "rank", "height_m", F.size(ring).alias("vertices"), F.round(ring[0][0], 6).alias("first_lon"))
+
+
+@query("SELECT event_id, row_number() OVER (ORDER BY value, event_id) AS no FROM events")
+def web_milestones(spark, sf_dir):
+    """The milestones of the map page in their order."""
+    milestones = table(spark, sf_dir, "events").select("event_id", F.col("value").cast("string").alias("order"))
+    return jobs.web_milestones(milestones).select("event_id", "no")
+
+
 @query(WEB_SQL + "SELECT name, rank, level AS mention_level FROM w ORDER BY rank LIMIT 30")
 def web_rankings(spark, sf_dir):
     """The ranking list of the map page."""

@@ -221,6 +221,12 @@ def web_views(ranked: DataFrame, milestones: DataFrame, colours: DataFrame, poin
     return {"points": top, "columns": top.withColumn("ring", ring).withColumn("height_m", geo.column_height(F.col("occurrence_count"))), "milestones": milestones.orderBy(order), "rankings": ranking.top(coloured, [F.col("rank")], ranks_top)}
 
 
+def web_milestones(milestones: DataFrame) -> DataFrame:
+    """The milestones of the map page numbered by their order, those without a number first."""
+    order = T.safe_double(F.col("order"), 0.0)
+    return ranking.global_rank(milestones.withColumn("_order", order), [F.col("_order"), F.col("event_id")], "no").drop("_order")
+
+
 def fit_maps(points: DataFrame, weight: str | None = "weight") -> DataFrame:
     """Accepted or refused transforms of maps from their enabled control points."""
     return georef.fit_transforms(georef.enabled_points(points), ["map_id"], F.col(weight).try_cast("double") if weight else None)

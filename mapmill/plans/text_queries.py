@@ -173,6 +173,23 @@ def candidates(spark, sf_dir):
     return typed.where(ok)
 
 
+@query("""WITH RECURSIVE r AS (
+  SELECT p_partkey, repeat('the of ', (p_size % 40)::INTEGER) || p_name || CASE p_partkey % 5 WHEN 0 THEN ' at the ' || p_brand WHEN 1 THEN ' by of of x by ' || p_type || ' at y' WHEN 2 THEN repeat(' at ', (p_size % 9)::INTEGER) || 'z' ELSE '' END AS n, 0 AS i FROM part
+  UNION ALL
+  SELECT p_partkey, c, i + 1 FROM (
+    SELECT p_partkey, n, i, CASE WHEN contains(b, ' by ') AND length(split_part(b, ' by ', -1)) >= 2 THEN split_part(b, ' by ', -1) ELSE b END AS c FROM (
+      SELECT p_partkey, n, i, CASE WHEN contains(a, ' at ') AND length(split_part(a, ' at ', -1)) >= 2 THEN split_part(a, ' at ', -1) ELSE a END AS b FROM (
+        SELECT p_partkey, n, i, regexp_replace(n, '^(?:the |of )', '') AS a FROM r))) WHERE c <> n
+) SELECT p_partkey, arg_max(n, i) AS name FROM r GROUP BY p_partkey""")
+def clean_names(spark, sf_dir):
+    """Names of any length without their leading words and without what stands before their split markers, cleaned until nothing changes."""
+    k, size = F.col("p_partkey"), F.col("p_size")
+    by_key = lambda *cases: F.when(k % 5 == 0, cases[0]).when(k % 5 == 1, cases[1]).when(k % 5 == 2, cases[2]).otherwise("")
+    end = by_key(F.concat(F.lit(" at the "), "p_brand"), F.concat(F.lit(" by of of x by "), "p_type", F.lit(" at y")), F.concat(F.call_function("repeat", F.lit(" at "), (size % 9).cast("int")), F.lit("z")))
+    raw = F.concat(F.call_function("repeat", F.lit("the of "), (size % 40).cast("int")), "p_name", end)
+    return table(spark, sf_dir, "part").select("p_partkey", T.strip_to_tail(raw, "^(?:the |of )", [" at ", " by "]).alias("name"))
+
+
 @query(CANDIDATE_SQL.replace("regexp_replace(raw, '^(?:the|of|and)', '')", "regexp_replace(raw, '^(?:the|of|and)+', '')") + "SELECT name, place_type, count(*)::BIGINT AS n FROM n GROUP BY ALL")
 def suffix_candidates(spark, sf_dir):
     """Names by suffix pattern, cleaned, typed, validated and counted."""

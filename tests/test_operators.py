@@ -59,6 +59,8 @@ def test_surface_and_sentence(spark):
     assert (w["fragment"], w["local"]) == ("乙丙丁戊。", 1)
     assert one(spark, T.squeeze(F.lit("﻿a　b c\n"))) == "abc"
     assert one(spark, T.strip_to_tail(F.lit("位于苏州的大运河边的万年桥"), "^位于", ["的", "边"])) == "万年桥"
+    assert one(spark, T.strip_to_tail(F.lit("位于" * 60 + "万年桥"), "^位于", [])) == "万年桥" and one(spark, T.strip_to_tail(F.lit("边" * 80), "^边", [])) == ""
+    assert one(spark, T.strip_to_tail(F.lit(None).cast("string"), "^位于", ["的"])) is None
 
 
 @pytest.mark.parametrize("many", [False, True])
