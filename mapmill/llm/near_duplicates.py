@@ -170,7 +170,8 @@ def prefix_pairs(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame
     """All pairs of ``members`` (rep, n, c) of different components that can have the similarity, by prefixes of their sets.
 
     Shingles are ordered by the members that have them, rare ones first; before all stand those of a
-    single component, which no pair shares. A similar pair has percent * (n + m) / (100 + percent)
+    single component, which no pair shares. Two sets of a similar pair meet in the first shingles of the larger one, all but percent / 100 of its
+    size, and in still fewer of the smaller one, all but 2 * percent / (100 + percent) of its. The pair has percent * (n + m) / (100 + percent)
     shingles in common, so at the first of them in this order at least so many are left in both sets; and its sets differ in no
     more elements than the similarity allows, which their bits tell from below.
     Of the members that meet in a shingle, those of its main component are not compared with each other.
@@ -181,9 +182,11 @@ def prefix_pairs(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame
     met = full.select("m_rep", "m_n", "s").join(materialize(live, "live"), F.col("s") == F.col("k"))
     lists = met.groupBy("m_rep", "m_n").agg(F.sort_array(F.collect_set(F.struct("f", "s"))).alias("xs"))
     least, size = F.ceil(F.col("m_n") * percent / 100).cast("int"), F.size("xs")
-    lists = lists.where(size >= least).select("m_rep", size.alias("size"), F.posexplode(F.slice("xs", 1, size - least + 1)).alias("i", "x"))
+    # With a partner that is not smaller a set shares more; only so few of its shingles are looked up among those of the larger ones.
+    most = F.ceil(F.col("m_n") * 2 * percent / (100 + percent)).cast("int")
+    lists = lists.where(size >= least).select("m_rep", size.alias("size"), (size - most + 1).alias("few"), F.posexplode(F.slice("xs", 1, size - least + 1)).alias("i", "x"))
     bits = sets.select("doc_id", "bits").join(members, F.col("doc_id") == F.col("rep"))
-    pre = bits.join(lists, F.col("rep") == F.col("m_rep")).select("rep", "c", F.col("n").cast("long").alias("n"), "bits", F.col("x.s").alias("s"), (F.col("size") - F.col("i")).alias("left"))
+    pre = bits.join(lists, F.col("rep") == F.col("m_rep")).select("rep", "c", F.col("n").cast("long").alias("n"), "bits", F.col("x.s").alias("s"), (F.col("size") - F.col("i")).alias("left"), (F.col("i") < F.col("few")).alias("short"))
     pre = materialize(pre, "prefixes")
     tops = pre.groupBy("s", "c").agg(F.count(F.lit(1)).alias("k")).groupBy("s").agg(F.max(F.struct("k", "c"))["c"].alias("main"), F.count(F.lit(1)).alias("parts"))
     tops = materialize(tops.where("parts > 1").select(F.col("s").alias("k"), "main"), "tops")
@@ -193,7 +196,8 @@ def prefix_pairs(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame
     enough = (100 + percent) * F.least("x.left", "y.left") >= percent * (F.col("x.n") + F.col("y.n"))
     apart = sum((F.bit_count(F.get("x.bits", F.lit(i)).bitwiseXOR(F.get("y.bits", F.lit(i)))) for i in range(BITS // 64)), F.lit(0))
     close = (100 + percent) * apart <= (100 - percent) * (F.col("x.n") + F.col("y.n"))
-    pairs = others.alias("x").join(pre.alias("y"), (F.col("x.s") == F.col("y.s")) & (F.col("x.c") != F.col("y.c")) & once & enough & close)
+    smaller = (F.col("x.short") & (F.col("x.n") <= F.col("y.n"))) | (F.col("y.short") & (F.col("y.n") <= F.col("x.n")))
+    pairs = others.alias("x").join(pre.alias("y"), (F.col("x.s") == F.col("y.s")) & (F.col("x.c") != F.col("y.c")) & smaller & once & enough & close)
     return pairs.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b"), F.least("x.c", "y.c").alias("ca"), F.greatest("x.c", "y.c").alias("cb")).distinct()
 
 
@@ -267,7 +271,9 @@ def groups(docs: DataFrame, id_col: str, text_col: str, side: int, rows: int, pe
     wanted = classes.join(keyed, F.col("f1") == F.col("rep"), "left_semi").select("f1", F.col("one.doc_id").alias("w_id"), F.col("one.text_hash").alias("w_hash"))
     # The sets have no size bound, so this is a shuffled join at any size of the table.
     met = docs.join(wanted.hint("merge"), F.col(id_col).cast("long").eqNullSafe(F.col("w_id")) & (F.xxhash64(text_col) == F.col("w_hash")))
-    sets = materialize(shingle_sets(met.select(F.col("f1").alias("doc_id"), F.col(text_col).alias("text"))), "sets")
+    # Rows that repeat an id and its text are one set.
+    once = met.select(F.col("f1").alias("doc_id"), F.col(text_col).alias("text")).dropDuplicates(["doc_id"])
+    sets = materialize(shingle_sets(once), "sets")
     comp = link_classes(keyed, sets, side, percent)
     release(sets)
     of = materialize(labelled(classes.select(F.col("f1").alias("set"), "one"), comp, "set"), "labels")

@@ -267,7 +267,9 @@ def repeated_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     decided = spots.where("doc_id > lo").select("doc_id", F.greatest(F.col("start") - (min_words - GRAM), F.lit(0)).alias("start"), "end", F.col("lo").alias("first_id"))
 
     second = materialize(second_pass(src, of_units.join(of_spots, "w_id", "full_outer"), paragraph, min_words=min_words), "second_pass")
-    near = linked_paragraphs(units, classes, keyed, second.where("set is not null").select(F.col("set").alias("doc_id"), "shingles", "bits"), percent)
+    # Rows that repeat an id give their sets as often as they stand.
+    sets = second.where("set is not null").select(F.col("set").alias("doc_id"), "shingles", "bits").dropDuplicates(["doc_id"])
+    near = linked_paragraphs(units, classes, keyed, materialize(sets, "paragraph_sets"), percent)
     same = shared_passages(second.where("set is null").select("doc_id", "start", "g1", "g2", "hi"), decided, min_words)
     out = near.withColumn("kind", F.lit("paragraph")).unionByName(same.withColumn("kind", F.lit("passage")))
     return out.select("doc_id", "kind", "start_word", "end_word", "removed", "cluster_doc_id")

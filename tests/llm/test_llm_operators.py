@@ -514,6 +514,19 @@ def test_near_duplicates_without_ids_and_with_repeated_ones(spark):
     assert Counter(map(tuple, left)) == Counter([(1, a), (1, b), (None, "alone here"), (3, ""), (4, None)])
 
 
+def test_repeated_rows_are_compared_once(spark):
+    """Two near copies that stand two thousand times each are two sets, in documents and in paragraphs."""
+    a = [f"a{i}" for i in range(120)]
+    b = [*a[:60], "other", *a[61:]]
+    rows = [(i, " ".join(w), "s") for i, w in ((1, a), (2, b)) for _ in range(2000)] + [(3, "some other words", "s")]
+    df = docs_of(spark, rows)
+    got = Counter((r.doc_id, r.component_id, r.kept) for r in near_duplicates.near_duplicates(df).collect())
+    assert got == Counter({(1, 1, True): 2000, (2, 1, False): 2000, (3, 3, True): 1})
+    assert sorted((r.doc_id, r.text) for r in near_duplicates.one_of_each(df).collect()) == [(1, " ".join(a)), (3, "some other words")]
+    paragraphs = {(r.doc_id, r.removed, r.cluster_doc_id) for r in passages.repeated_text(df).where("kind = 'paragraph'").collect()}
+    assert paragraphs == {(1, False, 1), (2, True, 1)}
+
+
 @pytest.mark.parametrize(("own", "changed"), [(25, 17), (17, 16)])
 def test_near_duplicates_in_hot_templates(spark, own, changed):
     """Texts of one template, alike by 0.667 and by 0.746, in which a copy by 0.76 of every tenth one is all to be found."""
