@@ -402,14 +402,24 @@ def milestone_points(spark, sf_dir):
 
 @query(f"""WITH {D_SQL}, c AS (SELECT name, sum((length(text) - length(replace(text, name, ''))) // length(name))::BIGINT AS raw FROM documents, dict GROUP BY name), p AS (
   SELECT name, n, ord, raw, CASE WHEN length(name) % 2 = 0 THEN '双' ELSE 'odd' END AS label, CASE WHEN ord % 3 <> 0 THEN 1900 + ord END AS y, row_number() OVER (ORDER BY n DESC, name) AS rank FROM dict JOIN c USING (name)
+), d AS (
+  SELECT name, doc_id, text, string_split(text, name) AS s FROM documents, dict WHERE contains(text, name) QUALIFY row_number() OVER (PARTITION BY name ORDER BY doc_id) <= 12
+), o AS (
+  SELECT name, doc_id, text, (list_sum(list_transform(s[1:k], lambda x: length(x))) + (k - 1) * length(name))::BIGINT AS pos FROM d, unnest(range(1, len(s))) AS g(k) QUALIFY row_number() OVER (PARTITION BY name ORDER BY doc_id, pos) <= 12
+), x AS (
+  SELECT name, substr(text, greatest(pos - 64, 0) + 1, pos + length(name) + 64 - greatest(pos - 64, 0)) AS c FROM o
+), k AS (
+  SELECT name, theme, ordinal, sum((length(c) - length(replace(c, word, ''))) // length(word)) AS hits FROM x, (VALUES ('冠词', 0, 'the'), ('连词', 1, 'and'), ('连词', 1, 'und'), ('介词', 2, 'de')) AS w(theme, ordinal, word) GROUP BY 1, 2, 3
+), h AS (
+  SELECT name, array_to_string(list(theme ORDER BY hits DESC, ordinal)[1:2], '、') AS themes FROM k WHERE hits > 0 GROUP BY name
 ) SELECT name, rank, raw AS raw_surface_count, {LEVEL_SQL.format('n')} AS mention_level, rank || '. ' || name || '（' || n || '次）' AS rank_label, CASE WHEN ord % 2 = 0 THEN '已匹配坐标' ELSE '缺坐标' END AS coordinate_quality, ord % 2 = 0 AS has_coord,
-  CASE WHEN ord % 10 = 0 THEN 'custom ' || name ELSE '该地名属于' || label || '，在志书中约出现' || n || '次，主要关联志书叙事；' || CASE WHEN y IS NULL THEN '未提取到明确时间锚点' ELSE '主要时间锚点为' || y || '年' END || '。' END AS reason FROM p""")
+  CASE WHEN ord % 10 = 0 THEN 'custom ' || name ELSE '该地名属于' || label || '，在志书中约出现' || n || '次，主要关联' || coalesce(themes, '志书叙事') || '；' || CASE WHEN y IS NULL THEN '未提取到明确时间锚点' ELSE '主要时间锚点为' || y || '年' END || '。' END AS reason FROM p LEFT JOIN h USING (name)""")
 def mention_statistics(spark, sf_dir):
     """Ranked statistics of places over a corpus."""
     d, o = dictionary(spark, sf_dir), F.col("ord")
     place = F.when(o % 2 == 0, 1.0)
     places = d.select("name", F.when(F.length("name") % 2 == 0, "even").otherwise("odd").alias("place_type"), F.col("n").alias("occurrence_count"), place.alias("lon"), place.alias("lat"), F.when(o % 2 == 0, "fallback_coord").otherwise("missing").alias("coord_status"), F.lit("matched").alias("match_status"), F.when(o % 3 != 0, 1900 + o).alias("primary_year"))
-    keywords = d.limit(1).select(F.lit("桥").alias("theme"), F.lit(0).alias("ordinal"), F.lit("桥").alias("keyword"))
+    keywords = spark.createDataFrame([("冠词", 0, "the"), ("连词", 1, "and"), ("连词", 1, "und"), ("介词", 2, "de")], "theme string, ordinal int, keyword string")
     labels = d.limit(1).select(F.lit("even").alias("place_type"), F.lit("双").alias("type_label"))
     custom = d.where(o % 10 == 0).select("name", F.concat(F.lit("custom "), "name").alias("custom_reason"))
     out = jobs.mention_statistics(table(spark, sf_dir, "documents").select("doc_id", "text"), places, keywords, labels, custom)
