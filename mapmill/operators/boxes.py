@@ -48,25 +48,72 @@ def same_place(a: Column, b: Column, alike: Column, threshold: float = IOU) -> C
     return (over >= threshold) | ((over > 0.25) & alike) | near
 
 
+def _placed(boxes: DataFrame, unit: float) -> DataFrame:
+    """The boxes with their edges as columns and the grid cell of their centre (size, cx, cy); a coordinate that is missing or not finite has no place.
+
+    ``size`` n holds the boxes of a longer side below ``unit`` * 2 ** (n + 2), and its cells have sides of ``unit`` * 2 ** n.
+    """
+    b = F.col("bbox")
+    finite = lambda v: F.when(F.abs(v) < float("inf"), v)
+    out = boxes.select("map_id", "seq", "quality", text.has_term(F.col("text")).alias("term"), *[finite(b[i].cast("double")).alias(c) for i, c in enumerate(("x0", "y0", "x1", "y1"))])
+    out = out.withColumn("side", F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"), F.lit(2.0 * unit)))
+    out = out.withColumn("size", _size(F.col("side"), unit))
+    edge = unit * F.pow(F.lit(2.0), F.col("size"))
+    return out.withColumns({"cx": F.floor((F.col("x0") + F.col("x1")) / 2 / edge), "cy": F.floor((F.col("y0") + F.col("y1")) / 2 / edge)})
+
+
+def _size(side: Column, unit: float) -> Column:
+    return F.greatest(F.floor(F.log2(side / (2 * unit))), F.lit(0)).cast("int")
+
+
+def _pairs(probing: DataFrame, met: DataFrame, threshold: float, unit: float, within: bool) -> DataFrame:
+    """(map_id, a, b, qa): pairs at one place of a box of ``probing`` and one of ``met`` (both ``_placed``), a being the better one.
+
+    ``within``: both tables are the same one, and every pair is found once, from its box of the larger size. Else only pairs are given whose
+    better box is of ``probing``. A box looks where centres of boxes of each size can lie that overlap it enough, or are near it.
+    """
+    # What overlaps by a share of t has sides of t to 1 / t times the own ones, and centres at most (w + v) / 2 - t * max(w, v) apart; what is near is of like sides.
+    t, wider = min(threshold, 0.25), 1 + 1e-9
+    sizes = F.sequence(_size(F.col("side") * t / wider, unit), F.col("size") if within else _size(F.col("side") / t * wider, unit))
+    l = probing.withColumn("at", F.explode(sizes)).withColumn("edge", unit * F.pow(F.lit(2.0), F.col("at")))
+    other = 4 * F.col("edge")
+    reach = F.greatest(F.lit(8.0), 0.18 * F.greatest(F.col("side"), other))
+
+    def cells(lo: str, hi: str) -> Column:
+        own = F.greatest(F.col(hi) - F.col(lo), F.lit(0.0))
+        most = F.least(other, own / t)
+        away = F.greatest((own + most) / 2 - t * F.greatest(own, most), reach) * wider + 1e-6
+        mid = (F.col(lo) + F.col(hi)) / 2
+        return F.sequence(F.floor((mid - away) / F.col("edge")), F.floor((mid + away) / F.col("edge")))
+
+    l = l.withColumn("px", F.explode(cells("x0", "x1"))).withColumn("py", F.explode(cells("y0", "y1"))).alias("l")
+    r = met.alias("r")
+    better = lambda i, j: (F.col(f"{i}.quality") > F.col(f"{j}.quality")) | ((F.col(f"{i}.quality") == F.col(f"{j}.quality")) & (F.col(f"{i}.seq") < F.col(f"{j}.seq")))
+    box = lambda i: [F.col(f"{i}.{c}") for c in ("x0", "y0", "x1", "y1")]
+    first = better("l", "r")
+    ordered = first | ((F.col("l.size") > F.col("r.size")) & better("r", "l")) if within else first
+    # Alike are equal texts, or texts that both have a term or both have none: the second holds wherever the first does.
+    on = [F.col("l.map_id") == F.col("r.map_id"), F.col("l.at") == F.col("r.size"), F.col("l.px") == F.col("r.cx"), F.col("l.py") == F.col("r.cy"), ordered, same_place(box("l"), box("r"), F.col("l.term") == F.col("r.term"), threshold)]
+    one = lambda c, other: F.when(first, F.col(f"l.{c}")).otherwise(F.col(f"r.{c}")) if other else F.when(first, F.col(f"r.{c}")).otherwise(F.col(f"l.{c}"))
+    return l.join(r, on).select(F.col("l.map_id").alias("map_id"), one("seq", True).alias("a"), one("seq", False).alias("b"), one("quality", True).alias("qa"))
+
+
+def _unit(cell: float, threshold: float) -> float:
+    if threshold <= 0:
+        raise ValueError("the overlap that makes one place must be above 0")
+    return max(cell / 4, 8.0)
+
+
 def box_edges(boxes: DataFrame, cell: float = 64.0, threshold: float = IOU) -> DataFrame:
     """(map_id, a, b): pairs of sequence numbers of boxes at one place, a being the better one.
 
-    Each box goes to the grid cells that it covers when grown by its own reach. The better of two
-    boxes in a cell is the one of higher quality, then the lower number. A pair that shares
-    several cells is taken in the first of them only, so nothing has to be made distinct.
+    Each box lies in one grid cell, that of its centre, on the grid of its size, and the larger box of a pair
+    looks into the cells where the other's centre can be: cells of a quarter of ``cell`` for sides up to ``cell``, twice as
+    large for each doubling. The better of two boxes is the one of higher quality, then the lower number.
     """
-    b = F.col("bbox")
-    grow = F.greatest(F.lit(8.0), F.sqrt(geo.area(b)) * 0.18)
-    first = lambda lo: F.floor((lo - grow) / cell).cast("int")
-    cells = lambda lo, hi: F.sequence(first(lo), F.floor((hi + grow) / cell).cast("int"))
-    spread = boxes.select("map_id", "seq", "quality", "text", text.has_term(F.col("text")).alias("term"), "bbox", first(b[0]).alias("x0"), first(b[1]).alias("y0"), F.explode(cells(b[0], b[2])).alias("cx"), cells(b[1], b[3]).alias("ys"))
-    spread = spread.select("*", F.explode("ys").alias("cy")).drop("ys")
-    l, r = spread.alias("l"), spread.alias("r")
-    better = (F.col("l.quality") > F.col("r.quality")) | ((F.col("l.quality") == F.col("r.quality")) & (F.col("l.seq") < F.col("r.seq")))
-    alike = (F.col("l.text") == F.col("r.text")) | (F.col("l.term") == F.col("r.term"))
-    in_first = (F.col("l.cx") == F.greatest("l.x0", "r.x0")) & (F.col("l.cy") == F.greatest("l.y0", "r.y0"))
-    on = [F.col(f"l.{c}") == F.col(f"r.{c}") for c in ("map_id", "cx", "cy")] + [in_first, better, same_place(F.col("l.bbox"), F.col("r.bbox"), alike, threshold)]
-    return l.join(r, on).select(F.col("l.map_id").alias("map_id"), F.col("l.seq").alias("a"), F.col("r.seq").alias("b"), F.col("l.quality").alias("qa"))
+    unit = _unit(cell, threshold)
+    placed = _placed(boxes, unit)
+    return _pairs(placed, placed, threshold, unit, True)
 
 
 def _greedy(links: pd.DataFrame) -> pd.DataFrame:
