@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,6 +19,8 @@ MIN_CONFIDENCE = 0.48
 SHOWN = 8
 #: Rounds of the greedy set before components are looked at, and edges of a component that one task decides at most.
 ROUNDS, ONE_TASK = 3, 50_000
+#: Boxes of the first batch of the greedy set.
+BATCH = 20_000
 
 
 def ocr_candidates(detections: DataFrame, least: float = MIN_CONFIDENCE) -> DataFrame:
@@ -187,13 +191,54 @@ def _component_edges(edges: DataFrame) -> tuple[DataFrame, DataFrame, int]:
     return small, met.where(F.col("_size") > ONE_TASK).select(*edges.columns), sizes.where(F.col("_size") <= ONE_TASK).count()
 
 
+def _greedy_batches(boxes: DataFrame, threshold: float, cell: float, report: dict | None) -> tuple[DataFrame, DataFrame]:
+    """(kept, to) as of ``independent_set`` over all pairs of ``boxes`` at one place, of which only few are ever made.
+
+    Boxes are taken in their order, BATCH of the best ones first and then twice as many each time. In each batch, pairs are made only of boxes that no
+    kept box has dropped yet, and what is kept there then meets all boxes that are left. The best kept box that drops a box is in the first batch
+    that drops it, since later ones are worse.
+    """
+    unit = _unit(cell, threshold)
+    order = [F.desc("quality"), F.col("seq")]
+    left = materialize(global_rank(boxes.select("map_id", "seq", "text", "quality", "bbox"), order, "_rank"), "ranked")
+    rest, key = left.count(), ["map_id", "seq"]
+    some: list[DataFrame] = []
+    to: list[DataFrame] = []
+    totals: dict = {"rounds": 0, "components": 0}
+    low, high = 0, BATCH
+    while True:
+        last = high - low >= rest
+        batch = left if last else left.where(F.col("_rank") <= high)
+        one: dict = {}
+        kept, _ = independent_set(batch, box_edges(batch, cell, threshold), one)
+        totals = {k: v + one[k] for k, v in totals.items()}
+        kept = materialize(kept, "kept")
+        some.append(kept)
+        best = _placed(batch.join(kept, key, "left_semi"), unit)
+        pairs = _pairs(best, _placed(left, unit), threshold, unit, False)
+        to.append(materialize(pairs.groupBy("map_id", F.col("b").alias("seq")).agg(F.max_by("a", F.struct("qa", -F.col("a"))).alias("kept_seq")), "to"))
+        if last:
+            break
+        after = materialize(left.where(F.col("_rank") > high).join(to[-1], key, "left_anti"), "ranked")
+        release(left)
+        left, rest = after, after.count()
+        low, high = high, 3 * high
+        if not rest:
+            break
+    release(left)
+    if report is not None:
+        report |= totals
+    union = lambda parts: reduce(DataFrame.unionByName, parts)
+    return union(some), union(to)
+
+
 def dedupe_boxes(boxes: DataFrame, threshold: float = IOU, cell: float = 64.0, report: dict | None = None) -> DataFrame:
     """Kept boxes of each map in reading order, numbered by quality, with their alternatives.
 
     ``boxes``: (map_id, seq, text, quality, bbox). Adds ocr_no, alternative_texts (up to eight other
     texts by quality) and alternative_count. ``report``: see ``independent_set``.
     """
-    kept, to = independent_set(boxes, box_edges(boxes, cell, threshold), report)
+    kept, to = _greedy_batches(boxes, threshold, cell, report)
     lost = to.join(boxes.select("map_id", "seq", "text", "quality"), ["map_id", "seq"])
     count = lost.groupBy("map_id", F.col("kept_seq").alias("seq")).agg(F.count(F.lit(1)).alias("alternative_count"))
     # Of each text the best box, and of those as many as are shown (and one that may be the kept box's own text).
