@@ -22,6 +22,8 @@ AUTOMATON_NAMES = 200_000
 LOCAL_FIRSTS = 2_000_000
 #: Characters of an anchor, and the largest bitmap of anchors (16 MB).
 ANCHOR, ANCHOR_BITS = 4, 1 << 27
+#: Mentions that a task holds at most before it passes them on.
+PIECE = 8192
 #: Names up to which counting by replacement is cheaper than finding places.
 REPLACE_NAMES = 8
 
@@ -72,8 +74,22 @@ def _mentions(docs: DataFrame, names: DataFrame, radius: int | None, first: int
         for batch in batches:
             rows, found, places, cuts, ats = [], [], [], [], []
             others: dict[str, int] = {}
-            ids = batch.column(0).to_pylist() if by_name else None
-            for r, text in enumerate(batch.column(1).to_pylist()):
+            ids, texts = batch.column(0), batch.column(1)
+
+            def piece() -> pa.RecordBatch:
+                """What was found since the last piece, and the counts of ``others``."""
+                none = [None] * len(others)
+                ids_out = pa.concat_arrays([ids.take(pa.array(rows, pa.int64())), pa.nulls(len(others), ids.type)])
+                arrays = [ids_out, pa.array(found + list(others), pa.string()), pa.array(places + none, pa.int32())]
+                arrays += [pa.array(cuts + none, pa.string()), pa.array(ats + none, pa.int32())] if radius is not None else []
+                arrays += [pa.array([1] * len(rows) + list(others.values()), pa.int64())] if rest else []
+                for made in (rows, found, places, cuts, ats, others):
+                    made.clear()
+                return pa.RecordBatch.from_arrays(arrays, names=columns)
+
+            for r in range(batch.num_rows):
+                text = texts[r].as_py()
+                doc = ids[r].as_py() if by_name else None
                 free: dict[str, int] = {}
                 seen: dict[str, int] = {}
                 for end, name in automaton.iter(text) if some else ():
@@ -82,7 +98,7 @@ def _mentions(docs: DataFrame, names: DataFrame, radius: int | None, first: int
                         continue
                     free[name] = end + 1
                     if by_name:
-                        key = (ids[r] is not None, ids[r], begin)
+                        key = (doc is not None, doc, begin)
                         if name in bar and bar[name] <= key:
                             if rest:
                                 others[name] = others.get(name, 0) + 1
@@ -103,12 +119,10 @@ def _mentions(docs: DataFrame, names: DataFrame, radius: int | None, first: int
                         left = max(begin - radius, 0)
                         cuts.append(text[left : end + 1 + radius])
                         ats.append(begin - left)
-            none = [None] * len(others)
-            ids_out = pa.concat_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.nulls(len(others), batch.column(0).type)])
-            arrays = [ids_out, pa.array(found + list(others), pa.string()), pa.array(places + none, pa.int32())]
-            arrays += [pa.array(cuts + none, pa.string()), pa.array(ats + none, pa.int32())] if radius is not None else []
-            arrays += [pa.array([1] * len(rows) + list(others.values()), pa.int64())] if rest else []
-            yield pa.RecordBatch.from_arrays(arrays, names=columns)
+                    if len(rows) >= PIECE:
+                        yield piece()
+            if rows or others:
+                yield piece()
 
     return src.mapInArrow(find, schema)
 
@@ -163,7 +177,16 @@ def anchored_mentions(src: DataFrame, dictionary: DataFrame, radius: int | None
         one = np.uint64(1)
         for batch in batches:
             rows, grams, places, cuts, ats = [], [], [], [], []
-            for r, text in enumerate(batch.column(1).to_pylist()):
+
+            def piece() -> pa.RecordBatch:
+                at = pa.array(rows, pa.int64())
+                arrays = [batch.column(0).take(at), batch.column(2).take(at), pa.array(grams, pa.string()), pa.array(places, pa.int32()), pa.array(cuts, pa.string()), pa.array(ats, pa.int32())]
+                for made in (rows, grams, places, cuts, ats):
+                    made.clear()
+                return pa.RecordBatch.from_arrays(arrays, names=["doc_id", "_row", "g", "i", "around", "c"])
+
+            for r in range(batch.num_rows):
+                text = batch.column(1)[r].as_py()
                 for q in lengths:
                     h = _gram_hashes(text, q) % np.uint64(bits)
                     for i in np.flatnonzero(shared.value[(h >> np.uint64(6)).astype(np.int64)] >> (h & np.uint64(63)) & one).tolist():
@@ -173,9 +196,10 @@ def anchored_mentions(src: DataFrame, dictionary: DataFrame, radius: int | None
                         places.append(i)
                         cuts.append(text[left : i + reach])
                         ats.append(i - left)
-            at = pa.array(rows, pa.int64())
-            arrays = [batch.column(0).take(at), batch.column(2).take(at), pa.array(grams, pa.string()), pa.array(places, pa.int32()), pa.array(cuts, pa.string()), pa.array(ats, pa.int32())]
-            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "_row", "g", "i", "around", "c"])
+                        if len(rows) >= PIECE:
+                            yield piece()
+            if rows:
+                yield piece()
 
     id_type = src.schema["doc_id"].dataType.simpleString()
     spots = src.select("doc_id", "text", F.monotonically_increasing_id().alias("_row")).mapInArrow(scan, f"doc_id {id_type}, _row long, g string, i int, around string, c int")
