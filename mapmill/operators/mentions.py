@@ -37,6 +37,11 @@ def mention_positions(docs: DataFrame, names: DataFrame, id_col: str = "doc_id",
     return _mentions(docs, names, None, None, (), False, id_col, text_col, name_col)
 
 
+def first_places(docs: DataFrame, names: DataFrame, id_col: str = "doc_id", text_col: str = "text", name_col: str = "name") -> DataFrame:
+    """``mention_positions`` with no place of a name behind its first in a text (a dictionary too large for an automaton gives all)."""
+    return _mentions(docs, names, None, 1, ("doc_id", "name"), False, id_col, text_col, name_col)
+
+
 def mention_excerpts(docs: DataFrame, names: DataFrame, radius: int, first: int | None = None, keys: tuple[str, ...] = ("name",), rest: bool = False, id_col: str = "doc_id", text_col: str = "text", name_col: str = "name") -> DataFrame:
     """(doc_id, name, pos, excerpt, at): mentions with the text up to ``radius`` characters before and behind them, and their place in it.
 

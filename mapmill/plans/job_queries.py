@@ -638,7 +638,7 @@ def popups(spark, sf_dir):
 @query(f"WITH {D_SQL}, f AS (SELECT doc_id, name, strpos(text, name) AS at FROM documents, dict WHERE contains(text, name)) SELECT name, count(*)::BIGINT AS docs, min(doc_id)::BIGINT AS first_doc FROM f GROUP BY name")
 def seed_documents(spark, sf_dir):
     """In how many documents each name stands, and the first of them."""
-    found = mentions.mention_positions(table(spark, sf_dir, "documents"), dictionary(spark, sf_dir)).groupBy("name", "doc_id").agg(F.min("pos").alias("pos"))
+    found = mentions.first_places(table(spark, sf_dir, "documents"), dictionary(spark, sf_dir)).groupBy("name", "doc_id").agg(F.min("pos").alias("pos"))
     return found.groupBy("name").agg(F.count(F.lit(1)).alias("docs"), F.min("doc_id").alias("first_doc"))
 
 

@@ -124,7 +124,7 @@ def sentence_window(spark, sf_dir):
 ) SELECT name, doc_id, pos::INTEGER AS pos, rn::INTEGER AS nth FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY doc_id) AS rn FROM p) WHERE rn <= 12""")
 def mention_positions(spark, sf_dir):
     """The first place of each name in each of its first twelve documents."""
-    every = mentions.mention_positions(table(spark, sf_dir, "documents"), dictionary(spark, sf_dir))
+    every = mentions.first_places(table(spark, sf_dir, "documents"), dictionary(spark, sf_dir))
     first = every.groupBy("name", "doc_id").agg(F.min("pos").alias("pos"))
     nth = F.row_number().over(ranking.Window.partitionBy("name").orderBy("doc_id"))
     return first.withColumn("nth", nth).where("nth <= 12")
