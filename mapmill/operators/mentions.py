@@ -291,8 +291,8 @@ def suffix_candidates(docs: DataFrame, suffixes: list[str], head: str = r"[\x{4e
 
 
 def seed_presence(docs: DataFrame, seeds: DataFrame, text_col: str = "text", id_col: str = "doc_id", name_col: str = "name") -> DataFrame:
-    """(name): seeds that stand somewhere in the corpus."""
-    return mention_positions(docs, seeds, id_col, text_col, name_col).select("name").distinct()
+    """(name): seeds that stand somewhere in the corpus; a task passes on no mention of a seed behind the first that it has seen."""
+    return _mentions(docs, seeds, None, 1, ("name",), False, id_col, text_col, name_col).select("name").distinct()
 
 
 def name_frequency(candidates: DataFrame, present_seeds: DataFrame, name: str = "name") -> DataFrame:
