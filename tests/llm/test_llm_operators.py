@@ -119,6 +119,72 @@ def test_nearest_takes_large_components_and_repeated_ids(spark):
     assert neighbours.nearest(df, df.where("vec_id = 20"), k=3).count() == 6  # two query rows of this id differ
 
 
+def test_copies_in_two_batches_count_once(spark):
+    """Copies of a row that a task gets in different Arrow batches are still one candidate."""
+    x = np.random.default_rng(3).normal(size=(120, 4))
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist()) for _ in range(5)], "vec_id long, embedding array<double>")
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "7")
+    try:
+        got = {(r[0], r[1], r[2]) for r in neighbours.nearest(df, df.where("vec_id % 20 = 0"), k=5).collect()}
+    finally:
+        spark.conf.set(key, before)
+    s = x[::20] @ x.T
+    s[np.arange(6), np.arange(0, 120, 20)] = -np.inf
+    assert got == {(20 * i, r + 1, int(j)) for i in range(6) for r, j in enumerate(np.argsort(-s[i], kind="stable")[:5])}
+
+
+def test_many_vectors_of_the_query_id_hide_no_neighbour(spark):
+    rows = [(20, [1.0, 0.001 * i]) for i in range(8)] + [(i, [0.5, 0.001 * i]) for i in range(21, 60)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = neighbours.nearest(df, df.where("vec_id = 20 and embedding[1] = 0.003"), k=4).collect()
+    assert [r.vec_id for r in sorted(got, key=lambda r: r["rank"])] == [59, 58, 57, 56]
+
+
+def test_rounding_of_large_vectors_bounds_no_small_ones(spark):
+    """Large vectors that cancel out have scores of rounding only, which must not bound those of small vectors in a shard of their own."""
+    rng = np.random.default_rng(4)
+    dot = lambda v: v[0] + 3.0 * v[1]
+    big = [(i, v) for i, a in enumerate(rng.uniform(0.9, 1, 1500).tolist()) if dot(v := [1e20 * a, -1e20 * a / 3.0, 0.0]) <= 0]
+    small = [(i, [a, a / 10, 0.1]) for i, a in enumerate(rng.uniform(0.1, 1, 1500).tolist(), 5000)]
+    df = spark.createDataFrame([*big, *small, (9000, [1.0, 3.0, 0.0])], "vec_id long, embedding array<double>")
+    got = neighbours.nearest(df, df.where("vec_id = 9000")).collect()
+    want = sorted((-dot(v), i) for i, v in big + small)[:20]
+    assert [r.vec_id for r in sorted(got, key=lambda r: r["rank"])] == [i for _, i in want]
+
+
+def test_equal_scores_stay_equal_when_scaled(spark):
+    rng = random.Random(6)
+    rows = [(i, [float(rng.randrange(-7, 8)) for _ in range(6)]) for i in range(900)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = neighbours.nearest(df, df.where("vec_id % 20 = 0"))
+    assert {(r[0], r[1], r[2], round(r[3], 9)) for r in got.collect()} == brute_nearest(rows, 20)
+
+
+def test_candidates_carry_no_vector_and_stay_above_the_sample(spark):
+    """A shard passes on no row that the score from the sample rules out, and no query vector with its candidates."""
+    x = np.random.default_rng(5).normal(size=(3000, 16))
+    shard, q = neighbours.Shard(np.arange(3000), x), x[:40]
+    bound = np.sort(neighbours.scaled(q) @ (x / shard.top).T, axis=1)[:, -3]
+    qi, _, _ = neighbours.best_in_shard(shard, np.arange(40), q, bound, 20, 1.0)
+    assert (np.bincount(qi, minlength=40) <= 3).all()
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>")
+    plan = neighbours.nearest(df, df.where("vec_id % 20 = 0"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "query_id#" in plan and "q#" not in plan.split("MapInArrow")[0]
+
+
+def test_a_batch_comes_to_a_leaf_twice_at_most(monkeypatch):
+    """Nothing can be left out here; the queries of a batch must still share their visits."""
+    rng, calls, leaf = np.random.default_rng(7), [], neighbours.Search._leaf
+    monkeypatch.setattr(neighbours.Search, "_leaf", lambda self, rows, who, *a, **b: (calls.append(rows[0]), leaf(self, rows, who, *a, **b)))
+    x, q = rng.normal(size=(8000, 32)), neighbours.scaled(rng.normal(size=(2000, 32)))
+    shard = neighbours.Shard(np.arange(8000), x)
+    s = neighbours.Search(shard, q, 20, 1.0)
+    assert np.allclose(s.score, np.sort(q @ (x / shard.top).T, axis=1)[:, ::-1][:, :20])
+    assert max(Counter(calls).values()) <= 2
+
+
 # 2
 def test_packing_round_trip(spark):
     from tokenizers import Tokenizer
