@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 
 from mapmill.functions import years
 from mapmill.functions.text import context, sentence_window, surface_count
-from mapmill.operators.lookup import small
+from mapmill.operators.lookup import BROADCAST_ROWS, small
 from mapmill.operators.ranking import first_n
-from mapmill.storage import kept, materialize, scratch
+from mapmill.storage import kept, materialize, release, scratch
 
 #: Names that one automaton holds; a larger dictionary is joined instead.
 AUTOMATON_NAMES = 200_000
@@ -47,20 +47,69 @@ def mention_excerpts(docs: DataFrame, names: DataFrame, radius: int, first: int
 
     ``first`` limits the result to the first mentions of each of ``keys``, (name) or (doc_id, name), by document and place. Texts are read once and
     go nowhere: the pass that finds a mention cuts its excerpt, and each task drops what is not among the first it has seen, so
-    only a few excerpts a name and task are shuffled. With ``rest`` (for the first of each name)
+    only a few excerpts a name and task are shuffled. The first of each name and document are not shuffled at all, but for
+    those of an id that several rows have (``_first_of_each_text``). With ``rest`` (for the first of each name)
     there is a column ``n`` more, the mentions that a row stands for: those that cannot be among the first are counted in rows without a place.
     """
+    if first is not None and keys != ("name",):
+        return _first_of_each_text(docs, names, radius, first, keys, id_col, text_col, name_col)
     found = _mentions(docs, names, radius, first, keys, rest, id_col, text_col, name_col)
     return found if first is None or rest else first_n(found, list(keys), [F.col("doc_id"), F.col("pos")], first)
 
 
-def _mentions(docs: DataFrame, names: DataFrame, radius: int | None, first: int | None, keys: tuple[str, ...], rest: bool, id_col: str, text_col: str, name_col: str) -> DataFrame:
+def _first_of_each_text(docs: DataFrame, names: DataFrame, radius: int, first: int, keys: tuple[str, ...], id_col: str, text_col: str, name_col: str) -> DataFrame:
+    """The first mentions of each name and document, with their excerpts.
+
+    All excerpts of a text take several times its room, so none is shuffled. What the pass finds first in a text is the result where one row only
+    has the id. Texts whose id is repeated are written with a number of their own: their places, without excerpts, are ranked, and
+    those that lead meet their text by its number. If more ids are repeated than a broadcast takes, all texts go that way.
+    """
+    dictionary, some = _dictionary(names, name_col)
+    src = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    if len(some) > AUTOMATON_NAMES:
+        return first_n(anchored_mentions(src.where(F.col("text").isNotNull()), dictionary, radius), list(keys), [F.col("doc_id"), F.col("pos")], first)
+    repeated = materialize(src.groupBy(F.col("doc_id").alias("_id")).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_id"), "repeated")
+    n = repeated.limit(BROADCAST_ROWS + 1).count()
+    if n == 0:
+        release(repeated)
+        return _scan(src, some, radius, first, keys, False)
+    if n > BROADCAST_ROWS:
+        release(repeated)
+        return _first_of_repeated(src, some, radius, first, keys)
+    same = F.col("doc_id").eqNullSafe(F.col("_id"))
+    once, again = (src.join(F.broadcast(repeated), same, how) for how in ("left_anti", "left_semi"))
+    return _scan(once, some, radius, first, keys, False).unionByName(_first_of_repeated(again, some, radius, first, keys))
+
+
+def _first_of_repeated(src: DataFrame, some: list[str], radius: int, first: int, keys: tuple[str, ...]) -> DataFrame:
+    """``_first_of_each_text`` for ids that several rows have: each text is written and shuffled once, however many mentions it holds."""
+    texts = materialize(src.where(F.col("text").isNotNull()).withColumn("_row", F.monotonically_increasing_id()), "texts")
+    places = _scan(texts.select(F.struct("doc_id", "_row").alias("doc_id"), "text"), some, None, first, keys, False)
+    lead = first_n(places.select("doc_id.doc_id", "doc_id._row", "name", "pos"), list(keys), [F.col("doc_id"), F.col("pos"), F.col("_row")], first)
+    lead = lead.groupBy("_row").agg(F.collect_list(F.struct("name", "pos")).alias("_found"))
+    left = lambda m: F.greatest(m["pos"] - radius, F.lit(0))
+    cut = lambda m: F.struct(m["name"].alias("name"), m["pos"].alias("pos"), context(F.col("text"), m["pos"], F.length(m["name"]), radius).alias("excerpt"), (m["pos"] - left(m)).alias("at"))
+    return texts.join(lead, "_row").select("doc_id", F.inline(F.transform("_found", cut)))
+
+
+def _dictionary(names: DataFrame, name_col: str) -> tuple[DataFrame, list[str]]:
+    """The distinct names, and a list of them, which has one name more than an automaton holds where they are too many."""
     dictionary = names.select(F.col(name_col).alias("name")).where(F.length("name") > 0).distinct()
-    some = [r.name for r in dictionary.limit(AUTOMATON_NAMES + 1).collect()]
-    src = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where(F.col("text").isNotNull())
+    return dictionary, [r.name for r in dictionary.limit(AUTOMATON_NAMES + 1).collect()]
+
+
+def _mentions(docs: DataFrame, names: DataFrame, radius: int | None, first: int | None, keys: tuple[str, ...], rest: bool, id_col: str, text_col: str, name_col: str) -> DataFrame:
+    dictionary, some = _dictionary(names, name_col)
+    src = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     if len(some) > AUTOMATON_NAMES:
-        found = anchored_mentions(src, dictionary, radius)
+        found = anchored_mentions(src.where(F.col("text").isNotNull()), dictionary, radius)
         return found.withColumn("n", F.lit(1).cast("long")) if rest else found
+    return _scan(src, some, radius, first, keys, rest)
+
+
+def _scan(src: DataFrame, some: list[str], radius: int | None, first: int | None, keys: tuple[str, ...], rest: bool) -> DataFrame:
+    """The automaton pass over (doc_id, text)."""
+    src = src.where(F.col("text").isNotNull())
     schema = f"doc_id {src.schema['doc_id'].dataType.simpleString()}, name string, pos int" + (", excerpt string, at int" if radius is not None else "") + (", n long" if rest else "")
     columns, by_text = [c.split(" ")[0] for c in schema.split(", ")], first is not None and keys != ("name",)
     by_name = first is not None and keys == ("name",) and first * len(some) <= LOCAL_FIRSTS
