@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from bisect import insort
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -62,12 +62,14 @@ def _first_of_each_text(docs: DataFrame, names: DataFrame, radius: int, first: i
 
     All excerpts of a text take several times its room, so none is shuffled. What the pass finds first in a text is the result where one row only
     has the id. Texts whose id is repeated are written with a number of their own: their places, without excerpts, are ranked, and
-    those that lead meet their text by its number. If more ids are repeated than a broadcast takes, all texts go that way.
+    those that lead meet their text by its number. If more ids are repeated than a broadcast takes, or the names are too many for
+    an automaton, all texts go that way.
     """
     dictionary, some = _dictionary(names, name_col)
     src = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     if len(some) > AUTOMATON_NAMES:
-        return first_n(anchored_mentions(src.where(F.col("text").isNotNull()), dictionary, radius), list(keys), [F.col("doc_id"), F.col("pos")], first)
+        return _first_of_repeated(src, lambda texts: anchored_mentions(texts, dictionary), radius, first, keys)
+    places = lambda texts: _scan(texts, some, None, first, keys, False)
     repeated = materialize(src.groupBy(F.col("doc_id").alias("_id")).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_id"), "repeated")
     n = repeated.limit(BROADCAST_ROWS + 1).count()
     if n == 0:
@@ -75,17 +77,17 @@ def _first_of_each_text(docs: DataFrame, names: DataFrame, radius: int, first: i
         return _scan(src, some, radius, first, keys, False)
     if n > BROADCAST_ROWS:
         release(repeated)
-        return _first_of_repeated(src, some, radius, first, keys)
+        return _first_of_repeated(src, places, radius, first, keys)
     same = F.col("doc_id").eqNullSafe(F.col("_id"))
     once, again = (src.join(F.broadcast(repeated), same, how) for how in ("left_anti", "left_semi"))
-    return _scan(once, some, radius, first, keys, False).unionByName(_first_of_repeated(again, some, radius, first, keys))
+    return _scan(once, some, radius, first, keys, False).unionByName(_first_of_repeated(again, places, radius, first, keys))
 
 
-def _first_of_repeated(src: DataFrame, some: list[str], radius: int, first: int, keys: tuple[str, ...]) -> DataFrame:
-    """``_first_of_each_text`` for ids that several rows have: each text is written and shuffled once, however many mentions it holds."""
+def _first_of_repeated(src: DataFrame, places: Callable[[DataFrame], DataFrame], radius: int, first: int, keys: tuple[str, ...]) -> DataFrame:
+    """``_first_of_each_text`` for ids that several rows have: each text is written and shuffled once, however many mentions ``places`` finds in it."""
     texts = materialize(src.where(F.col("text").isNotNull()).withColumn("_row", F.monotonically_increasing_id()), "texts")
-    places = _scan(texts.select(F.struct("doc_id", "_row").alias("doc_id"), "text"), some, None, first, keys, False)
-    lead = first_n(places.select("doc_id.doc_id", "doc_id._row", "name", "pos"), list(keys), [F.col("doc_id"), F.col("pos"), F.col("_row")], first)
+    found = places(texts.select(F.struct("doc_id", "_row").alias("doc_id"), "text"))
+    lead = first_n(found.select("doc_id.doc_id", "doc_id._row", "name", "pos"), list(keys), [F.col("doc_id"), F.col("pos"), F.col("_row")], first)
     lead = lead.groupBy("_row").agg(F.collect_list(F.struct("name", "pos")).alias("_found"))
     left = lambda m: F.greatest(m["pos"] - radius, F.lit(0))
     cut = lambda m: F.struct(m["name"].alias("name"), m["pos"].alias("pos"), context(F.col("text"), m["pos"], F.length(m["name"]), radius).alias("excerpt"), (m["pos"] - left(m)).alias("at"))
